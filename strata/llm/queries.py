@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from .gam import op9_quality_gam
 from .hilbert import op1_hilbert_shards
+from .mixing import op3_entropy_mix
 from .rules import op10_quality_rules
+from .toxicity import op6_toxicity_lexicon
 
 QUERIES = {
     "op1_hilbert_shards": op1_hilbert_shards,
+    "op3_entropy_mix": op3_entropy_mix,
+    "op6_toxicity_lexicon": op6_toxicity_lexicon,
+    "op9_quality_gam": op9_quality_gam,
     "op10_quality_rules": op10_quality_rules,
 }
 
