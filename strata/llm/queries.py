@@ -5,6 +5,7 @@ from __future__ import annotations
 from .gam import op9_quality_gam
 from .hilbert import op1_hilbert_shards
 from .mixing import op3_entropy_mix
+from .packing import op7_complement_packing
 from .rules import op10_quality_rules
 from .toxicity import op6_toxicity_lexicon
 
@@ -12,6 +13,7 @@ QUERIES = {
     "op1_hilbert_shards": op1_hilbert_shards,
     "op3_entropy_mix": op3_entropy_mix,
     "op6_toxicity_lexicon": op6_toxicity_lexicon,
+    "op7_complement_packing": op7_complement_packing,
     "op9_quality_gam": op9_quality_gam,
     "op10_quality_rules": op10_quality_rules,
 }
