@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .gam import op9_quality_gam
 from .hilbert import op1_hilbert_shards
+from .mih import op2_multi_index_hashing
 from .mixing import op3_entropy_mix
 from .packing import op7_complement_packing
 from .rules import op10_quality_rules
@@ -11,6 +12,7 @@ from .toxicity import op6_toxicity_lexicon
 
 QUERIES = {
     "op1_hilbert_shards": op1_hilbert_shards,
+    "op2_multi_index_hashing": op2_multi_index_hashing,
     "op3_entropy_mix": op3_entropy_mix,
     "op6_toxicity_lexicon": op6_toxicity_lexicon,
     "op7_complement_packing": op7_complement_packing,
