@@ -6,6 +6,7 @@ from .gam import op9_quality_gam
 from .hilbert import op1_hilbert_shards
 from .mih import op2_multi_index_hashing
 from .mixing import op3_entropy_mix
+from .ngram_join import op4_adaptive_ngram_join
 from .packing import op7_complement_packing
 from .rules import op10_quality_rules
 from .toxicity import op6_toxicity_lexicon
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_hilbert_shards": op1_hilbert_shards,
     "op2_multi_index_hashing": op2_multi_index_hashing,
     "op3_entropy_mix": op3_entropy_mix,
+    "op4_adaptive_ngram_join": op4_adaptive_ngram_join,
     "op6_toxicity_lexicon": op6_toxicity_lexicon,
     "op7_complement_packing": op7_complement_packing,
     "op9_quality_gam": op9_quality_gam,
