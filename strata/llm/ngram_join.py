@@ -297,7 +297,7 @@ def op4_adaptive_ngram_join(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_first_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one row of each component, that of the smallest doc_id; texts without words stay, one row each."""
-    kept = components(docs, k, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi")
-    return named.dropDuplicates(["doc_id"])
+    """docs with one row of each component, that of the smallest doc_id; texts without words stay, one row an id; rows without an id cannot be named and stay."""
+    kept = components(docs, k, percent).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where(F.col("doc_id").isNull()))

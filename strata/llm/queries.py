@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .gam import op9_quality_gam
 from .hilbert import op1_hilbert_shards
+from .html_crf import op8_crf_extraction
 from .kneser_ney import op5_kneser_ney
 from .mih import op2_multi_index_hashing
 from .mixing import op3_entropy_mix
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_kneser_ney": op5_kneser_ney,
     "op6_toxicity_lexicon": op6_toxicity_lexicon,
     "op7_complement_packing": op7_complement_packing,
+    "op8_crf_extraction": op8_crf_extraction,
     "op9_quality_gam": op9_quality_gam,
     "op10_quality_rules": op10_quality_rules,
 }
