@@ -15,10 +15,13 @@ named ones play no part.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,19 +31,49 @@ from pyspark.sql import types as T
 
 from .common import Scratch, in_chunks, ranked
 
+#: Fixed value: the pre-token pattern of byte-level vocabularies of this kind, as published with GPT-2.
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Where a blank or a line break has a neighbour that is white space too, or stands at an end.
 _ODD = re.compile(r"[^\S \n]|[ \n][ \n]|^[ \n]|[ \n]$")
 
 
+def ranked_encoding(path: str):
+    """The tokenizer file's vocabulary as byte ranks, if it is byte-level BPE with ids in merge order; else None."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    model, before = told.get("model", {}), told.get("pre_tokenizer") or {}
+    if model.get("type") != "BPE" or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or told.get("normalizer"):
+        return None
+    # Byte-level vocabularies write bytes as characters: printable ones as themselves, the others, in order, from 256 on.
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
+    special = {t["content"] for t in told.get("added_tokens", [])}
+    ranks = {bytes(byte_of[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
+    merged = [i for pair in model["merges"] if (i := model["vocab"].get("".join(pair.split(" ") if isinstance(pair, str) else pair))) is not None]
+    if merged != sorted(merged):
+        return None
+    return tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@lru_cache(maxsize=1)
+def ids_of(path: str) -> "Ids":
+    """One cache a worker process, bounded by Ids.LIMIT."""
+    return Ids(path)
+
+
 class Ids(dict):
     """Token ids, as little-endian unsigned 32-bit bytes, of the chunks between blanks.
 
     A blank or line break between two other characters ends a pre-token of this byte-level
     vocabulary's pattern, so the chunks' ids joined are the text's ids; any other white space
-    sends the whole text to the tokenizer.
+    sends the whole text to the tokenizer. The merges of Latin letters, digits and signs are
+    done by the same vocabulary's ranks, which takes a fifth of the time; other scripts go to
+    the tokenizer itself.
     """
 
-    LIMIT = 400_000
+    LIMIT = 1_000_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -48,14 +81,15 @@ class Ids(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.ranks = ranked_encoding(path)
 
     def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= self.LIMIT:
             self.clear()
-        out = self[chunk] = self.encode(chunk)
+        out = self[chunk] = array("I", self.ranks.encode_ordinary(chunk)).tobytes() if self.ranks and max(chunk, default="") < "\u0250" else self.encode(chunk)
         return out
 
     def of(self, text: str | None) -> bytes:
@@ -82,7 +116,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, most: int, id_column: str = "do
     """(id, piece, start, length, ids_crc32): each text's ids and a closing 0, cut where longer than `most`."""
 
     def run(batches):
-        ids = Ids(tokenizer_path)
+        ids = ids_of(tokenizer_path)
         for b, texts in in_chunks(batches, "text"):
             rows: list[tuple[int, ...]] = []
             for i, t in enumerate(texts):
