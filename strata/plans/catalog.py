@@ -5,10 +5,380 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import html, text, urls
+from ..operators import blocks, boilerplate, dedup, emit, frontier, media
+from ..sources.fetch import pages_table, retry_delays
+from .config import Config
+from .pipeline import Engine
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Parts of the SQL side, written for DuckDB.
+_PARTS = r"'^([^:/?#]+)://([^/?#]*)([^?#]*)'"
+_S = text.SPACE
+_PATH = f"regexp_extract(url, {_PARTS}, 3)"
+_NETLOC = f"regexp_extract(url, {_PARTS}, 2)"
+
+
+def _norm_url(url: str) -> str:
+    bare = f"regexp_replace(regexp_extract({url}, {_PARTS}, 3), '/+$', '')"
+    return f"lower(regexp_extract({url}, {_PARTS}, 1)) || '://' || regexp_extract({url}, {_PARTS}, 2) || CASE WHEN {bare} = '' THEN '/' ELSE {bare} END"
+
+
+def _clean(s: str) -> str:
+    return f"trim(regexp_replace({s}, '{_S}+', ' ', 'g'))"
+
+
+def _strip(s: str) -> str:
+    return f"regexp_replace({s}, '^{_S}+|{_S}+$', '', 'g')"
+
+
+def _norm(s: str) -> str:
+    return f"trim(regexp_replace(lower({s}), '[^a-z0-9]+', ' ', 'g'))"
+
+
+_TITLE_RAW = r"regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1)"
+_TITLE_READ = f"""replace(replace(replace(replace(replace({_TITLE_RAW}, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&')"""
+_TITLE = f"CASE WHEN {_clean(_TITLE_READ)} = '' THEN 'Untitled' ELSE {_clean(_TITLE_READ)} END"
+_LANG_RAW = """regexp_extract(html, '(?i)<html[^>]*\\blang=["'']?([A-Za-z-]+)', 1)"""
+_LANG = f"CASE WHEN {_LANG_RAW} = '' THEN 'en' ELSE {_LANG_RAW} END"
+_JUNKLESS = "html"
+for _tag in html.JUNK:
+    _JUNKLESS = rf"regexp_replace({_JUNKLESS}, '(?is)<{_tag}\b.*?</{_tag}\s*>', '', 'g')"
+_TEXT = _clean(f"regexp_replace({_JUNKLESS}, '<[^>]*>', ' ', 'g')")
+_TOKENS = r"regexp_extract_all(lower(coalesce({0}, '')), '[\p{{L}}\p{{N}}_]+')"
+
+
+def _hash(s: str) -> str:
+    return f"sha256(array_to_string({_TOKENS.format(s)}, ' '))"
+
+
+_SLUG_BASE = f"regexp_replace({_PATH}, '^/+|/+$', '', 'g')"
+_SLUG = f"substring(regexp_replace(regexp_replace(lower(CASE WHEN {_SLUG_BASE} <> '' THEN {_SLUG_BASE} ELSE {_TITLE} END), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 80)"
+_HREFS = """regexp_extract_all(html, '(?i)<a\\s[^>]*?href="([^"]*)"', 1)"""
+_ROOT = f"regexp_extract(url, {_PARTS}, 1) || '://' || {_NETLOC}"
+_SHINGLES = "list_distinct(list_transform(range(1, greatest(len(t) - 4, 1) + 1), lambda i: array_to_string(t[i:i+4], ' ')))"
+_LINES = r"regexp_extract_all(html, '<(?:h1|p|li|footer)[^>]*>([^<]+)', 1)"
+
+
+def page_lines(page: F.Column) -> F.Column:
+    """A page's texts right after the tags of headings, paragraphs, items and footers, one a line."""
+    return F.array_join(F.transform(F.regexp_extract_all(page, F.lit(r"<(?:h1|p|li|footer)[^>]*>([^<]+)"), F.lit(1)), text.clean), "\n")
+
+
+_PAGE_LINES = f"array_to_string(list_transform({_LINES}, lambda x: {_clean('x')}), chr(10))"
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+    """All pages: extracted, deduplicated, without boilerplate, as the output table."""
+    return Engine(spark, Config()).process(pages_table(spark, f"{sf_dir}/pages.parquet"))
+
+
+@query(f"SELECT page_id, {_norm_url('url')} AS norm_url FROM pages")
+def url_normalize(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", urls.normalize(F.col("url")).alias("norm_url"))
+
+
+@query(f"SELECT page_id, {_NETLOC} AS netloc, replace({_NETLOC}, ':', '_') AS site, {_ROOT} || '/robots.txt' AS robots_url FROM pages")
+def url_netloc_site(spark, sf_dir):
+    u = F.col("url")
+    return table(spark, sf_dir, "pages").select("page_id", urls.netloc(u).alias("netloc"), urls.site_dir(u).alias("site"), urls.robots_url(u).alias("robots_url"))
+
+
+@query(f"SELECT page_id, array_to_string(string_split(lower({_NETLOC}), '.')[-2:], '.') AS domain FROM pages")
+def url_registered_domain(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", urls.registered_domain(F.col("url")).alias("domain"))
+
+
+@query(f"SELECT page_id, url FROM pages WHERE NOT (url GLOB '*spam*' OR {_PATH} GLOB '*spam*' OR url GLOB '*/1*' OR {_PATH} GLOB '*/1*') AND (url GLOB '*/en/*' OR {_PATH} GLOB '*/en/*' OR url GLOB '*/d[ef]/*' OR {_PATH} GLOB '*/d[ef]/*')")
+def url_scope_filter(spark, sf_dir):
+    return table(spark, sf_dir, "pages").where(urls.in_scope(F.col("url"), ["*/en/*", "*/d[ef]/*"], ["*spam*", "*/1*"])).select("page_id", "url")
+
+
+@query(f"SELECT page_id, CASE WHEN {_SLUG} = '' THEN 'index' ELSE {_SLUG} END AS slug FROM pages")
+def page_slug(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", urls.slug(F.col("url"), html.title_of(F.col("html"))).alias("slug"))
+
+
+@query(f"SELECT page_id, {_TITLE} AS title, {_LANG} AS lang FROM pages")
+def page_title_lang(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", html.title_of(F.col("html")).alias("title"), html.lang_of(F.col("html")).alias("lang"))
+
+
+def _links(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").select("page_id", "url", F.posexplode(html.hrefs_of(F.col("html"))).alias("pos", "href"))
+    return rows.withColumn("link", urls.resolve(F.col("url"), F.col("href"))).where(urls.is_web(F.col("link")))
+
+
+_LINKS = f"SELECT page_id, url, p - 1 AS pos, hrefs[p] AS href, {_ROOT} || hrefs[p] AS link FROM (SELECT page_id, url, hrefs, unnest(range(1, len(hrefs) + 1)) AS p FROM (SELECT page_id, url, {_HREFS} AS hrefs FROM pages))"
+
+
+@query(f"SELECT page_id, CAST(pos AS INTEGER) AS pos, href, link FROM ({_LINKS})")
+def page_links(spark, sf_dir):
+    return _links(spark, sf_dir).select("page_id", "pos", "href", "link")
+
+
+@query(f"SELECT DISTINCT n AS url FROM (SELECT {_norm_url('link')} AS n FROM ({_LINKS})) WHERE n NOT IN (SELECT {_norm_url('url')} FROM pages)")
+def link_anti_seen(spark, sf_dir):
+    seen = table(spark, sf_dir, "pages").select(urls.normalize(F.col("url")).alias("url"))
+    return _links(spark, sf_dir).select(urls.normalize(F.col("link")).alias("url")).distinct().join(seen, "url", "left_anti")
+
+
+@query(f"SELECT page_id, length({_TEXT}) AS text_len, CASE WHEN length({_TEXT}) >= 800 THEN 'ok' ELSE 'partial' END AS status FROM pages")
+def page_text_len_status(spark, sf_dir):
+    n = F.length(html.text_of(F.col("html")))
+    return table(spark, sf_dir, "pages").select("page_id", n.cast("long").alias("text_len"), F.when(n >= 800, "ok").otherwise("partial").alias("status"))
+
+
+_MOUNT = """html || CASE page_id % 3 WHEN 0 THEN '<div id="__next"></div>' WHEN 1 THEN '<div id="other"></div>' ELSE '' END"""
+
+
+@query(f"""SELECT page_id, length({_TEXT}) < 1500 AND regexp_matches({_MOUNT}, 'id="(app|__nuxt|__next|root|q-app|___gatsby|svelte)"') AS is_shell FROM pages""")
+def spa_shell_flags(spark, sf_dir):
+    mount = F.when(F.col("page_id") % 3 == 0, '<div id="__next"></div>').when(F.col("page_id") % 3 == 1, '<div id="other"></div>').otherwise("")
+    page = F.concat(F.col("html"), mount)
+    has = page.rlike('id="(' + "|".join(html.MOUNT_IDS) + ')"')
+    return table(spark, sf_dir, "pages").select("page_id", ((F.length(html.text_of(page)) < 1500) & has).alias("is_shell"))
+
+
+@query(r"SELECT page_id, CAST(len(regexp_extract_all(html, '<h[1-6][ >]')) AS BIGINT) AS headings, CAST(len(regexp_extract_all(html, '<(p|li)[ >]')) AS BIGINT) AS content_blocks FROM pages")
+def dom_sequence_sections(spark, sf_dir):
+    """Headings and content blocks of each page as the DOM parser sees them."""
+    rows = table(spark, sf_dir, "pages").select("page_id", html.parse_page(F.col("html"))["sequence"].alias("s"))
+    of = lambda kind: F.size(F.filter("s", lambda x: x["kind"] == kind)).cast("long")
+    return rows.select("page_id", of("h").alias("headings"), of("c").alias("content_blocks"))
+
+
+@query()
+def heading_injection(spark, sf_dir):
+    """Markdown of all pages, robbed of its headings, with the headings put back."""
+    rows = table(spark, sf_dir, "pages").select("page_id", html.parse_page(F.col("html")).alias("p"))
+    rows = rows.select("page_id", "p.sequence", F.regexp_replace("p.markdown", r"(?m)^#{1,6} .*\n*", "").alias("md"))
+    return blocks.inject_headings(rows, "page_id", "sequence", "md")
+
+
+@query(rf"SELECT doc_id, array_to_string(list_distinct(list_transform(regexp_extract_all('# ' || replace(text, '. ', chr(10) || '## '), '(?m)^#{{1,6}}{_S}+(.*)$', 1), lambda x: {_norm('x')})), '|').length() AS size, CAST(len(list_distinct(list_transform(regexp_extract_all('# ' || replace(text, '. ', chr(10) || '## '), '(?m)^#{{1,6}}{_S}+(.*)$', 1), lambda x: {_norm('x')}))) AS BIGINT) AS headings FROM documents")
+def existing_headings(spark, sf_dir):
+    md = F.concat(F.lit("# "), F.replace(F.col("text"), F.lit(". "), F.lit("\n## ")))
+    h = text.headings(md)
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(F.array_join(h, "|")).cast("long").alias("size"), F.size(h).cast("long").alias("headings"))
+
+
+_STAT_ROWS = "SELECT p_partkey // 8 AS card, p_partkey AS pos, CASE p_partkey % 5 WHEN 0 THEN p_type WHEN 1 THEN p_size || ' kW' WHEN 2 THEN p_size || ' mm' WHEN 3 THEN p_brand || '.' ELSE p_type END AS block FROM part"
+
+
+@query(
+    rf"""
+WITH r AS ({_STAT_ROWS}),
+k AS (SELECT *, CASE WHEN length(block) BETWEEN 2 AND 40 AND regexp_matches(block, '^[~<>≈]?{_S}*\p{{Nd}}') AND regexp_matches(block, '[A-Za-z°%·/]') AND NOT regexp_matches(block, '[.!?]$') AND len(string_split({_clean("block")}, ' ')) <= 5 THEN 'v'
+  WHEN length(block) BETWEEN 2 AND 40 AND NOT regexp_matches(block, '\p{{Nd}}') AND NOT regexp_matches(block, '^[#\-*|!\[>]') AND NOT regexp_matches(block, '[.!?:]$') AND len(string_split({_clean("block")}, ' ')) BETWEEN 1 AND 5 THEN 'l' END AS kind FROM r),
+n AS (SELECT *, lead(block) OVER w AS nb, coalesce(kind <> lead(kind) OVER w, false) AS can FROM k WINDOW w AS (PARTITION BY card ORDER BY pos)),
+b AS (SELECT *, sum(CASE WHEN can THEN 0 ELSE 1 END) OVER (PARTITION BY card ORDER BY pos) AS breaks FROM n),
+s AS (SELECT *, can AND (row_number() OVER (PARTITION BY card, breaks, can ORDER BY pos) - 1) % 2 = 0 AS begins FROM b),
+t AS (SELECT *, coalesce(lag(begins) OVER (PARTITION BY card ORDER BY pos), false) AS taken FROM s)
+SELECT card, string_agg(CASE WHEN NOT begins THEN block WHEN kind = 'v' THEN nb || ': ' || block ELSE block || ': ' || nb END, chr(10) || chr(10) ORDER BY pos) AS text FROM t WHERE NOT taken GROUP BY card"""
+)
+def stat_card_pairs(spark, sf_dir):
+    k = F.col("p_partkey")
+    size = F.col("p_size").cast("string")
+    block = F.when(k % 5 == 0, F.col("p_type")).when(k % 5 == 1, F.concat(size, F.lit(" kW"))).when(k % 5 == 2, F.concat(size, F.lit(" mm"))).when(k % 5 == 3, F.concat("p_brand", F.lit("."))).otherwise(F.col("p_type"))
+    rows = table(spark, sf_dir, "part").select(F.expr("p_partkey div 8").alias("card"), k.alias("pos"), block.alias("block"))
+    cards = rows.groupBy("card").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "block"))), lambda x: x["block"]), "\n\n").alias("text"))
+    return blocks.pair_stat_cards(cards, "card", "text")
+
+
+@query(f"SELECT doc_id, {_hash('text')} AS content_hash FROM documents")
+def content_hash_docs(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.content_hash(F.col("text")).alias("content_hash"))
+
+
+_FIRST = f"SELECT min(doc_id) AS doc_id, {_hash('text')} AS content_hash FROM documents GROUP BY 2"
+
+
+@query(_FIRST)
+def exact_dedup_docs(spark, sf_dir):
+    return dedup.exact_dedup(table(spark, sf_dir, "documents"), "text", F.col("doc_id")).select("doc_id", "content_hash")
+
+
+@query(f"SELECT min(page_id) AS page_id, {_hash(_TEXT)} AS content_hash FROM pages GROUP BY 2")
+def exact_dedup_pages(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").select("page_id", html.text_of(F.col("html")).alias("text"))
+    return dedup.exact_dedup(rows, "text", F.col("page_id")).select("page_id", "content_hash")
+
+
+_TOKENS_OF = f"SELECT doc_id, {_TOKENS.format('text')} AS t FROM documents"
+
+
+@query(f"SELECT doc_id, CAST(len(t) AS BIGINT) AS tokens, CAST(len({_SHINGLES}) AS BIGINT) AS shingles FROM ({_TOKENS_OF})")
+def shingle_counts(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", text.tokens(F.col("text")).alias("t"))
+    return rows.select("doc_id", F.size("t").cast("long").alias("tokens"), F.size(text.shingles(F.col("t"))).cast("long").alias("shingles"))
+
+
+_PAIRS = f"""
+WITH first AS (SELECT min_by(doc_id, doc_id) AS doc_id, min_by(text, doc_id) AS text FROM documents GROUP BY {_hash("text")}),
+s AS (SELECT doc_id, unnest(sh) AS g, len(sh) AS n FROM (SELECT doc_id, {_SHINGLES} AS sh FROM (SELECT doc_id, {_TOKENS.format("text")} AS t FROM first))),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common, any_value(x.n) AS nx, any_value(y.n) AS ny FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2)
+SELECT a, b, common / (nx + ny - common) AS jaccard FROM c WHERE common >= 0.85 * (nx + ny - common)"""
+
+
+def _unique(spark, sf_dir):
+    return dedup.exact_dedup(table(spark, sf_dir, "documents"), "text", F.col("doc_id"))
+
+
+@query(_PAIRS)
+def near_dup_pairs(spark, sf_dir):
+    """Similar pairs of distinct texts; a text stands for its copies."""
+    return dedup.similar_pairs(dedup.shingle_sets(_unique(spark, sf_dir), "doc_id", "text"), 0.85)
+
+
+@query(f"SELECT doc_id FROM ({_FIRST}) WHERE doc_id NOT IN (SELECT b FROM ({_PAIRS}))")
+def near_dup_greedy_kept(spark, sf_dir):
+    return dedup.dedup_text(table(spark, sf_dir, "documents").withColumn("ord", F.col("doc_id")), "doc_id", "text", "ord").select("doc_id")
+
+
+@query()
+def lsh_candidates(spark, sf_dir):
+    return dedup.lsh_candidates(dedup.shingle_sets(_unique(spark, sf_dir), "doc_id", "text"))
+
+
+_SITES = f"SELECT page_id, {_NETLOC} AS site, {_PAGE_LINES} AS md FROM pages"
+_TOPS = f"list_filter(list_transform(string_split(md, chr(10)), lambda x: {_strip('x')}), lambda x: x <> '')[1:6]"
+_BOILER = f"""
+WITH p AS ({_SITES}), n AS (SELECT site, count(*) AS n FROM p GROUP BY 1),
+c AS (SELECT site, line, count(*) AS pages FROM (SELECT site, page_id, unnest(list_distinct({_TOPS})) AS line FROM p) GROUP BY 1, 2)
+SELECT c.site, line, pages FROM c JOIN n USING (site) WHERE n >= 3 AND pages >= greatest(2, floor(0.2 * n + 0.9999))"""
+
+
+def _site_pages(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", urls.netloc(F.col("url")).alias("site"), page_lines(F.col("html")).alias("md"))
+
+
+@query(_BOILER)
+def intersite_boilerplate(spark, sf_dir):
+    """Lines among the first six of a fifth of a host's pages (its pages differ more than real ones do)."""
+    return boilerplate.boilerplate_lines(_site_pages(spark, sf_dir), "site", "md", 6, 0.2)
+
+
+@query(
+    f"""
+WITH d AS (SELECT site, list(line) AS drops FROM ({_BOILER}) GROUP BY 1)
+SELECT page_id, CASE WHEN drops IS NULL THEN md ELSE {_strip(r"regexp_replace(array_to_string(list_filter(string_split(md, chr(10)), lambda x: NOT list_contains(drops, " + _strip("x") + r")), chr(10)), '\n{3,}', chr(10) || chr(10), 'g')")} || chr(10) END AS md
+FROM ({_SITES}) LEFT JOIN d USING (site)"""
+)
+def strip_boilerplate(spark, sf_dir):
+    return boilerplate.strip_boilerplate(_site_pages(spark, sf_dir), "site", "md", 6, 0.2).select("page_id", "md")
+
+
+@query(rf"SELECT doc_id, array_to_string(list_filter(list_transform(string_split(regexp_replace(text, '\r\n|[\x0a-\x0d\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]', chr(10), 'g'), chr(10)), lambda x: {_strip('x')}), lambda x: x <> '')[1:3], chr(10)) AS top FROM documents")
+def top_lines(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.top_lines(F.col("text")), "\n").alias("top"))
+
+
+@query(
+    """
+SELECT p_partkey, CASE WHEN p_partkey % 13 = 0 THEN 'fetch_failed' WHEN p_size * 100 < 2048 THEN 'too_few_bytes' WHEN p_partkey % 11 = 0 THEN 'decode_error' WHEN p_partkey % 7 = 0 THEN 'bad_type'
+  WHEN p_partkey % 900 < 100 OR p_partkey * 7 % 600 < 100 THEN 'too_small' WHEN greatest(p_partkey % 900, p_partkey * 7 % 600) / greatest(1, least(p_partkey % 900, p_partkey * 7 % 600)) > 4 THEN 'bad_aspect' END AS drop_reason
+FROM part"""
+)
+def image_gate(spark, sf_dir):
+    k = F.col("p_partkey")
+    ext = F.when(k % 7 != 0, "jpg")
+    return table(spark, sf_dir, "part").select("p_partkey", media.gate(F.col("p_size") * 100, k % 11 != 0, ext, k % 900, k * 7 % 600, k % 13 != 0, max_aspect=4.0).alias("drop_reason"))
+
+
+_BITS = "xor(((event_id // 3) * 2654435761 % 4294967296) * 268435399 % 1152921504606846976, CASE event_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 5 ELSE 127 END::BIGINT)"
+
+
+@query(f"WITH e AS (SELECT event_id AS id, {_BITS} AS bits FROM events) SELECT x.id AS a, y.id AS b, CAST(bit_count(xor(x.bits, y.bits)) AS INTEGER) AS distance FROM e x JOIN e y ON x.id < y.id AND bit_count(xor(x.bits, y.bits)) <= 6")
+def image_phash_dups(spark, sf_dir):
+    """Pairs of 64-bit hashes within six bits, by bands."""
+    n = F.expr("event_id div 3")
+    base = (n * 2654435761 % 4294967296) * 268435399 % 1152921504606846976
+    flips = F.when(F.col("event_id") % 3 == 0, 0).when(F.col("event_id") % 3 == 1, 5).otherwise(127).cast("long")
+    return media.hamming_pairs(table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), base.bitwiseXOR(flips).alias("bits")))
+
+
+@query(f"""SELECT doc_id, CASE WHEN {_strip('lang')} = 'de' THEN {_strip('lang')} WHEN {_strip('text')} = '' THEN 'image' WHEN length({_strip('text')}) > 80 THEN regexp_replace(substring({_strip('text')}, 1, 80), ' [^ ]*$', '') || '…' ELSE {_strip('text')} END AS label FROM documents""")
+def image_title(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.image_title(F.when(F.col("lang") == "de", F.col("lang")), F.lit(None).cast("string"), F.col("text")).alias("label"))
+
+
+_EDGES = "SELECT p.page_id AS src, (7 * p.page_id + k) % n AS dst FROM pages p, range(1, 4) r(k), (SELECT count(*) AS n FROM pages)"
+
+
+@query(f"WITH RECURSIVE e AS ({_EDGES}), b AS (SELECT CAST(0 AS BIGINT) AS node, 0 AS depth UNION SELECT e.dst, b.depth + 1 FROM b JOIN e ON e.src = b.node WHERE b.depth < 4) SELECT node, min(depth) AS depth FROM b GROUP BY node")
+def bfs_depths(spark, sf_dir):
+    """Depths from page 0 in a made link graph with cycles."""
+    pages = table(spark, sf_dir, "pages")
+    n = pages.count()
+    edges = pages.select(F.col("page_id").alias("src"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("k")).select("src", ((7 * F.col("src") + F.col("k")) % n).alias("dst"))
+    return frontier.bfs_depths(edges, spark.range(1).select(F.col("id").alias("node")), 4)
+
+
+@query()
+def crawl_budget(spark, sf_dir):
+    """A crawl of all pages as one site: page i links to three others; forty pages at most."""
+    rows = table(spark, sf_dir, "pages")
+    n = rows.count()
+    links = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda k: F.concat(F.lit('<a href="/p'), ((7 * F.col("page_id") + k) % n).cast("string"), F.lit('">x</a>'))), "")
+    pages = rows.select(F.concat(F.lit("http://site.example.com/p"), F.col("page_id")).alias("url"), F.concat("html", links).alias("html"))
+    pages = pages.select("url", F.col("url").alias("final_url"), "html", F.lit(True).alias("ok"))
+    out = Engine(spark, Config().with_values("crawl", max_pages=40, max_depth=4)).crawl("http://site.example.com/p0", pages)
+    return out.select("source_url", "title", "lang", "status", "crawl_depth", "content_hash", "body")
+
+
+@query(f"SELECT page_id, url AS source_url, {_TITLE} AS title, {_LANG} AS lang, CASE WHEN length({_TEXT}) >= 200 THEN 'ok' ELSE 'partial' END AS status, {_hash(_TEXT)} AS content_hash, replace({_NETLOC}, ':', '_') AS site, CASE WHEN {_SLUG} = '' THEN 'index' ELSE {_SLUG} END AS slug, '# ' || ({_TITLE}) || chr(10) || chr(10) || {_strip(_TEXT)} || chr(10) AS body FROM pages")
+def emit_front_matter(spark, sf_dir):
+    """The output record of every page, its text taken by native expressions."""
+    h, t = F.col("html"), html.text_of(F.col("html"))
+    none = F.array().cast("array<struct<image_id:string,url:string,label:string>>")
+    rows = table(spark, sf_dir, "pages").select("page_id", "url", html.title_of(h).alias("title"), html.lang_of(h).alias("lang"), t.alias("markdown"), text.content_hash(t).alias("content_hash"), F.when(F.length(t) >= 200, "ok").otherwise("partial").alias("status"), F.lit(0).alias("depth"), none.alias("images"))
+    ids = rows.select("page_id", F.col("url").alias("source_url"))
+    out = emit.emit_pages(rows, F.lit("2020-01-01 00:00:00").cast("timestamp"))
+    return out.join(ids, "source_url").select("page_id", "source_url", "title", "lang", "status", "content_hash", "site", "slug", "body")
+
+
+@query(
+    """
+SELECT p_partkey, to_json({image_id: sha256(p_name), s3_url: 'https://cdn.example.com/h_80/images/' || sha256(p_name) || '.png', page_url: 'http://h:80/' || p_partkey, src_url: 'http://h:80/i.png', alt: p_name, caption: '', surrounding_text: p_type, width: p_size, height: p_size * 2, phash: p_brand, status: 'kept', drop_reason: NULL::VARCHAR})::VARCHAR AS sidecar
+FROM part"""
+)
+def sidecar_json(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("http://h:80/"), F.col("p_partkey")).alias("page_url"), F.sha2("p_name", 256).alias("image_id"), F.lit("png").alias("ext"), F.lit("http://h:80/i.png").alias("src_url"), F.col("p_name").alias("alt"), F.lit("").alias("caption"), F.col("p_type").alias("surrounding_text"), F.col("p_size").alias("width"), (F.col("p_size") * 2).alias("height"), F.col("p_brand").alias("phash"))
+    return emit.image_records(rows, "https://cdn.example.com/").select("p_partkey", "sidecar")
+
+
+@query("SELECT k AS attempt, 0.5 * pow(2, k - 1) AS delay FROM range(1, 5) r(k)")
+def retry_schedule(spark, sf_dir):
+    return spark.createDataFrame([(k + 1, d) for k, d in enumerate(retry_delays(5))], "attempt long, delay double")
+
+
+@query(f"""SELECT page_id, page_id % 5 = 0 OR length({_TEXT}) < 900 OR (length({_TEXT}) < 1500 AND page_id % 3 = 0) AS needs_render FROM pages""")
+def render_decision(spark, sf_dir):
+    """Renders are due where there is no page, little text, or a shell."""
+    n = F.length(html.text_of(F.col("html")))
+    return table(spark, sf_dir, "pages").select("page_id", ((F.col("page_id") % 5 == 0) | (n < 900) | ((n < 1500) & (F.col("page_id") % 3 == 0))).alias("needs_render"))
+
+
+@query()
+def page_emit(spark, sf_dir):
+    return flagship(spark, sf_dir).drop("fetched_at")
