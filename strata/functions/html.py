@@ -39,6 +39,17 @@ PAGE = _struct(
 )
 
 
+#: Where a paragraph left open cannot have begun outside of.
+ENDS_P = frozenset("body div section article main td th li blockquote figure nav header footer aside form dd dt".split())
+#: Elements that end when one of their like begins: what ends, and the containers that keep it open.
+LIKE = {
+    "li": [("li", {"ul", "ol", "menu"})],
+    "tr": [("tr", {"table"})],
+    **dict.fromkeys(("td", "th"), [("td", {"tr", "table"}), ("th", {"tr", "table"})]),
+    **dict.fromkeys(("dt", "dd"), [("dt", {"dl"}), ("dd", {"dl"})]),
+}
+
+
 class _Node:
     __slots__ = ("tag", "attrs", "parent", "parts", "pos", "linked")
 
@@ -63,8 +74,10 @@ class _Page(HTMLParser):
         self.open, self.all = [self.root], []
 
     def handle_starttag(self, tag, attrs):
-        if tag in ("p", "li", "td", "th", "tr", "dt", "dd") or tag in HEADINGS:
-            self._imply(tag)
+        if tag in LINE:
+            self._end("p", ENDS_P)
+        for own, stop in LIKE.get(tag, ()):
+            self._end(own, stop)
         node = _Node(tag, {k: v or "" for k, v in attrs}, self.open[-1], len(self.all))
         self.all.append(node)
         if tag not in VOID:
@@ -75,12 +88,10 @@ class _Page(HTMLParser):
         if tag not in VOID:
             self.handle_endtag(tag)
 
-    def _imply(self, tag):
-        """An element that cannot hold its like ends when the next begins."""
-        group = {"td": ("td", "th"), "th": ("td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd")}.get(tag, ("p",) if tag in ("p", *HEADINGS) else (tag,))
-        stop = {"li": ("ul", "ol"), "td": ("tr", "table"), "th": ("tr", "table"), "tr": ("table",), "dt": ("dl",), "dd": ("dl",)}.get(tag, ("div", "section", "article", "td", "li", "body", "blockquote"))
+    def _end(self, tag, stop):
+        """An element that cannot hold what begins now ends first, if no container is in between."""
         for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag in group:
+            if self.open[k].tag == tag:
                 del self.open[k:]
                 return
             if self.open[k].tag in stop:
