@@ -129,12 +129,12 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Lexic
     lexicon = Lexicon(bias=math.log((bad + 0.5) / (good + 0.5)))
     if not bad or not good:
         return lexicon
-    rows = Scratch(docs.sparkSession).table(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "y"), "labelled")
+    rows = Scratch(docs.sparkSession).table(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "y").dropDuplicates(["text", "y"]), "labelled")  # copies of a text would vouch for all its words
 
     surprise = (F.col("toxic") / bad) / ((F.col("clean") + 0.5) / good)
     stem_counts = label_counts(rows, lambda t: {s for w in set(t.split()) for s in stems(w)})
-    least = max(3, bad // 500)
-    top = stem_counts.where((F.col("toxic") >= least) & (surprise >= 8)).orderBy(F.desc(F.col("toxic") * F.log(surprise)), "piece").limit(4000).collect()
+    least = max(4, bad // 50)  # rarer stems are chance
+    top = stem_counts.where((F.col("toxic") >= least) & (surprise >= 3)).orderBy(F.desc(F.col("toxic") * F.log(surprise)), "piece").limit(4000).collect()
     # The stem worth most comes first; longer and shorter ones of the same word add nothing to it.
     for r in top:
         s = r["piece"]
@@ -157,6 +157,12 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Lexic
     lexicon.exceptions = [r["piece"] for r in spared]
     lexicon._automaton = None
 
+    # What an entry tells where no exception spares it; entries that tell little go.
+    hits = label_counts(rows, lambda t: {e for _, e in lexicon.matches(t)}).collect()
+    told = {r["piece"]: math.log((r["toxic"] + 0.5) / bad / ((r["clean"] + 0.5) / good)) for r in hits if r["toxic"] >= least}
+    lexicon.weights = {e: told[e] for e in lexicon.weights if told.get(e, 0.0) >= 2}
+    lexicon._automaton = None
+
     def measure(batches):
         for b, texts in in_chunks(batches, "text"):
             m = [lexicon.measures(t) for t in texts]
