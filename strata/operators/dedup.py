@@ -78,7 +78,9 @@ def lsh_candidates(sets: DataFrame, threshold: float = 0.85, permutations: int =
     """(a, b): pairs whose signatures agree in all rows of a band."""
     bands, rows = bands_for(threshold, permutations)
     banded = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.struct(b.alias("band"), F.xxhash64(F.slice("signature", b * rows + 1, rows)).alias("key")))
-    signatures = Scratch(sets.sparkSession).table(minhash_signatures(sets, permutations), "signatures")
+    scratch = Scratch(sets.sparkSession)
+    sets = scratch.table(sets, "sets")  # else each permutation would work the set out again
+    signatures = scratch.table(minhash_signatures(sets, permutations), "signatures")
     buckets = signatures.select("id", F.explode(banded).alias("b")).select("id", "b.band", "b.key")
     x, y = buckets.alias("x"), buckets.alias("y")
     return x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
