@@ -211,4 +211,6 @@ def keep_by_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that neither the base nor the learned rules reject, with their columns as they were."""
     featured = add_statistics(docs)
     rules = learn_rules(featured, labels)
-    return featured.where(~base_failed(F.col("_q")) & verdict(rules, F.col("_f"))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    # Catalyst does not push a filter below the generator, where it would copy the statistics' expressions into every condition.
+    told = featured.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode_outer(F.array(F.struct("_q", "_f"))).alias("_told"))
+    return told.where(~base_failed(F.col("_told._q")) & verdict(rules, F.col("_told._f"))).select(*(F.col(f"`{c}`") for c in docs.columns))
