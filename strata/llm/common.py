@@ -2,57 +2,23 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
+from contextlib import contextmanager
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..scratch import Scratch, shared_dir
+
+__all__ = ["NOT_SPACE", "SPACE", "Scratch", "WordIds", "distinct_counts", "in_chunks", "mix", "passed", "ranked", "shared_dir", "small_batches"]
+
 #: White space of every contract here: space and the code points 9 to 13.
 SPACE = r"[\x20\x09-\x0D]+"
 NOT_SPACE = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors and the driver see (spark.checkpoint.dir); set here only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
-
-
-class Scratch:
-    """Tables written to the shared folder. They cut lineage and survive lost executors; drop() removes one early, the rest go when the session ends."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/strata-{uuid.uuid4().hex}"
-        atexit.register(self.drop, self.root)
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        path = self.path(name)
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        for name in names:
-            path = name if name.startswith(self.root) else self.path(name)
-            try:
-                jvm = self.spark.sparkContext._jvm
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-            except Exception:  # the session may have ended
-                return
-
-
 def ranked(df: DataFrame, keys: list[str], order: list[Column], unique: Column, name: str, salts: int = 64) -> DataFrame:
     """df with `name`: a gapless rank from 0 within keys, and `name_n`: the rows of the key.
 
@@ -76,6 +42,18 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], unique: Column,
     return out.select(*keep, (F.col("_within") + F.col("_before")).cast("long").alias(name), F.col(f"{name}_n"))
 
 
+@contextmanager
+def small_batches(spark, size: str = "16m"):
+    """Arrow batches of at most `size` for the jobs run inside: a worker holds a batch and its Python strings at a time."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def passed(borders: list, value: Column, strictly: bool = False) -> Column:
     """How many of the borders are at most (strictly: below) the value."""
     if not borders:
@@ -86,7 +64,7 @@ def passed(borders: list, value: Column, strictly: bool = False) -> Column:
 class WordIds(dict):
     """63-bit hashes of words (bytes), remembered up to a bound."""
 
-    LIMIT = 1_000_000
+    LIMIT = 400_000
 
     def __missing__(self, word: bytes) -> int:
         from xxhash import xxh3_64_intdigest
@@ -125,14 +103,15 @@ def distinct_counts(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def in_chunks(batches, column: str, limit: int = 8_000_000):
-    """Arrow batches regrouped so that each holds at most about `limit` bytes of text (one row at least)."""
+    """(slice of an Arrow batch, its texts): parts of at most about `limit` bytes of text, one row at least; only a part is Python strings at a time."""
     for b in batches:
-        texts = b[column].to_pylist()
-        start = size = 0
-        for i, t in enumerate(texts):
-            size += len(t or "")
-            if size >= limit:
-                yield b.slice(start, i + 1 - start), texts[start : i + 1]
-                start, size = i + 1, 0
-        if start < len(texts):
-            yield b.slice(start), texts[start:]
+        if not b.num_rows:
+            continue
+        ends = np.cumsum(np.array(pc.fill_null(pc.binary_length(b[column]), 0), dtype=np.int64))
+        start = 0
+        while start < b.num_rows:
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
+            part = b.slice(start, stop - start)
+            yield part, part[column].to_pylist()
+            start = stop

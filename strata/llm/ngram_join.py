@@ -28,15 +28,16 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 from xxhash import xxh3_64_intdigest
 
-from .common import Scratch, WordIds, distinct_counts, in_chunks, mix
+from .common import Scratch, WordIds, distinct_counts, in_chunks, mix, small_batches
 
 #: Frequent shingles whose counts order the others, at most; fewer or more change speed, never results.
-MAX_FREQUENT = 1 << 18
+MAX_FREQUENT = 1 << 19
 #: A list of so many classes is first compared with leaders.
 LONG_LIST = 12
-LEADER_ROUNDS = 3
-#: Matches a prefix may ask for, and what verifying a candidate costs in units of one probe.
-MOST_MATCHES, VERIFY_COST = 4, 8.0
+LEADER_ROUNDS, LEADERS = 3, 3
+#: Matches a prefix may ask for, what verifying a candidate costs in units of one probe, and
+#: how many other documents a shingle of unknown count is expected to meet.
+MOST_MATCHES, VERIFY_COST, MEETS = 8, 8.0, 0.1
 BLOOM_BITS = 1 << 24
 
 
@@ -58,35 +59,31 @@ def signed(a) -> np.ndarray:
     return np.asarray(a, dtype=np.uint64).view(np.int64)
 
 
-def prefix(s: np.ndarray, percent: int, frequent: np.ndarray, often: np.ndarray) -> tuple[int, np.ndarray]:
-    """(l, the first shingles of the global order that l asks for). The order: by known count, then by hash."""
+def prefix(s: np.ndarray, percent: int, frequent: np.ndarray, often: np.ndarray) -> tuple[int, np.ndarray, int]:
+    """(l, the first shingles of the global order that l asks for, how many of them have no known count). The order: by known count, then by hash."""
     n = len(s)
     count = np.ones(n, np.int64)
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
         count = np.where(frequent[at] == s, often[at], 1)
-    s, count = (x[np.lexsort((s, count))] for x in (s, count))
+    order = np.argsort(count, kind="stable")  # s is sorted by hash
+    s, count = s[order], count[order]
     least = n - -(-percent * n // 100)  # the prefix that asks for l is longer by l
-    best, chosen = np.inf, 1
-    for matches in range(1, MOST_MATCHES + 1):
-        part = count[: least + matches]
-        cost = len(part) + VERIFY_COST * (part - 1).sum() / matches
-        if cost < best:
-            best, chosen = cost, matches
-        if least + matches >= n:
-            break
-    return chosen, s[: least + chosen]
+    matches = np.arange(1, min(MOST_MATCHES, n - least) + 1)
+    meets = np.cumsum(count - 1 + MEETS)[least + matches - 1]
+    chosen = int(matches[np.argmin(least + matches + VERIFY_COST * meets / matches)])
+    return chosen, s[: least + chosen], int((count[: least + chosen] == 1).sum())
 
 
 def frequent_shingles(docs: DataFrame, k: int, most: int = MAX_FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles found in many documents, and counts. Each batch of all texts reports those it holds three times."""
+    """Shingles found in many documents, and counts. Each batch of all texts reports those that two of its texts hold."""
 
     def run(batches):
         words = WordIds()
         for _, texts in in_chunks(batches, "text", 16_000_000):
             sets = [shingles(words.of(t), k) for t in set(texts)]
             value, count = distinct_counts(np.concatenate(sets) if sets else np.empty(0, np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(signed(value[count > 2])), pa.array(count[count > 2])], ["s", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(value[count > 1])), pa.array(count[count > 1])], ["s", "n"])
 
     counted = docs.select("text").mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
     top = counted.orderBy(F.desc("n"), "s").limit(most).toArrow()
@@ -96,30 +93,32 @@ def frequent_shingles(docs: DataFrame, k: int, most: int = MAX_FREQUENT) -> tupl
 
 
 def signatures(docs: DataFrame, k: int, percent: int, frequent) -> DataFrame:
-    """(doc_id, n, class, matches, prefix) of (doc_id, text): class is a digest of the set, null if empty."""
+    """(doc_id, n, class, matches, rare, prefix) of (doc_id, text): class is a digest of the set, null if empty."""
 
     def run(batches):
         words = WordIds()
         often = frequent.value
         for b, texts in in_chunks(batches, "text"):
-            sizes, classes, matches, parts = [], [], [], []
+            sizes, classes, matches, rare, parts = [], [], [], [], []
             for t in texts:
                 s = shingles(words.of(t), k)
                 sizes.append(len(s))
                 if len(s):
-                    m, p = prefix(s, percent, *often)
+                    m, p, unknown = prefix(s, percent, *often)
+                    rare.append(unknown)
                     classes.append(int(signed([xxh3_64_intdigest(s.tobytes())])[0]))
                     matches.append(m)
                     parts.append(signed(p))
                 else:
                     classes.append(None)
                     matches.append(0)
+                    rare.append(0)
                     parts.append(np.empty(0, np.int64))
             ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
             flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(matches, pa.int32()), flat], ["doc_id", "n", "class", "matches", "prefix"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(matches, pa.int32()), pa.array(rare, pa.int32()), flat], ["doc_id", "n", "class", "matches", "rare", "prefix"])
 
-    schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string("n long, class long, matches int, prefix array<long>").fields])
+    schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string("n long, class long, matches int, rare int, prefix array<long>").fields])
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
@@ -181,7 +180,7 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             common, na, nb = [], [], []
             for x, y in zip(b["x"], b["y"], strict=True):
                 raw = y.as_py()
-                if raw != last:  # rows come sorted by b
+                if raw != last:  # often the same as before
                     last, left = raw, unpack(raw)
                 right = unpack(x.as_py())
                 common.append(len(np.intersect1d(left, right, assume_unique=True)))
@@ -189,8 +188,9 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 nb.append(len(left))
             yield pa.RecordBatch.from_arrays([b["a"], b["b"], *(pa.array(c, pa.int64()) for c in (common, na, nb))], ["a", "b", "common", "size_a", "size_b"])
 
-    left = pairs.join(sets.select(F.col("class").alias("a"), F.col("set").alias("x")), "a")
-    both = left.join(sets.select(F.col("class").alias("b"), F.col("set").alias("y")), "b")
+    # Each end gets its set on its own: where pairs are few, they go to the sets, which stay in place.
+    side = lambda end, name: pairs.join(sets.select(F.col("class").alias(end), F.col("set").alias(name)), end)
+    both = side("a", "x").join(side("b", "y"), ["a", "b"])
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, common long, size_a long, size_b long")
 
 
@@ -222,8 +222,11 @@ def connected(spark: SparkSession, edges: DataFrame, scratch: Scratch) -> DataFr
 
 def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of docs (doc_id, text): links are pairs with 100 * common >= percent * union."""
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    with small_batches(docs.sparkSession):
+        return _components(docs.sparkSession, docs.select("doc_id", "text"), k, percent)
+
+
+def _components(spark: SparkSession, docs: DataFrame, k: int, percent: int) -> DataFrame:
     scratch = Scratch(spark)
     frequent = spark.sparkContext.broadcast(frequent_shingles(docs, k))
     signed_docs = scratch.table(signatures(docs, k, percent, frequent), "signatures")
@@ -232,37 +235,71 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     # Posting lists of the prefixes, one entry a class, without those of one class only.
     one = signed_docs.join(classes.select("class", F.col("first").alias("doc_id")), ["doc_id", "class"])
-    entries = one.select("class", F.col("n").cast("int").alias("n"), "matches", F.explode("prefix").alias("token"))
+    entries = one.select("class", F.col("n").cast("int").alias("n"), "matches", "rare", F.size("prefix").alias("length"), F.posexplode("prefix").alias("pos", "token"))
+    entries = entries.select("token", "class", "n", "matches", F.when(F.col("rare") < F.col("length"), F.col("rare")).alias("rare"), (F.col("pos") < F.col("rare")).alias("is_rare"))
     own = W.partitionBy("token")
     entries = entries.withColumn("low", F.min("class").over(own)).withColumn("high", F.max("class").over(own)).where("low != high")
-    lists = scratch.table(entries.select("token", "class", "n", "matches").distinct(), "lists")
-    wanted = lists.select("class").distinct().join(classes, "class").select(F.col("first").alias("doc_id"), "class")
-    sets = scratch.table(whole_sets(docs, scratch.table(wanted, "wanted"), k).dropDuplicates(["class"]), "sets")
+    lists = scratch.table(entries.drop("low", "high").distinct(), "entries")
+    # A prefix that reaches shingles of known count holds all the unknown ones (`rare` of them;
+    # null otherwise), and the list of a known one holds only such prefixes. So what stands alone
+    # of a class's rare shingles is in none of them: if the rest cannot reach the similarity,
+    # the class has nothing to look for in the lists of known shingles.
+    short = lists.where("is_rare").groupBy("class").agg(F.count(F.lit(1)).cast("int").alias("met_rare"))
+    rest = F.col("n") - F.col("rare") + F.coalesce("met_rare", F.lit(0))
+    can = (100 + percent) * rest >= percent * (F.col("n") + F.ceil(F.lit(percent) * F.col("n") / 100))
+    # `rest` of two such prefixes bounds what they have in common (null where a prefix does not reach).
+    lists = lists.join(short, "class", "left").where(F.col("is_rare") | can).withColumn("rest", rest).drop("met_rare")
+    lists = scratch.table(lists, "lists")
+
+    def sets_of(named: DataFrame, name: str) -> DataFrame:
+        """The whole sets of some classes only: those of which a pair is to be verified."""
+        wanted = scratch.table(named.distinct().join(classes, "class").select(F.col("first").alias("doc_id"), "class"), f"wanted_{name}")
+        return scratch.table(whole_sets(docs, wanted, k).dropDuplicates(["class"]), f"sets_{name}")
+
+    def joined(links: DataFrame, name: str) -> DataFrame:
+        own_scratch = Scratch(spark)
+        roots = scratch.table(connected(spark, links, own_scratch), name)
+        own_scratch.drop(own_scratch.root)
+        return roots
+
+    ends = lambda p: p.select(F.col("a").alias("class")).unionAll(p.select("b"))
+    def fits(x: str, y: str):
+        """Sizes, and the rests if both are known, leave the similarity possible."""
+        of = lambda name: (F.col(f"{x}{name}"), F.col(f"{y}{name}"))
+        rests = F.when(F.col(f"{x}rest").isNotNull() & F.col(f"{y}rest").isNotNull(), (100 + percent) * F.least(*of("rest")) >= percent * (F.col(f"{x}n") + F.col(f"{y}n")))
+        return (100 * F.least(*of("n")) >= percent * F.greatest(*of("n"))) & F.coalesce(rests, F.lit(True))
 
-    fits = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
     linked = 100 * F.col("common") >= percent * (F.col("size_a") + F.col("size_b") - F.col("common"))
     distance = 1 - F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common"))
     links: DataFrame | None = None
     marks: DataFrame | None = None
     roots: DataFrame | None = None
     current = lists.withColumn("root", F.col("class"))
+    # The classes that meet most others in lists are nearest to the middle of their group.
+    weight = lists.withColumn("size", F.count(F.lit(1)).over(own)).groupBy("class").agg(F.sum("size").alias("weight"))
+    weight = scratch.table(weight, "weight")
     for r in range(LEADER_ROUNDS):
-        # Lists of several components, with a leader drawn anew each round.
-        w = W.partitionBy("token")
-        drawn = F.min(F.struct(F.xxhash64("class", F.lit(r)).alias("h"), "class", "n", "root")).over(w)
-        mixed = current.withColumn("low", F.min("root").over(w)).withColumn("high", F.max("root").over(w)).withColumn("size", F.count(F.lit(1)).over(w)).withColumn("leader", drawn)
-        long = mixed.where((F.col("low") != F.col("high")) & (F.col("size") >= LONG_LIST) & (F.col("class") != F.col("leader.class")) & (F.col("root") != F.col("leader.root")))
-        pairs = scratch.table(long.where(fits(F.col("n"), F.col("leader.n"))).select(F.col("class").alias("a"), F.col("leader.class").alias("b")).distinct(), f"pairs{r}")
+        # Lists of several components, each with some leaders, drawn anew each round.
+        mixed = current.withColumn("low", F.min("root").over(own)).withColumn("high", F.max("root").over(own)).withColumn("size", F.count(F.lit(1)).over(own))
+        long = mixed.where((F.col("low") != F.col("high")) & (F.col("size") >= LONG_LIST)).select("token", "class", "n", "rest", "root").join(weight, "class")
+        drawn = F.struct((-F.col("weight")).alias("w") if r == 0 else F.xxhash64("class", F.lit(r)).alias("w"), "class")
+        heads = long.withColumn("k", F.row_number().over(W.partitionBy("token").orderBy(drawn))).where(F.col("k") <= LEADERS).select("token", F.struct("class", "n", "rest", "root").alias("leader"))
+        led = long.join(heads, "token").where((F.col("class") != F.col("leader.class")) & (F.col("root") != F.col("leader.root")))
+        pairs = led.where(fits("", "leader.")).select(F.least("class", "leader.class").alias("a"), F.greatest("class", "leader.class").alias("b")).distinct()
+        if marks is not None:
+            pairs = pairs.join(marks.select(F.least("class", "leader").alias("a"), F.greatest("class", "leader").alias("b")).distinct(), ["a", "b"], "left_anti")
+        pairs = scratch.table(pairs, f"pairs{r}")
         if not pairs.limit(1).count():
             break
+        sets = sets_of(ends(pairs), f"round{r}")
         seen = scratch.table(verify(pairs, sets).select("a", "b", linked.alias("linked"), distance.alias("d")), f"seen{r}")
         found = seen.where("linked").select("a", "b")
         links = found if links is None else links.unionAll(found)
-        own_marks = seen.select(F.col("a").alias("class"), F.col("b").alias("leader"), "d")
+        own_marks = seen.select(F.col("a").alias("class"), F.col("b").alias("leader"), "d").unionAll(seen.select("b", "a", "d"))
         marks = own_marks if marks is None else marks.unionAll(own_marks)
-        roots = scratch.table(connected(spark, links, Scratch(spark)), f"roots{r}")
+        roots = joined(links, f"joined{r}")
         current = scratch.table(lists.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class")), f"lists{r}")
-        scratch.drop(f"pairs{r}", f"lists{r - 1}")
+        scratch.drop(f"pairs{r}", f"lists{r - 1}", f"sets_round{r}", f"wanted_round{r}")
 
     # What is left: pairs of different components. A list's largest component is only met by the others.
     parts = current.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c"))
@@ -270,9 +307,14 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     parts = parts.withColumn("main", F.max(F.struct("c", "root")).over(w)["root"]).withColumn("roots", F.count(F.lit(1)).over(w)).where("roots > 1").select("token", "main").distinct()
     open_lists = current.join(parts, "token")
     left, right = open_lists.where("root != main").alias("l"), open_lists.alias("r")
-    differ = (F.col("l.token") == F.col("r.token")) & (F.col("l.root") != F.col("r.root")) & ((F.col("r.root") == F.col("r.main")) | (F.col("l.class") < F.col("r.class"))) & fits(F.col("l.n"), F.col("r.n"))
-    met = left.join(right, differ).select(F.least("l.class", "r.class").alias("a"), F.greatest("l.class", "r.class").alias("b"), F.least("l.matches", "r.matches").alias("matches"))
-    pairs = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"), F.min("matches").alias("matches")).where("met >= matches").select("a", "b")
+    differ = (F.col("l.token") == F.col("r.token")) & (F.col("l.root") != F.col("r.root")) & ((F.col("r.root") == F.col("r.main")) | (F.col("l.class") < F.col("r.class"))) & fits("l.", "r.")
+    room = F.least(F.col("l.n") - F.col("l.rare"), F.col("r.n") - F.col("r.rare"))
+    room = F.when(F.col("l.rare").isNotNull() & F.col("r.rare").isNotNull(), room)
+    met = left.join(right, differ).select(F.least("l.class", "r.class").alias("a"), F.greatest("l.class", "r.class").alias("b"), F.least("l.matches", "r.matches").alias("matches"), room.alias("room"), (F.col("l.n") + F.col("r.n")).alias("both"), "l.is_rare")
+    pairs = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"), F.min("matches").alias("matches"), F.min("room").alias("room"), F.min("both").alias("both"), F.count_if("is_rare").alias("met_rare"))
+    # Prefixes that hold all their rare shingles have no more of these in common than have met.
+    possible = F.coalesce((100 + percent) * (F.col("room") + F.col("met_rare")) >= percent * F.col("both"), F.lit(True))
+    pairs = pairs.where((F.col("met") >= F.col("matches")) & possible).select("a", "b")
     if marks is not None:
         per_class = marks.groupBy("class").agg(F.map_from_entries(F.collect_set(F.struct("leader", "d"))).alias("marks"))
         side = lambda c: per_class.select(F.col("class").alias(c), F.col("marks").alias(f"m_{c}"))
@@ -280,15 +322,18 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         known = marks.select(F.least("class", "leader").alias("a"), F.greatest("class", "leader").alias("b")).distinct()
         pairs = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").where(~F.coalesce(far, F.lit(False))).select("a", "b").join(known, ["a", "b"], "left_anti")
     pairs = scratch.table(pairs, "pairs")
+    sets = sets_of(ends(pairs), "rest")
     rest = scratch.table(verify(pairs, sets).where(linked).select("a", "b"), "rest")
     links = rest if links is None else links.unionAll(rest)
-    roots = scratch.table(connected(spark, links, Scratch(spark)), "roots")
-    scratch.drop("sets", "lists", "pairs", "wanted")
+    roots = joined(links, "joined")
 
     named = classes.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     named = named.join(named.groupBy("root").agg(F.min("first").alias("component")), "root").select("class", "component")
     out = signed_docs.select("doc_id", "n", "class").join(named, "class", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    out = Scratch(spark).table(out, "components")
+    scratch.drop(scratch.root)
+    return out
 
 
 def op4_adaptive_ngram_join(spark, sf_dir: str) -> DataFrame:
