@@ -1,4 +1,4 @@
-"""strata SEED --pages TABLE [--config FILE] [--max-pages N] [--max-depth N] [--render-mode MODE]: a crawl over a table of pages, or over the web with --online."""
+"""strata SEED --pages TABLE [--config FILE] [--max-pages N] [--max-depth N] [--render-mode MODE]: a crawl over a table of pages."""
 
 from __future__ import annotations
 
