@@ -154,10 +154,13 @@ def mixed(docs: DataFrame) -> DataFrame:
     """docs with each row as often as the mix takes it."""
     scratch = Scratch(docs.sparkSession)
     sized = scratch.table(docs.select(F.col("doc_id").alias("id"), "source", word_count(F.col("text")).alias("size")), "sized")
-    # Rows of one id and text may be several: the mean of their copies would not be whole, so each id's rows are numbered alike on both sides.
-    copies = balanced_copies(sized).select(F.col("id").alias("_id"), "copies", "size")
-    same = W.partitionBy("_id", "_size").orderBy("_size")
-    numbered = docs.withColumn("_id", F.col("doc_id")).withColumn("_size", word_count(F.col("text"))).withColumn("_row", F.row_number().over(same))
-    copies = copies.withColumn("_size", F.col("size")).withColumn("_row", F.row_number().over(W.partitionBy("_id", "_size").orderBy("copies"))).drop("size")
-    joined = numbered.alias("d").join(copies.alias("c"), F.col("d._id").eqNullSafe(F.col("c._id")) & (F.col("d._size") == F.col("c._size")) & (F.col("d._row") == F.col("c._row")))
-    return joined.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*(F.col(f"d.`{c}`") for c in docs.columns))
+    # Rows of one id and size may be several: they share the list of that key's copies. The key
+    # has no nulls, so that the join and the numbering need the texts dealt out once only.
+    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    copies = balanced_copies(sized).groupBy(key("id").alias("_key"), F.col("size").alias("_size")).agg(F.sort_array(F.collect_list("copies")).alias("_copies"))
+    keyed = docs.withColumn("_key", key("doc_id")).withColumn("_size", word_count(F.col("text")))
+    joined = keyed.join(copies.hint("merge"), ["_key", "_size"])
+    row = F.row_number().over(W.partitionBy("_key", "_size").orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))))
+    numbered = joined.withColumn("_times", F.get("_copies", row - 1)).where("_times > 0")
+    repeated = numbered.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
+    return repeated.select(*(F.col(f"`{c}`") for c in docs.columns))
