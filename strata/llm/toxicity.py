@@ -6,8 +6,9 @@ weights, and the phrases in which an entry does not count, are learned from labe
 The weights found, normalised by the length of the text, give the score.
 
 Edge cases: a null or empty text has no match and scores as matchless texts do; without
-labelled rows the lexicon is empty and every score is the smoothed share of label 1; repeated
-label rows count each; empty tables give no rows; other columns play no part.
+labelled rows the lexicon is empty and every score is the smoothed share of label 1; copies of a
+text with the same label count once, labels without a document not at all; empty tables give no
+rows; other columns play no part.
 """
 
 from __future__ import annotations
@@ -124,12 +125,12 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Lexic
     """Fits on at most `most` labelled rows. The driver gets the counts of 4,000 stems at most, and three numbers a row."""
     known = labels.where(F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most)
-    totals = {r["y"]: r["n"] for r in chosen.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = Scratch(docs.sparkSession).table(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "y").dropDuplicates(["text", "y"]), "labelled")  # copies of a text would vouch for all its words
+    totals = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     bad, good = totals.get(1, 0), totals.get(0, 0)
     lexicon = Lexicon(bias=math.log((bad + 0.5) / (good + 0.5)))
     if not bad or not good:
         return lexicon
-    rows = Scratch(docs.sparkSession).table(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "y").dropDuplicates(["text", "y"]), "labelled")  # copies of a text would vouch for all its words
 
     surprise = (F.col("toxic") / bad) / ((F.col("clean") + 0.5) / good)
     stem_counts = label_counts(rows, lambda t: {s for w in set(t.split()) for s in stems(w)})

@@ -345,6 +345,16 @@ def test_exception_phrases_spare_an_entry():
     assert lexicon.matches(toxicity.folded("a saint grubber")) == []
 
 
+def test_copies_and_absent_documents_leave_the_lexicon_alone(spark):
+    texts = [f"some quiet words about topic{i}" + (" grublox" if i % 3 == 0 else "") for i in range(180)]
+    docs = [(i, t) for i, t in enumerate(texts)]
+    copies = [(1000 + i, texts[0]) for i in range(3500)]
+    labels = lambda d: [(i, int("grublox" in t)) for i, t in d]
+    learned = lambda d, more=(): toxicity.learn(spark.createDataFrame(d, "doc_id long, text string"), spark.createDataFrame([*labels(d), *more], "doc_id long, toxic int"))
+    plain, copied = learned(docs), learned(docs + copies, [(9000 + i, 1) for i in range(500)])
+    assert plain.weights and (copied.weights, copied.bias, copied.slopes) == (plain.weights, plain.bias, plain.slopes)
+
+
 # 7: packing
 
 
