@@ -108,17 +108,17 @@ class Lexicon:
 
 
 def label_counts(rows: DataFrame, pieces) -> DataFrame:
-    """(piece, toxic, clean): in how many labelled texts of each label a piece occurs; pieces of clean texts only are left out batch by batch."""
+    """(piece, toxic, clean): in how many labelled texts of each label a piece of toxic texts occurs. A chunk counts all its pieces: which of them stand in a toxic text is known only of the whole."""
 
     def run(batches):
         for b, texts in in_chunks(batches, "text"):
             by = {0: Counter(), 1: Counter()}
             for t, y in zip(texts, b["y"].to_pylist(), strict=True):
                 by[y].update(pieces(folded(t)))
-            keys = list(by[1])
+            keys = list(by[1].keys() | by[0].keys())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([by[1][k] for k in keys], pa.int64()), pa.array([by[0][k] for k in keys], pa.int64())], ["piece", "toxic", "clean"])
 
-    return rows.mapInArrow(run, "piece string, toxic long, clean long").groupBy("piece").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    return rows.mapInArrow(run, "piece string, toxic long, clean long").groupBy("piece").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where("toxic > 0")
 
 
 def learn(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Lexicon:

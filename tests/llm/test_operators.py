@@ -355,6 +355,13 @@ def test_copies_and_absent_documents_leave_the_lexicon_alone(spark):
     assert plain.weights and (copied.weights, copied.bias, copied.slopes) == (plain.weights, plain.bias, plain.slopes)
 
 
+def test_clean_counts_are_whole_whatever_the_layout(spark):
+    rows = [(f"plain {'grublox' if i == 7 else 'quiet'}", int(i == 7)) for i in range(400)]
+    for parts in (1, 40):
+        counts = toxicity.label_counts(spark.createDataFrame(rows, "text string, y int").repartition(parts), str.split).collect()
+        assert {r["piece"]: (r["toxic"], r["clean"]) for r in counts} == {"piain": (1, 399), "grubiox": (1, 0)}
+
+
 # 7: packing
 
 
