@@ -30,8 +30,10 @@ from .gam import fold as fold_of
 
 #: Labelled rows that the fit sees at most, those of the smallest id hashes.
 MAX_LABELLED = 30_000
-#: Entries of the lexicon at most.
-MAX_ENTRIES = 300
+#: Toxic texts that an entry must stand in, however many there are; rarer stems are chance.
+SUPPORT = 4
+#: The logarithm of how much likelier an entry is in toxic texts, at least.
+TOLD = 2.0
 #: Letters of other scripts that look like Latin ones, and digits and signs used for letters.
 #: l and 1 both read as i, in texts and in entries.
 LOOKALIKES = dict(zip("аеорсухіјѕԁһկոսցαεικνορτυχωеВАЕКМНОРСТХ", "aeopcyxijsdhynugaeiknoptuxweBAEKMHOPCTX", strict=False)) | {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "l": "i", "ß": "ss", "ı": "i"}
@@ -122,7 +124,7 @@ def label_counts(rows: DataFrame, pieces) -> DataFrame:
 
 
 def learn(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Lexicon:
-    """Fits on at most `most` labelled rows. The driver gets the counts of 4,000 stems at most, and three numbers a row."""
+    """Fits on at most `most` labelled rows. The driver gets the counts of all stems that pass, so many as these rows hold, and three numbers a row."""
     known = labels.where(F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most)
     rows = Scratch(docs.sparkSession).table(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "y").dropDuplicates(["text", "y"]), "labelled")  # copies of a text would vouch for all its words
@@ -134,13 +136,19 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Lexic
 
     surprise = (F.col("toxic") / bad) / ((F.col("clean") + 0.5) / good)
     stem_counts = label_counts(rows, lambda t: {s for w in set(t.split()) for s in stems(w)})
-    least = max(4, bad // 50)  # rarer stems are chance
-    top = stem_counts.where((F.col("toxic") >= least) & (surprise >= 3)).orderBy(F.desc(F.col("toxic") * F.log(surprise)), "piece").limit(4000).collect()
-    # The stem worth most comes first; longer and shorter ones of the same word add nothing to it.
+    top = stem_counts.where((F.col("toxic") >= SUPPORT) & (surprise >= 3)).orderBy(F.desc(F.col("toxic") * F.log(surprise)), "piece").collect()
+    # The stem worth most comes first; longer and shorter ones of the same word add nothing to it,
+    # but longer ones stay beside one that may yet go for telling too little.
+    sure, begun = set(), set()
     for r in top:
         s = r["piece"]
-        if len(lexicon.weights) < MAX_ENTRIES and not any(s.startswith(e) or e.startswith(s) for e in lexicon.weights):
-            lexicon.weights[s] = math.log((r["toxic"] + 0.5) / bad / ((r["clean"] + 0.5) / good))
+        starts = [s[:k] for k in range(3, len(s))]
+        if s in begun or any(e in sure for e in starts):
+            continue
+        lexicon.weights[s] = math.log((r["toxic"] + 0.5) / bad / ((r["clean"] + 0.5) / good))
+        begun.update(starts)
+        if lexicon.weights[s] >= TOLD:
+            sure.add(s)
 
     def phrases(t: str) -> set[str]:
         out = set()
@@ -154,14 +162,14 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Lexic
         return out
 
     swapped = rows.select("text", (1 - F.col("y")).alias("y"))  # here phrases of clean texts are sought
-    spared = label_counts(swapped, phrases).where((F.col("toxic") >= 3) & (F.col("toxic") / good >= 8 * (F.col("clean") + 0.5) / bad)).orderBy(F.desc("toxic"), "piece").limit(MAX_ENTRIES).collect()
+    spared = label_counts(swapped, phrases).where((F.col("toxic") >= 3) & (F.col("toxic") / good >= 8 * (F.col("clean") + 0.5) / bad)).orderBy(F.desc("toxic"), "piece").collect()
     lexicon.exceptions = [r["piece"] for r in spared]
     lexicon._automaton = None
 
     # What an entry tells where no exception spares it; entries that tell little go.
     hits = label_counts(rows, lambda t: {e for _, e in lexicon.matches(t)}).collect()
-    told = {r["piece"]: math.log((r["toxic"] + 0.5) / bad / ((r["clean"] + 0.5) / good)) for r in hits if r["toxic"] >= least}
-    lexicon.weights = {e: told[e] for e in lexicon.weights if told.get(e, 0.0) >= 2}
+    told = {r["piece"]: math.log((r["toxic"] + 0.5) / bad / ((r["clean"] + 0.5) / good)) for r in hits if r["toxic"] >= SUPPORT}
+    lexicon.weights = {e: told[e] for e in lexicon.weights if told.get(e, 0.0) >= TOLD}
     lexicon._automaton = None
 
     def measure(batches):

@@ -362,6 +362,16 @@ def test_clean_counts_are_whole_whatever_the_layout(spark):
         assert {r["piece"]: (r["toxic"], r["clean"]) for r in counts} == {"piain": (1, 399), "grubiox": (1, 0)}
 
 
+def test_rare_entries_of_a_large_sample_are_kept(spark):
+    r = random.Random(7)
+    rare = ["".join(r.choice("bcdfghjkmnpqrvwxyz") for _ in range(9)) for _ in range(320)]
+    docs = [(i, f"some quiet words {''.join(r.choice('aeioudgst') for _ in range(9))}" + (f" {rare[i // 3 % 320]}" if i % 3 == 0 else "")) for i in range(4800)]
+    labels = [(i, int(i % 3 == 0)) for i in range(4800)]
+    lexicon = toxicity.learn(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    clean = max(lexicon.score(t) for i, t in docs if i % 3)
+    assert all(lexicon.matches(toxicity.folded(w)) and lexicon.score(f"some quiet words {w}") > clean for w in rare)
+
+
 # 7: packing
 
 
