@@ -1,4 +1,6 @@
-"""LM scoring (operator 5): an interpolated modified Kneser-Ney bigram model.
+"""LM scoring (operator 5): an interpolated modified Kneser-Ney model, of bigrams unless an order is given.
+
+Orders above 2 are in `ngram_model`; what follows is the bigram model.
 
 Words are counted first; a word's number is its place among the sorted word hashes. A bigram is
 the two numbers in 64 bits, scrambled by a bijection, so its key is exact. Each task counts
@@ -236,8 +238,10 @@ class Model:
         return out
 
 
-def train(texts: DataFrame, folder: str) -> Model:
+def train(texts: DataFrame, folder: str, order: int = 2) -> Model:
     """Counts the column `text` of all rows. The driver sees a few numbers a shard; shards follow the input."""
+    if order < 2:
+        raise ValueError("order is 2 at least")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     vbits = max(2, int(np.ceil(np.log2(max(size, 1) / 100e6 + 1))) + 1)
     bbits = max(2, int(np.ceil(np.log2(max(size, 1) / 24e6 + 1))))
@@ -267,6 +271,10 @@ def train(texts: DataFrame, folder: str) -> Model:
         model.words += r["words"]
         model.tokens += r["tokens"]
     model.vocabulary = vocabulary = Shards(folder, "words", sizes, vbits, {"key": np.uint64, "count": np.int64, "gamma": np.float32, "before": np.uint32})
+    if order > 2:
+        from .ngram_model import train_long
+
+        return train_long(texts, folder, order, model, size)
     if not rows:
         return model
 
@@ -368,11 +376,11 @@ def unmix(a: np.ndarray) -> np.ndarray:
     return undo(a, 30)
 
 
-def score_texts(docs: DataFrame, training: Column, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n_tokens, n_known, train_tokens, base_score, score) of all rows, by a model of the rows in `training`."""
+def score_texts(docs: DataFrame, training: Column, id_column: str = "doc_id", text: str = "text", order: int = 2) -> DataFrame:
+    """(id, n_tokens, n_known, train_tokens, base_score, score) of all rows, by a model of that order of the rows in `training`."""
     scratch = Scratch(docs.sparkSession)
     folder = scratch.path("model")
-    model = train(docs.where(training).select(F.col(text).alias("text")), folder)
+    model = train(docs.where(training).select(F.col(text).alias("text")), folder, order)
 
     def run(batches):
         words = WordIds()
@@ -385,10 +393,15 @@ def score_texts(docs: DataFrame, training: Column, id_column: str = "doc_id", te
     return docs.select(F.col(id_column).alias("id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
-def op5_kneser_ney(spark, sf_dir: str) -> DataFrame:
+def op5_kneser_ney(spark, sf_dir: str, order: int = 2) -> DataFrame:
     """Log-probabilities of all documents, learned from those outside fold 0 of 10."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     held = F.coalesce(F.pmod(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")), F.lit(10)) == 0, F.lit(False))
-    out = score_texts(docs, ~held)
+    out = score_texts(docs, ~held, order=order)
     held_id = F.coalesce(F.pmod(F.crc32(F.encode(F.col("id").cast("string"), "UTF-8")), F.lit(10)) == 0, F.lit(False))
     return out.select(F.col("id").alias("doc_id"), held_id.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op5_kneser_ney_trigram(spark, sf_dir: str) -> DataFrame:
+    """As op5_kneser_ney, by a trigram model."""
+    return op5_kneser_ney(spark, sf_dir, 3)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from .gam import op9_quality_gam
 from .hilbert import op1_hilbert_shards
 from .html_crf import op8_crf_extraction
-from .kneser_ney import op5_kneser_ney
+from .kneser_ney import op5_kneser_ney, op5_kneser_ney_trigram
 from .mih import op2_multi_index_hashing
 from .mixing import op3_entropy_mix
 from .ngram_join import op4_adaptive_ngram_join
@@ -19,6 +19,7 @@ QUERIES = {
     "op3_entropy_mix": op3_entropy_mix,
     "op4_adaptive_ngram_join": op4_adaptive_ngram_join,
     "op5_kneser_ney": op5_kneser_ney,
+    "op5_kneser_ney_trigram": op5_kneser_ney_trigram,
     "op6_toxicity_lexicon": op6_toxicity_lexicon,
     "op7_complement_packing": op7_complement_packing,
     "op8_crf_extraction": op8_crf_extraction,

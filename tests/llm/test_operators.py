@@ -299,6 +299,35 @@ def test_counts_above_a_byte(spark):
     assert all(r["score"] > -0.1 for r in rows if r["id"] < 700)
 
 
+@pytest.mark.parametrize("order", [3, 4])
+def test_longer_contexts_equal_the_textbook(spark, fixture_dir, documents, order):
+    got = {r["doc_id"]: r for r in kneser_ney.op5_kneser_ney(spark, fixture_dir, order).collect()}
+    tokens = {d[0]: [b" begin", *words(d[1], True), b" end"] for d in documents}
+    train = [t for i, t in tokens.items() if zlib.crc32(str(i).encode()) % 10]
+    v = len({w for t in train for w in t[1:]})
+    counts, raw = {}, [None] + [Counter(tuple(t[i : i + n]) for t in train for i in range(1 if n == 1 else 0, len(t) - n + 1)) for n in range(1, order + 1)]
+    for n in range(order, 0, -1):
+        kinds = Counter(g[1:] for g in raw[n + 1]) if n < order else {}
+        counts[n] = {g: c if n == order or g[0] == b" begin" else kinds[g] for g, c in raw[n].items()}
+    d = {n: kneser_ney.discounts(np.array([sum(c == k for c in counts[n].values()) for k in (1, 2, 3, 4)])) for n in counts}
+    off = lambda n, c: d[n][min(c, 3) - 1] if c else 0.0
+    total, rest = Counter(), defaultdict(float)
+    for n in counts:
+        for g, c in counts[n].items():
+            total[g[:-1]] += c
+            rest[g[:-1]] += off(n, c)
+
+    def p(context, w):
+        n, g = len(context) + 1, (*context, w)
+        lower = p(context[1:], w) if context else 1 / (v + 1)
+        c = counts[n].get(g, 0)
+        return (c - off(n, c)) / total[context] + rest[context] / total[context] * lower if total[context] else lower
+
+    for i, t in tokens.items():
+        want = sum(math.log10(p(tuple(t[max(0, k - order + 1) : k]), t[k])) for k in range(1, len(t)))
+        assert got[i]["score"] == pytest.approx(want, rel=1e-5)
+
+
 # 6: toxicity
 
 
