@@ -6,8 +6,8 @@ together (Lafferty et al. 2001), and Viterbi's algorithm finds the likeliest lab
 trained on pages made by labelled_pages(), whose parts are known by construction.
 
 Edge cases: null or empty html gives an empty text; unclosed and stray tags are borne; scripts,
-styles, comments and the head are never text; an unclosed one of these reaches to the end;
-long pages are read whole; repeated rows are rows; an empty table gives no rows; columns beside
+styles, comments and the head are never text; an unclosed one of these reaches to the end, but a
+head to the first text or tag that cannot stand in one; long pages are read whole; repeated rows are rows; an empty table gives no rows; columns beside
 the named ones play no part.
 """
 
@@ -38,6 +38,8 @@ _NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)
 _WORDS = re.compile(r"[a-z]+")
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: What can stand in a head; any other tag, and text, ends one that is open.
+IN_HEAD = frozenset("base basefont bgsound command head html link meta".split())
 #: The outermost of these says most about what is inside.
 HOLDERS = frozenset("nav header footer aside form article main section".split())
 #: A tag that closes an open one of its own group, up to the container that holds the group.
@@ -78,9 +80,16 @@ def leaf_blocks(page: str | None) -> list[Block]:
             if last == name:
                 return
 
+    def end_head() -> None:
+        if any(t == "head" for t, _ in stack[:2]):
+            flush()
+            close("head")
+
     at, page = 0, page or ""
     for m in _TAG.finditer(page):
         if m.start() > at:
+            if not page[at : m.start()].isspace():
+                end_head()
             parts.append(page[at : m.start()])
             if links:
                 linked += m.start() - at
@@ -89,6 +98,8 @@ def leaf_blocks(page: str | None) -> list[Block]:
         if name is None:
             continue
         name = name.lower()
+        if not ended and name not in IN_HEAD:
+            end_head()
         if name in BLOCKS:
             flush()
         elif name == "br":
@@ -109,6 +120,8 @@ def leaf_blocks(page: str | None) -> list[Block]:
             stack.append((name, names))
             links += name == "a"
     if at < len(page):
+        if not page[at:].isspace():
+            end_head()
         parts.append(page[at:])
     flush()
     return [b for b in out if "head" not in b.tags[:2] or "body" in b.tags]

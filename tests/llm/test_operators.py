@@ -505,6 +505,17 @@ def test_odd_pages(spark, tmp_path):
     assert len(got) == 6 and got[1]["text"] == got[2]["text"] == got[4]["text"] == "" and got[1]["n_chars"] == 0
 
 
+def test_an_open_head_ends_where_the_body_starts(spark, tmp_path):
+    parts = "<html><head><meta charset=utf-8><title>not this</title>\n", "<article><h1>A long day</h1><p>The first of all sentences stands here, and it is long enough.</p><p>The second of them ends the story, as it should do.</p></article>"
+    whole, bare = "</head><body>".join(parts), "".join(parts)
+    texts = [b.text for b in html_crf.leaf_blocks(whole)]
+    assert len(texts) == 3 and [b.text for b in html_crf.leaf_blocks(bare)] == texts
+    assert [b.text for b in html_crf.leaf_blocks("<head><title>t</title>plain text")] == ["plain text"]
+    spark.createDataFrame([(1, "u", whole), (2, "u", bare)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in html_crf.op8_crf_extraction(spark, str(tmp_path)).collect()}
+    assert got[2] and got[2] == got[1]
+
+
 # 9: additive model
 
 
