@@ -7,22 +7,26 @@ of the least estimated cost: a longer prefix costs probes, but a pair is verifie
 shares l prefix shingles. A pair may use the smaller l of its two documents.
 
 Equal sets are one class from the start. In long posting lists classes are first compared with
-a leader, so a group of thousands of near copies is joined by about one link a member and
-never spelt out as pairs; then, list by list, only pairs between different components are
-left, and those are ruled out by the triangle inequality of Jaccard distance to a common
-leader or verified on whole sets. So every link between different components is found.
+leaders, so a group of thousands of near copies is joined by about one link a member and never
+spelt out as pairs. Then each list gives the pairs of different components, but a list is
+skipped for a pair whose members share the list before it too: there the pair has been given.
+What such pairs have in common is bounded by their sizes, by the shingles that no other prefix
+holds, by what their prefixes share, and by parity sketches (a set's shingles toggle bits, so
+two sketches differ in no more bits than the sets do in shingles); what passes all bounds is
+verified on whole sets. So every link between different components is found.
 
 Edge cases: a null text, or one without words, is an empty set and linked with nothing; a text
 of fewer words than a shingle is one shingle, its whole sequence; repeated rows are equal sets;
-long texts are taken whole; an empty table gives no rows; columns beside the id and the text
-play no part.
+rows of one id with different texts are documents of their own, all under that id; rows without
+an id link others, and are a component without an id if no other row is in it; long texts are
+taken whole; an empty table gives no rows; columns beside the id and the text play no part.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
@@ -35,6 +39,14 @@ MAX_FREQUENT = 1 << 19
 #: A list of so many classes is first compared with leaders.
 LONG_LIST = 12
 LEADER_ROUNDS, LEADERS = 3, 3
+#: Classes that a task remembers having given, at most.
+MAX_SEEN = 500_000
+#: Rows of at most three longs that are sent to all executors, at most; more are joined by shuffles.
+MAX_SENT = 500_000
+#: Longs of the short sketch that lists carry. Sets of more shingles than NARROW go without: it bounds nothing for them.
+SHORT_SKETCH, NARROW = 4, 800
+#: A column name that documents do not use.
+ROW = "__ngram_join_row"
 #: Matches a prefix may ask for, what verifying a candidate costs in units of one probe, and
 #: how many other documents a shingle of unknown count is expected to meet.
 MOST_MATCHES, VERIFY_COST, MEETS = 8, 8.0, 0.1
@@ -92,77 +104,108 @@ def frequent_shingles(docs: DataFrame, k: int, most: int = MAX_FREQUENT) -> tupl
     return s[order], n[order]
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Parities of the shingles by their low bits, two to four bits a shingle."""
+    bits = max(64 * SHORT_SKETCH, 1 << (2 * len(s) - 1).bit_length())
+    parity = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(parity.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def folded(x: np.ndarray, longs: int) -> np.ndarray:
+    """A sketch of as many longs as asked for, or more, halves laid over each other until it has as many."""
+    while len(x) > longs:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
+def lists(parts: list[np.ndarray | None]) -> pa.ListArray:
+    """An Arrow array of lists of longs; None is null."""
+    ends = np.cumsum([0, *(0 if p is None else len(p) for p in parts)], dtype=np.int32)
+    flat = np.concatenate([p for p in parts if p is not None] or [np.empty(0, np.int64)])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), mask=pa.array([p is None for p in parts], pa.bool_()))
+
+
 def signatures(docs: DataFrame, k: int, percent: int, frequent) -> DataFrame:
-    """(doc_id, n, class, matches, rare, prefix) of (doc_id, text): class is a digest of the set, null if empty."""
+    """(doc_id, row, n, class, matches, rare, prefix, sketch, short) of (doc_id, text): row is a hash of both, class a digest of the set, null if empty. A task gives the others with the first of its rows of a class."""
 
     def run(batches):
-        words = WordIds()
+        words, seen = WordIds(), set()
         often = frequent.value
         for b, texts in in_chunks(batches, "text"):
-            sizes, classes, matches, rare, parts = [], [], [], [], []
+            if len(seen) > MAX_SEEN:
+                seen.clear()
+            sizes, classes, matches, rare, parts, bits, few = [], [], [], [], [], [], []
             for t in texts:
                 s = shingles(words.of(t), k)
-                sizes.append(len(s))
-                if len(s):
+                c = class_of(s)
+                m = unknown = p = x = y = None
+                if c is not None and c not in seen:
+                    seen.add(c)
                     m, p, unknown = prefix(s, percent, *often)
-                    rare.append(unknown)
-                    classes.append(int(signed([xxh3_64_intdigest(s.tobytes())])[0]))
-                    matches.append(m)
-                    parts.append(signed(p))
-                else:
-                    classes.append(None)
-                    matches.append(0)
-                    rare.append(0)
-                    parts.append(np.empty(0, np.int64))
-            ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
-            flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(matches, pa.int32()), pa.array(rare, pa.int32()), flat], ["doc_id", "n", "class", "matches", "rare", "prefix"])
-
-    schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string("n long, class long, matches int, rare int, prefix array<long>").fields])
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
-
-
-def bloom(ids: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size over the ids' hashes, made by tasks and joined here."""
+                    p, x = signed(p), sketch(s)
+                    y = folded(x, SHORT_SKETCH) if len(s) <= NARROW else None
+                for column, value in zip((sizes, classes, matches, rare, parts, bits, few), (len(s), c, m, unknown, p, x, y), strict=True):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["row"], pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(matches, pa.int32()), pa.array(rare, pa.int32()), lists(parts), lists(bits), lists(few)], ["doc_id", "row", "n", "class", "matches", "rare", "prefix", "sketch", "short"])
+
+    schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string("row long, n long, class long, matches int, rare int, prefix array<long>, sketch array<long>, short array<long>").fields])
+    return docs.select("doc_id", "text", row_of("doc_id", "text")).mapInArrow(run, schema)
+
+
+def row_of(*columns: str) -> Column:
+    """Repeated rows have one number."""
+    return F.xxhash64(*columns).alias("row")
+
+
+def class_of(s: np.ndarray) -> int | None:
+    return int(signed([xxh3_64_intdigest(s.tobytes())])[0]) if len(s) else None
+
+
+def bloom(rows: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size over row numbers, made by tasks and joined here."""
 
     def run(batches):
         bits = np.zeros(BLOOM_BITS // 8, np.uint8)
         some = False
         for b in batches:
-            at = np.array(b["h"]).view(np.uint64) % np.uint64(BLOOM_BITS)
+            at = np.array(b["row"]).view(np.uint64) % np.uint64(BLOOM_BITS)
             np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.left_shift(1, (at & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
             some = True
         if some:
             yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], ["bits"])
 
     out = np.zeros(BLOOM_BITS // 8, np.uint8)
-    for r in ids.select(F.xxhash64("doc_id").alias("h")).coalesce(8).mapInArrow(run, "bits binary").toLocalIterator():
+    for r in rows.select("row").coalesce(8).mapInArrow(run, "bits binary").toLocalIterator():
         out |= np.frombuffer(r["bits"], np.uint8)
     return out
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(class, set) for wanted (doc_id, class): 48 bits of each shingle hash, sorted, as bytes. Texts that nobody asks for go no further than the bitmap."""
+    """(class, set) of the rows that `wanted` (row) names, and of a few that the bitmap takes for one: 48 bits of each shingle hash, sorted, as bytes. A task gives a class once."""
     bits = docs.sparkSession.sparkContext.broadcast(bloom(wanted))
 
     def run(batches):
-        words = WordIds()
+        words, seen = WordIds(), set()
         for b in batches:
-            at = np.array(b["h"]).view(np.uint64) % np.uint64(BLOOM_BITS)
+            at = np.array(b["row"]).view(np.uint64) % np.uint64(BLOOM_BITS)
             hit = (bits.value[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
             rows = np.flatnonzero(hit)
             for start in range(0, len(rows), 500):
-                part = b.take(pa.array(rows[start : start + 500]))
-                blobs = [pack(shingles(words.of(t), k)) for t in part["text"].to_pylist()]
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(blobs, pa.binary())], ["doc_id", "set"])
+                if len(seen) > MAX_SEEN:
+                    seen.clear()
+                found = {}
+                for t in b["text"].take(pa.array(rows[start : start + 500])).to_pylist():
+                    s = shingles(words.of(t), k)
+                    if (c := class_of(s)) is not None and c not in seen:
+                        seen.add(c)
+                        found[c] = pack(s)
+                yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.binary())], ["class", "set"])
 
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("set", T.BinaryType())])
-    sets = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(run, schema)
-    return sets.join(wanted, "doc_id").select("class", "set")
+    return docs.select("text", row_of("doc_id", "text")).mapInArrow(run, "class long, set binary")
 
 
 def pack(s: np.ndarray) -> bytes:
-    return np.ascontiguousarray((s >> np.uint64(16)).astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    return np.unique((s >> np.uint64(16)).astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
 def unpack(b: bytes) -> np.ndarray:
@@ -188,10 +231,22 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 nb.append(len(left))
             yield pa.RecordBatch.from_arrays([b["a"], b["b"], *(pa.array(c, pa.int64()) for c in (common, na, nb))], ["a", "b", "common", "size_a", "size_b"])
 
-    # Each end gets its set on its own: where pairs are few, they go to the sets, which stay in place.
-    side = lambda end, name: pairs.join(sets.select(F.col("class").alias(end), F.col("set").alias(name)), end)
-    both = side("a", "x").join(side("b", "y"), ["a", "b"])
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, common long, size_a long, size_b long")
+    both = with_both(pairs, sets, "class", ["set"]).select("a", "b", F.col("a_set").alias("x"), F.col("b_set").alias("y"))
+    return both.mapInArrow(run, "a long, b long, common long, size_a long, size_b long")
+
+
+def sent(df: DataFrame) -> DataFrame:
+    """df, marked to be sent to all executors if it has few rows."""
+    return F.broadcast(df) if df.count() <= MAX_SENT else df
+
+
+def with_both(pairs: DataFrame, facts: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """(a, b, a_..., b_...): pairs and the facts of both. Few pairs are sent to the facts, which stay in place; more are dealt out."""
+    side = lambda end: facts.select(F.col(key).alias(end), *(F.col(c).alias(f"{end}_{c}") for c in columns))
+    if pairs.count() > MAX_SENT:
+        return pairs.join(side("a"), "a").join(side("b"), "b")
+    few = F.broadcast(pairs)
+    return side("a").join(few, "a").join(side("b").join(few, "b"), ["a", "b"])
 
 
 def connected(spark: SparkSession, edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -223,114 +278,163 @@ def connected(spark: SparkSession, edges: DataFrame, scratch: Scratch) -> DataFr
 def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of docs (doc_id, text): links are pairs with 100 * common >= percent * union."""
     with small_batches(docs.sparkSession):
-        return _components(docs.sparkSession, docs.select("doc_id", "text"), k, percent)
+        return _components(docs.select("doc_id", "text"), k, percent).select("doc_id", "n_shingles", "component_id")
 
 
-def _components(spark: SparkSession, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    scratch = Scratch(spark)
+class Bounds:
+    """What pairs of classes can have in common at most, as conditions on columns of the one and the other."""
+
+    def __init__(self, percent: int):
+        self.percent = percent
+
+    def enough(self, common, both: Column) -> Column:
+        """So many common shingles, of `both` sizes added up, make the similarity."""
+        return (100 + self.percent) * common >= self.percent * both
+
+    def fits(self, x, y) -> Column:
+        """Sizes, and the rests if both are known, leave the similarity possible. x and y give columns by name."""
+        rests = F.when(x("rest").isNotNull() & y("rest").isNotNull(), self.enough(F.least(x("rest"), y("rest")), x("n") + y("n")))
+        return (100 * F.least(x("n"), y("n")) >= self.percent * F.greatest(x("n"), y("n"))) & F.coalesce(rests, F.lit(True))
+
+    def apart(self, differ: Column, x, y) -> Column:
+        """The similarity is possible for sets that differ in so many shingles at least; null tells nothing."""
+        both = x("n") + y("n")
+        return F.coalesce(self.enough(both - differ, 2 * both), F.lit(True))
+
+    def sketches(self, x, y) -> Column:
+        """The longer sketch is folded to the shorter's length."""
+        xor = lambda p, q: p.bitwiseXOR(q)
+        half = lambda s: F.floor(F.size(s) / 2).cast("int")
+        fold = lambda s: F.zip_with(F.slice(s, F.lit(1), half(s)), F.slice(s, half(s) + 1, half(s)), xor)
+        p, q = x("sketch"), y("sketch")
+        short = lambda s, o: F.when(F.size(s) > F.size(o), fold(s)).otherwise(s)
+        return self.apart(F.aggregate(F.zip_with(short(p, q), short(q, p), xor), F.lit(0), lambda n, v: n + F.bit_count(v)), x, y)
+
+    def short_sketches(self, x, y) -> Column:
+        bits = [F.bit_count(F.get(x("short"), i).bitwiseXOR(F.get(y("short"), i))) for i in range(SHORT_SKETCH)]
+        differ = bits[0]
+        for c in bits[1:]:
+            differ = differ + c
+        return self.apart(differ, x, y)
+
+    def prefixes(self, x, y) -> Column:
+        """As many shared listed shingles as the smaller of both asks for. Prefixes that hold all their rare shingles have no more of these in common than are listed in both."""
+        shared = F.size(F.array_intersect(x("tokens"), y("tokens")))
+        rare = F.size(F.array_intersect(x("rare_tokens"), y("rare_tokens")))
+        room = F.when(x("known").isNotNull() & y("known").isNotNull(), F.least(x("known"), y("known")) + rare)
+        return (shared >= F.least(x("matches"), y("matches"))) & F.coalesce(self.enough(room, x("n") + y("n")), F.lit(True))
+
+
+def of(prefix: str):
+    return lambda name: F.col(prefix + name)
+
+
+def class_records(marked: DataFrame, percent: int) -> DataFrame:
+    """A row for each class that shares a prefix shingle with another: its numbers, sketch and listed shingles.
+
+    `known` is how many of its shingles have a known count, and `rest` how many may be in others
+    at all: null where the prefix does not reach the known ones, so that more rare ones may follow.
+    """
+    own = W.partitionBy("token")
+    entries = marked.where(F.col("prefix").isNotNull()).select("class", "rare", F.posexplode("prefix").alias("pos", "token")).select("token", "class", (F.col("pos") < F.col("rare")).alias("is_rare"))
+    shared = entries.withColumn("low", F.min("class").over(own)).withColumn("high", F.max("class").over(own)).where("low != high").select("token", "class", "is_rare").distinct()
+    listed = shared.groupBy("class").agg(F.sort_array(F.collect_list(F.when(~F.col("is_rare"), F.col("token")))).alias("known_tokens"), F.sort_array(F.collect_list(F.when(F.col("is_rare"), F.col("token")))).alias("rare_tokens"))
+    once = lambda c: F.first(c, ignorenulls=True).alias(c)
+    facts = marked.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("row").alias("row"), *map(once, ("n", "matches", "rare", "sketch", "short")))
+    out = listed.join(facts, "class")
+    least = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100)
+    known = F.when(F.col("rare") < least + F.col("matches"), F.col("n") - F.col("rare"))
+    out = out.withColumn("known", known).withColumn("rest", F.col("known") + F.size("rare_tokens"))
+    # A list of a known shingle holds only prefixes with all their rare ones. What stands alone of a
+    # class's rare shingles is in none of them: if the rest cannot reach the similarity, the class
+    # has nothing to look for in the lists of known shingles.
+    can = Bounds(percent).enough(F.col("rest"), F.col("n") + F.ceil(F.lit(percent) * F.col("n") / 100))
+    out = out.withColumn("tokens", F.when(F.coalesce(can, F.lit(True)), F.array_sort(F.concat("known_tokens", "rare_tokens"))).otherwise(F.col("rare_tokens")))
+    share = F.size("tokens") / (least + F.col("matches"))
+    return out.where(F.size("tokens") > 0).select("class", "row", "n", "matches", "known", "rest", share.alias("share"), "sketch", "short", "rare_tokens", "tokens")
+
+
+def _components(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(doc_id, row, class, root, n_shingles, component_id); root is the class that names the component."""
+    spark = docs.sparkSession
+    scratch, bounds = Scratch(spark), Bounds(percent)
     frequent = spark.sparkContext.broadcast(frequent_shingles(docs, k))
-    signed_docs = scratch.table(signatures(docs, k, percent, frequent), "signatures")
-    classes = signed_docs.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("first"))
-    classes = scratch.table(classes, "classes")
-
-    # Posting lists of the prefixes, one entry a class, without those of one class only.
-    one = signed_docs.join(classes.select("class", F.col("first").alias("doc_id")), ["doc_id", "class"])
-    entries = one.select("class", F.col("n").cast("int").alias("n"), "matches", "rare", F.size("prefix").alias("length"), F.posexplode("prefix").alias("pos", "token"))
-    entries = entries.select("token", "class", "n", "matches", F.when(F.col("rare") < F.col("length"), F.col("rare")).alias("rare"), (F.col("pos") < F.col("rare")).alias("is_rare"))
+    marked = scratch.table(signatures(docs, k, percent, frequent), "signatures")
+    records = scratch.table(class_records(marked, percent), "records")
     own = W.partitionBy("token")
-    entries = entries.withColumn("low", F.min("class").over(own)).withColumn("high", F.max("class").over(own)).where("low != high")
-    lists = scratch.table(entries.drop("low", "high").distinct(), "entries")
-    # A prefix that reaches shingles of known count holds all the unknown ones (`rare` of them;
-    # null otherwise), and the list of a known one holds only such prefixes. So what stands alone
-    # of a class's rare shingles is in none of them: if the rest cannot reach the similarity,
-    # the class has nothing to look for in the lists of known shingles.
-    short = lists.where("is_rare").groupBy("class").agg(F.count(F.lit(1)).cast("int").alias("met_rare"))
-    rest = F.col("n") - F.col("rare") + F.coalesce("met_rare", F.lit(0))
-    can = (100 + percent) * rest >= percent * (F.col("n") + F.ceil(F.lit(percent) * F.col("n") / 100))
-    # `rest` of two such prefixes bounds what they have in common (null where a prefix does not reach).
-    lists = lists.join(short, "class", "left").where(F.col("is_rare") | can).withColumn("rest", rest).drop("met_rare")
-    lists = scratch.table(lists, "lists")
-
-    def sets_of(named: DataFrame, name: str) -> DataFrame:
-        """The whole sets of some classes only: those of which a pair is to be verified."""
-        wanted = scratch.table(named.distinct().join(classes, "class").select(F.col("first").alias("doc_id"), "class"), f"wanted_{name}")
-        return scratch.table(whole_sets(docs, wanted, k).dropDuplicates(["class"]), f"sets_{name}")
-
-    def joined(links: DataFrame, name: str) -> DataFrame:
+    before = F.explode(F.transform("tokens", lambda t, i: F.struct(t.alias("token"), F.get("tokens", i - 1).alias("before"))))
+    links, roots, seen = None, None, None
+
+    def with_roots(rows: DataFrame) -> DataFrame:
+        if roots is None:
+            return rows.withColumn("root", F.col("class"))
+        return rows.join(sent(roots.withColumnRenamed("node", "class")), "class", "left").withColumn("root", F.coalesce("root", "class"))
+
+    def checked(pairs: DataFrame, name: str) -> DataFrame:
+        """(a, b, linked) of the pairs that pass the bounds and have not been seen; those alone need whole sets."""
+        if seen is not None:
+            pairs = pairs.join(sent(seen.select("a", "b")), ["a", "b"], "left_anti")
+        both = with_both(scratch.table(pairs, f"new_{name}"), records, "class", ["row", "n", "matches", "known", "sketch", "rare_tokens", "tokens"])
+        both = both.where(bounds.prefixes(of("a_"), of("b_")) & bounds.sketches(of("a_"), of("b_")))
+        both = scratch.table(both.select("a", "b", "a_row", "b_row"), f"pairs_{name}")
+        rows = scratch.table(both.select(F.explode(F.array("a_row", "b_row")).alias("row")).distinct(), f"wanted_{name}")
+        sets = scratch.table(whole_sets(docs, rows, k), f"sets_{name}")
+        of_class = sets.groupBy("class").count()
+        if of_class.where("count > 1").limit(1).count():  # repeated rows in several tasks
+            sets = sets.dropDuplicates(["class"])
+        linked = 100 * F.col("common") >= percent * (F.col("size_a") + F.col("size_b") - F.col("common"))
+        out = scratch.table(verify(both.select("a", "b"), sets).select("a", "b", linked.alias("linked")), f"seen_{name}")
+        scratch.drop(f"new_{name}", f"pairs_{name}", f"wanted_{name}", f"sets_{name}")
+        return out
+
+    def join_links(found: DataFrame, name: str) -> None:
+        nonlocal links, roots
+        found = found.where("linked").select("a", "b")
+        links = found if links is None else links.unionAll(found)
         own_scratch = Scratch(spark)
         roots = scratch.table(connected(spark, links, own_scratch), name)
         own_scratch.drop(own_scratch.root)
-        return roots
-
-    ends = lambda p: p.select(F.col("a").alias("class")).unionAll(p.select("b"))
-    def fits(x: str, y: str):
-        """Sizes, and the rests if both are known, leave the similarity possible."""
-        of = lambda name: (F.col(f"{x}{name}"), F.col(f"{y}{name}"))
-        rests = F.when(F.col(f"{x}rest").isNotNull() & F.col(f"{y}rest").isNotNull(), (100 + percent) * F.least(*of("rest")) >= percent * (F.col(f"{x}n") + F.col(f"{y}n")))
-        return (100 * F.least(*of("n")) >= percent * F.greatest(*of("n"))) & F.coalesce(rests, F.lit(True))
-
-    linked = 100 * F.col("common") >= percent * (F.col("size_a") + F.col("size_b") - F.col("common"))
-    distance = 1 - F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common"))
-    links: DataFrame | None = None
-    marks: DataFrame | None = None
-    roots: DataFrame | None = None
-    current = lists.withColumn("root", F.col("class"))
-    # The classes that meet most others in lists are nearest to the middle of their group.
-    weight = lists.withColumn("size", F.count(F.lit(1)).over(own)).groupBy("class").agg(F.sum("size").alias("weight"))
-    weight = scratch.table(weight, "weight")
+
+    # Long lists: classes against leaders, those with the largest shared part of their prefix first, then others.
+    flat = records.select("class", "n", "rest", "share", before.alias("at")).select("class", "n", "rest", "share", "at.*")
+    sized = flat.withColumn("size", F.count(F.lit(1)).over(own))
+    long = scratch.table(sized.where(F.col("size") >= LONG_LIST), "long")
     for r in range(LEADER_ROUNDS):
-        # Lists of several components, each with some leaders, drawn anew each round.
-        mixed = current.withColumn("low", F.min("root").over(own)).withColumn("high", F.max("root").over(own)).withColumn("size", F.count(F.lit(1)).over(own))
-        long = mixed.where((F.col("low") != F.col("high")) & (F.col("size") >= LONG_LIST)).select("token", "class", "n", "rest", "root").join(weight, "class")
-        drawn = F.struct((-F.col("weight")).alias("w") if r == 0 else F.xxhash64("class", F.lit(r)).alias("w"), "class")
-        heads = long.withColumn("k", F.row_number().over(W.partitionBy("token").orderBy(drawn))).where(F.col("k") <= LEADERS).select("token", F.struct("class", "n", "rest", "root").alias("leader"))
-        led = long.join(heads, "token").where((F.col("class") != F.col("leader.class")) & (F.col("root") != F.col("leader.root")))
-        pairs = led.where(fits("", "leader.")).select(F.least("class", "leader.class").alias("a"), F.greatest("class", "leader.class").alias("b")).distinct()
-        if marks is not None:
-            pairs = pairs.join(marks.select(F.least("class", "leader").alias("a"), F.greatest("class", "leader").alias("b")).distinct(), ["a", "b"], "left_anti")
-        pairs = scratch.table(pairs, f"pairs{r}")
+        mixed = with_roots(long).withColumn("low", F.min("root").over(own)).withColumn("high", F.max("root").over(own)).where("low != high").drop("low", "high")
+        drawn = F.struct((-F.col("share")).alias("w") if r == 0 else F.xxhash64("class", F.lit(r)).alias("w"), "class")
+        heads = mixed.withColumn("k", F.row_number().over(W.partitionBy("token").orderBy(drawn))).where(F.col("k") <= LEADERS).select("token", F.struct("class", "n", "rest", "root").alias("leader"))
+        led = mixed.join(heads, "token").where((F.col("class") != F.col("leader.class")) & (F.col("root") != F.col("leader.root")) & bounds.fits(of(""), of("leader.")))
+        pairs = scratch.table(led.select(F.least("class", "leader.class").alias("a"), F.greatest("class", "leader.class").alias("b")).distinct(), f"led{r}")
         if not pairs.limit(1).count():
             break
-        sets = sets_of(ends(pairs), f"round{r}")
-        seen = scratch.table(verify(pairs, sets).select("a", "b", linked.alias("linked"), distance.alias("d")), f"seen{r}")
-        found = seen.where("linked").select("a", "b")
-        links = found if links is None else links.unionAll(found)
-        own_marks = seen.select(F.col("a").alias("class"), F.col("b").alias("leader"), "d").unionAll(seen.select("b", "a", "d"))
-        marks = own_marks if marks is None else marks.unionAll(own_marks)
-        roots = joined(links, f"joined{r}")
-        current = scratch.table(lists.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class")), f"lists{r}")
-        scratch.drop(f"pairs{r}", f"lists{r - 1}", f"sets_round{r}", f"wanted_round{r}")
-
-    # What is left: pairs of different components. A list's largest component is only met by the others.
-    parts = current.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c"))
-    w = W.partitionBy("token")
-    parts = parts.withColumn("main", F.max(F.struct("c", "root")).over(w)["root"]).withColumn("roots", F.count(F.lit(1)).over(w)).where("roots > 1").select("token", "main").distinct()
-    open_lists = current.join(parts, "token")
-    left, right = open_lists.where("root != main").alias("l"), open_lists.alias("r")
-    differ = (F.col("l.token") == F.col("r.token")) & (F.col("l.root") != F.col("r.root")) & ((F.col("r.root") == F.col("r.main")) | (F.col("l.class") < F.col("r.class"))) & fits("l.", "r.")
-    room = F.least(F.col("l.n") - F.col("l.rare"), F.col("r.n") - F.col("r.rare"))
-    room = F.when(F.col("l.rare").isNotNull() & F.col("r.rare").isNotNull(), room)
-    met = left.join(right, differ).select(F.least("l.class", "r.class").alias("a"), F.greatest("l.class", "r.class").alias("b"), F.least("l.matches", "r.matches").alias("matches"), room.alias("room"), (F.col("l.n") + F.col("r.n")).alias("both"), "l.is_rare")
-    pairs = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"), F.min("matches").alias("matches"), F.min("room").alias("room"), F.min("both").alias("both"), F.count_if("is_rare").alias("met_rare"))
-    # Prefixes that hold all their rare shingles have no more of these in common than have met.
-    possible = F.coalesce((100 + percent) * (F.col("room") + F.col("met_rare")) >= percent * F.col("both"), F.lit(True))
-    pairs = pairs.where((F.col("met") >= F.col("matches")) & possible).select("a", "b")
-    if marks is not None:
-        per_class = marks.groupBy("class").agg(F.map_from_entries(F.collect_set(F.struct("leader", "d"))).alias("marks"))
-        side = lambda c: per_class.select(F.col("class").alias(c), F.col("marks").alias(f"m_{c}"))
-        far = F.exists(F.map_keys("m_a"), lambda x: F.coalesce(F.abs(F.try_element_at("m_a", x) - F.try_element_at("m_b", x)) > 1 - percent / 100 + 1e-9, F.lit(False)))
-        known = marks.select(F.least("class", "leader").alias("a"), F.greatest("class", "leader").alias("b")).distinct()
-        pairs = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").where(~F.coalesce(far, F.lit(False))).select("a", "b").join(known, ["a", "b"], "left_anti")
-    pairs = scratch.table(pairs, "pairs")
-    sets = sets_of(ends(pairs), "rest")
-    rest = scratch.table(verify(pairs, sets).where(linked).select("a", "b"), "rest")
-    links = rest if links is None else links.unionAll(rest)
-    roots = joined(links, "joined")
-
-    named = classes.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    named = named.join(named.groupBy("root").agg(F.min("first").alias("component")), "root").select("class", "component")
-    out = signed_docs.select("doc_id", "n", "class").join(named, "class", "left")
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+        found = checked(pairs, f"round{r}")
+        seen = found if seen is None else seen.unionAll(found)
+        join_links(found, f"joined{r}")
+        scratch.drop(f"led{r}")
+
+    # Pairs of different components. A list's largest component is only met by the others.
+    def met(rows: DataFrame, more) -> DataFrame:
+        rows = rows.withColumn("c", F.count(F.lit(1)).over(W.partitionBy("token", "root")))
+        rows = rows.withColumn("main", F.max(F.struct("c", "root")).over(own)["root"]).withColumn("low", F.min("root").over(own)).withColumn("high", F.max("root").over(own))
+        rows = rows.where("low != high").drop("c", "low", "high")
+        l, r = of("l."), of("r.")
+        given = F.coalesce(l("before") == r("before"), F.lit(False))
+        differ = (l("token") == r("token")) & (l("root") != r("root")) & ((r("root") == r("main")) | (l("class") < r("class"))) & ~given & bounds.fits(l, r) & more(l, r)
+        pairs = rows.where("root != main").alias("l").join(rows.alias("r"), differ)
+        return pairs.select(F.least(l("class"), r("class")).alias("a"), F.greatest(l("class"), r("class")).alias("b"))
+
+    rooted = with_roots(records.select("class", "n", "rest", "tokens")).select("class", "root", "n", "rest", before.alias("at")).select("class", "root", "n", "rest", "at.*")
+    short_lists = rooted.withColumn("size", F.count(F.lit(1)).over(own)).where(F.col("size") < LONG_LIST)
+    sketched = with_roots(long.drop("share").join(records.select("class", "short"), "class"))
+    sketched = sketched.withColumn("size", F.count(F.lit(1)).over(own))  # deals by token once
+    pairs = met(short_lists, lambda l, r: F.lit(True)).unionAll(met(sketched, bounds.short_sketches)).distinct()
+    join_links(checked(scratch.table(pairs, "met"), "met"), "joined")
+
+    firsts = with_roots(marked.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("first")))
+    parts = firsts.groupBy("root").agg(F.min("first").alias("component"))
+    named = firsts.select("class", "root").join(parts, "root")
+    out = marked.select("doc_id", "row", "n", "class").join(named, "class", "left")
+    out = out.select("doc_id", "row", "class", "root", F.col("n").alias("n_shingles"), F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
     out = Scratch(spark).table(out, "components")
     scratch.drop(scratch.root)
     return out
@@ -342,7 +446,25 @@ def op4_adaptive_ngram_join(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_first_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one row of each component, that of the smallest doc_id; texts without words stay, one row an id; rows without an id cannot be named and stay."""
-    kept = components(docs, k, percent).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+    """docs with one row of each component, that of the smallest doc_id (rows without an id come last; ties go by a hash of the text). Rows without words all stay, each of repeated rows of them too.
+
+    The rows that go are named; where their names are few enough to be sent to all executors
+    (MAX_SENT), the texts stay in place, else they are dealt out by name once.
+    """
+    spark = docs.sparkSession
+    with small_batches(spark):
+        rows = _components(docs.select("doc_id", "text"), k, percent).where(F.col("root").isNotNull())
+    firsts = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row"))["row"].alias("kept"))
+    # A row number is a hash of id and text: repeated rows share one.
+    numbers = rows.groupBy("root", "row").agg(F.count(F.lit(1)).alias("n")).join(firsts, "root")
+    scratch = Scratch(spark)
+    odd = scratch.table(numbers.where((F.col("row") != F.col("kept")) | (F.col("n") > 1)).select(F.col("row").alias(ROW), (F.col("row") == F.col("kept")).alias(f"{ROW}_kept")), "odd")
+    numbered = docs.withColumn(ROW, F.xxhash64("doc_id", "text"))
+    out = numbered.join(sent(odd.select(ROW)), ROW, "left_anti").drop(ROW)
+    repeated = odd.where(f"{ROW}_kept").select(ROW)
+    if repeated.limit(1).count():
+        again = numbered.join(sent(repeated), ROW, "left_semi")
+        columns = [F.col(f"`{c}`") for c in docs.columns]
+        one = again.groupBy(ROW).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias(f"{ROW}_one"))
+        out = out.unionByName(one.select(f"{ROW}_one.*"))
+    return out
