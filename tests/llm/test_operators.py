@@ -105,14 +105,58 @@ def test_few_vectors_return_all(spark, tmp_path):
     assert [tuple(r) for r in mih.op2_multi_index_hashing(spark, str(tmp_path)).orderBy("rank").collect()] == [(20, 1, 21, 0.5), (20, 2, 22, 0.5)]
 
 
-def test_index_holds_every_code_within_the_radius():
+def test_probing_gives_every_code_within_the_radius():
     rng = np.random.default_rng(5)
     x = rng.normal(size=(400, 16))
     coder = mih.fit(x, 10)
     index = mih.Index(np.arange(400), x, coder)
-    for code in coder.codes(x[:20], True):
-        for radius in (10, 60, coder.radius):
-            assert set(index.within(code, radius).tolist()) == set(np.flatnonzero(mih.distances(code[None], index.codes)[0] <= radius).tolist())
+    codes = coder.codes(x[:20], True)
+    words = index.codes.shape[1]
+    for probed in (0, 1, 3):
+        near = index.probe(codes, probed)
+        agree = np.bitwise_count(codes[:, None, :] ^ index.codes[None]).min(2) <= probed
+        agree[:, index.always] = True
+        assert (near == agree).all()
+        assert near[mih.distances(codes, index.codes) < words * (probed + 1)].all()  # the pigeonhole
+
+
+def clusters(n, dimensions=32, seed=2):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n // 25, dimensions)).repeat(25, axis=0)
+    return x + 0.35 * rng.normal(size=x.shape)
+
+
+def test_probing_clustered_vectors_gives_a_small_part_of_them():
+    x = clusters(5000)
+    coder = mih.fit(x, 10)
+    index = mih.Index(np.arange(len(x)), x, coder)
+    asked = np.arange(0, len(x), 40)
+    share, hits = [], 0
+    for i, found, _, retrieved in index.search(asked, x[asked], 10):
+        products = x @ x[asked[i]]
+        products[asked[i]] = -np.inf
+        hits += len(set(found.tolist()) & set(np.argsort(-products)[:10].tolist()))
+        share.append(retrieved / len(x))
+    assert np.mean(share) < 0.1 and hits >= 0.9 * 10 * len(asked)
+
+
+def test_shards_by_the_beginnings_of_codes_and_long_vectors(spark):
+    from pyspark.sql import functions as F
+
+    x = clusters(3000)
+    x[7] *= 40  # among the nearest of all that lie on its side
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in mih.search(df, F.col("id") % 50 == 0, 10, shard_rows=300, most=900).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"]))
+    hits = 0
+    for q, found in got.items():
+        products = x @ x[q]
+        products[q] = -np.inf
+        best = np.argsort(-products)[:10].tolist()
+        hits += len({i for _, i in found} & set(best))
+        assert (7 in best) <= (7 in {i for _, i in found})
+    assert len(got) == 60 and hits >= 0.9 * 10 * 60
 
 
 # 3: mixing
