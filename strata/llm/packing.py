@@ -2,7 +2,7 @@
 
 Only the counts of pieces by length decide which lengths share a sequence. Full pieces fill a
 sequence alone; then pairs, triples and quadruples of lengths that fill one exactly are found
-through hashed sums of one, two and three lengths and consumed as often as their counts allow; what is left
+through the sums of one, two and three lengths and consumed as often as their counts allow; what is left
 goes largest first into the open sequence with the least room that holds it, many equal
 sequences at a time. The plan is a few thousand runs of ranks, whatever the number of pieces;
 each piece finds its run by its rank among the pieces of its length.
@@ -67,8 +67,8 @@ class Ids(dict):
     """Token ids, as little-endian unsigned 32-bit bytes, of the chunks between blanks.
 
     A blank or line break between two other characters ends a pre-token of this byte-level
-    vocabulary's pattern, so the chunks' ids joined are the text's ids; any other white space
-    sends the whole text to the tokenizer. The merges of Latin letters, digits and signs are
+    vocabulary's pattern, so the chunks' ids joined are the text's ids; any other white space,
+    and any added token written in the text, sends the whole text to the tokenizer. The merges of Latin letters, digits and signs are
     done by the same vocabulary's ranks, which takes a fifth of the time; other scripts go to
     the tokenizer itself.
     """
@@ -80,8 +80,9 @@ class Ids(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.ranks = ranked_encoding(path)
+        # The tokenizer finds these in the text before it splits it.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def encode(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -95,7 +96,7 @@ class Ids(dict):
     def of(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if _ODD.search(text):
+        if _ODD.search(text) or any(t in text for t in self.added):
             return self.encode(text)
         parts = text.replace("\n", " \n ").split(" ")
         # Every chunk but the first takes its blank along; a line break stands alone, and what follows it has none.
@@ -161,25 +162,27 @@ def exact_groups(left: dict[int, int], most: int) -> list[tuple[tuple[int, ...],
             if not small or left[a] <= 0:
                 continue
             small.sort(key=lambda x: (-left[x], x))
-            there = set(small)
             if members == 2:
+                there = set(small)
                 for b in small:
                     if left[a] <= 0:
                         break
                     if gap - b in there and b <= gap - b:
                         take((a, gap - b, b))
-            else:
-                tries = small[:64]  # sums of the most frequent lengths; what they miss goes to best fit
-                pairs = defaultdict(list)
-                for i, b in enumerate(tries):
-                    for c in tries[i:]:
-                        pairs[b + c].append((b, c))
-                for d in small:
-                    if left[a] <= 0:
+                continue
+            # All sums of two lengths that there are: those that leave a third one fill the gap.
+            there = np.zeros(gap + 1, np.int64)
+            there[small] = 1
+            sums = np.convolve(there, there)[: gap + 1]
+            for d in small:
+                if left[a] <= 0:
+                    break
+                if left[d] <= 0 or not sums[gap - d]:
+                    continue
+                half = np.arange((gap - d) // 2 + 1)
+                for b in half[(there[half] & there[gap - d - half]) > 0].tolist():
+                    if take((a, d, gap - d - b, b)) and (left[a] <= 0 or left[d] <= 0):
                         break
-                    for b, c in pairs.get(gap - d, ()):
-                        if take((a, d, b, c)) and left[a] <= 0:
-                            break
     return plan
 
 
@@ -245,7 +248,7 @@ def packed(spark, piece_table: DataFrame, most: int) -> DataFrame:
     """piece_table (with id, piece, length) and sequence_id, offset. The driver holds a count for each length, `most` at most."""
     counts = {r["length"]: r["count"] for r in piece_table.groupBy("length").count().collect()}
     runs = spark.sparkContext.broadcast(runs_of(plan(counts, most)))
-    key = F.struct("id", "piece")
+    key = F.struct("id", "piece", "ids_crc32") if "ids_crc32" in piece_table.columns else F.struct("id", "piece")
     placed = ranked(piece_table, ["length"], [F.xxhash64("id", "piece"), F.col("id"), F.col("piece")], key, "rank").drop("rank_n")
     names = [f.name for f in piece_table.schema.fields]
 
