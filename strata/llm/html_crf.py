@@ -7,7 +7,9 @@ trained on pages made by labelled_pages(), whose parts are known by construction
 
 Edge cases: null or empty html gives an empty text; unclosed and stray tags are borne; scripts,
 styles, comments and the head are never text; an unclosed one of these reaches to the end, but a
-head to the first text or tag that cannot stand in one; long pages are read whole; repeated rows are rows; an empty table gives no rows; columns beside
+head to the first text or tag that cannot stand in one; a quote that nothing closes, or that no
+= stands before, is a letter; a < without a > after it is text; long pages are read whole, in time and memory that
+grow as their length; repeated rows are rows; an empty table gives no rows; columns beside
 the named ones play no part.
 """
 
@@ -16,6 +18,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -27,13 +30,12 @@ from pyspark.sql import types as T
 
 from .common import in_chunks
 
-_TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)
-    |<(script|style|noscript|template|svg|iframe|object|canvas|title|textarea|select)\b[^>]*>.*?(?:</\1\s*>|\Z)
-    |<[!?][^>]*>
-    |<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*'|["'])*?)>""",
-    re.S | re.I | re.X,
-)
+_OPEN = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][a-zA-Z0-9:-]*))")
+#: What ends a tag, or begins a quoted value in it.
+_STOP = re.compile(r"""[<>]|=\s*+["']""")
+#: Elements whose content is not read.
+OPAQUE = frozenset("script style noscript template svg iframe object canvas title textarea select".split())
+_ENDS = {t: re.compile(rf"</{t}\s*+>", re.I) for t in OPAQUE}
 _NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORDS = re.compile(r"[a-z]+")
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -42,62 +44,173 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 IN_HEAD = frozenset("base basefont bgsound command head html link meta".split())
 #: The outermost of these says most about what is inside.
 HOLDERS = frozenset("nav header footer aside form article main section".split())
-#: A tag that closes an open one of its own group, up to the container that holds the group.
-CLOSES = {"p": ({"p"}, {"div", "article", "section", "td", "li", "body", "blockquote"}), "li": ({"li"}, {"ul", "ol", "menu"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr"}, {"table"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"})}
+#: What a tag that begins ends of its own group, and the containers that keep it open.
+GROUPS = (
+    ({"p"}, {"div", "article", "section", "td", "li", "body", "blockquote"}),
+    ({"li"}, {"ul", "ol", "menu"}),
+    ({"td", "th"}, {"tr", "table"}),
+    ({"tr"}, {"table"}),
+    ({"dt", "dd"}, {"dl"}),
+    ({"option"}, {"select"}),
+)
+OF_GROUP = {tag: i for i, (group, _) in enumerate(GROUPS) for tag in group}
+GROUPED = frozenset().union(*(group | stop for group, stop in GROUPS))
 #: Names in classes, ids and roles that tell something.
 TELLING = frozenset("ad ads advert advertisement article author banner bio body bottom breadcrumb breadcrumbs byline caption comment commentlist comments content cookie consent copyright entry footer foot form header hero inner legal links login logo main masthead menu meta nav navbar navigation newsletter notice notification page pagination popup post promo promotion related reply respond search share sharing sidebar signup social sponsor sponsored story subscribe tag tags text toc top widget wrapper alert contentinfo complementary discussion reader disclaimer rail teaser".split())
 
 
+class Tags:
+    """The marks of a page, in one pass: no place is looked at more than a few times, whatever stands there."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.quotes = {q: page.rfind(q) for q in "\"'"}
+        self.quoted = True  # until a quoted value has run to the end of the page
+
+    def end_of_tag(self, at: int) -> int:
+        """The place of the > of a tag whose name ends at `at`; -1 if another tag begins before it."""
+        page, start = self.page, at
+        while m := _STOP.search(page, at):
+            c = m[0][-1]
+            if c == ">":
+                return m.start()
+            if c == "<":
+                return -1
+            at = m.end()
+            if self.quoted and at <= self.quotes[c]:
+                at = page.index(c, at) + 1
+        if not self.quoted:
+            return -1
+        self.quoted = False
+        return self.end_of_tag(start)
+
+    def __iter__(self):
+        """(start, end, name, whether it is an end tag, attributes); the name is None for what is no element and for elements that are not read."""
+        page, at = self.page, 0
+        while (m := _OPEN.search(page, at)) and m.start() < self.last:
+            name = (m[4] or "").lower()
+            if m[1]:
+                end = page.find("-->", m.end())
+                at = len(page) if end < 0 else end + 3
+                yield m.start(), at, None, False, ""
+            elif m[2]:
+                at = page.index(">", m.end()) + 1
+                yield m.start(), at, None, False, ""
+            elif (end := self.end_of_tag(m.end())) < 0:
+                at = m.end()
+            elif not m[3] and name in OPAQUE:
+                close = _ENDS[name].search(page, end + 1)
+                at = close.end() if close else len(page)
+                yield m.start(), at, None, False, ""
+            else:
+                at = end + 1
+                yield m.start(), at, name, bool(m[3]), page[m.end() : end]
+        if m and m[1]:  # a comment that nothing ends
+            yield m.start(), len(page), None, False, ""
+
+
+@dataclass(frozen=True, eq=False)
+class Place:
+    """An open element and what is open above it, told once for all blocks inside."""
+
+    tag: str = ""
+    up: "Place | None" = None
+    depth: int = 0
+    names: frozenset[str] = frozenset()
+    inner: tuple[str, ...] = ()  # the last three block-level tags
+    blocks: int = 0  # how many of these there are
+    within: frozenset[str] = frozenset()  # all of these but the last
+    holder: str = "none"
+    body: bool = False
+    path: int = 0  # the same for the same tags
+    near: tuple["Place | None", ...] = (None,) * len(GROUPS)  # by group: what is open of it
+
+
+ROOT = Place()
+
+
 @dataclass
 class Block:
     text: str
-    tags: tuple[str, ...]
-    names: frozenset[str]
+    place: Place
     linked: int  # characters inside links
 
 
+class _Open:
+    """The open elements of a page; every step costs the same however deep they stand."""
+
+    def __init__(self):
+        self.top, self.count, self.paths, self.links = ROOT, Counter(), {}, 0
+        self.heads: list[Place] = []
+
+    def begin(self, tag: str, names: frozenset[str]) -> None:
+        up = self.top
+        block = tag in BLOCKS
+        within = up.within
+        if block and up.inner and up.inner[-1] not in within:
+            within = within | {up.inner[-1]}
+        path = self.paths.setdefault((up.path, tag), len(self.paths) + 1)
+        place = Place(tag, up, up.depth + 1, up.names if names <= up.names else up.names | names, (*up.inner, tag)[-3:] if block else up.inner, up.blocks + block, within, tag if up.holder == "none" and tag in HOLDERS else up.holder, up.body or tag == "body", path)
+        object.__setattr__(place, "near", up.near if tag not in GROUPED else tuple(place if tag in group else None if tag in stop else n for n, (group, stop) in zip(up.near, GROUPS, strict=True)))
+        self.top = place
+        self.count[tag] += 1
+        self.links += tag == "a"
+        if tag == "head" and place.depth <= 2:
+            self.heads.append(place)
+
+    def pop(self) -> Place:
+        out, self.top = self.top, self.top.up
+        self.count[out.tag] -= 1
+        self.links -= out.tag == "a"
+        if self.heads and self.heads[-1] is out:
+            self.heads.pop()
+        return out
+
+    def end(self, tag: str) -> None:
+        while self.count[tag] and self.pop().tag != tag:
+            pass
+
+    def end_like(self, tag: str) -> None:
+        """What cannot hold the tag that begins ends first."""
+        place = self.top.near[OF_GROUP[tag]]
+        while place is not None and place.depth <= self.top.depth:
+            self.pop()
+
+
 def leaf_blocks(page: str | None) -> list[Block]:
     """The text blocks of a page in order."""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = []
     parts: list[str] = []
-    linked = links = 0
+    stack, linked = _Open(), 0
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
-            if text:
-                out.append(Block(text, tuple(t for t, _ in stack), frozenset().union(*(n for _, n in stack)), linked))
+            if text and (stack.top.body or not stack.heads):
+                out.append(Block(text, stack.top, linked))
             parts.clear()
         linked = 0
 
-    def close(name: str) -> None:
-        nonlocal links
-        while stack:
-            last = stack.pop()[0]
-            links -= last == "a"
-            if last == name:
-                return
-
     def end_head() -> None:
-        if any(t == "head" for t, _ in stack[:2]):
+        if stack.heads:
             flush()
-            close("head")
+            stack.end("head")
+
+    def add(text: str) -> None:
+        nonlocal linked
+        if not text.isspace():
+            end_head()
+        parts.append(text)
+        linked += len(text) if stack.links else 0
 
     at, page = 0, page or ""
-    for m in _TAG.finditer(page):
-        if m.start() > at:
-            if not page[at : m.start()].isspace():
-                end_head()
-            parts.append(page[at : m.start()])
-            if links:
-                linked += m.start() - at
-        at = m.end()
-        ended, name, rest = m[2], m[3], m[4]
+    for start, end, name, ended, rest in Tags(page):
+        if start > at:
+            add(page[at:start])
+        at = end
         if name is None:
             continue
-        name = name.lower()
         if not ended and name not in IN_HEAD:
             end_head()
         if name in BLOCKS:
@@ -105,40 +218,30 @@ def leaf_blocks(page: str | None) -> list[Block]:
         elif name == "br":
             parts.append(" ")
         if ended:
-            if any(t == name for t, _ in stack):
-                close(name)
+            stack.end(name)
         elif name not in VOID and not rest.endswith("/"):
-            if name in CLOSES:
-                group, stop = CLOSES[name]
-                for t, _ in reversed(stack):
-                    if t in group:
-                        close(t)
-                        break
-                    if t in stop:
-                        break
+            if name in OF_GROUP:
+                stack.end_like(name)
             names = frozenset(w for x in _NAMES.findall(rest) for w in _WORDS.findall("".join(x).lower()) if w in TELLING) if rest else frozenset()
-            stack.append((name, names))
-            links += name == "a"
+            stack.begin(name, names)
     if at < len(page):
-        if not page[at:].isspace():
-            end_head()
-        parts.append(page[at:])
+        add(page[at:])
     flush()
-    return [b for b in out if "head" not in b.tags[:2] or "body" in b.tags]
+    return out
 
 
 def describe(blocks: list[Block]) -> list[list[str]]:
     """Feature names of each block."""
     out = []
     for i, b in enumerate(blocks):
-        inner = [t for t in b.tags if t in BLOCKS]
+        place = b.place
+        inner = place.inner
         own = inner[-1] if inner else "none"
         words = b.text.count(" ") + 1
         f = ["bias", f"own={own}", f"parent={inner[-2] if len(inner) > 1 else 'none'}", f"words={min(words.bit_length(), 8)}", f"links={min(4, int(4 * b.linked / len(b.text)))}"]
-        f.append("path=" + "/".join(inner[-3:]))
-        about = next((t for t in inner if t in HOLDERS), "none")
-        f += [f"holder={about}", f"holder={about},own={own},{'named' if b.names else 'plain'}"]
-        f += [f"in={t}" for t in set(inner[:-1])] + [f"name={n}" for n in b.names]
+        f.append("path=" + "/".join(inner))
+        f += [f"holder={place.holder}", f"holder={place.holder},own={own},{'named' if place.names else 'plain'}"]
+        f += [f"in={t}" for t in place.within] + [f"name={n}" for n in place.names]
         f.append("stop" if b.text[-1] in ".!?…:;\"'»”" else "open")
         f.append(f"stops={min(3, sum(map(b.text.count, '.!?')))}")
         if "©" in b.text or "(c)" in b.text.lower():
@@ -148,7 +251,7 @@ def describe(blocks: list[Block]) -> list[list[str]]:
         if own in ("h1", "h2", "h3", "h4", "h5", "h6"):
             f.append("heading")
         f.append("first" if i == 0 else "last" if i == len(blocks) - 1 else "inside")
-        if i and blocks[i - 1].tags == b.tags:
+        if i and blocks[i - 1].place.path == place.path:
             f.append("alike")
         out.append(f)
     return out
