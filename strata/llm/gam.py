@@ -7,7 +7,7 @@ a sum of table entries.
 
 Edge cases: a null text counts as empty and has all features 0; without labelled rows, or with
 one class only, the score is the smoothed share of that class; repeated label rows count each;
-empty tables give no rows; columns beside the named ones play no part.
+a null id is not held out; empty tables give no rows; columns beside the named ones play no part.
 """
 
 from __future__ import annotations
@@ -207,7 +207,7 @@ def op9_quality_gam(spark, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(fold(F.col("doc_id"), 4) != 2)
     features = scratch.table(with_features(docs), "features")
     out = scored(features, fit_quality(features, labels))
-    return out.select(F.col("id").alias("doc_id"), (fold(F.col("id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return out.select(F.col("id").alias("doc_id"), F.coalesce(fold(F.col("id"), 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def keep_by_quality(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:

@@ -7,8 +7,8 @@ The weights found, normalised by the length of the text, give the score.
 
 Edge cases: a null or empty text has no match and scores as matchless texts do; without
 labelled rows the lexicon is empty and every score is the smoothed share of label 1; copies of a
-text with the same label count once, labels without a document not at all; empty tables give no
-rows; other columns play no part.
+text with the same label count once, labels without a document not at all; a null id is not held
+out; empty tables give no rows; other columns play no part.
 """
 
 from __future__ import annotations
@@ -16,8 +16,10 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -97,7 +99,13 @@ class Lexicon:
                 spared.append((start, end))
             elif len(what) > len(found.get(start, "")):
                 found[start] = what
-        return [(s, w[1:]) for s, w in found.items() if not any(a <= s and s + len(w) - 2 <= b for a, b in spared)]
+        if not spared:
+            return [(s, w[1:]) for s, w in found.items()]
+        spared.sort()
+        starts = [a for a, _ in spared]
+        reach = list(accumulate((b for _, b in spared), max))  # how far phrases reach that begin at or before a start
+        covered = lambda s, end: (k := bisect_right(starts, s)) and end <= reach[k - 1]
+        return [(s, w[1:]) for s, w in found.items() if not covered(s, s + len(w) - 2)]
 
     def measures(self, text: str | None) -> tuple[float, float]:
         t = folded(text)
@@ -218,4 +226,4 @@ def op6_toxicity_lexicon(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(fold_of(F.col("doc_id"), 3) != 1)
     out = scored(docs, learn(docs, labels))
-    return out.select(F.col("id").alias("doc_id"), (fold_of(F.col("id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return out.select(F.col("id").alias("doc_id"), F.coalesce(fold_of(F.col("id"), 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
