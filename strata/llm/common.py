@@ -12,7 +12,10 @@ from pyspark.sql import Window as W
 
 from ..scratch import Scratch, shared_dir
 
-__all__ = ["NOT_SPACE", "SPACE", "Scratch", "WordIds", "distinct_counts", "in_chunks", "mix", "passed", "ranked", "shared_dir", "small_batches"]
+__all__ = ["MAX_SENT", "NOT_SPACE", "SPACE", "Scratch", "WordIds", "distinct_counts", "in_chunks", "in_one", "mix", "passed", "ranked", "row_hash", "shared_dir", "small_batches"]
+
+#: Rows of a few numbers that are sent to all executors, at most (some tens of MB); more are joined by shuffles.
+MAX_SENT = 500_000
 
 #: White space of every contract here: space and the code points 9 to 13.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -42,6 +45,18 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], unique: Column,
     return out.select(*keep, (F.col("_within") + F.col("_before")).cast("long").alias(name), F.col(f"{name}_n"))
 
 
+def in_one(df: DataFrame, *beside: str) -> DataFrame:
+    """(row, beside...): the other columns in a struct, so that no name of theirs can meet another."""
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in beside]
+    return df.select((F.struct(*rest) if rest else F.struct(F.lit(0).alias("_"))).alias("row"), *beside)
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A 64-bit hash of all columns: equal for repeated rows. Maps, which have no order, are hashed as JSON."""
+    plain = lambda f: F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() or "variant" in f.dataType.simpleString() else F.col(f"`{f.name}`")
+    return F.xxhash64(*map(plain, df.schema.fields)) if df.columns else F.lit(0).cast("long")
+
+
 @contextmanager
 def small_batches(spark, size: str = "16m"):
     """Arrow batches of at most `size` for the jobs run inside: a worker holds a batch and its Python strings at a time."""

@@ -8,8 +8,8 @@ one aggregation over counts by (source, size). Rates then become whole copies, 0
 
 Edge cases: a null text has size 0 and is never taken; a null source is a source, last in
 order; sources without words have target 0; a source at twice its size takes all twice; ties
-go by a hash of the id; repeated rows are rows; empty tables give no rows; columns beside the
-named ones play no part.
+go by a hash of the id, then by the id, then by a hash of the text; repeated rows are rows, and so are rows without an id or of one
+id; empty tables give no rows; columns beside the named ones, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -20,10 +20,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Scratch
+from .common import MAX_SENT, Scratch, row_hash
 
 #: Weights by the order of the sources, repeating.
 WEIGHTS = (5, 2, 1)
+#: A column name that documents do not use.
+KEY = "__mixing_key"
 
 
 def word_count(text: Column) -> Column:
@@ -102,15 +104,16 @@ def whole_copies(sizes: np.ndarray, n: np.ndarray, rates: np.ndarray, target: fl
 
 
 def balanced_copies(docs: DataFrame, salts: int = 64) -> DataFrame:
-    """(id, size, source, source_size, target, rate, copies) of docs (id, source, size).
+    """(id, size, source, source_size, target, rate, copies) of docs (id, source, size), and `mark` and `row` if they have these.
 
     All stages but the last work on counts by (source, size). One source may hold a third of
     all rows and one size of it as many: counts add up before any shuffle, and documents are
-    dealt over `salts` parts of each (source, size).
+    dealt over `salts` parts of each (source, size), by id and mark, as many may have one id.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    salt = F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")
+    marks = [c for c in ("mark", "row") if c in docs.columns]
+    salt = F.pmod(F.xxhash64("id", *marks[:1]), F.lit(salts)).cast("int")
     # A key without nulls, so that joins on the source are plain equalities.
     sid = F.when(F.col("source").isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.col("source")))
     parts = scratch.table(docs.groupBy(sid.alias("sid"), "size", salt.alias("salt")).agg(F.count(F.lit(1)).alias("n")), "parts")
@@ -134,33 +137,39 @@ def balanced_copies(docs: DataFrame, salts: int = 64) -> DataFrame:
     rounded = scratch.table(known.groupBy("sid").applyInPandas(round_source, "sid string, size long, n long, source_size long, target double, rate double, taken long"), "rounded")
     before = W.partitionBy("sid", "size").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
     parts = parts.select("sid", "size", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")).join(rounded.hint("merge"), ["sid", "size"])
-    ranks = docs.select("id", "source", "size", sid.alias("sid"), salt.alias("salt"))
-    ranks = ranks.withColumn("within", F.row_number().over(W.partitionBy("sid", "size", "salt").orderBy(F.xxhash64("id"), "id")) - 1)
+    ranks = docs.select("id", "source", "size", *marks, sid.alias("sid"), salt.alias("salt"))
+    ranks = ranks.withColumn("within", F.row_number().over(W.partitionBy("sid", "size", "salt").orderBy(F.xxhash64("id"), "id", *marks)) - 1)
     out = ranks.join(parts.hint("merge"), ["sid", "size", "salt"])
     extra = F.when(F.col("before") + F.col("within") < F.col("taken") % F.col("n"), 1).otherwise(0)
-    return out.select("id", "size", "source", "source_size", "target", "rate", (F.expr("taken div n") + extra).cast("long").alias("copies"))
+    return out.select("id", "size", "source", *marks, "source_size", "target", "rate", (F.expr("taken div n") + extra).cast("long").alias("copies"))
 
 
 def op3_entropy_mix(spark, sf_dir: str) -> DataFrame:
     """The mix of all documents: words taken of each."""
     scratch = Scratch(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    sized = scratch.table(docs.select(F.col("doc_id").alias("id"), "source", word_count(F.col("text")).alias("size")), "sized")
+    sized = scratch.table(docs.select(F.col("doc_id").alias("id"), "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("mark")), "sized")
     out = balanced_copies(sized)
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "rate", "copies")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """docs with each row as often as the mix takes it."""
+    """docs with each row as often as the mix takes it.
+
+    Rows are known by a hash of all their columns. Where the numbers of copies are few enough
+    they are sent to the rows, and the texts stay in place; else the texts are dealt out once.
+    """
     scratch = Scratch(docs.sparkSession)
-    sized = scratch.table(docs.select(F.col("doc_id").alias("id"), "source", word_count(F.col("text")).alias("size")), "sized")
-    # Rows of one id and size may be several: they share the list of that key's copies. The key
-    # has no nulls, so that the join and the numbering need the texts dealt out once only.
-    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
-    copies = balanced_copies(sized).groupBy(key("id").alias("_key"), F.col("size").alias("_size")).agg(F.sort_array(F.collect_list("copies")).alias("_copies"))
-    keyed = docs.withColumn("_key", key("doc_id")).withColumn("_size", word_count(F.col("text")))
-    joined = keyed.join(copies.hint("merge"), ["_key", "_size"])
-    row = F.row_number().over(W.partitionBy("_key", "_size").orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))))
-    numbered = joined.withColumn("_times", F.get("_copies", row - 1)).where("_times > 0")
-    repeated = numbered.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
-    return repeated.select(*(F.col(f"`{c}`") for c in docs.columns))
+    sized = scratch.table(docs.select(F.col("doc_id").alias("id"), "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("mark"), row_hash(docs).alias("row")), "sized")
+    copies = balanced_copies(sized).groupBy("row").agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("copies"))
+    copies = scratch.table(copies.select(F.col("row").alias(KEY), F.col("n").alias(f"{KEY}_n"), F.col("copies").alias(f"{KEY}_copies")).where(f"{KEY}_copies > 0"), "copies")
+    sent = lambda df: F.broadcast(df) if df.count() <= MAX_SENT else df.hint("merge")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.withColumn(KEY, row_hash(docs))
+    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col(f"{KEY}_copies"))).alias(f"{KEY}_time")
+    out = keyed.join(sent(copies.where(f"{KEY}_n = 1")), KEY).select(*columns, times).select(*columns)
+    repeated = copies.where(f"{KEY}_n > 1")
+    if repeated.limit(1).count():  # repeated rows share their copies: one stands for all
+        one = keyed.join(sent(repeated.select(KEY)), KEY, "left_semi").groupBy(KEY).agg(F.first(F.struct(*columns)).alias(f"{KEY}_row"))
+        out = out.unionByName(one.join(repeated, KEY).select(f"{KEY}_row.*", times).select(*columns))
+    return out

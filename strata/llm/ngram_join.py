@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 from xxhash import xxh3_64_intdigest
 
-from .common import Scratch, WordIds, distinct_counts, in_chunks, mix, small_batches
+from .common import MAX_SENT, Scratch, WordIds, distinct_counts, in_chunks, mix, row_hash, small_batches
 
 #: Frequent shingles whose counts order the others, at most; fewer or more change speed, never results.
 MAX_FREQUENT = 1 << 19
@@ -41,8 +41,6 @@ LONG_LIST = 12
 LEADER_ROUNDS, LEADERS = 3, 3
 #: Classes that a task remembers having given, at most.
 MAX_SEEN = 500_000
-#: Rows of at most three longs that are sent to all executors, at most; more are joined by shuffles.
-MAX_SENT = 500_000
 #: Longs of the short sketch that lists carry. Sets of more shingles than NARROW go without: it bounds nothing for them.
 SHORT_SKETCH, NARROW = 4, 800
 #: A column name that documents do not use.
@@ -465,6 +463,6 @@ def keep_first_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     if repeated.limit(1).count():
         again = numbered.join(sent(repeated), ROW, "left_semi")
         columns = [F.col(f"`{c}`") for c in docs.columns]
-        one = again.groupBy(ROW).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias(f"{ROW}_one"))
+        one = again.groupBy(ROW).agg(F.min_by(F.struct(*columns), row_hash(docs)).alias(f"{ROW}_one"))
         out = out.unionByName(one.select(f"{ROW}_one.*"))
     return out

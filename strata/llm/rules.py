@@ -2,7 +2,8 @@
 
 Edge cases: a null text counts as empty: every statistic is 0 and the base rule fails; a
 ratio over nothing is 0; without labels the list is empty and keeps what the base keeps;
-repeated label rows count each; columns beside the named ones pass through untouched.
+repeated label rows count each; a row without an id has no label; columns beside the named ones,
+whatever their names, pass through untouched; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -10,10 +11,11 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, SPACE, Scratch, passed
+from .common import MAX_SENT, NOT_SPACE, SPACE, Scratch, in_one, passed
 
 WINDOW = 8
 #: The statistics that rules may test, from the base columns.
@@ -26,7 +28,7 @@ def call(name: str, *args: Column) -> Column:
 
 
 def add_statistics(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with struct `_q` of the base statistics and the ratios.
+    """df with structs `_q` of the base statistics and `_f` of the ratios; df has no columns that begin with `_`.
 
     Repeated windows are found without leaving the row: window hashes, with the position in
     their low bits, are sorted, and equal neighbours mark the windows that occur again.
@@ -99,50 +101,54 @@ class Cells:
     """Counts of good and bad labelled documents by binned features: all that learning sees."""
 
     def __init__(self, rows: list[tuple], borders: list[list[float]]):
-        self.rows, self.borders = rows, borders  # (bins, bad, good, part)
+        """rows: (bins, bad, good, part), where part 0 grows rules and part 1 prunes them."""
+        self.borders = borders
+        self.bins = np.array([r[0] for r in rows], np.int16).reshape(len(rows), len(borders))
+        self.counts = np.array([r[1:3] for r in rows], np.int64).reshape(len(rows), 2)
+        self.part = np.array([r[3] for r in rows], np.int8)
 
-    def holds(self, bins: tuple[int, ...], test: Test) -> bool:
-        return (bins[test.feature] > self.borders[test.feature].index(test.border)) == test.above
+    def holds(self, test: Test) -> np.ndarray:
+        return (self.bins[:, test.feature] > self.borders[test.feature].index(test.border)) == test.above
 
-    def counts(self, tests: list[Test], rows: list[tuple]) -> tuple[int, int]:
-        bad = good = 0
-        for bins, b, g in rows:
-            if all(self.holds(bins, t) for t in tests):
-                bad, good = bad + b, good + g
-        return bad, good
+    def covered(self, tests: list[Test]) -> np.ndarray:
+        out = np.ones(len(self.part), bool)
+        for t in tests:
+            out &= self.holds(t)
+        return out
 
+    def sums(self, rows: np.ndarray) -> tuple[int, int]:
+        """(bad, good) of chosen cells."""
+        bad, good = self.counts[rows].sum(0) if len(rows) else (0, 0)
+        return int(bad), int(good)
 
-def grow(cells: Cells, rows: list[tuple], longest: int) -> list[Test]:
-    """Adds the test of the largest information gain until no good document is covered or nothing is gained."""
+
+def grow(cells: Cells, rows: np.ndarray, longest: int) -> list[Test]:
+    """Adds the test of the largest information gain until no good document is covered or nothing is gained. rows: a mask of cells."""
     tests: list[Test] = []
     while len(tests) < longest:
-        bad, good = cells.counts([], rows)
+        bad, good = cells.sums(rows)
         if not bad or not good and tests:
             break
         had, best, chosen = math.log2(bad / (bad + good)), 0.0, None
         for j, borders in enumerate(cells.borders):
-            by_bin: dict[int, list[int]] = {}
-            for bins, b, g in rows:
-                x = by_bin.setdefault(bins[j], [0, 0])
-                x[0] += b
-                x[1] += g
+            by_bin = np.stack([np.bincount(cells.bins[rows, j], cells.counts[rows, i], len(borders) + 1) for i in (0, 1)])
             for k, border in enumerate(borders):
-                up = [sum(x[i] for n, x in by_bin.items() if n > k) for i in (0, 1)]
-                for above, (b, g) in ((True, up), (False, [bad - up[0], good - up[1]])):
+                up = by_bin[:, k + 1 :].sum(1)
+                for above, (b, g) in ((True, up), (False, (bad - up[0], good - up[1]))):
                     if b and (gain := b * (math.log2(b / (b + g)) - had)) > best + 1e-9:
                         best, chosen = gain, Test(j, border, above)
         if not chosen:
             break
         tests.append(chosen)
-        rows = [r for r in rows if cells.holds(r[0], chosen)]
+        rows = rows & cells.holds(chosen)
     return tests
 
 
-def prune(cells: Cells, tests: list[Test], rows: list[tuple]) -> list[Test]:
+def prune(cells: Cells, tests: list[Test], rows: np.ndarray) -> list[Test]:
     """The beginning of the rule that is worth most on the documents kept aside."""
 
     def worth(part: list[Test]) -> float:
-        bad, good = cells.counts(part, rows)
+        bad, good = cells.sums(rows & cells.covered(part))
         return (bad - good) / (bad + good) if bad + good else -1.0
 
     return max((tests[:k] for k in range(len(tests), 0, -1)), key=worth, default=[])
@@ -150,39 +156,69 @@ def prune(cells: Cells, tests: list[Test], rows: list[tuple]) -> list[Test]:
 
 def cover(cells: Cells, precision: float = 0.95, least: int = 3, most_rules: int = 16, longest: int = 4) -> list[list[Test]]:
     """Sequential covering: grow a rule for bad documents, prune it, take what it covers away, until a rule is no longer sure."""
-    growing, keeping = ([r[:3] for r in cells.rows if r[3] == part] for part in (0, 1))
+    left = np.ones(len(cells.part), bool)
     rules: list[list[Test]] = []
     while len(rules) < most_rules:
-        tests = prune(cells, grow(cells, growing, longest), keeping)
+        tests = prune(cells, grow(cells, left & (cells.part == 0), longest), left & (cells.part == 1))
         if not tests:
             break
-        bad, good = (sum(x) for x in zip(cells.counts(tests, growing), cells.counts(tests, keeping), strict=True))
+        hit = left & cells.covered(tests)
+        bad, good = cells.sums(hit)
         if bad < least or bad < precision * (bad + good):
             break
         rules.append(tests)
-        left = lambda rows, tests=tests: [r for r in rows if not all(cells.holds(r[0], t) for t in tests)]
-        growing, keeping = left(growing), left(keeping)
+        left &= ~hit
     return rules
 
 
+def best_cuts(cuts: list[float], bad: list[int], good: list[int], most: int) -> list[float]:
+    """At most `most` of the cuts, each in turn the one that takes most entropy out of the labels. bad and good: counts between the cuts."""
+
+    def entropy(lo: int, hi: int) -> float:
+        b, g = sum(bad[lo:hi]), sum(good[lo:hi])
+        return -sum(x * math.log2(x / (b + g)) for x in (b, g) if x)
+
+    chosen: list[int] = []
+    while len(chosen) < min(most, len(cuts)):
+        edges = [0, *sorted(k + 1 for k in chosen), len(cuts) + 1]
+        gains = []
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            gains += [(entropy(lo, hi) - entropy(lo, k + 1) - entropy(k + 1, hi), -k) for k in range(lo, hi - 1)]
+        gain, k = max(gains)
+        if gain <= 1e-9:
+            break
+        chosen.append(-k)
+    return [cuts[k] for k in sorted(chosen)]
+
+
 def learn_rules(featured: DataFrame, labels: DataFrame, id_column: str = "doc_id", bins: int = 6) -> list[list[Test]]:
-    """Rules from `_f` of labelled documents. The driver gets quantiles and at most bins ** features counts by cell."""
-    known = labels.where(F.col("quality").isin(0, 1)).select(F.col(id_column).alias("_id"), F.col("quality").alias("_y"))
-    rows = featured.select(F.col(id_column).alias("_id"), "_f").join(known.hint("merge"), "_id").select("_id", "_y", "_f.*")
+    """Rules from `_f` of labelled documents. The driver gets quantiles, counts by feature, and at most 2 * bins ** features counts by cell."""
+    scratch = Scratch(featured.sparkSession)
+    rows = scratch.table(with_labels(featured.select(F.col(id_column).alias("_id"), "_f"), labels, id_column).select("_id", "_y", "_f.*"), "labelled")
     at = [0.02, 0.1, 0.5, 0.9, 0.98]
     asked = [F.percentile_approx(F.when(F.col("_y") == y, F.col(f)), at, 1000).alias(f"{f}_{y}") for f in FEATURES for y in (0, 1)]
     found = rows.agg(*asked).first()
     borders = []
     for j in range(len(FEATURES)):
-        bad, good = (sorted(found[2 * j + y] or []) for y in (0, 1))
         # Between the classes' quantiles lie the cuts that can part them.
-        both = sorted({*bad, *good})
-        cuts = sorted({(a + b) / 2 for a, b in zip(both, both[1:], strict=False)})
-        borders.append(cuts)
-    binned = [passed(cuts, F.col(f)).alias(f"b_{f}") for f, cuts in zip(FEATURES, borders, strict=True)]
+        both = sorted({*(found[2 * j] or []), *(found[2 * j + 1] or [])})
+        borders.append(sorted({(a + b) / 2 for a, b in zip(both, both[1:], strict=False)}))
+    number = lambda b: [passed(cuts, F.col(f)).alias(f"b_{f}") for f, cuts in zip(FEATURES, b, strict=True)]
+    by_label = lambda g: g.agg(F.count_if(F.col("_y") == 0).alias("bad"), F.count_if(F.col("_y") == 1).alias("good"))
+    single = rows.select(F.explode(F.array(*(F.struct(F.lit(j).alias("j"), c.alias("bin")) for j, c in enumerate(number(borders))))).alias("at"), "_y")
+    seen = {(r["j"], r["bin"]): (r["bad"], r["good"]) for r in by_label(single.groupBy("at.j", "at.bin")).collect()}
+    for j, cuts in enumerate(borders):
+        bad, good = ([seen.get((j, k), (0, 0))[i] for k in range(len(cuts) + 1)] for i in (0, 1))
+        borders[j] = best_cuts(cuts, bad, good, bins - 1)
     part = F.when(F.pmod(F.xxhash64("_id"), F.lit(3)) == 0, 1).otherwise(0).alias("_part")
-    counted = rows.select(*binned, part, "_y").groupBy(*(f"b_{f}" for f in FEATURES), "_part").agg(F.count_if(F.col("_y") == 0).alias("bad"), F.count_if(F.col("_y") == 1).alias("good"))
-    return cover(Cells([(tuple(r[: len(FEATURES)]), r["bad"], r["good"], r["_part"]) for r in counted.collect()], borders))
+    counted = by_label(rows.select(*number(borders), part, "_y").groupBy(*(f"b_{f}" for f in FEATURES), "_part"))
+    return cover(Cells([(tuple(r[: len(FEATURES)]), r["bad"], r["good"], r["_part"]) for r in counted.orderBy(*counted.columns).collect()], borders))
+
+
+def with_labels(rows: DataFrame, labels: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """rows (_id, ...) that have a label, with `_y`. Labels are sent to the rows if they are few enough."""
+    known = labels.where(F.col("quality").isin(0, 1) & F.col(id_column).isNotNull()).select(F.col(id_column).alias("_id"), F.col("quality").alias("_y"))
+    return rows.join(F.broadcast(known) if known.count() <= MAX_SENT else known.hint("merge"), "_id")
 
 
 def verdict(rules: list[list[Test]], f: Column) -> Column:
@@ -208,9 +244,14 @@ def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_by_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that neither the base nor the learned rules reject, with their columns as they were."""
-    featured = add_statistics(docs)
-    rules = learn_rules(featured, labels)
+    """The documents that neither the base nor the learned rules reject, with their columns as they were. Rules are learned from the labelled documents alone."""
+    few = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    texts = docs.select("doc_id", "text")
+    # Many labels would be joined by a shuffle of texts; then the statistics of all are the lesser cost.
+    learned_from = texts.join(F.broadcast(few), "doc_id", "left_semi") if few.count() <= MAX_SENT else texts
+    rules = learn_rules(add_statistics(learned_from).drop("text"), labels)
+    featured = add_statistics(in_one(docs, "text"))
     # Catalyst does not push a filter below the generator, where it would copy the statistics' expressions into every condition.
-    told = featured.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode_outer(F.array(F.struct("_q", "_f"))).alias("_told"))
-    return told.where(~base_failed(F.col("_told._q")) & verdict(rules, F.col("_told._f"))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    told = featured.select("row", "text", F.explode_outer(F.array(F.struct("_q", "_f"))).alias("_told"))
+    kept = told.where(~base_failed(F.col("_told._q")) & verdict(rules, F.col("_told._f")))
+    return kept.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))
