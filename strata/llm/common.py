@@ -58,7 +58,7 @@ def row_hash(df: DataFrame) -> Column:
 
 
 @contextmanager
-def small_batches(spark, size: str = "16m"):
+def small_batches(spark, size: str = "8m"):
     """Arrow batches of at most `size` for the jobs run inside: a worker holds a batch and its Python strings at a time."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(name)
@@ -79,7 +79,7 @@ def passed(borders: list, value: Column, strictly: bool = False) -> Column:
 class WordIds(dict):
     """63-bit hashes of words (bytes), remembered up to a bound."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         from xxhash import xxh3_64_intdigest

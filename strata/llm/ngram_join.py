@@ -40,7 +40,7 @@ MAX_FREQUENT = 1 << 19
 LONG_LIST = 12
 LEADER_ROUNDS, LEADERS = 3, 3
 #: Classes that a task remembers having given, at most.
-MAX_SEEN = 500_000
+MAX_SEEN = 200_000
 #: Longs of the short sketch that lists carry. Sets of more shingles than NARROW go without: it bounds nothing for them.
 SHORT_SKETCH, NARROW = 4, 800
 #: A column name that documents do not use.
@@ -90,7 +90,7 @@ def frequent_shingles(docs: DataFrame, k: int, most: int = MAX_FREQUENT) -> tupl
 
     def run(batches):
         words = WordIds()
-        for _, texts in in_chunks(batches, "text", 16_000_000):
+        for _, texts in in_chunks(batches, "text"):
             sets = [shingles(words.of(t), k) for t in set(texts)]
             value, count = distinct_counts(np.concatenate(sets) if sets else np.empty(0, np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(signed(value[count > 1])), pa.array(count[count > 1])], ["s", "n"])
