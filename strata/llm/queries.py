@@ -1,18 +1,42 @@
-"""The queries of this subpackage, and the SQL of those that SQL can express."""
+"""The queries of this subpackage, and the SQL of those that SQL can express.
+
+The ten operators' results are beyond SQL (hash functions, iteration, learned models). The
+parts of two that are not have queries of their own: the base columns of operator 10 and the
+targets of operator 3.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from .gam import op9_quality_gam
 from .hilbert import op1_hilbert_shards
 from .html_crf import op8_crf_extraction
 from .kneser_ney import op5_kneser_ney, op5_kneser_ney_trigram
 from .mih import op2_multi_index_hashing
-from .mixing import op3_entropy_mix
+from .mixing import op3_entropy_mix, with_targets, word_count
 from .ngram_join import op4_adaptive_ngram_join
 from .packing import op7_complement_packing
-from .rules import op10_quality_rules
+from .rules import BASE, add_statistics, base_failed, op10_quality_rules
 from .toxicity import op6_toxicity_lexicon
 
+
+def rules_base_columns(spark, sf_dir: str):
+    """The statistics of all documents that operator 10 tests, and the base rule."""
+    featured = add_statistics(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    q = F.col("_q")
+    return featured.select("doc_id", *(q[c].alias(c) for c in BASE), base_failed(q).alias("base_failed"))
+
+
+def mix_targets(spark, sf_dir: str):
+    """The size and the target (to a thousandth of a word) of each source in operator 3's mix."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", word_count(F.col("text")).alias("size"))
+    sources = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
+    return with_targets(sources).select("source", "source_size", F.round("target", 3).alias("target"))
+
+
+_WORDS = r"[^\x20\x09-\x0D]+"
+
 QUERIES = {
     "op1_hilbert_shards": op1_hilbert_shards,
     "op2_multi_index_hashing": op2_multi_index_hashing,
@@ -25,6 +49,23 @@ QUERIES = {
     "op8_crf_extraction": op8_crf_extraction,
     "op9_quality_gam": op9_quality_gam,
     "op10_quality_rules": op10_quality_rules,
+    "rules_base_columns": rules_base_columns,
+    "mix_targets": mix_targets,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "rules_base_columns": rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{_WORDS}')) AS lines FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d)),
+r AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+p AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, range(0, 8) x(k) GROUP BY doc_id),
+s AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words FROM d LEFT JOIN p USING (doc_id))
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM s""",
+    # The sources before a point, in the order of twice their size by weight, are full; the level of the others follows.
+    "mix_targets": rf"""
+WITH s AS (SELECT source, CAST(sum(len(regexp_extract_all(coalesce(text, ''), '{_WORDS}'))) AS BIGINT) AS source_size FROM documents GROUP BY source),
+w AS (SELECT *, CAST([5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS weight FROM s),
+a AS (SELECT x.source AS at, 2.0 * any_value(x.source_size) / any_value(x.weight) AS level, (1.5 * (SELECT sum(source_size) FROM s) - sum(CASE WHEN y.source_size / y.weight < x.source_size / x.weight THEN 2.0 * y.source_size ELSE 0 END)) / sum(CASE WHEN y.source_size / y.weight < x.source_size / x.weight THEN 0 ELSE y.weight END) AS open_level FROM w x, w y GROUP BY x.source),
+l AS (SELECT min(open_level) AS final FROM (SELECT open_level FROM a WHERE level > open_level ORDER BY level LIMIT 1))
+SELECT source, source_size, round(greatest(0, least(2.0 * source_size, coalesce(final * weight, 2.0 * source_size))), 3) AS target FROM w, l""",
+}
