@@ -7,6 +7,7 @@ mostly links; what stays is written as Markdown.
 
 from __future__ import annotations
 
+from collections import Counter
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -15,17 +16,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from .text import clean
 
-#: Ids on which single-page applications mount.
+# The ids on which single-page applications mount, and the tags that hold headings,
+# content and what is never text.
 MOUNT_IDS = ("app", "__nuxt", "__next", "root", "q-app", "___gatsby", "svelte")
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 CONTENT = ("p", "li", "td", "th", "blockquote", "figcaption", "dd", "dt")
 JUNK = ("script", "style", "noscript", "template")
 CHROME = ("nav", "footer", "aside", "form", "button", "select", "header", "menu", "dialog")
+#: What an image's surrounding text is taken from.
+AROUND = frozenset(("figure", "p", "div", "section"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 LINE = frozenset((*HEADINGS, *CONTENT, "div", "section", "article", "main", "tr", "table", "ul", "ol", "dl", "pre", "figure", "body"))
 
 
-
 def _struct(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(k, v) for k, v in fields.items()])
 
@@ -51,91 +54,115 @@ LIKE = {
 
 
 class _Node:
-    __slots__ = ("tag", "attrs", "parent", "parts", "pos", "linked")
+    """An element: where its text lies in the page's, and what is known of the elements around it."""
 
-    def __init__(self, tag, attrs, parent, pos):
-        self.tag, self.attrs, self.parent, self.pos = tag, attrs, parent, pos
-        self.parts: list[str] = []
-        self.linked = 0
+    __slots__ = ("tag", "attrs", "start", "end", "linked", "is_body", "in_body", "in_chrome", "in_content", "in_item", "figure", "around", "caption")
 
-    def ancestors(self):
-        node = self.parent
-        while node is not None:
-            yield node
-            node = node.parent
+    def __init__(self, tag: str, attrs: dict[str, str], up: "_Node | None", start: int, linked: int):
+        self.tag, self.attrs, self.start, self.end, self.linked = tag, attrs, start, None, linked
+        self.caption: _Node | None = None
+        self.is_body = False  # true of a page's first body
+        if up is None:
+            self.in_body = self.in_chrome = self.in_content = self.in_item = False
+            self.figure = self.around = None
+            return
+        self.in_body = up.in_body or up.is_body
+        self.in_chrome = up.in_chrome or up.tag in CHROME
+        self.in_content = up.in_content or up.tag in CONTENT
+        self.in_item = up.in_item or up.tag == "li"
+        self.figure = up if up.tag == "figure" else up.figure
+        self.around = up if up.tag in AROUND else up.around
 
 
 class _Page(HTMLParser):
-    """Keeps the open elements; a text goes to each of them."""
+    """Keeps the open elements and one list of texts, in which each element has a beginning and an end."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = _Node("", {}, None, -1)
-        self.open, self.all = [self.root], []
+        self.parts, self.linked, self.has_body = [], 0, False
+        self.open, self.all, self.count = [_Node("", {}, None, 0, 0)], [], Counter()
 
     def handle_starttag(self, tag, attrs):
         if tag in LINE:
             self._end("p", ENDS_P)
         for own, stop in LIKE.get(tag, ()):
             self._end(own, stop)
-        node = _Node(tag, {k: v or "" for k, v in attrs}, self.open[-1], len(self.all))
+        node = _Node(tag, {k: v or "" for k, v in attrs}, self.open[-1], len(self.parts), self.linked)
         self.all.append(node)
-        if tag not in VOID:
+        if tag == "body" and not self.has_body:
+            node.is_body = self.has_body = True
+        figure = node.figure if tag == "figcaption" else None
+        while figure is not None and figure.caption is None:
+            figure.caption, figure = node, figure.figure
+        if tag in VOID:
+            self._done(node)
+        else:
             self.open.append(node)
+            self.count[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
             self.handle_endtag(tag)
 
+    def _done(self, node):
+        node.end, node.linked = len(self.parts), self.linked - node.linked
+
+    def _cut(self, k):
+        """Ends the open elements from the k-th on."""
+        while len(self.open) > k:
+            node = self.open.pop()
+            self.count[node.tag] -= 1
+            self._done(node)
+
     def _end(self, tag, stop):
         """An element that cannot hold what begins now ends first, if no container is in between."""
+        if not self.count[tag]:
+            return
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k].tag == tag:
-                del self.open[k:]
-                return
+                return self._cut(k)
             if self.open[k].tag in stop:
-                return
+                return None
 
     def handle_endtag(self, tag):
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag == tag:
-                del self.open[k:]
-                return
+        if self.count[tag]:
+            while self.open[-1].tag != tag:
+                self._cut(len(self.open) - 1)
+            self._cut(len(self.open) - 1)
 
     def handle_data(self, data):
-        if any(n.tag in JUNK for n in self.open):
-            return
-        link = any(n.tag == "a" for n in self.open)
-        for n in self.open:
-            n.parts.append(data)
-            if link:
-                n.linked += len(data)
+        if not any(self.count[t] for t in JUNK):
+            self.parts.append(data)
+            if self.count["a"]:
+                self.linked += len(data)
 
+    def close(self):
+        super().close()
+        self._cut(1)
 
-def _text(node: _Node | None) -> str:
-    return "".join(node.parts) if node else ""
+    def text(self, node: _Node | None) -> str:
+        return "".join(self.parts[node.start : node.end]) if node else ""
 
 
 def _clean(s: str) -> str:
     return " ".join(s.split())
 
 
-def _markdown(nodes: list[_Node]) -> str:
+def _markdown(page: _Page, nodes: list[_Node]) -> str:
     out: list[str] = []
     for n in nodes:
         if n.tag not in HEADINGS and n.tag not in CONTENT and n.tag != "pre":
             continue
-        above = [a.tag for a in n.ancestors()]
-        text = _clean(_text(n))
-        if not text or any(a in CHROME for a in above) or any(a in CONTENT for a in above) and n.tag != "li":
+        if n.in_chrome or n.in_content and n.tag != "li":
             continue
-        if n.tag not in HEADINGS and n.linked > 0.6 * len(text) and len(text) < 200:
+        text = _clean(page.text(n))
+        if not text or n.tag not in HEADINGS and n.linked > 0.6 * len(text) and len(text) < 200:
             continue
         if n.tag in HEADINGS:
             out.append("#" * int(n.tag[1]) + " " + text)
         elif n.tag == "li":
-            if not any(a == "li" for a in above):
+            if not n.in_item:
                 out.append("- " + text)
         else:
             out.append("> " + text if n.tag == "blockquote" else text)
@@ -148,30 +175,28 @@ def read_page(html: str | None) -> dict:
     page.close()
     first = lambda tag: next((n for n in page.all if n.tag == tag), None)
     body = first("body")
-    inside = [n for n in page.all if body is None or any(a is body for a in n.ancestors())]
+    inside = [n for n in page.all if body is None or n.in_body]
     sequence = []
     for n in inside:
         if n.tag in HEADINGS:
-            if text := _clean(_text(n)):
+            if text := _clean(page.text(n)):
                 sequence.append({"pos": len(sequence), "kind": "h", "level": int(n.tag[1]), "text": text})
         elif n.tag in CONTENT:
-            sequence.append({"pos": len(sequence), "kind": "c", "level": None, "text": _text(n)})
+            sequence.append({"pos": len(sequence), "kind": "c", "level": None, "text": page.text(n)})
     images = []
     for n in page.all:
         if n.tag == "img" and (src := n.attrs.get("src") or n.attrs.get("data-src")):
-            figure = next((a for a in n.ancestors() if a.tag == "figure"), None)
-            caption = next((c for c in page.all if figure and c.tag == "figcaption" and any(a is figure for a in c.ancestors())), None)
-            around = next((a for a in n.ancestors() if a.tag in ("figure", "p", "div", "section")), None)
-            images.append({"src": src, "alt": _clean(n.attrs.get("alt", "")), "caption": _clean(_text(caption)), "surrounding_text": _clean(_text(around))[:500]})
+            caption = n.figure.caption if n.figure else None
+            images.append({"src": src, "alt": _clean(n.attrs.get("alt", "")), "caption": _clean(page.text(caption)), "surrounding_text": _clean(page.text(n.around))[:500]})
     top = first("html")
     return {
-        "title": _clean(_text(first("title"))) or _clean(_text(first("h1"))),
+        "title": _clean(page.text(first("title"))) or _clean(page.text(first("h1"))),
         "lang": top.attrs.get("lang", "") if top else "",
         "has_body": body is not None,
-        "body_text": _clean(_text(body)),
+        "body_text": _clean(page.text(body)),
         "ids": [n.attrs["id"] for n in page.all if "id" in n.attrs],
         "sequence": sequence,
-        "markdown": _markdown(inside),
+        "markdown": _markdown(page, inside),
         "links": [n.attrs["href"] for n in page.all if n.tag == "a" and "href" in n.attrs],
         "images": images,
     }

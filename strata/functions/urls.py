@@ -66,7 +66,7 @@ def robots_url(url: Column) -> Column:
 
 
 def resolve(base: Column, href: Column) -> Column:
-    """A link against its page: absolute, //host, /path, ?query and plain relative links; dots are left to join_urls()."""
+    """A link against its page, without its fragment: absolute, //host, /path, ?query and relative links, dot segments worked out."""
     root = F.concat(scheme(base), F.lit("://"), netloc(base))
     folder = F.regexp_replace(path(base), "[^/]*$", "")
     folder = F.when(folder == "", F.lit("/")).otherwise(folder)
@@ -79,12 +79,27 @@ def resolve(base: Column, href: Column) -> Column:
         .when(href.startswith("#"), F.concat(F.regexp_extract(base, "^([^#]*)", 1), href))
         .otherwise(F.concat(root, folder, href))
     )
-    return F.regexp_extract(whole, "^([^#]*)", 1)
+    whole = F.regexp_extract(whole, "^([^#]*)", 1)
+    return F.when(whole.rlike(rf"^https?://[^?]*/{DOTS}(/|\?|$)") & ~href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), without_dots(whole)).otherwise(whole)
+
+
+DOTS = r"\.\.?"
+
+
+def without_dots(url: Column) -> Column:
+    """The dot segments of a URL's path worked out; those that lead above the root are dropped."""
+    parts = F.split(path(url), "/")
+    step = lambda done, s: F.when(s == ".", done).when(s == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1)))).otherwise(F.concat(done, F.array(s)))
+    whole = F.aggregate(parts, F.array().cast("array<string>"), step)
+    ends_open = F.element_at(parts, -1).isin(".", "..")
+    joined = F.concat(F.array_join(whole, "/"), F.when(ends_open, F.lit("/")).otherwise(F.lit("")))
+    joined = F.when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined))
+    return F.concat(scheme(url), F.lit("://"), netloc(url), joined, F.regexp_extract(url, r"(\?[^#]*)$", 1))
 
 
 @F.pandas_udf(T.StringType())
 def join_urls(base: pd.Series, href: pd.Series) -> pd.Series:
-    """Full RFC 3986 resolution, without the fragment, for links with dot segments."""
+    """The standard library's resolution, without the fragment; resolve() does the same in expressions."""
 
     def one(b: str | None, h: str | None) -> str | None:
         try:

@@ -13,12 +13,16 @@ def boilerplate_lines(pages: DataFrame, site: str, text: str, k: int = 3, fracti
     tops = pages.select(F.col(site).alias("site"), F.array_distinct(top_lines(F.col(text), k)).alias("tops"))
     sizes = tops.groupBy("site").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
     counts = tops.select("site", F.explode("tops").alias("line")).groupBy("site", "line").agg(F.count(F.lit(1)).alias("pages"))
-    least = F.greatest(F.lit(2), F.floor(F.lit(fraction) * F.col("n") + 0.9999))
+    least = F.greatest(F.lit(2), F.ceil(F.round(F.lit(fraction) * F.col("n"), 6)))
     return counts.join(sizes, "site").where(F.col("pages") >= least).select("site", "line", "pages")
 
 
-def strip_boilerplate(pages: DataFrame, site: str, text: str, k: int = 3, fraction: float = 0.5) -> DataFrame:
-    """pages with the boilerplate lines of their site taken out of the text. A site has few such lines: 2 * k at most."""
+def strip_boilerplate(pages: DataFrame, site: str | None, text: str, k: int = 3, fraction: float = 0.5) -> DataFrame:
+    """pages with the boilerplate lines of their site, or of all pages if no site is named, taken out of the text. A site has few such lines: k / fraction at most."""
+    if site is None:
+        found = boilerplate_lines(pages.select(F.lit("").alias("site"), text), "site", text, k, fraction)
+        drop = F.array(*(F.lit(r["line"]) for r in found.orderBy("line").collect())).cast("array<string>")
+        return pages.select(*(strip_lines(F.col(text), drop).alias(c) if c == text else F.col(c) for c in pages.columns))
     drops = boilerplate_lines(pages, site, text, k, fraction).groupBy("site").agg(F.collect_list("line").alias("_drop"))
     joined = pages.join(drops.withColumnRenamed("site", site), site, "left")
     cleaned = strip_lines(F.col(text), F.col("_drop"))

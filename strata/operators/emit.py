@@ -8,6 +8,7 @@ import os
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.text import image_title, strip
 from ..functions.urls import site_dir, slug
@@ -43,11 +44,11 @@ def page_body(markdown: Column, images: Column) -> Column:
 def emit_pages(pages: DataFrame, fetched_at: Column) -> DataFrame:
     """pages (url, title, lang, markdown, content_hash, status, depth, images array<struct<image_id,url,label>>) as the output table.
 
-    Two pages of a site with one slug would share a file: `collision` counts those before.
+    Two pages of a site with one slug would share a file: `collision` counts those before, by URL, and goes into the file's name.
     """
     title = F.coalesce(F.col("title"), F.lit("Untitled"))
     images = F.transform("images", lambda i: F.struct(i["image_id"].alias("image_id"), i["url"].alias("url"), i["label"].alias("alt")))
-    return pages.select(
+    out = pages.select(
         F.col("url").alias("source_url"),
         title.alias("title"),
         timestamp_text(fetched_at).alias("fetched_at"),
@@ -61,6 +62,12 @@ def emit_pages(pages: DataFrame, fetched_at: Column) -> DataFrame:
         slug(F.col("url"), title).alias("slug"),
         F.concat(F.lit("# "), title, F.lit("\n\n"), page_body(F.col("markdown"), F.col("images")), F.lit("\n")).alias("body"),
     )
+    same_name = W.partitionBy("site", "slug").orderBy("source_url", "content_hash")
+    return out.withColumn("collision", F.row_number().over(same_name) - 1)
+
+
+def file_name(row: dict) -> str:
+    return f"{row['slug']}-{row['collision'] + 1}.md" if row["collision"] else f"{row['slug']}.md"
 
 
 def front_matter(row: dict) -> str:
@@ -72,7 +79,7 @@ def front_matter(row: dict) -> str:
 
 
 def write_tree(pages: DataFrame, root: str, images: DataFrame | None = None) -> int:
-    """Writes `<root>/<site>/<slug>.md`, and images (site, image_id, ext, data, sidecar) beside them; returns the number of pages.
+    """Writes `<root>/<site>/<slug>.md` (`<slug>-2.md` for the second page of that name), and images (site, image_id, ext, data, sidecar) beside them; returns the number of pages.
 
     Executors write the files, so root must be a folder that all of them mount. Files are
     named by their content or page, so a task that runs again does no harm.
@@ -84,7 +91,7 @@ def write_tree(pages: DataFrame, root: str, images: DataFrame | None = None) ->
             for r in rows:
                 folder = f"{root}/{r['site']}"
                 os.makedirs(folder, exist_ok=True)
-                with open(f"{folder}/{r['slug']}.md", "w", encoding="utf-8") as f:
+                with open(f"{folder}/{file_name(r)}", "w", encoding="utf-8") as f:
                     f.write(f"---\n{front_matter(r)}\n---\n\n{r['body']}")
             yield pa.RecordBatch.from_arrays([pa.array([len(rows)], pa.int64())], ["n"])
 

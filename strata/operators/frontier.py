@@ -1,19 +1,13 @@
-"""Breadth-first expansion in levels: one join and one anti-join a level, order by explicit keys."""
+"""Breadth-first expansion in levels: one join and one anti-join a level, order by the links that lead to a page."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..scratch import Scratch
 
 
-def ranked(df: DataFrame, *order: str) -> DataFrame:
-    """df with `ord`, its place from 0 in a total order. A level of a crawl is bounded by its page budget, not by the table."""
-    return df.withColumn("ord", F.row_number().over(W.orderBy(*order)) - 1)
-
-
 def bfs_depths(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
     """(node, depth) reachable from seeds (node) over edges (src, dst) in at most max_depth steps; cycles and self-loops are borne."""
     scratch = Scratch(edges.sparkSession)
@@ -30,11 +24,14 @@ def bfs_depths(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
 
 
 def next_level(emitted: DataFrame, links: DataFrame, seen: DataFrame) -> DataFrame:
-    """(url, ord): first occurrences, in the order of pages and links, of links (src, pos, dst) of emitted pages (url, ord) that were never queued."""
+    """(url, ord): first occurrences, in the order of pages and links, of links (src, pos, dst) of emitted pages (url, ord) that were never queued.
+
+    A page's `ord` is the list of link places that lead to it: lists of a level order as a queue
+    does, and no page needs to know how many come before it.
+    """
     from_pages = links.join(emitted.select(F.col("url").alias("src"), F.col("ord").alias("parent")), "src")
-    fresh = from_pages.groupBy(F.col("dst").alias("url")).agg(F.min(F.struct("parent", "pos")).alias("first"))
-    fresh = fresh.join(seen.select("url"), "url", "left_anti")
-    return ranked(fresh.select("url", "first.*"), "parent", "pos", "url").select("url", "ord")
+    fresh = from_pages.groupBy(F.col("dst").alias("url")).agg(F.min(F.concat("parent", F.array(F.col("pos").cast("int")))).alias("ord"))
+    return fresh.join(seen.select("url"), "url", "left_anti")
 
 
 def first_unlike(level: DataFrame, kept: DataFrame, edges: DataFrame | None, budget: int) -> DataFrame:

@@ -66,8 +66,9 @@ def phash(height: pd.Series, width: pd.Series, channels: pd.Series, data: pd.Ser
     """Of the columns of Spark's image source; null for what it could not decode."""
 
     def one(h, w, c, d):
-        if d is None or h is None or h <= 0 or w <= 0:
+        if d is None or not (h > 0 and w > 0):  # numbers are NaN beside nulls
             return None
+        h, w, c = int(h), int(w), int(c)
         return perceptual_hash(np.frombuffer(d, np.uint8)[: h * w * c].reshape(h, w, c))
 
     return pd.Series([one(*x) for x in zip(height, width, channels, data, strict=True)], dtype="Int64")

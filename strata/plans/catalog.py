@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions import html, text, urls
 from ..operators import blocks, boilerplate, dedup, emit, frontier, media
+from ..scratch import Scratch
 from ..sources.fetch import pages_table, retry_delays
 from .config import Config
-from .pipeline import Engine
+from .pipeline import Engine, render_due
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -138,14 +140,48 @@ def page_links(spark, sf_dir):
 
 @query(f"SELECT DISTINCT n AS url FROM (SELECT {_norm_url('link')} AS n FROM ({_LINKS})) WHERE n NOT IN (SELECT {_norm_url('url')} FROM pages)")
 def link_anti_seen(spark, sf_dir):
+    """The queue after a level of all pages."""
     seen = table(spark, sf_dir, "pages").select(urls.normalize(F.col("url")).alias("url"))
-    return _links(spark, sf_dir).select(urls.normalize(F.col("link")).alias("url")).distinct().join(seen, "url", "left_anti")
+    links = _links(spark, sf_dir).select(urls.normalize(F.col("url")).alias("src"), "pos", urls.normalize(F.col("link")).alias("dst"))
+    emitted = seen.distinct().withColumn("ord", F.array().cast("array<int>"))
+    return frontier.next_level(emitted, links, seen).select("url")
 
 
 @query(f"SELECT page_id, length({_TEXT}) AS text_len, CASE WHEN length({_TEXT}) >= 800 THEN 'ok' ELSE 'partial' END AS status FROM pages")
 def page_text_len_status(spark, sf_dir):
-    n = F.length(html.text_of(F.col("html")))
-    return table(spark, sf_dir, "pages").select("page_id", n.cast("long").alias("text_len"), F.when(n >= 800, "ok").otherwise("partial").alias("status"))
+    n = F.length(html.text_of(F.col("html"))).cast("long")
+    rows = table(spark, sf_dir, "pages").select("page_id", n.alias("text_len"))
+    return rows.withColumn("status", Engine(spark, Config().with_values("extract", min_text_chars=800)).status())
+
+
+@query(f"SELECT page_id, {_TITLE} AS title, {_LANG} AS lang FROM pages")
+def parsed_title_lang(spark, sf_dir):
+    """Title and language as the page reader finds them."""
+    p = F.col("p")
+    rows = table(spark, sf_dir, "pages").select("page_id", html.parse_page(F.col("html")).alias("p"))
+    return rows.select("page_id", F.when(p["title"] != "", p["title"]).otherwise("Untitled").alias("title"), F.when(p["lang"] != "", p["lang"]).otherwise("en").alias("lang"))
+
+
+@query(f"SELECT page_id, CAST(pos AS INTEGER) AS pos, link FROM ({_LINKS})")
+def parsed_links(spark, sf_dir):
+    """Links as the page reader finds them, resolved against their page."""
+    rows = table(spark, sf_dir, "pages").select("page_id", "url", html.parse_page(F.col("html"))["links"].alias("links"))
+    rows = rows.select("page_id", "url", F.posexplode("links").alias("pos", "href"))
+    return rows.select("page_id", "pos", urls.resolve(F.col("url"), F.col("href")).alias("link")).where(urls.is_web(F.col("link")))
+
+
+_BODY = rf"regexp_replace(regexp_replace(regexp_replace({_JUNKLESS}, '(?is)^.*?<body[^>]*>', ''), '(?s)<!--.*?-->', '', 'g'), '<[^>]*>', '', 'g')"
+for _entity, _char in (("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+    _BODY = f"replace({_BODY}, '{_entity}', '{_char}')"
+_BODY_TEXT = _clean(_BODY)
+
+
+@query(f"""SELECT page_id, CAST(length({_BODY_TEXT}) AS BIGINT) AS body_chars, length({_BODY_TEXT}) < 1500 AND page_id % 2 = 0 AS is_shell FROM pages""")
+def parsed_shells(spark, sf_dir):
+    """Shells as the page reader tells them: every second page gets an id on which applications mount."""
+    page = F.concat("html", F.when(F.col("page_id") % 2 == 0, '<div id="__next"></div>').otherwise('<div id="other"></div>'))
+    rows = table(spark, sf_dir, "pages").select("page_id", html.parse_page(page).alias("p"))
+    return rows.select("page_id", F.length("p.body_text").cast("long").alias("body_chars"), html.spa_shell(F.col("p")).alias("is_shell"))
 
 
 _MOUNT = """html || CASE page_id % 3 WHEN 0 THEN '<div id="__next"></div>' WHEN 1 THEN '<div id="other"></div>' ELSE '' END"""
@@ -265,7 +301,7 @@ _TOPS = f"list_filter(list_transform(string_split(md, chr(10)), lambda x: {_stri
 _BOILER = f"""
 WITH p AS ({_SITES}), n AS (SELECT site, count(*) AS n FROM p GROUP BY 1),
 c AS (SELECT site, line, count(*) AS pages FROM (SELECT site, page_id, unnest(list_distinct({_TOPS})) AS line FROM p) GROUP BY 1, 2)
-SELECT c.site, line, pages FROM c JOIN n USING (site) WHERE n >= 3 AND pages >= greatest(2, floor(0.2 * n + 0.9999))"""
+SELECT c.site, line, pages FROM c JOIN n USING (site) WHERE n >= 3 AND pages >= greatest(2, ceil(n / 5))"""
 
 
 def _site_pages(spark, sf_dir):
@@ -375,8 +411,37 @@ def retry_schedule(spark, sf_dir):
 @query(f"""SELECT page_id, page_id % 5 = 0 OR length({_TEXT}) < 900 OR (length({_TEXT}) < 1500 AND page_id % 3 = 0) AS needs_render FROM pages""")
 def render_decision(spark, sf_dir):
     """Renders are due where there is no page, little text, or a shell."""
-    n = F.length(html.text_of(F.col("html")))
-    return table(spark, sf_dir, "pages").select("page_id", ((F.col("page_id") % 5 == 0) | (n < 900) | ((n < 1500) & (F.col("page_id") % 3 == 0))).alias("needs_render"))
+    n, k = F.length(html.text_of(F.col("html"))), F.col("page_id")
+    due = render_due(Config().with_values("crawl", dynamic_min_chars=900), F.when(k % 5 != 0, n), (n < 1500) & (k % 3 == 0))
+    return table(spark, sf_dir, "pages").select("page_id", due.alias("needs_render"))
+
+
+_SITE_PAGE = "'http://site.example.com/p' || {0}"
+
+
+@query(
+    f"""
+WITH RECURSIVE e AS ({_EDGES.replace("SELECT p.page_id AS src", "SELECT p.page_id AS src, k AS pos")}),
+b AS (SELECT CAST(0 AS BIGINT) AS node, 0 AS depth, [] :: INTEGER[] AS ord UNION SELECT e.dst, b.depth + 1, list_append(b.ord, CAST(e.pos - 1 AS INTEGER)) FROM b JOIN e ON e.src = b.node WHERE b.depth < 3),
+f AS (SELECT node, min(depth) AS depth, arg_min(ord, (depth, ord)) AS ord FROM b GROUP BY node)
+SELECT {_SITE_PAGE.format("node")} AS url, depth, CAST(row_number() OVER (ORDER BY depth, ord) AS BIGINT) AS place FROM f QUALIFY place <= 25"""
+)
+def crawl_queue(spark, sf_dir):
+    """The first pages of a queue over one site whose pages all differ: page i links to three others."""
+    rows = table(spark, sf_dir, "pages")
+    n = rows.count()
+    links = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda k: F.concat(F.lit('<a href="/p'), ((7 * F.col("page_id") + k) % n).cast("string"), F.lit('">x</a>'))), "")
+    own = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(12)), lambda k: F.concat(F.lit("w"), (F.col("page_id") * 100 + k).cast("string"))), " ")
+    pages = rows.select(F.concat(F.lit("http://site.example.com/p"), F.col("page_id")).alias("url"), F.concat(F.lit("<body><p>"), own, F.lit("</p>"), links, F.lit("</body>")).alias("html"))
+    pages = pages.select("url", F.col("url").alias("final_url"), "html", F.lit(True).alias("ok"))
+    kept = Engine(spark, Config().with_values("crawl", max_pages=25, max_depth=3)).crawled("http://site.example.com/p0", *_content(spark, pages))
+    return kept.select("url", "depth", F.row_number().over(W.orderBy("depth", "ord")).cast("long").alias("place"))  # 25 rows
+
+
+def _content(spark, pages):
+    engine = Engine(spark, Config())
+    content = Scratch(spark).table(engine.content(pages), "content")
+    return content, engine.similar(content)
 
 
 @query()

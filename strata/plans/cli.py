@@ -1,22 +1,24 @@
-"""strata SEED --pages TABLE [--config FILE] [--max-pages N] [--max-depth N] [--render-mode MODE]: a crawl over a table of pages."""
+"""strata SEED [--pages TABLE] [--config FILE] [--max-pages N] [--max-depth N] [--render-mode MODE]: a crawl over the web, or over a table of pages."""
 
 from __future__ import annotations
 
 import argparse
+from functools import partial
 
 from pyspark.sql import SparkSession
 
 from ..log import setup_logging
-from ..operators.emit import write_tree
+from ..operators.emit import image_records, write_tree
 from ..sources.fetch import pages_table
+from ..sources.render import rendered_pages
 from .config import load_config
 from .pipeline import Engine
 
 
 def parser() -> argparse.ArgumentParser:
-    p = argparse.ArgumentParser(prog="strata", description="Crawl a table of fetched pages into Markdown.")
+    p = argparse.ArgumentParser(prog="strata", description="Crawl a site, or a table of its pages, into Markdown.")
     p.add_argument("seed")
-    p.add_argument("--pages", required=True, help="Parquet table with url and html")
+    p.add_argument("--pages", help="Parquet table with url and html, in place of requests")
     p.add_argument("--config")
     p.add_argument("--max-pages", type=int)
     p.add_argument("--max-depth", type=int)
@@ -30,7 +32,20 @@ def main(argv: list[str] | None = None) -> int:
     setup_logging()
     cfg = load_config(args.config).with_values("crawl", max_pages=args.max_pages, max_depth=args.max_depth, render_mode=args.render_mode)
     spark = SparkSession.builder.appName("strata").getOrCreate()
-    pages = Engine(spark, cfg).crawl(args.seed, pages_table(spark, args.pages))
-    n = write_tree(pages, cfg.output.get("root", "knowledge"))
+    c = cfg.crawl
+    engine = Engine(spark, cfg, partial(rendered_pages, user_agent=c.user_agent, timeout=c.timeout, wait_ms=c.dynamic_wait_ms, obey_robots=c.obey_robots, spacing=c.rate_limit_per_domain))
+    images = None
+    if args.pages:
+        pages = engine.crawl(args.seed, pages_table(spark, args.pages))
+    else:
+        kept = engine.crawled(args.seed)
+        if cfg.images.enabled:
+            images = engine.keep_images(kept, engine.image_files(kept))
+        pages = engine.emit(kept, images)
+    n = write_tree(pages, cfg.output.root, image_records(images, cfg.output.image_base_url) if images is not None else None)
     print(f"Done. {n} markdown file(s) written.")
     return 0 if n else 1
+
+
+if __name__ == "__main__":
+    raise SystemExit(main())

@@ -1,20 +1,49 @@
-"""Tables in the folder that the driver and all executors share."""
+"""Tables and files in the folder that the driver and all executors share."""
 
 from __future__ import annotations
 
 import atexit
+import os
 import uuid
+from urllib.parse import urlparse
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; set here only where it is unset."""
+    """spark.checkpoint.dir of the session, with its scheme. In local mode it may be unset and is set here."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
         found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
+    return qualified(spark, found).rstrip("/")
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme of the store that Spark takes it for."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+
+def put_file(folder: str, name: str, content: bytes) -> None:
+    """Writes a file of a shared folder from a task, under a name of its own, then renames it: a task that runs twice does no harm."""
+    parts = urlparse(folder)
+    if parts.scheme in ("", "file"):
+        os.makedirs(parts.path, exist_ok=True)
+        part = f"{parts.path}/.{name}.{uuid.uuid4().hex}"
+        with open(part, "wb") as f:
+            f.write(content)
+        os.replace(part, f"{parts.path}/{name}")
+        return
+    from pyarrow import fs
+
+    store, base = fs.FileSystem.from_uri(folder)
+    store.create_dir(base)
+    with store.open_output_stream(f"{base}/{name}") as out:
+        out.write(content)
 
 
 class Scratch:
@@ -23,7 +52,7 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/strata-{uuid.uuid4().hex}"
-        atexit.register(self.drop, self.root)
+        atexit.register(self._leave)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -36,9 +65,11 @@ class Scratch:
     def drop(self, *names: str) -> None:
         for name in names:
             path = name if name.startswith(self.root) else self.path(name)
-            try:
-                jvm = self.spark.sparkContext._jvm
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-            except Exception:  # the session may have ended
-                return
+            p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+    def _leave(self) -> None:
+        try:
+            self.drop(self.root)
+        except (Py4JError, OSError, AttributeError):  # the session has ended before
+            pass

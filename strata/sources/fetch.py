@@ -7,6 +7,7 @@ library, and one bad page becomes a row, never a failed task.
 
 from __future__ import annotations
 
+import hashlib
 import random
 import time
 import urllib.error
@@ -20,8 +21,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.urls import netloc, normalize
+from ..scratch import put_file
 
-RESULT = "url string, final_url string, status int, html string, content_type string, ok boolean"
+RESULT = "url string, final_url string, status int, html string, content_type string, ok boolean, allowed boolean"
 BYTES = "url string, content binary, content_type string"
 
 
@@ -112,17 +114,17 @@ def fetch_pages(urls: DataFrame, user_agent: str, timeout: float = 20.0, attempt
         for pdf in batches:
             rows = []
             for url in pdf["url"]:
-                got = None
-                if client.allowed(url):
+                got, allowed = None, client.allowed(url)
+                if allowed:
                     client.wait(url)
                     got = client.get(url)
                 if got is None:
-                    rows.append((url, url, None, "", "", False))
+                    rows.append((url, url, None, "", "", False, allowed))
                 else:
                     final, status, kind, body = got
                     is_html = "html" in kind.lower() or not kind
-                    rows.append((url, final, status, decode(body, kind) if is_html else "", kind, 200 <= status < 300 and is_html))
-            out = pd.DataFrame(rows, columns=["url", "final_url", "status", "html", "content_type", "ok"])
+                    rows.append((url, final, status, decode(body, kind) if is_html else "", kind, 200 <= status < 300 and is_html, True))
+            out = pd.DataFrame(rows, columns=["url", "final_url", "status", "html", "content_type", "ok", "allowed"])
             yield out.astype({"status": "Int32"})
 
     return urls.select("url").repartition(netloc(F.col("url"))).mapInPandas(run, RESULT)
@@ -145,6 +147,20 @@ def fetch_bytes(urls: DataFrame, user_agent: str, timeout: float = 20.0, attempt
     return urls.select("url").repartition(netloc(F.col("url"))).mapInPandas(run, BYTES)
 
 
+def fetch_files(urls: DataFrame, folder: str, user_agent: str, timeout: float = 20.0, attempts: int = 3, spacing: float = 1.0) -> DataFrame:
+    """(url, name): the bodies of (url) answered with 2xx, as files of a shared folder that are named by their URL's digest; the name is null for others."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            names = [None if body is None else hashlib.sha256(url.encode()).hexdigest() for url, body in zip(pdf["url"], pdf["content"], strict=True)]
+            for name, body in zip(names, pdf["content"], strict=True):
+                if name:
+                    put_file(folder, name, bytes(body))
+            yield pd.DataFrame({"url": pdf["url"], "name": pd.Series(names, dtype=object)})
+
+    return fetch_bytes(urls, user_agent, timeout, attempts, spacing).mapInPandas(run, "url string, name string")
+
+
 def robots_allow(urls: DataFrame, robots: DataFrame, user_agent: str) -> DataFrame:
     """urls (url) with `allowed` by robots files (netloc, body); hosts without one allow all."""
 

@@ -227,3 +227,10 @@ def test_web_source(spark):
     files = {r["url"].rsplit("/", 1)[1]: r["content"] for r in fetch_bytes(urls, "bot", 2.0, 1, spacing=0.0).collect()}
     assert files == {"ok": bytearray("<p>é</p>".encode()), "bin": bytearray(b"\x01\x02"), "none": None, "x": None}
     server.shutdown()
+
+
+def test_odd_pages_are_read_in_time_that_grows_as_they_do():
+    for page in ("<div>x" * 100_000, "<span>" * 100_000 + "<p>y</p>" * 3000, "<img src=i>" * 50_000 + "<figure>" * 1000, "<p>some words</p>" * 200_000):
+        start = time.monotonic()
+        html.read_page(page)
+        assert time.monotonic() - start < 20

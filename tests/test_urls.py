@@ -53,3 +53,13 @@ def test_resolve_and_join(spark):
 def test_slug(spark):
     df = spark.createDataFrame([("http://h/A b/C.html", "t"), ("http://h/", "My Title!"), ("http://h/", None), ("http://h/" + "x" * 100, ""), ("http://h/--/", "t")], "u string, t string")
     assert [r[0] for r in df.select(urls.slug(F.col("u"), F.col("t"))).collect()] == ["a-b-c-html", "my-title", "index", "x" * 80, "index"]
+
+
+def test_dot_segments_are_worked_out_as_the_standard_library_does(spark):
+    from urllib.parse import urljoin
+
+    bases = ["http://h.example/dir/sub/page?q", "http://h.example/", "http://h.example", "https://h.example:8080/a/b/"]
+    hrefs = ["../up", "./x", "../../../top?y=../z", "..", ".", "./", "a/./b/../c", "/x/../y", "x/..", "..x/y", "?k=../1", "#../f", "../a#b"]
+    df = spark.createDataFrame([(b, h, urljoin(b, h).split("#")[0]) for b in bases for h in hrefs], "b string, h string, e string")
+    for r in df.select("b", "h", "e", urls.resolve(F.col("b"), F.col("h")).alias("n")).collect():
+        assert r["n"] == r["e"], (r["b"], r["h"])
