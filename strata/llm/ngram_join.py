@@ -41,6 +41,8 @@ LONG_LIST = 12
 LEADER_ROUNDS, LEADERS = 3, 3
 #: Classes that a task remembers having given, at most.
 MAX_SEEN = 200_000
+#: Shingles among which a task looks for repeated ones at a time; more tell more of how frequent they are.
+MAX_HELD = 3_000_000
 #: Longs of the short sketch that lists carry. Sets of more shingles than NARROW go without: it bounds nothing for them.
 SHORT_SKETCH, NARROW = 4, 800
 #: A column name that documents do not use.
@@ -86,14 +88,25 @@ def prefix(s: np.ndarray, percent: int, frequent: np.ndarray, often: np.ndarray)
 
 
 def frequent_shingles(docs: DataFrame, k: int, most: int = MAX_FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles found in many documents, and counts. Each batch of all texts reports those that two of its texts hold."""
+    """Shingles found in many documents, and counts. Each task reports, of every few million shingles that it reads, those that two different sets hold."""
+
+    def repeated(sets):
+        value, count = distinct_counts(np.concatenate(sets))
+        return pa.RecordBatch.from_arrays([pa.array(signed(value[count > 1])), pa.array(count[count > 1])], ["s", "n"])
 
     def run(batches):
-        words = WordIds()
-        for _, texts in in_chunks(batches, "text"):
-            sets = [shingles(words.of(t), k) for t in set(texts)]
-            value, count = distinct_counts(np.concatenate(sets) if sets else np.empty(0, np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(signed(value[count > 1])), pa.array(count[count > 1])], ["s", "n"])
+        words, sets, held = WordIds(), {}, 0
+        for _, texts in in_chunks(batches, "text", 4_000_000):
+            for t in texts:
+                s = shingles(words.of(t), k)
+                if (c := class_of(s)) is not None and c not in sets:
+                    sets[c] = s
+                    held += len(s)
+            if held > MAX_HELD:
+                yield repeated([*sets.values()])
+                sets, held = {}, 0
+        if sets:
+            yield repeated([*sets.values()])
 
     counted = docs.select("text").mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
     top = counted.orderBy(F.desc("n"), "s").limit(most).toArrow()
@@ -317,8 +330,9 @@ class Bounds:
 
     def prefixes(self, x, y) -> Column:
         """As many shared listed shingles as the smaller of both asks for. Prefixes that hold all their rare shingles have no more of these in common than are listed in both."""
-        shared = F.size(F.array_intersect(x("tokens"), y("tokens")))
-        rare = F.size(F.array_intersect(x("rare_tokens"), y("rare_tokens")))
+        both = lambda c: F.size(F.array_intersect(x(c), y(c)))
+        rare = both("rare_tokens")
+        shared = both("known_tokens") + rare
         room = F.when(x("known").isNotNull() & y("known").isNotNull(), F.least(x("known"), y("known")) + rare)
         return (shared >= F.least(x("matches"), y("matches"))) & F.coalesce(self.enough(room, x("n") + y("n")), F.lit(True))
 
@@ -347,9 +361,10 @@ def class_records(marked: DataFrame, percent: int) -> DataFrame:
     # class's rare shingles is in none of them: if the rest cannot reach the similarity, the class
     # has nothing to look for in the lists of known shingles.
     can = Bounds(percent).enough(F.col("rest"), F.col("n") + F.ceil(F.lit(percent) * F.col("n") / 100))
-    out = out.withColumn("tokens", F.when(F.coalesce(can, F.lit(True)), F.array_sort(F.concat("known_tokens", "rare_tokens"))).otherwise(F.col("rare_tokens")))
-    share = F.size("tokens") / (least + F.col("matches"))
-    return out.where(F.size("tokens") > 0).select("class", "row", "n", "matches", "known", "rest", share.alias("share"), "sketch", "short", "rare_tokens", "tokens")
+    out = out.withColumn("known_tokens", F.when(F.coalesce(can, F.lit(True)), F.col("known_tokens")).otherwise(F.array().cast("array<long>")))
+    listed_tokens = F.size("known_tokens") + F.size("rare_tokens")
+    share = listed_tokens / (least + F.col("matches"))
+    return out.where(listed_tokens > 0).select("class", "row", "n", "matches", "known", "rest", share.alias("share"), "sketch", "short", "known_tokens", "rare_tokens")
 
 
 def _components(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -360,6 +375,7 @@ def _components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     marked = scratch.table(signatures(docs, k, percent, frequent), "signatures")
     records = scratch.table(class_records(marked, percent), "records")
     own = W.partitionBy("token")
+    tokens = F.array_sort(F.concat("known_tokens", "rare_tokens")).alias("tokens")
     before = F.explode(F.transform("tokens", lambda t, i: F.struct(t.alias("token"), F.get("tokens", i - 1).alias("before"))))
     links, roots, seen = None, None, None
 
@@ -372,7 +388,7 @@ def _components(docs: DataFrame, k: int, percent: int) -> DataFrame:
         """(a, b, linked) of the pairs that pass the bounds and have not been seen; those alone need whole sets."""
         if seen is not None:
             pairs = pairs.join(sent(seen.select("a", "b")), ["a", "b"], "left_anti")
-        both = with_both(scratch.table(pairs, f"new_{name}"), records, "class", ["row", "n", "matches", "known", "sketch", "rare_tokens", "tokens"])
+        both = with_both(scratch.table(pairs, f"new_{name}"), records, "class", ["row", "n", "matches", "known", "sketch", "known_tokens", "rare_tokens"])
         both = both.where(bounds.prefixes(of("a_"), of("b_")) & bounds.sketches(of("a_"), of("b_")))
         both = scratch.table(both.select("a", "b", "a_row", "b_row"), f"pairs_{name}")
         rows = scratch.table(both.select(F.explode(F.array("a_row", "b_row")).alias("row")).distinct(), f"wanted_{name}")
@@ -394,7 +410,7 @@ def _components(docs: DataFrame, k: int, percent: int) -> DataFrame:
         own_scratch.drop(own_scratch.root)
 
     # Long lists: classes against leaders, those with the largest shared part of their prefix first, then others.
-    flat = records.select("class", "n", "rest", "share", before.alias("at")).select("class", "n", "rest", "share", "at.*")
+    flat = records.select("class", "n", "rest", "share", tokens).select("class", "n", "rest", "share", before.alias("at")).select("class", "n", "rest", "share", "at.*")
     sized = flat.withColumn("size", F.count(F.lit(1)).over(own))
     long = scratch.table(sized.where(F.col("size") >= LONG_LIST), "long")
     for r in range(LEADER_ROUNDS):
@@ -421,7 +437,7 @@ def _components(docs: DataFrame, k: int, percent: int) -> DataFrame:
         pairs = rows.where("root != main").alias("l").join(rows.alias("r"), differ)
         return pairs.select(F.least(l("class"), r("class")).alias("a"), F.greatest(l("class"), r("class")).alias("b"))
 
-    rooted = with_roots(records.select("class", "n", "rest", "tokens")).select("class", "root", "n", "rest", before.alias("at")).select("class", "root", "n", "rest", "at.*")
+    rooted = with_roots(records.select("class", "n", "rest", tokens)).select("class", "root", "n", "rest", before.alias("at")).select("class", "root", "n", "rest", "at.*")
     short_lists = rooted.withColumn("size", F.count(F.lit(1)).over(own)).where(F.col("size") < LONG_LIST)
     sketched = with_roots(long.drop("share").join(records.select("class", "short"), "class"))
     sketched = sketched.withColumn("size", F.count(F.lit(1)).over(own))  # deals by token once
