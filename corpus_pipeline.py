@@ -1,4 +1,10 @@
-"""Documents to packed training sequences: rules, quality model, near duplicates, mixing, packing."""
+"""Documents to packed training sequences: rules, quality model, near duplicates, mixing, packing.
+
+Every stage takes null ids and texts, repeated rows, empty tables and columns of any name, and
+all but the last give rows of documents as they were: null and empty texts are rejected by the
+rules; rows without an id are judged, compared and mixed like others; repeated rows count each,
+until one of them stays in the near-duplicate stage; no stage fails for want of labels.
+"""
 
 from __future__ import annotations
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import fnmatch
+import unicodedata
 from collections.abc import Sequence
 from urllib.parse import urljoin
 
@@ -12,8 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 PARTS = r"^([^:/?#]+)://([^/?#]*)([^?#]*)"
-#: Suffixes of two labels under which sites register names of their own.
-TWO_LABEL_SUFFIXES = ("ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "com.tw", "gov.uk", "net.au", "or.jp", "org.au", "org.uk")
+#: Under a country's label these are suffixes, not names that a site registers.
+SECOND_LABELS = ("ac", "co", "com", "edu", "ed", "gob", "gov", "go", "gouv", "gv", "ltd", "mil", "me", "net", "ne", "nom", "or", "org", "plc", "sch")
+#: Letters of Latin scripts by the ASCII letter they are a variant of: those below U+0250 that Unicode decomposes so, and some it does not.
+ASCII_OF = {c: b for c in map(chr, range(0xC0, 0x250)) if len(b := "".join(x for x in unicodedata.normalize("NFKD", c) if x.isascii())) == 1 and b.isalpha()} | {"ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ł": "l", "Ł": "L", "ı": "i"}
+WRITTEN_OUT = {"ß": "ss", "æ": "ae", "œ": "oe", "þ": "th"}
 
 
 def scheme(url: Column) -> Column:
@@ -41,10 +45,11 @@ def host(url: Column) -> Column:
 
 
 def registered_domain(url: Column) -> Column:
-    """The last two labels of the host, three under the known two-label suffixes."""
+    """The last two labels of the host, three under a country's second-level labels; addresses are whole."""
     labels = F.split(host(url), r"\.")
     last = lambda n: F.array_join(F.slice(labels, F.greatest(F.size(labels) - n + 1, F.lit(1)), F.lit(n)), ".")
-    return F.when(last(2).isin(*TWO_LABEL_SUFFIXES), last(3)).otherwise(last(2))
+    address = host(url).rlike(r"^(\d+\.){3}\d+$|^\[")
+    return F.when(address, host(url)).when(last(2).rlike(rf"^({'|'.join(SECOND_LABELS)})\.[a-z]{{2}}$"), last(3)).otherwise(last(2))
 
 
 def matches(url: Column, patterns: Sequence[str]) -> Column:
@@ -119,8 +124,11 @@ def site_dir(url: Column) -> Column:
 
 
 def slug(url: Column, title: Column) -> Column:
-    """The path, or the title, as lower-case ASCII words joined by hyphens, 80 characters at most."""
+    """The path, or the title, as lower-case ASCII words joined by hyphens, 80 characters at most; Latin letters lose their accents."""
     base = F.regexp_replace(path(url), "^/+|/+$", "")
     base = F.when(base != "", base).when(F.coalesce(title, F.lit("")) != "", title).otherwise(F.lit("index"))
-    out = F.substring(F.regexp_replace(F.regexp_replace(F.lower(base), "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, 80)
+    plain = F.translate(F.lower(base), "".join(ASCII_OF), "".join(ASCII_OF.values()))
+    for letter, written in WRITTEN_OUT.items():
+        plain = F.replace(plain, F.lit(letter), F.lit(written))
+    out = F.substring(F.regexp_replace(F.regexp_replace(plain, "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, 80)
     return F.when(out == "", F.lit("index")).otherwise(out)

@@ -114,6 +114,18 @@ def dedup_text(df: DataFrame, id_column: str, text: str, order: str, enabled: bo
         return unique
     unique = Scratch(df.sparkSession).table(unique, "unique")
     sets = shingle_sets(unique.where(F.length(F.trim(F.col(text))) > 0), id_column, text)
-    pairs = lsh_candidates(sets, threshold) if approximate else similar_pairs(sets, threshold)
-    kept = first_wins(unique.select(F.col(id_column).alias("id"), F.struct(order, id_column).alias("ord")), pairs)
+    sets = Scratch(df.sparkSession).table(sets, "sets")
+    # Of rows with equal sets (the same words, but repeated otherwise) only the first can stay: what is like it is like them.
+    ords = unique.select(F.col(id_column).alias("id"), F.struct(order, id_column).alias("ord"))
+    digests = sets.where("n > 0").select("id", "n", F.xxhash64("set").alias("x"), F.hash("set").alias("y")).join(ords, "id")
+    later = digests.join(digests.groupBy("n", "x", "y").agg(F.min("ord").alias("first")), ["n", "x", "y"]).where("ord != first").select("id")
+    later = Scratch(df.sparkSession).table(later, "later")
+    sets, ords = sets.join(later, "id", "left_anti"), ords.join(later, "id", "left_anti")
+    if approximate:  # pairs that meet in a band, if they are similar
+        both = lsh_candidates(sets, threshold).join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+        common = F.size(F.array_intersect("x", "y"))
+        pairs = both.where(common >= F.lit(threshold) * (F.size("x") + F.size("y") - common)).select("a", "b")
+    else:
+        pairs = similar_pairs(sets, threshold)
+    kept = first_wins(ords, pairs)
     return unique.join(kept.withColumnRenamed("id", id_column), id_column, "left_semi")

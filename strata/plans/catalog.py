@@ -74,7 +74,10 @@ def _hash(s: str) -> str:
 
 
 _SLUG_BASE = f"regexp_replace({_PATH}, '^/+|/+$', '', 'g')"
-_SLUG = f"substring(regexp_replace(regexp_replace(lower(CASE WHEN {_SLUG_BASE} <> '' THEN {_SLUG_BASE} ELSE {_TITLE} END), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 80)"
+_SLUG_TEXT = f"strip_accents(lower(CASE WHEN {_SLUG_BASE} <> '' THEN {_SLUG_BASE} ELSE {_TITLE} END))"
+for _letter, _written in urls.WRITTEN_OUT.items():
+    _SLUG_TEXT = f"replace({_SLUG_TEXT}, '{_letter}', '{_written}')"
+_SLUG = f"substring(regexp_replace(regexp_replace({_SLUG_TEXT}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 80)"
 _HREFS = """regexp_extract_all(html, '(?i)<a\\s[^>]*?href="([^"]*)"', 1)"""
 _ROOT = f"regexp_extract(url, {_PARTS}, 1) || '://' || {_NETLOC}"
 _SHINGLES = "list_distinct(list_transform(range(1, greatest(len(t) - 4, 1) + 1), lambda i: array_to_string(t[i:i+4], ' ')))"
@@ -207,7 +210,8 @@ def dom_sequence_sections(spark, sf_dir):
 def heading_injection(spark, sf_dir):
     """Markdown of all pages, robbed of its headings, with the headings put back."""
     rows = table(spark, sf_dir, "pages").select("page_id", html.parse_page(F.col("html")).alias("p"))
-    rows = rows.select("page_id", "p.sequence", F.regexp_replace("p.markdown", r"(?m)^#{1,6} .*\n*", "").alias("md"))
+    rows = Scratch(spark).table(rows.select("page_id", "p.sequence", "p.markdown"), "parsed").select("page_id", "sequence", "markdown")
+    rows = rows.select("page_id", "sequence", F.regexp_replace("markdown", r"(?m)^#{1,6} .*\n*", "").alias("md"))
     return blocks.inject_headings(rows, "page_id", "sequence", "md")
 
 

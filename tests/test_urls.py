@@ -63,3 +63,12 @@ def test_dot_segments_are_worked_out_as_the_standard_library_does(spark):
     df = spark.createDataFrame([(b, h, urljoin(b, h).split("#")[0]) for b in bases for h in hrefs], "b string, h string, e string")
     for r in df.select("b", "h", "e", urls.resolve(F.col("b"), F.col("h")).alias("n")).collect():
         assert r["n"] == r["e"], (r["b"], r["h"])
+
+
+def test_registered_domain_of_countries_and_addresses(spark):
+    got = column(spark, ["http://shop.com.sg/", "http://a.b.org.br/x", "http://10.0.0.1:80/", "http://me.example/", "http://x.github.io/"], urls.registered_domain)
+    assert got == ["shop.com.sg", "b.org.br", "10.0.0.1", "me.example", "github.io"]
+
+
+def test_slug_without_accents(spark):
+    assert column(spark, ["http://h/Größe/Éléphant œuvre/Łódź"], lambda u: urls.slug(u, F.lit(""))) == ["grosse-elephant-oeuvre-lodz"]
