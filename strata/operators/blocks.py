@@ -40,10 +40,14 @@ def inject_headings(pages: DataFrame, id_column: str, sequence: str, markdown: s
     base = pages.select(F.col(id_column).alias("id"), F.col(markdown).alias("md"), F.col(sequence).alias("seq"))
     base = base.withColumn("lines", lines(F.col("md"))).withColumn("sigs", F.transform("lines", lambda x: signature(x, longest)))
     base = base.withColumn("kept", F.filter(F.array_distinct("sigs"), lambda s: F.length(s) >= shortest)).withColumn("already", headings(F.col("md")))
-    rows = base.select("id", "kept", "already", F.explode("seq").alias("e")).select("id", "kept", "already", "e.*")
-    sig = signature(F.col("text"), longest)
-    by_head = F.exists("kept", lambda k: k.startswith(F.substring(F.col("sig"), 1, 30)) | F.col("sig").startswith(F.substring(k, 1, 30)))
-    rows = rows.withColumn("sig", sig).withColumn("holds", (F.col("kind") == "c") & (F.length("sig") >= shortest) & (F.array_contains("kept", F.col("sig")) | by_head))
+    # Lines of thirty characters or more begin alike if their heads are equal: only shorter ones are tried one by one.
+    base = base.withColumn("short", F.filter("kept", lambda k: F.length(k) < 30)).withColumn("heads", F.array_distinct(F.transform(F.filter("kept", lambda k: F.length(k) >= 30), lambda k: F.substring(k, 1, 30))))
+    facts = ("id", "short", "heads", "already")
+    rows = base.select(*facts, F.explode("seq").alias("e")).select(*facts, "e.*").withColumn("sig", signature(F.col("text"), longest))
+    s = F.col("sig")
+    begins_short = F.exists("short", lambda k: s.startswith(k) | k.startswith(s))
+    by_head = F.when(F.length(s) >= 30, F.array_contains("heads", F.substring(s, 1, 30)) | begins_short).otherwise(begins_short | F.exists("heads", lambda k: k.startswith(s)))
+    rows = rows.withColumn("holds", (F.col("kind") == "c") & (F.length("sig") >= shortest) & by_head)
     section = F.count_if(F.col("kind") == "h").over(W.partitionBy("id").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow))
     rows = rows.withColumn("section", section).where("section > 0")
     sections = rows.groupBy("id", "section").agg(

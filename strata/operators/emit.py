@@ -6,11 +6,11 @@ import json
 import os
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.text import image_title, strip
+from ..functions.text import after_front_matter, image_title, strip
 from ..functions.urls import site_dir, slug
 
 #: Keys of an image record, in order.
@@ -78,6 +78,13 @@ def front_matter(row: dict) -> str:
     return yaml.safe_dump({k: row[k] for k in keys}, sort_keys=False, allow_unicode=True).strip()
 
 
+def read_tree(spark: SparkSession, root: str) -> DataFrame:
+    """(path, site, slug, body) of a written tree: the Markdown files without their front matter."""
+    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md").select(F.input_file_name().alias("path"), "value")
+    part = lambda k: F.regexp_extract("path", r"([^/]+)/([^/]+)\.md$", k)
+    return files.select("path", part(1).alias("site"), part(2).alias("slug"), F.regexp_replace(after_front_matter(F.col("value")), r"\A\n+", "").alias("body"))
+
+
 def write_tree(pages: DataFrame, root: str, images: DataFrame | None = None) -> int:
     """Writes `<root>/<site>/<slug>.md` (`<slug>-2.md` for the second page of that name), and images (site, image_id, ext, data, sidecar) beside them; returns the number of pages.
 

@@ -215,6 +215,20 @@ def heading_injection(spark, sf_dir):
     return blocks.inject_headings(rows, "page_id", "sequence", "md")
 
 
+_H1 = "regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1', 1), '<[^>]*>', '', 'g')"
+for _entity, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+    _H1 = f"replace({_H1}, '{_entity}', '{_char}')"
+
+
+@query(rf"SELECT page_id, CAST(len(regexp_extract_all(html, '<h1[ >]')) AS BIGINT) AS headings, {_clean(_H1)} AS first_heading, length({_norm("regexp_replace(regexp_extract(html, '(?is)</h1>.*?<p>(.*?)(?:<p>|</p>|</article>)', 1), '<[^>]*>', '', 'g')")}) >= 12 AS as_it_was FROM pages")
+def headings_restored(spark, sf_dir):
+    """Headings that heading_injection puts back: how many, the first, and whether the page is again what it was, as where its first paragraph is long enough to be known again."""
+    rows = table(spark, sf_dir, "pages").select("page_id", html.parse_page(F.col("html"))["markdown"].alias("original"))
+    got = heading_injection(spark, sf_dir).join(rows, "page_id")
+    found = F.regexp_extract_all("text", F.lit(r"(?m)^#{1,6} (.*)$"), F.lit(1))
+    return got.select("page_id", F.size(found).cast("long").alias("headings"), F.get(found, 0).alias("first_heading"), (text.strip(F.col("text")) == text.strip(F.col("original"))).alias("as_it_was"))
+
+
 @query(rf"SELECT doc_id, array_to_string(list_distinct(list_transform(regexp_extract_all('# ' || replace(text, '. ', chr(10) || '## '), '(?m)^#{{1,6}}{_S}+(.*)$', 1), lambda x: {_norm('x')})), '|').length() AS size, CAST(len(list_distinct(list_transform(regexp_extract_all('# ' || replace(text, '. ', chr(10) || '## '), '(?m)^#{{1,6}}{_S}+(.*)$', 1), lambda x: {_norm('x')}))) AS BIGINT) AS headings FROM documents")
 def existing_headings(spark, sf_dir):
     md = F.concat(F.lit("# "), F.replace(F.col("text"), F.lit(". "), F.lit("\n## ")))

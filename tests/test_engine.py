@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strata import Config, Engine, load_config
-from strata.operators.emit import write_tree
+from strata.operators.emit import read_tree, write_tree
 from strata.plans.cli import parser
 
 
@@ -61,6 +61,7 @@ def test_tree_is_written(spark, tmp_path):
     assert names == ["s.example/a.md", "s.example/b.md"]
     text = (tmp_path / names[0]).read_text()
     assert text.startswith("---\nsource_url: http://s.example/a\ntitle: a\n") and text.endswith("---\n\n# a\n\ntext one two\n")
+    assert {(r["site"], r["slug"], r["body"]) for r in read_tree(spark, str(tmp_path)).collect()} == {(r["site"], r["slug"], r["body"]) for r in out.collect()}
 
 
 def test_streams(spark, tmp_path):
