@@ -192,7 +192,7 @@ def bloom(rows: DataFrame) -> np.ndarray:
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(class, set) of the rows that `wanted` (row) names, and of a few that the bitmap takes for one: 48 bits of each shingle hash, sorted, as bytes. A task gives a class once."""
+    """(class, set) of the rows that `wanted` (row) names: 48 bits of each shingle hash, sorted, as bytes. Texts that the bitmap does not take for one of them go no further; a task gives repeated rows once."""
     bits = docs.sparkSession.sparkContext.broadcast(bloom(wanted))
 
     def run(batches):
@@ -204,15 +204,18 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             for start in range(0, len(rows), 500):
                 if len(seen) > MAX_SEEN:
                     seen.clear()
-                found = {}
-                for t in b["text"].take(pa.array(rows[start : start + 500])).to_pylist():
-                    s = shingles(words.of(t), k)
-                    if (c := class_of(s)) is not None and c not in seen:
-                        seen.add(c)
-                        found[c] = pack(s)
-                yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.binary())], ["class", "set"])
+                part, found = b.take(pa.array(rows[start : start + 500])), []
+                for row, t in zip(part["row"].to_pylist(), part["text"].to_pylist(), strict=True):
+                    if row not in seen:
+                        seen.add(row)
+                        s = shingles(words.of(t), k)
+                        if len(s):
+                            found.append((row, class_of(s), pack(s)))
+                columns = list(zip(*found, strict=True)) or [()] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["row", "class", "set"])
 
-    return docs.select("text", row_of("doc_id", "text")).mapInArrow(run, "class long, set binary")
+    sets = docs.select("text", row_of("doc_id", "text")).mapInArrow(run, "row long, class long, set binary")
+    return sets.join(sent(wanted), "row", "left_semi").select("class", "set")
 
 
 def pack(s: np.ndarray) -> bytes:
@@ -388,9 +391,12 @@ def _components(docs: DataFrame, k: int, percent: int) -> DataFrame:
         """(a, b, linked) of the pairs that pass the bounds and have not been seen; those alone need whole sets."""
         if seen is not None:
             pairs = pairs.join(sent(seen.select("a", "b")), ["a", "b"], "left_anti")
-        both = with_both(scratch.table(pairs, f"new_{name}"), records, "class", ["row", "n", "matches", "known", "sketch", "known_tokens", "rare_tokens"])
-        both = both.where(bounds.prefixes(of("a_"), of("b_")) & bounds.sketches(of("a_"), of("b_")))
-        both = scratch.table(both.select("a", "b", "a_row", "b_row"), f"pairs_{name}")
+        # Sketches leave few pairs, which alone need the shingles of prefixes.
+        both = with_both(scratch.table(pairs, f"new_{name}"), records, "class", ["n", "sketch"]).where(bounds.sketches(of("a_"), of("b_")))
+        both = with_both(scratch.table(both.select("a", "b"), f"near_{name}"), records, "class", ["row", "n", "matches", "known", "known_tokens", "rare_tokens"])
+        both = scratch.table(both.where(bounds.prefixes(of("a_"), of("b_"))).select("a", "b", "a_row", "b_row"), f"pairs_{name}")
+        if not both.limit(1).count():  # no text need be read
+            return both.select("a", "b", F.lit(False).alias("linked"))
         rows = scratch.table(both.select(F.explode(F.array("a_row", "b_row")).alias("row")).distinct(), f"wanted_{name}")
         sets = scratch.table(whole_sets(docs, rows, k), f"sets_{name}")
         of_class = sets.groupBy("class").count()
@@ -398,23 +404,28 @@ def _components(docs: DataFrame, k: int, percent: int) -> DataFrame:
             sets = sets.dropDuplicates(["class"])
         linked = 100 * F.col("common") >= percent * (F.col("size_a") + F.col("size_b") - F.col("common"))
         out = scratch.table(verify(both.select("a", "b"), sets).select("a", "b", linked.alias("linked")), f"seen_{name}")
-        scratch.drop(f"new_{name}", f"pairs_{name}", f"wanted_{name}", f"sets_{name}")
+        scratch.drop(f"new_{name}", f"near_{name}", f"pairs_{name}", f"wanted_{name}", f"sets_{name}")
         return out
 
-    def join_links(found: DataFrame, name: str) -> None:
+    def join_links(found: DataFrame, name: str) -> bool:
+        """Components with the links found; False if there are none."""
         nonlocal links, roots
         found = found.where("linked").select("a", "b")
+        if not found.limit(1).count():
+            return False
         links = found if links is None else links.unionAll(found)
         own_scratch = Scratch(spark)
         roots = scratch.table(connected(spark, links, own_scratch), name)
         own_scratch.drop(own_scratch.root)
+        return True
 
     # Long lists: classes against leaders, those with the largest shared part of their prefix first, then others.
-    flat = records.select("class", "n", "rest", "share", tokens).select("class", "n", "rest", "share", before.alias("at")).select("class", "n", "rest", "share", "at.*")
-    sized = flat.withColumn("size", F.count(F.lit(1)).over(own))
-    long = scratch.table(sized.where(F.col("size") >= LONG_LIST), "long")
+    sizes = records.select(F.explode(F.concat("known_tokens", "rare_tokens")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("size"))
+    names = scratch.table(sizes.where(F.col("size") >= LONG_LIST).select("token"), "names")
+    flat = records.select("class", "n", "rest", "share", "short", tokens).select("class", "n", "rest", "share", "short", before.alias("at")).select("class", "n", "rest", "share", "short", "at.*")
+    long = scratch.table(flat.join(sent(names), "token", "left_semi"), "long")
     for r in range(LEADER_ROUNDS):
-        mixed = with_roots(long).withColumn("low", F.min("root").over(own)).withColumn("high", F.max("root").over(own)).where("low != high").drop("low", "high")
+        mixed = with_roots(long.drop("short", "before")).withColumn("low", F.min("root").over(own)).withColumn("high", F.max("root").over(own)).where("low != high").drop("low", "high")
         drawn = F.struct((-F.col("share")).alias("w") if r == 0 else F.xxhash64("class", F.lit(r)).alias("w"), "class")
         heads = mixed.withColumn("k", F.row_number().over(W.partitionBy("token").orderBy(drawn))).where(F.col("k") <= LEADERS).select("token", F.struct("class", "n", "rest", "root").alias("leader"))
         led = mixed.join(heads, "token").where((F.col("class") != F.col("leader.class")) & (F.col("root") != F.col("leader.root")) & bounds.fits(of(""), of("leader.")))
@@ -423,14 +434,16 @@ def _components(docs: DataFrame, k: int, percent: int) -> DataFrame:
             break
         found = checked(pairs, f"round{r}")
         seen = found if seen is None else seen.unionAll(found)
-        join_links(found, f"joined{r}")
         scratch.drop(f"led{r}")
+        if not join_links(found, f"joined{r}"):
+            break  # other leaders would hardly find more; what is left is looked for below
 
     # Pairs of different components. A list's largest component is only met by the others.
     def met(rows: DataFrame, more) -> DataFrame:
+        # The windows over tokens come first: what they deal out serves all that follows.
+        rows = rows.withColumn("low", F.min("root").over(own)).withColumn("high", F.max("root").over(own)).where("low != high").drop("low", "high")
         rows = rows.withColumn("c", F.count(F.lit(1)).over(W.partitionBy("token", "root")))
-        rows = rows.withColumn("main", F.max(F.struct("c", "root")).over(own)["root"]).withColumn("low", F.min("root").over(own)).withColumn("high", F.max("root").over(own))
-        rows = rows.where("low != high").drop("c", "low", "high")
+        rows = rows.withColumn("main", F.max(F.struct("c", "root")).over(own)["root"]).drop("c")
         l, r = of("l."), of("r.")
         given = F.coalesce(l("before") == r("before"), F.lit(False))
         differ = (l("token") == r("token")) & (l("root") != r("root")) & ((r("root") == r("main")) | (l("class") < r("class"))) & ~given & bounds.fits(l, r) & more(l, r)
@@ -438,9 +451,7 @@ def _components(docs: DataFrame, k: int, percent: int) -> DataFrame:
         return pairs.select(F.least(l("class"), r("class")).alias("a"), F.greatest(l("class"), r("class")).alias("b"))
 
     rooted = with_roots(records.select("class", "n", "rest", tokens)).select("class", "root", "n", "rest", before.alias("at")).select("class", "root", "n", "rest", "at.*")
-    short_lists = rooted.withColumn("size", F.count(F.lit(1)).over(own)).where(F.col("size") < LONG_LIST)
-    sketched = with_roots(long.drop("share").join(records.select("class", "short"), "class"))
-    sketched = sketched.withColumn("size", F.count(F.lit(1)).over(own))  # deals by token once
+    short_lists, sketched = rooted.join(sent(names), "token", "left_anti"), with_roots(long.drop("share"))
     pairs = met(short_lists, lambda l, r: F.lit(True)).unionAll(met(sketched, bounds.short_sketches)).distinct()
     join_links(checked(scratch.table(pairs, "met"), "met"), "joined")
 
