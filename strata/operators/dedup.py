@@ -16,6 +16,9 @@ from pyspark.sql import Window as W
 from ..functions.text import content_hash, shingles, tokens
 from ..scratch import Scratch
 
+#: Shingles with their counts that are sent to all executors, at most; more are joined by a shuffle.
+MAX_SENT = 500_000
+
 
 def first_of_each(df: DataFrame, key: Column, *order: Column) -> DataFrame:
     """The first row of each key. The order must be unique for the result to be."""
@@ -39,14 +42,19 @@ def similar_pairs(sets: DataFrame, threshold: float = 0.85) -> DataFrame:
     """(a, b, jaccard) with a < b of different sets with Jaccard similarity of threshold or more.
 
     Prefix filtering: by rising document frequency, two such sets share a shingle among the
-    first n - ceil(threshold * n) + 1 of each. Sets should be distinct: copies make all pairs.
+    first n - ceil(threshold * n) + 1 of each. Shingles of one document come first there and meet
+    nothing, so a document is looked for only under those of its others that follow them in its
+    prefix; with too few others it is like none. Sets should be distinct: copies make all pairs.
     """
-    sets = Scratch(sets.sparkSession).table(sets, "sets")  # read four times; and a filter pushed below would work the sets out again
+    scratch = Scratch(sets.sparkSession)
+    sets = scratch.table(sets, "sets")  # read four times; and a filter pushed below would work the sets out again
     entries = sets.select("id", "n", F.explode("set").alias("h"))
-    frequency = entries.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    ranked = entries.join(frequency, "h", "left").withColumn("r", F.row_number().over(W.partitionBy("id").orderBy(F.coalesce("df", F.lit(1)), "h")))
-    needed = F.ceil(F.lit(threshold) * F.col("n") - 1e-9)
-    prefixes = ranked.where(F.col("df").isNotNull() & (F.col("r") <= F.col("n") - needed + 1)).select("id", "n", "h")
+    frequency = scratch.table(entries.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "frequency")
+    shared = entries.join(F.broadcast(frequency) if frequency.count() <= MAX_SENT else frequency, "h")
+    others = shared.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("others"))
+    needed = F.ceil(F.lit(threshold) * F.col("n") - 1e-9).cast("int")
+    within = others.where(F.size("others") >= needed).select("id", "n", F.explode(F.slice("others", F.lit(1), F.size("others") - needed + 1)).alias("e"))
+    prefixes = scratch.table(within.select("id", "n", "e.h"), "prefixes")
     a, b = prefixes.alias("a"), prefixes.alias("b")
     met = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.id") < F.col("b.id")) & (F.least("a.n", "b.n") >= F.lit(threshold) * F.greatest("a.n", "b.n") - 1e-9))
     pairs = met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
