@@ -220,9 +220,17 @@ for _entity, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;",
     _H1 = f"replace({_H1}, '{_entity}', '{_char}')"
 
 
-@query(rf"SELECT page_id, CAST(len(regexp_extract_all(html, '<h1[ >]')) AS BIGINT) AS headings, {_clean(_H1)} AS first_heading, length({_norm("regexp_replace(regexp_extract(html, '(?is)</h1>.*?<p>(.*?)(?:<p>|</p>|</article>)', 1), '<[^>]*>', '', 'g')")}) >= 12 AS as_it_was FROM pages")
+_AFTER = "string_split_regex(regexp_extract(html, '(?is)</h1>(.*?)</article>', 1), '</?p>')"
+_KNOWN = f"list_filter(list_transform({_AFTER}, lambda x: regexp_replace(x, '<[^>]*>', '', 'g')), lambda x: trim(x) <> '')"
+
+
+@query(
+    rf"""
+WITH p AS (SELECT page_id, html, list_transform({_KNOWN}, lambda x: length({_norm("x")}) >= 12) AS known FROM pages)
+SELECT page_id, CASE WHEN list_contains(known, true) THEN CAST(len(regexp_extract_all(html, '<h1[ >]')) AS BIGINT) ELSE 0 END AS headings, CASE WHEN list_contains(known, true) THEN {_clean(_H1)} END AS first_heading, known[1] AS as_it_was FROM p"""
+)
 def headings_restored(spark, sf_dir):
-    """Headings that heading_injection puts back: how many, the first, and whether the page is again what it was, as where its first paragraph is long enough to be known again."""
+    """Headings that heading_injection puts back: how many, the first, and whether the page is again what it was: it is where the first paragraph is long enough to be known again. Without any such paragraph no heading returns."""
     rows = table(spark, sf_dir, "pages").select("page_id", html.parse_page(F.col("html"))["markdown"].alias("original"))
     got = heading_injection(spark, sf_dir).join(rows, "page_id")
     found = F.regexp_extract_all("text", F.lit(r"(?m)^#{1,6} (.*)$"), F.lit(1))
