@@ -11,14 +11,16 @@ columns beside the named ones are ignored.
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .common import passed
 
-#: Distinct values of a string dimension whose counts are ordered, at most.
-MAX_VALUES = 200_000
+#: Runs into which the distinct values of a string dimension are dealt for ordering, less one. It changes no result.
+MOST_RUNS = 255
 
 
 def curve_states(n: int) -> tuple[list[int], list[int]]:
@@ -63,26 +65,31 @@ def curve_index(coordinates: list[Column], bits: int) -> Column:
     return F.aggregate(F.array(*corners), start, step, lambda acc: acc["h"])
 
 
-def string_borders(values: DataFrame, parts: int, most: int = MAX_VALUES) -> list[str]:
-    """Strings that cut the rows of `value` into `parts` of about equal counts, in code-point order.
+def string_borders(values: DataFrame, parts: int, most: int = MOST_RUNS) -> list[str]:
+    """Strings that cut the rows of `value` into `parts` of equal counts as nearly as values allow, in code-point order.
 
-    Only a count for each distinct value is ordered. Of more than `most` distinct values, those of
-    the smallest hashes stand for all: borders decide what lies together, never what is placed.
+    The counts of all distinct values are ordered, in at most `most` + 1 runs of the order that are
+    tasks of their own and are shifted by the counts of the runs before them. The values that part
+    the runs are those of the smallest hashes; the borders are the same whatever they are.
     """
     counts = values.where(F.col("value").isNotNull()).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.orderBy(F.xxhash64("value"), "value").limit(most)
-    upto = W.orderBy("value").rowsBetween(W.unboundedPreceding, -1)
-    every = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    part = F.expr(f"{parts} * coalesce(before, 0) div total")
-    cut = counts.select("value", F.sum("n").over(upto).alias("before"), F.sum("n").over(every).alias("total")).groupBy(part.alias("part")).agg(F.min("value").alias("border"))
+    edges = [r["value"] for r in counts.orderBy(F.xxhash64("value"), "value").select("value").limit(most).collect()]
+    counts = counts.withColumn("run", passed(edges, F.col("value")))
+    in_run = {r["run"]: r["n"] for r in counts.groupBy("run").agg(F.sum("n").alias("n")).collect()}
+    if not in_run:
+        return []
+    starts = list(accumulate((in_run.get(k, 0) for k in range(len(edges) + 1)), initial=0))
+    within = F.coalesce(F.sum("n").over(W.partitionBy("run").orderBy("value").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("value", (F.get(F.array(*(F.lit(n).cast("long") for n in starts)), F.col("run")) + within).alias("before"))
+    cut = counts.groupBy(F.expr(f"{parts} * before div {starts[-1]}L").alias("part")).agg(F.min("value").alias("border"))
     return sorted((r["border"] for r in cut.where("part > 0").collect()), key=lambda s: s.encode("utf-8", "surrogatepass"))
 
 
 def hilbert_shards(docs: DataFrame, id_column: str, size: Column, digest: Column, dimensions: list[Column], shards: int, bits: int = 5, salts: int = 256) -> DataFrame:
     """(id, size, digest, cell, curve, shard, slot): runs of the Hilbert order whose row counts differ by one at most.
 
-    What meets in one place: the quantiles (2**bits - 1 borders a dimension), the counts of at
-    most MAX_VALUES strings, and one count for each cell (at most 2**(bits * dimensions)); rows
+    What meets in one place: the quantiles (2**bits - 1 borders a dimension), one count for each run
+    of strings, and one for each cell (at most 2**(bits * dimensions)); rows
     of a cell, which may be a third of all, are dealt over `salts` parts. Each row is moved once, without its text.
     """
     n = len(dimensions)

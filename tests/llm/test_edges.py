@@ -144,6 +144,19 @@ def test_string_borders_cut_rows_evenly(spark):
     assert len(hilbert.string_borders(df, 8, most=100)) == 7 and hilbert.string_borders(df.where("value is null"), 8) == []
 
 
+@pytest.mark.parametrize("most", [0, 1, 10, 255])
+def test_string_borders_come_from_all_counts(spark, most):
+    """However few runs the values are dealt into, the borders are those of all rows."""
+    r = random.Random(5)
+    values = [f"{r.choice(('http://x/', 'é', 'Z', '🙂'))}{int(r.paretovariate(0.5)) % 3000:05d}" for _ in range(3000)] + ["http://x/00007"] * 400
+    counts, before, expected = Counter(values), 0, {}
+    for v in sorted(counts):
+        expected.setdefault(8 * before // len(values), v)
+        before += counts[v]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "value string").repartition(5)
+    assert hilbert.string_borders(df, 8, most=most) == [expected[k] for k in sorted(expected) if k]
+
+
 def test_added_tokens_in_texts_get_their_ids(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
