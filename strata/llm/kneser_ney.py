@@ -35,7 +35,9 @@ from .common import Scratch, WordIds, distinct_counts, in_chunks, mix
 
 END = xxh3_64_intdigest(b" end") >> 1  # no word holds a blank
 BEGIN = xxh3_64_intdigest(b" begin") >> 1
-CHUNK = 16_000_000  # bytes of text that a task counts at a time
+CHUNK = 16_000_000  # bytes of text; orders above 2 count a quarter of it at a time
+PART = 2_000_000  # bytes of text that are words and arrays by token at a time
+KEYS = 3_000_000  # keys that a task counts together, at most a part's more: about 16 MB of text
 BLOB = "shard int, a binary, b binary"
 
 
@@ -85,7 +87,31 @@ def split_blobs(keys: np.ndarray, values: np.ndarray, bits: int):
     """Sorted 64-bit keys and values, cut by shard: rows of (shard, key bytes, value bytes)."""
     at = np.searchsorted(shard_of(keys, bits), np.arange((1 << bits) + 1))
     filled = np.flatnonzero(np.diff(at))
-    return pa.RecordBatch.from_arrays([pa.array(filled, pa.int32()), pa.array([keys[at[s] : at[s + 1]].tobytes() for s in filled], pa.binary()), pa.array([values[at[s] : at[s + 1]].tobytes() for s in filled], pa.binary())], ["shard", "a", "b"])
+    ends = np.append(at[filled], len(keys))
+    cut = lambda x: pa.Array.from_buffers(pa.binary(), len(filled), [None, pa.py_buffer((ends * x.itemsize).astype(np.int32)), pa.py_buffer(x)])  # noqa: E731  not copied
+    return pa.RecordBatch.from_arrays([pa.array(filled, pa.int32()), cut(keys), cut(values)], ["shard", "a", "b"])
+
+
+def count_blobs(batches, keys_of, value_type, bits: int):
+    """Blobs of the distinct keys that keys_of() gives for texts, with their counts. Until KEYS keys are there, nothing but keys is kept."""
+
+    held: list[np.ndarray] = []
+
+    def taken() -> np.ndarray:
+        together = np.concatenate(held)
+        held.clear()
+        return together
+
+    def blobs() -> pa.RecordBatch:
+        keys, counts = distinct_counts(taken())
+        return split_blobs(keys, counts.astype(value_type, copy=False), bits)
+
+    for _, t in in_chunks(batches, "text", PART):
+        held.append(keys_of(t))
+        if sum(map(len, held)) >= KEYS:
+            yield blobs()
+    if held:
+        yield blobs()
 
 
 def merged(keys: list[bytes], values: list[bytes], value_type) -> tuple[np.ndarray, np.ndarray]:
@@ -249,9 +275,7 @@ def train(texts: DataFrame, folder: str, order: int = 2) -> Model:
 
     def count_words(batches):
         words = WordIds()
-        for _, t in in_chunks(batches, "text", CHUNK):
-            keys, counts = distinct_counts(stream(words, t)[0])
-            yield split_blobs(keys, counts, vbits)
+        yield from count_blobs(batches, lambda t: stream(words, t)[0], np.int64, vbits)
 
     begin, end = (int(mix(np.array([x]))[0]) for x in (BEGIN, END))
 
@@ -280,15 +304,17 @@ def train(texts: DataFrame, folder: str, order: int = 2) -> Model:
 
     def count_pairs(batches):
         words = WordIds()
-        for _, t in in_chunks(batches, "text", CHUNK):
+
+        def pairs(t: list) -> np.ndarray:
             hashes, n = stream(words, t)
             distinct, inverse = numbered(vocabulary, hashes)
             numbers = distinct[inverse].astype(np.uint64)
             second = np.ones(len(numbers), bool)
             second[np.concatenate(([0], np.cumsum(n + 1)[:-1]))] = False
             at = np.flatnonzero(second)
-            keys, counts = distinct_counts(mix((numbers[at - 1] << np.uint64(32)) | numbers[at]))
-            yield split_blobs(keys, counts.astype(np.uint32), bbits)
+            return mix((numbers[at - 1] << np.uint64(32)) | numbers[at])
+
+        yield from count_blobs(batches, pairs, np.uint32, bbits)
 
     starts = vocabulary.starts
 
@@ -384,7 +410,7 @@ def score_texts(docs: DataFrame, training: Column, id_column: str = "doc_id", te
 
     def run(batches):
         words = WordIds()
-        for b, t in in_chunks(batches, "text"):
+        for b, t in in_chunks(batches, "text", PART):
             hashes, sizes = stream(words, t)
             known, base, score = model.score(hashes, sizes)
             yield pa.RecordBatch.from_arrays([b["id"], pa.array(sizes), pa.array(known), pa.array(np.full(len(t), model.tokens)), pa.array(base), pa.array(score)], ["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])

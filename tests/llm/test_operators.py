@@ -2,6 +2,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -330,6 +331,26 @@ def test_the_model_beats_the_base_on_unseen_texts(spark, sf_dir):
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
 
 
+def test_tasks_keep_few_arrays_by_token(spark, fixture_dir, monkeypatch):
+    """What op 5 runs in Python takes little beside the texts of its batch, which may be large."""
+    import pyarrow as pa
+
+    frame = type(spark.range(1))
+    tasks, plain = [], frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda df, run, schema: tasks.append(run) or plain(df, run, schema))
+    kneser_ney.op5_kneser_ney(spark, fixture_dir).collect()
+    assert len(tasks) == 3  # words, pairs, scores
+    r = random.Random(4)
+    texts = [" ".join(f"w{int(r.paretovariate(0.6)) % 30000}" for _ in range(1000)) for _ in range(1500)]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "text": texts})
+    for run in tasks:
+        tracemalloc.start()
+        out = [b.num_rows for b in run(iter([batch]))]
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert out and peak < 70_000_000
+
+
 def test_mixing_bits_is_undone():
     x = np.random.default_rng(0).integers(0, 2**63, 1000).astype(np.uint64)
     assert (kneser_ney.unmix(kneser_ney.mix(x)) == x).all()
