@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 
 from ..scratch import Scratch, shared_dir
 
-__all__ = ["MAX_SENT", "NOT_SPACE", "SPACE", "Scratch", "WordIds", "distinct_counts", "in_chunks", "in_one", "mix", "passed", "ranked", "row_hash", "shared_dir", "small_batches"]
+__all__ = ["MAX_SENT", "NOT_SPACE", "SPACE", "Scratch", "WordIds", "distinct_counts", "during", "few_rows", "in_chunks", "in_one", "mix", "passed", "ranked", "row_hash", "shared_dir", "small_batches"]
 
 #: Rows of a few numbers that are sent to all executors, at most (some tens of MB); more are joined by shuffles.
 MAX_SENT = 500_000
@@ -58,17 +58,26 @@ def row_hash(df: DataFrame) -> Column:
 
 
 @contextmanager
-def small_batches(spark, size: str = "8m"):
-    """Arrow batches of at most `size` for the jobs run inside: a worker holds a batch and its Python strings at a time."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+def during(spark, name: str, value: str):
+    """A setting for the jobs run inside."""
     before = spark.conf.get(name)
-    spark.conf.set(name, size)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         spark.conf.set(name, before)
 
 
+def small_batches(spark, size: str = "8m"):
+    """Arrow batches of at most `size` for the jobs run inside: a worker holds a batch and its Python strings at a time."""
+    return during(spark, "spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+def few_rows(spark, rows: int = 128):
+    """Parquet read `rows` rows at a time by the jobs run inside: a reader's arrays hold that many whole texts, and the heap grows with them."""
+    return during(spark, "spark.sql.parquet.columnarReaderBatchSize", str(rows))
+
+
 def passed(borders: list, value: Column, strictly: bool = False) -> Column:
     """How many of the borders are at most (strictly: below) the value."""
     if not borders:

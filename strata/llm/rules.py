@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAX_SENT, NOT_SPACE, SPACE, Scratch, in_one, passed
+from .common import MAX_SENT, NOT_SPACE, SPACE, Scratch, few_rows, in_one, passed
 
 WINDOW = 8
 #: The statistics that rules may test, from the base columns.
@@ -236,7 +236,8 @@ def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
     """Statistics of all documents and the verdict of rules learned from all labelled ones."""
     scratch = Scratch(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    featured = scratch.table(add_statistics(docs).drop("text"), "statistics")
+    with few_rows(spark):
+        featured = scratch.table(add_statistics(docs).drop("text"), "statistics")
     rules = learn_rules(featured, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     q = F.col("_q")
     failed = base_failed(q)

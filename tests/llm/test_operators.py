@@ -605,6 +605,15 @@ def test_pairs_learn_what_no_single_feature_can():
 # 10: rules
 
 
+def test_statistics_are_read_few_rows_at_a_time(spark, fixture_dir, monkeypatch):
+    """The reader's arrays hold few texts while op 10 takes its statistics; the setting is as before afterwards."""
+    name, seen, plain = "spark.sql.parquet.columnarReaderBatchSize", {}, rules.Scratch.table
+    before = spark.conf.get(name)
+    monkeypatch.setattr(rules.Scratch, "table", lambda self, df, table: seen.update({table: int(spark.conf.get(name))}) or plain(self, df, table))
+    out = rules.op10_quality_rules(spark, fixture_dir)
+    assert seen["statistics"] <= 128 and spark.conf.get(name) == before and out.count() == spark.read.parquet(f"{fixture_dir}/documents.parquet").count()
+
+
 def test_rule_statistics_equal_brute_force(spark, fixture_dir, documents):
     got = {r["doc_id"]: r for r in rules.op10_quality_rules(spark, fixture_dir).collect()}
     for d in documents:
