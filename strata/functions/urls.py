@@ -12,9 +12,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .suffixes import SuffixRules, default_rules
+
 PARTS = r"^([^:/?#]+)://([^/?#]*)([^?#]*)"
-#: Under a country's label these are suffixes, not names that a site registers.
-SECOND_LABELS = ("ac", "co", "com", "edu", "ed", "gob", "gov", "go", "gouv", "gv", "ltd", "mil", "me", "net", "ne", "nom", "or", "org", "plc", "sch")
 #: Letters of Latin scripts by the ASCII letter they are a variant of: those below U+0250 that Unicode decomposes so, and some it does not.
 ASCII_OF = {c: b for c in map(chr, range(0xC0, 0x250)) if len(b := "".join(x for x in unicodedata.normalize("NFKD", c) if x.isascii())) == 1 and b.isalpha()} | {"ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ł": "l", "Ł": "L", "ı": "i"}
 WRITTEN_OUT = {"ß": "ss", "æ": "ae", "œ": "oe", "þ": "th"}
@@ -44,12 +44,9 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(netloc(url), r"^(?:[^@]*@)?(\[[^\]]*\]|[^:]*)", 1))
 
 
-def registered_domain(url: Column) -> Column:
-    """The last two labels of the host, three under a country's second-level labels; addresses are whole."""
-    labels = F.split(host(url), r"\.")
-    last = lambda n: F.array_join(F.slice(labels, F.greatest(F.size(labels) - n + 1, F.lit(1)), F.lit(n)), ".")
-    address = host(url).rlike(r"^(\d+\.){3}\d+$|^\[")
-    return F.when(address, host(url)).when(last(2).rlike(rf"^({'|'.join(SECOND_LABELS)})\.[a-z]{{2}}$"), last(3)).otherwise(last(2))
+def registered_domain(url: Column, rules: SuffixRules | None = None) -> Column:
+    """The public suffix of the host and one label more; addresses are whole."""
+    return (rules or default_rules()).registered(host(url))
 
 
 def matches(url: Column, patterns: Sequence[str]) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import html, text, urls
+from ..functions.suffixes import SuffixRules
 from ..operators import blocks, boilerplate, dedup, emit, frontier, media
 from ..scratch import Scratch
 from ..sources.fetch import pages_table, retry_delays
@@ -113,6 +114,27 @@ def url_registered_domain(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", urls.registered_domain(F.col("url")).alias("domain"))
 
 
+#: Rules of every kind, and the ends that made hosts get.
+_RULES = ("com", "net", "uk", "co.uk", "*.ck", "!www.ck", "io", "github.io", "jp", "*.kobe.jp", "!city.kobe.jp")
+_ENDS = ("com", "co.uk", "uk", "shop.ck", "www.ck", "github.io", "north.kobe.jp", "city.kobe.jp", "unlisted", "ck")
+
+
+@query(
+    f"""
+WITH h AS (SELECT page_id, string_split(split_part({_NETLOC}, '.', 1) || '.' || list_extract({list(_ENDS)}, page_id % {len(_ENDS)} + 1), '.') AS l FROM pages),
+r AS (SELECT unnest({list(_RULES)}) AS rule),
+e AS (SELECT page_id, l, k, array_to_string(l[-k:], '.') AS s, '*.' || array_to_string(l[len(l) - k + 2:], '.') AS w FROM h, range(1, 6) x(k) WHERE k <= len(l)),
+m AS (SELECT page_id, l, max(k) FILTER (k = 1 OR s IN (SELECT rule FROM r) OR w IN (SELECT rule FROM r)) AS most, max(k) FILTER ('!' || s IN (SELECT rule FROM r)) AS excepted FROM e GROUP BY ALL)
+SELECT page_id, array_to_string(l, '.') AS host, array_to_string(l[-coalesce(excepted, most + 1):], '.') AS domain FROM m"""
+)
+def url_public_suffixes(spark, sf_dir):
+    """Registered domains of hosts made of the pages' first labels, under plain, wildcard and exception rules of a table."""
+    rules = SuffixRules.of_table(spark.createDataFrame([(r,) for r in _RULES], "rule string"))
+    made = F.concat(F.split_part(urls.netloc(F.col("url")), F.lit("."), F.lit(1)), F.lit("."), F.get(F.array(*map(F.lit, _ENDS)), (F.col("page_id") % len(_ENDS)).cast("int")))
+    rows = table(spark, sf_dir, "pages").select("page_id", made.alias("host"))
+    return rows.select("page_id", "host", urls.registered_domain(F.concat(F.lit("http://"), "host", F.lit("/")), rules).alias("domain"))
+
+
 @query(f"SELECT page_id, url FROM pages WHERE NOT (url GLOB '*spam*' OR {_PATH} GLOB '*spam*' OR url GLOB '*/1*' OR {_PATH} GLOB '*/1*') AND (url GLOB '*/en/*' OR {_PATH} GLOB '*/en/*' OR url GLOB '*/d[ef]/*' OR {_PATH} GLOB '*/d[ef]/*')")
 def url_scope_filter(spark, sf_dir):
     return table(spark, sf_dir, "pages").where(urls.in_scope(F.col("url"), ["*/en/*", "*/d[ef]/*"], ["*spam*", "*/1*"])).select("page_id", "url")

@@ -39,6 +39,7 @@ class Crawl(Section):
     max_pages: int = 50
     max_depth: int = 2
     same_domain_only: bool = True
+    suffix_rules: str = ""
     max_retries: int = 3
     dynamic_fallback: bool = True
     dynamic_min_chars: int = 200

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import html, text, urls
+from ..functions.suffixes import SuffixRules
 from ..log import get_logger
 from ..operators import blocks, boilerplate, dedup, emit, frontier, media
 from ..scratch import Scratch
@@ -124,11 +125,12 @@ class Engine:
         """The content of emitted pages, with depth and ord."""
         c = self.config.crawl
         scratch = Scratch(self.spark)
-        home = self.spark.range(1).select(urls.registered_domain(F.lit(seed)).alias("d")).first()["d"]
+        rules = SuffixRules.read(self.spark, c.suffix_rules) if c.suffix_rules else None
+        home = self.spark.range(1).select(urls.registered_domain(F.lit(seed), rules).alias("d")).first()["d"]
 
         def links_of(rows: DataFrame) -> DataFrame:
             links = rows.select(F.col("url").alias("src"), F.posexplode("links").alias("pos", "link")).select("src", "pos", urls.normalize(F.col("link")).alias("dst"))
-            return links.where(urls.registered_domain(F.col("dst")) == home) if c.same_domain_only else links
+            return links.where(urls.registered_domain(F.col("dst"), rules) == home) if c.same_domain_only else links
 
         links = scratch.table(links_of(content), "links") if content is not None else None
         seen = scratch.table(self.spark.range(1).select(urls.normalize(F.lit(seed)).alias("url"), F.array().cast("array<int>").alias("ord")), "seen")
