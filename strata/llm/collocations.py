@@ -4,11 +4,11 @@ Grams of 1 to max_n words become DataFrame rows and are counted by a hash aggreg
 phrases are joined with the counts of their beginnings and ends, scored in Decimal by their
 lowest cut, freed of what stands in a one-word extension as often, and ranked per language.
 
-A gram is no more frequent than any gram inside it, so rows are exploded in three passes: all
-words, pairs of frequent words, then all grams whose words and pairs are frequent. What is
-frequent after a pass is told to the next by a bitmap of bounded size, in which a wrong bit only
-costs rows: counts are taken of the grams themselves. With more frequent grams than bits the
-passes fall back to exploding all.
+A gram is no more frequent than any gram inside it, so only grams that can reach the least count are
+exploded: hashes of all words are counted first, then those of pairs of frequent words, of triples
+of frequent pairs and so on. What is frequent at a length is told to the following passes by a bitmap of bounded
+size, in which a wrong bit only costs rows: phrases are counted by themselves, not by hashes. With more
+frequent grams than the bitmap can tell apart, all are exploded.
 
 If a longer phrase holds a candidate nearly as often as the candidate stands anywhere, so does the
 extension by one word between them, which is a candidate too: looking at these is enough.
@@ -31,14 +31,17 @@ from pyspark.sql import Window as W
 from xxhash import xxh3_64_intdigest
 
 from .common import MAX_SENT, Scratch, distinct_counts, in_chunks, mix, small_batches
+from .kneser_ney import split_blobs
 
 #: Bytes that end a piece, all read as one of them, and what parts words inside a piece.
 _TO_BREAK = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", b"." * 10)
 BREAK = b"."
 #: The bitmap of frequent grams has so many bits (16 MB), whatever the input.
 BITS = 1 << 27
-#: Bytes of text whose words are Python objects at a time, and distinct grams that a task adds up before it gives rows.
-PART, HELD = 3_000_000, 1_000_000
+#: Bytes of text whose words are Python objects at a time, and hashes that a task adds up before it gives them.
+PART, HELD = 1_000_000, 2_000_000
+#: Bytes of text whose hashes one task adds up.
+SHARD_BYTES = 24_000_000
 #: Phrases are sent to all executors up to so many bytes; more are joined by a shuffle.
 SENT_BYTES = 24_000_000
 #: Parts that the phrases of a language are dealt over before they are ranked together.
@@ -68,11 +71,6 @@ class Words:
         """A hash of each distinct word and the language."""
         return np.fromiter((xxh3_64_intdigest(w, self.seed) for w in self.words), np.uint64, len(self.words))
 
-    def counts(self) -> np.ndarray:
-        out = np.bincount(self.at, minlength=len(self.words))
-        out[0] = 0
-        return out
-
 
 def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return mix(first * np.uint64(0x9E3779B97F4A7C15) + second)
@@ -90,40 +88,6 @@ def by_language(batches):
             yield lang, Words(lang, group)
 
 
-class Sums:
-    """Counts by (language, key), added up until many are held."""
-
-    def __init__(self):
-        self.held: dict[str, list] = {}
-        self.n = 0
-
-    def add(self, lang: str, keys: np.ndarray, counts: np.ndarray):
-        self.held.setdefault(lang, []).append((keys, counts))
-        self.n += len(keys)
-        if self.n > HELD:
-            for x, parts in self.held.items():
-                k, c = (np.concatenate(a) for a in zip(*parts, strict=True))
-                value, at = np.unique(k, return_inverse=True)
-                self.held[x] = [(value, np.bincount(at, c, len(value)).astype(np.int64))]
-            self.n = sum(len(p[0][0]) for p in self.held.values())
-            if self.n > HELD // 2:
-                yield from self.all()
-
-    def all(self):
-        for lang, parts in self.held.items():
-            for keys, counts in parts:
-                yield pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(keys), np.int32))), pa.array(keys.view(np.int64)), pa.array(counts)], ["lang", "key", "n"])
-        self.held, self.n = {}, 0
-
-
-def word_rows(batches):
-    """(lang, key, n): words by hash."""
-    sums = Sums()
-    for lang, words in by_language(batches):
-        yield from sums.add(lang, words.keys()[1:], words.counts()[1:])
-    yield from sums.all()
-
-
 class Frequent:
     """A bitmap of keys; without one, everything may be frequent."""
 
@@ -148,68 +112,94 @@ def frequent(keys: DataFrame) -> Frequent:
     return Frequent(None if len(found) > BITS // 128 else bits)  # half full of numbers: most keys would pass
 
 
-def pair_rows(words_seen):
-    """(lang, key, n): pairs of frequent words by hash."""
+class Levels:
+    """Places of a text's grams that may be frequent, length by length. seen: bitmaps of the lengths from 1 that are known."""
+
+    def __init__(self, words: Words, seen: list):
+        self.words, self.seen = words, seen
+        self.of_words = words.keys()
+        self.size = 1
+        self.at = np.flatnonzero(words.at)  # the places where a gram of `size` words begins
+        self.keys = self.of_words[words.at[self.at]]
+
+    def sift(self) -> np.ndarray:
+        """Drops the grams that are not frequent; of those before, which stayed."""
+        stays = self.seen[self.size - 1].value.may_hold(self.keys)
+        self.at, self.keys = self.at[stays], self.keys[stays]
+        return stays
+
+    def longer(self) -> np.ndarray:
+        """Goes on to grams of one word more, both of whose parts are here; of those before, which are their beginnings."""
+        follows = np.zeros(len(self.at), bool)
+        follows[:-1] = self.at[1:] == self.at[:-1] + 1
+        at = self.at[follows]
+        self.keys = pair_keys(self.keys[follows], self.of_words[self.words.at[at + self.size]])
+        self.at, self.size = at, self.size + 1
+        return follows
+
+
+def hash_rows(size: int, seen: list, bits: int):
+    """(shard, keys, counts): hashes of the grams of `size` words whose parts may be frequent, added up and cut by their leading bits."""
+
+    def rows(held):
+        keys, counts = (np.concatenate(x) for x in zip(*held, strict=True))
+        keys, back = np.unique(keys, return_inverse=True)
+        counts = np.bincount(back, counts, len(keys)).astype(np.int64)
+        return split_blobs(keys, counts, bits)
 
     def run(batches):
-        sums = Sums()
-        for lang, words in by_language(batches):
-            keys = words.keys()
-            good = words_seen.value.may_hold(keys)
-            good[0] = False
-            a, b = words.at[:-1], words.at[1:]
-            both = good[a] & good[b]
-            code, n = distinct_counts(a[both] * len(keys) + b[both])
-            yield from sums.add(lang, pair_keys(keys[code // len(keys)], keys[code % len(keys)]), n)
-        yield from sums.all()
+        held, n = [], 0
+        for _, words in by_language(batches):
+            grams = Levels(words, seen)
+            for _ in range(size - 1):
+                grams.sift()
+                grams.longer()
+            held.append(distinct_counts(grams.keys))
+            n += len(held[-1][0])
+            if n > HELD:
+                yield rows(held)
+                held, n = [], 0
+        if n:
+            yield rows(held)
+
+    return run
+
+
+def often(least: int):
+    """key: of a shard's hashes those found `least` times or more."""
+
+    def run(table: pa.Table) -> pa.Table:
+        keys = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table["a"]])
+        counts = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table["b"]])
+        keys, back = np.unique(keys, return_inverse=True)
+        found = keys[np.bincount(back, counts, len(keys)) >= least]
+        return pa.table({"key": pa.array(found.view(np.int64))})
 
     return run
 
 
-def phrase_rows(words_seen, pairs_seen, max_n: int):
-    """(lang, size, phrase, n): all grams of 1 to max_n words whose words and pairs may be frequent."""
+def phrase_rows(seen: list):
+    """(lang, size, phrase, n): the grams that may be frequent, by part of the text, and all words as the phrase of size 0."""
 
     def grams(words: Words):
-        """(size, number of a gram, count) by size; grams are told apart by numbers, not by hashes."""
-        keys, at = words.keys(), words.at
-        good = words_seen.value.may_hold(keys)
-        good[0] = False
-        starts = np.flatnonzero(good[at])
-        n = words.counts()
-        for w in np.flatnonzero(good):
-            yield 1, words.words[w], int(n[w])
-        pair = np.zeros(max(len(at) - 1, 0), bool)
-        a, b = at[:-1], at[1:]
-        both = np.flatnonzero(good[a] & good[b])
-        code, back = np.unique(a[both] * len(keys) + b[both], return_inverse=True)
-        pair[both] = pairs_seen.value.may_hold(pair_keys(keys[code // len(keys)], keys[code % len(keys)]))[back]
-        gram = at  # the number of the gram that begins at each place of `starts`
-        gram = gram[starts]
-        for size in range(2, max_n + 1):
-            ends = starts + size - 1
-            on = ends < len(at)
-            on[on] = pair[ends[on] - 1]
-            starts, gram, ends = starts[on], gram[on], ends[on]
-            code, first, gram, n = np.unique(gram * len(keys) + at[ends], return_index=True, return_inverse=True, return_counts=True)
-            for i, c in zip(starts[first].tolist(), n.tolist(), strict=True):
-                yield size, b" ".join([words.words[w] for w in at[i : i + size].tolist()]), c
-
-    def batch(held) -> pa.RecordBatch:
-        lang, size, phrase, n = zip(*((*k, v) for k, v in held.items()), strict=True)
-        text = [p.decode("utf-8", "replace") for p in phrase]
-        return pa.RecordBatch.from_arrays([pa.array(lang), pa.array(size, pa.int32()), pa.array(text), pa.array(n, pa.int64())], ["lang", "size", "phrase", "n"])
+        """(size, gram, count); grams are told apart by numbers, not by hashes."""
+        levels = Levels(words, seen)
+        number = words.at[levels.at]
+        yield 0, b"", len(number)
+        for size in range(1, len(seen) + 1):
+            number = number[levels.sift()]
+            _, first, number, n = np.unique(number, return_index=True, return_inverse=True, return_counts=True)
+            for i, c in zip(levels.at[first].tolist(), n.tolist(), strict=True):
+                yield size, b" ".join([words.words[w] for w in words.at[i : i + size].tolist()]), c
+            if size < len(seen):
+                begins = number[levels.longer()]
+                number = begins * len(words.words) + words.at[levels.at + size]
 
     def run(batches):
-        held: dict = {}
         for lang, words in by_language(batches):
-            for size, phrase, n in grams(words):
-                k = (lang, size, phrase)
-                held[k] = held.get(k, 0) + n
-            if len(held) > HELD // 8:
-                yield batch(held)
-                held = {}
-        if held:
-            yield batch(held)
+            size, phrase, n = zip(*grams(words), strict=True)
+            text = [p.decode("utf-8", "replace") for p in phrase]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n)), pa.array(size, pa.int32()), pa.array(text), pa.array(n, pa.int64())], ["lang", "size", "phrase", "n"])
 
     return run
 
@@ -219,20 +209,21 @@ def phrase_counts(docs: DataFrame, max_n: int, least: int) -> tuple[DataFrame, D
     spark = docs.sparkSession
     scratch = Scratch(spark)
     rows = docs.select("text", "lang")
-    broadcast = spark.sparkContext.broadcast
-    summed = lambda df, *keys: df.groupBy(*keys).agg(F.sum("n").alias("n"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(4, (size // SHARD_BYTES).bit_length())
+    seen: list = []
     with small_batches(spark):
-        words = scratch.table(summed(rows.mapInArrow(word_rows, "lang string, key long, n long"), "lang", "key"), "words")
-        totals = scratch.table(words.groupBy("lang").agg(F.sum("n").alias("total")), "totals")
-        words_seen = broadcast(frequent(words.where(F.col("n") >= least)))
-        pairs = summed(rows.mapInArrow(pair_rows(words_seen), "lang string, key long, n long"), "lang", "key").where(F.col("n") >= least)
-        pairs_seen = broadcast(frequent(scratch.table(pairs.select("key"), "pairs")))
-        grams = rows.mapInArrow(phrase_rows(words_seen, pairs_seen, max_n), "lang string, size int, phrase string, n long")
-        counts = scratch.table(summed(grams, "lang", "size", "phrase").where(F.col("n") >= least).withColumnRenamed("n", "f"), "counts")
-    scratch.drop("words", "pairs")
-    words_seen.unpersist()
-    pairs_seen.unpersist()
-    return counts, totals
+        for n in range(1, max_n + 1):
+            hashes = rows.mapInArrow(hash_rows(n, list(seen), bits), "shard int, a binary, b binary")
+            keys = scratch.table(hashes.groupBy("shard").applyInArrow(often(least), "key long"), f"frequent{n}")
+            seen.append(spark.sparkContext.broadcast(frequent(keys)))
+        grams = rows.mapInArrow(phrase_rows(list(seen)), "lang string, size int, phrase string, n long")
+        counts = grams.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("f"))
+        counts = scratch.table(counts.where((F.col("f") >= least) | (F.col("size") == 0)), "counts")
+    for n, b in enumerate(seen):
+        b.unpersist()
+        scratch.drop(f"frequent{n + 1}")
+    return counts.where("size > 0"), counts.where("size = 0").select("lang", F.col("f").alias("total"))
 
 
 def best_cuts(counts: DataFrame, totals: DataFrame) -> DataFrame:
