@@ -2,12 +2,14 @@
 
 Exact copies: the first row of each content hash. Near copies: row i stays iff no kept earlier
 row is similar, which is the lexicographically first maximal independent set of the similarity
-graph; it is found in parallel rounds (Blelloch, Fineman, Shun 2012).
+graph; it is found in parallel rounds (Blelloch, Fineman, Shun 2012), from pairs or from lists of
+rows that may be similar.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,31 +40,45 @@ def shingle_sets(df: DataFrame, id_column: str, text: str, k: int = 5) -> DataFr
     return words.select("id", hashes.alias("set")).withColumn("n", F.size("set"))
 
 
-def similar_pairs(sets: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """(a, b, jaccard) with a < b of different sets with Jaccard similarity of threshold or more.
+def prefix_lists(sets: DataFrame, threshold: float) -> DataFrame:
+    """(id, n, h): shingles under which each set is looked for, so that any two sets of Jaccard similarity of threshold or more share one.
 
     Prefix filtering: by rising document frequency, two such sets share a shingle among the
     first n - ceil(threshold * n) + 1 of each. Shingles of one document come first there and meet
     nothing, so a document is looked for only under those of its others that follow them in its
-    prefix; with too few others it is like none. Sets should be distinct: copies make all pairs.
+    prefix; with too few others it is like none. `sets` should be a written table: it is read twice.
     """
-    scratch = Scratch(sets.sparkSession)
-    sets = scratch.table(sets, "sets")  # read four times; and a filter pushed below would work the sets out again
     entries = sets.select("id", "n", F.explode("set").alias("h"))
-    frequency = scratch.table(entries.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "frequency")
+    frequency = Scratch(sets.sparkSession).table(entries.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "frequency")
     shared = entries.join(F.broadcast(frequency) if frequency.count() <= MAX_SENT else frequency, "h")
     others = shared.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("others"))
     needed = F.ceil(F.lit(threshold) * F.col("n") - 1e-9).cast("int")
     within = others.where(F.size("others") >= needed).select("id", "n", F.explode(F.slice("others", F.lit(1), F.size("others") - needed + 1)).alias("e"))
-    prefixes = scratch.table(within.select("id", "n", "e.h"), "prefixes")
-    a, b = prefixes.alias("a"), prefixes.alias("b")
-    met = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.id") < F.col("b.id")) & (F.least("a.n", "b.n") >= F.lit(threshold) * F.greatest("a.n", "b.n") - 1e-9))
-    pairs = met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    return within.select("id", "n", "e.h")
+
+
+def sizes_allow(threshold: float) -> Callable[[str, str], Column]:
+    """Whether the sizes of two sets leave room for the similarity."""
+    return lambda a, b: F.least(f"{a}.n", f"{b}.n") >= F.lit(threshold) * F.greatest(f"{a}.n", f"{b}.n") - 1e-9
+
+
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, jaccard) of those pairs (a, b) whose whole sets are similar."""
     whole = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return whole.select("a", "b", (common / (F.size("x") + F.size("y") - common)).alias("jaccard")).where(F.col("jaccard") >= threshold)
 
 
+def similar_pairs(sets: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """(a, b, jaccard) with a < b of different sets with Jaccard similarity of threshold or more: all pairs, as a report of them is. Sets should be distinct."""
+    scratch = Scratch(sets.sparkSession)
+    sets = scratch.table(sets, "sets")  # read four times; and a filter pushed below would work the sets out again
+    prefixes = scratch.table(prefix_lists(sets, threshold), "prefixes")
+    a, b = prefixes.alias("a"), prefixes.alias("b")
+    met = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.id") < F.col("b.id")) & sizes_allow(threshold)("a", "b"))
+    return verified(met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct(), sets, threshold)
+
+
 def minhash_signatures(sets: DataFrame, permutations: int = 128) -> DataFrame:
     """(id, signature): the least hash of the set under each permutation."""
     signature = F.transform(F.sequence(F.lit(1), F.lit(permutations)), lambda k: F.array_min(F.transform("set", lambda h: F.xxhash64(h, k))))
@@ -115,6 +131,49 @@ def first_wins(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return order.join(dropped, "id", "left_anti").select("id")
 
 
+def first_wins_in_lists(nodes: DataFrame, entries: DataFrame, close: Callable[[str, str], Column], similar: Callable[[DataFrame], DataFrame] | None = None, worth: float = 4.0, most_rounds: int = 40) -> DataFrame:
+    """Ids of `nodes` (id, ord) that stay, as first_wins() would tell from all similar pairs, which are not made.
+
+    entries (h, id, ...): any two similar rows share an h. close(a, b) is a condition on two entries that
+    all similar rows meet; similar() keeps the similar ones of pairs (a, b), all if it is left out.
+
+    A row that comes first in each of its lists has no similar row before it: it stays, and the rest of its
+    lists is compared with it alone. What is like it goes, and the lists are shorter in the next round. So a
+    family of copies costs one link a member, not all its pairs. Once lists are so short that
+    all pairs are at most `worth` times the entries, or rounds no longer shorten them, the pairs that are left are made.
+    """
+    scratch = Scratch(nodes.sparkSession)
+    columns = [c for c in entries.columns if c != "ord"]
+    left = scratch.table(entries.select(*columns).join(nodes.select("id", "ord"), "id"), "left0")
+    dropped = scratch.table(nodes.select("id").where("false"), "gone0")
+    keep_similar = similar or (lambda pairs: pairs)
+    before = None
+    for k in range(1, most_rounds + 1):
+        lists = scratch.table(left.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.min("ord").alias("first")).where("size > 1"), f"lists{k}")
+        size = lists.agg(F.sum("size"), F.sum(F.col("size") * (F.col("size") - 1) / 2)).first()
+        if not size[0] or size[1] <= worth * size[0] or before is not None and size[1] > 0.9 * before:
+            break
+        before = size[1]
+        shared = scratch.table(left.join(lists.select("h", "first"), "h"), f"shared{k}")  # lists of one row decide nothing
+        sure = shared.groupBy("id").agg(F.min(F.col("ord") == F.col("first")).alias("leads")).where("leads").select("id")
+        sure = scratch.table(sure, f"sure{k}")
+        heads = scratch.table(shared.join(sure, "id", "left_semi").drop("first"), f"heads{k}")  # one a list
+        x, y = heads.alias("x"), shared.alias("y")
+        met = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.ord") < F.col("y.ord")) & close("x", "y"))
+        gone = keep_similar(met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()).select(F.col("b").alias("id")).distinct()
+        gone = scratch.table(gone, f"gone{k}")
+        dropped = dropped.unionAll(gone)
+        left = scratch.table(shared.drop("first").join(sure, "id", "left_anti").join(gone, "id", "left_anti"), f"left{k}")
+        scratch.drop(f"left{k - 1}", f"shared{k}", f"heads{k}", f"sure{k}", f"lists{k}")
+    x, y = left.alias("x"), left.alias("y")
+    met = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.ord") < F.col("y.ord")) & close("x", "y"))
+    pairs = scratch.table(keep_similar(met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()).select("a", "b"), "pairs")
+    undecided = nodes.join(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))), "id", "left_semi")
+    stays = first_wins(undecided, pairs)
+    dropped = dropped.unionAll(undecided.select("id").join(stays, "id", "left_anti"))
+    return nodes.select("id").join(dropped, "id", "left_anti")
+
+
 def dedup_text(df: DataFrame, id_column: str, text: str, order: str, enabled: bool = True, threshold: float = 0.85, approximate: bool = False) -> DataFrame:
     """df without exact copies and, if enabled, without near copies of kept rows."""
     unique = exact_dedup(df, text, F.col(order), F.col(id_column))
@@ -133,7 +192,8 @@ def dedup_text(df: DataFrame, id_column: str, text: str, order: str, enabled: bo
         both = lsh_candidates(sets, threshold).join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y"))
         pairs = both.where(common >= F.lit(threshold) * (F.size("x") + F.size("y") - common)).select("a", "b")
+        kept = first_wins(ords, pairs)
     else:
-        pairs = similar_pairs(sets, threshold)
-    kept = first_wins(ords, pairs)
+        sets = Scratch(df.sparkSession).table(sets, "different")
+        kept = first_wins_in_lists(ords, prefix_lists(sets, threshold), sizes_allow(threshold), lambda pairs: verified(pairs, sets, threshold))
     return unique.join(kept.withColumnRenamed("id", id_column), id_column, "left_semi")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -9,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import aspect
-from .dedup import first_of_each, first_wins
+from ..scratch import Scratch
+from .dedup import first_of_each, first_wins_in_lists
 
 #: What files begin with, and the extension they get.
 MAGIC = (("89504E470D0A1A0A", "png"), ("FFD8FF", "jpg"), ("47494638", "gif"))
@@ -74,25 +78,78 @@ def phash(height: pd.Series, width: pd.Series, channels: pd.Series, data: pd.Ser
     return pd.Series([one(*x) for x in zip(height, width, channels, data, strict=True)], dtype="Int64")
 
 
-def hamming_pairs(hashes: DataFrame, most: int = 6) -> DataFrame:
-    """(a, b, distance) of (id, bits) that differ in `most` bits or fewer.
+#: Parts of a hash, at most: 924 keys a hash of within 6 bits.
+MOST_PARTS = 12
+
+
+def parts_for(n: int, most: int, meets: float = 1.0) -> int:
+    """The fewest parts of 64 bits at which a random hash meets fewer than `meets` of n others; beyond what MOST_PARTS can do, those of the least keys and meetings together."""
+    keys = {p: math.comb(p, most) for p in range(most + 1, max(MOST_PARTS, most + 1) + 1)}
+    met = {p: k * n / 2.0 ** (64 * (p - most) / p) for p, k in keys.items()}
+    few = [p for p in keys if met[p] < meets]
+    return few[0] if few else min(keys, key=lambda p: keys[p] + met[p])
+
 
-    Of most + 1 bands of the 64 bits at least one must agree, so an equi-join by band finds
-    every pair. Equal hashes should be collapsed before.
+class HammingKeys:
+    """Keys of 64-bit hashes, one of which any two hashes within `most` bits share.
+
+    Of p parts of the bits, two such hashes agree on p - most at least. A key is the bits of p - most parts;
+    there is one for each choice of them. More parts make keys longer and more: p follows the number of
+    hashes, so that up to a million a hash meets less than one other by chance.
     """
-    bands = most + 1
-    edges = [64 * i // bands for i in range(bands + 1)]
-    parts = F.array(*(F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("bits", edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1)).alias("key")) for i in range(bands)))
-    rows = hashes.select("id", "bits", F.explode(parts).alias("p")).select("id", "bits", "p.band", "p.key")
+
+    def __init__(self, n: int, most: int = 6, meets: float = 1.0):
+        self.most, self.parts = most, parts_for(n, most, meets)
+        edges = [64 * i // self.parts for i in range(self.parts + 1)]
+        self.masks = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:], strict=False)]
+        self.choices = [*combinations(range(self.parts), self.parts - most)]
+
+    @staticmethod
+    def _longs(values: list[int]) -> Column:
+        return F.array(*(F.lit(v - (1 << 64) if v >> 63 else v).cast("long") for v in values))
+
+    def entries(self, hashes: DataFrame, bits: str = "bits") -> DataFrame:
+        """hashes with choice and key, a row for each choice of parts."""
+        masks = self._longs([sum(self.masks[i] for i in c) for c in self.choices])
+        keys = F.transform(masks, lambda m: F.col(bits).bitwiseAND(m))
+        return hashes.select(*hashes.columns, F.posexplode(keys).alias("choice", "key"))
+
+    def first_met(self, a: Column, b: Column, choice: Column) -> Column:
+        """True at the first of the choices in which two hashes agree: each pair is given once, however many keys it shares."""
+        differ = a.bitwiseXOR(b)
+        agreed = F.lit(0)
+        for i, m in enumerate(self.masks):
+            agreed = agreed + F.when(differ.bitwiseAND(self._longs([m])[0]) == 0, F.lit(1 << i)).otherwise(F.lit(0))
+        chosen = F.array(*(F.lit(sum(1 << i for i in c)) for c in self.choices))
+        upto = F.array(*(F.lit((2 << max(c)) - 1) for c in self.choices))
+        return agreed.bitwiseAND(F.get(upto, choice)) == F.get(chosen, choice)
+
+
+def hamming_pairs(hashes: DataFrame, most: int = 6) -> DataFrame:
+    """(a, b, distance) with a < b of (id, bits) that differ in `most` bits or fewer. Hashes are compared, whoever has them, and then named."""
+    scratch = Scratch(hashes.sparkSession)
+    different = scratch.table(hashes.select("bits").distinct(), "bits")
+    keys = HammingKeys(different.count(), most)
+    rows = keys.entries(different)
     x, y = rows.alias("x"), rows.alias("y")
     distance = F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits")))
-    met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (distance <= most))
-    return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), distance.alias("distance")).distinct()
+    met = x.join(y, (F.col("x.choice") == F.col("y.choice")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.bits") < F.col("y.bits")) & (distance <= most) & keys.first_met(F.col("x.bits"), F.col("y.bits"), F.col("x.choice")))
+    pairs = met.select(F.col("x.bits").alias("xb"), F.col("y.bits").alias("yb"), distance.alias("distance"))
+    named = lambda i, b: hashes.select(F.col("id").alias(i), F.col("bits").alias(b))
+    unlike = pairs.join(named("i", "xb"), "xb").join(named("j", "yb"), "yb").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "distance")
+    equal = named("a", "xb").join(named("b", "yb"), F.col("xb") == F.col("yb")).where("a < b").select("a", "b", F.lit(0).alias("distance"))
+    return unlike.unionByName(equal)
 
 
 def dedup_images(images: DataFrame, most: int = 6) -> DataFrame:
-    """images (id, ord, sha, bits) that passed the gates, without those equal to a kept earlier one by content or within `most` bits of its hash."""
+    """images (id, ord, sha, bits) that passed the gates, without those equal to a kept earlier one by content or within `most` bits of its hash. Those without a hash are compared by content."""
+    scratch = Scratch(images.sparkSession)
     unique = first_of_each(images, F.col("sha"), F.col("ord"), F.col("id"))
-    unique = first_of_each(unique, F.col("bits"), F.col("ord"), F.col("id"))
-    kept = first_wins(unique.select("id", F.struct("ord", "id").alias("ord")), hamming_pairs(unique.select("id", "bits"), most))
-    return unique.join(kept, "id", "left_semi")
+    unhashed, unique = unique.where(F.col("bits").isNull()), first_of_each(unique.where(F.col("bits").isNotNull()), F.col("bits"), F.col("ord"), F.col("id"))
+    # A hash names its image from here on, so that ids of any size are not copied for each key.
+    nodes = scratch.table(unique.select(F.col("bits").alias("id"), F.struct("ord", F.col("id").alias("own")).alias("ord")), "nodes")
+    keys = HammingKeys(nodes.count(), most)
+    entries = keys.entries(nodes.select("id"), "id").select(F.xxhash64("choice", "key").alias("h"), "id")
+    near = lambda a, b: F.bit_count(F.col(f"{a}.id").bitwiseXOR(F.col(f"{b}.id"))) <= most
+    kept = first_wins_in_lists(nodes, entries, near)
+    return unique.join(kept.withColumnRenamed("id", "bits"), "bits", "left_semi").select(*images.columns).unionByName(unhashed)
