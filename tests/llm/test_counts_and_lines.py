@@ -1,0 +1,254 @@
+"""Operators 11 to 13 against brute force, on odd rows, and against their SQL."""
+
+import hashlib
+import random
+import re
+from collections import Counter, defaultdict
+from itertools import permutations
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from strata.llm import collocations, interactions, line_runs
+from strata.llm.queries import ORACLES, QUERIES
+
+CLASHING = ["size", "phrase", "key", "id", "at", "mark", "part", "part_1", "A", "E", "words", "n", "f", "batch", "good", "digest"]
+NEW = ["op11_phrase_collocations", "op12_filter_interactions", "op13_line_runs"]
+
+
+def lower(t):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in t)
+
+
+def with_clashes(df):
+    return df.select("*", *(F.lit("x").alias(c) for c in CLASHING))
+
+
+@pytest.mark.parametrize("name", NEW)
+@pytest.mark.parametrize("folder", ["fixture_dir", "sf_dir"])
+def test_queries_equal_their_sql(spark, request, name, folder):
+    path = request.getfixturevalue(folder)
+    db = duckdb.connect()
+    for t in ("documents", "labels"):
+        files = f"{path}/{t}.parquet" + ("/*.parquet" if folder == "fixture_dir" else "")
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{files}'")
+    got = QUERIES[name](spark, path)
+    want = db.sql(ORACLES[name])
+    assert got.columns == want.columns
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want.fetchall()))
+
+
+@pytest.mark.parametrize("name", NEW)
+def test_empty_tables_give_no_rows(spark, empty_dir, name):
+    assert QUERIES[name](spark, empty_dir).count() == 0
+
+
+# Operator 11
+
+
+def brute_collocations(rows, max_n, least, most):
+    f, total = Counter(), Counter()
+    for text, lang in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lower(text or "")):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            total[lang] += len(w)
+            for n in range(1, max_n + 1):
+                f.update((lang, tuple(w[i : i + n])) for i in range(len(w) - n + 1))
+    found = defaultdict(list)
+    for (lang, p), a in f.items():
+        if len(p) < 2 or a < least:
+            continue
+        longer = [f[x] for x in f if x[0] == lang and len(x[1]) > len(p) and any(x[1][i : i + len(p)] == p for i in range(len(x[1])))]
+        if any(x >= a for x in longer):
+            continue
+        n = total[lang]
+        score, k = min((1000 * a * n // (f[lang, p[:k]] * f[lang, p[k:]]), k) for k in range(1, len(p)))
+        found[lang].append((-score, -a, " ".join(p).encode(), f[lang, p[:k]], f[lang, p[k:]], n))
+    return sorted((lang, i + 1, p.decode(), -a, x, y, n, -s) for lang, ps in found.items() for i, (s, a, p, x, y, n) in enumerate(sorted(ps)[:most]))
+
+
+@pytest.fixture(scope="module")
+def wordy():
+    r = random.Random(21)
+    rows = []
+    for i in range(160):
+        words = [r.choice(("New", "york", "city", "of", "THE", "the", "é", "É", "a\tb", "x")) for _ in range(r.randint(0, 40))]
+        text = "".join(w + r.choice((" ", " ", " ", "  ", ", ", "\n", ".", "\t")) for w in words)
+        rows.append((text if i % 17 else None, r.choice(("en", "de", None, "und", ""))))
+    rows += [("new york city " * 30 + "end", "en")] * 3 + [("", "en"), (" \n\t.", "fr")]
+    return rows
+
+
+def test_collocations_equal_brute_force(spark, wordy):
+    df = with_clashes(spark.createDataFrame(wordy, "text string, lang string").repartition(5))
+    for max_n, least, most in ((5, 6, 2000), (3, 4, 7)):
+        out = collocations.collocations(df, max_n, least, most).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+        assert sorted(map(tuple, out.collect())) == brute_collocations(wordy, max_n, least, most)
+
+
+def test_collocations_do_not_depend_on_parts_or_bits(spark, wordy, monkeypatch):
+    df = spark.createDataFrame(wordy, "text string, lang string").coalesce(1)
+    monkeypatch.setattr(collocations, "PART", 300)
+    monkeypatch.setattr(collocations, "HELD", 50)
+    monkeypatch.setattr(collocations, "BITS", 64)  # every bit stands for many grams, or for all
+    out = collocations.collocations(df, 5, 6).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    assert sorted(map(tuple, out.collect())) == brute_collocations(wordy, 5, 6, 2000)
+
+
+def test_scores_are_exact_beyond_64_bits(spark):
+    r = random.Random(22)
+    n = 5 * 10**13 + 7
+    rows, want = [], {}
+    for i in range(60):
+        a = r.randint(100, 10**12)
+        left, right = r.randint(a, 10**13), r.randint(a, 10**13)
+        rows += [("en", 1, f"l{i}", left), ("en", 1, f"r{i}", right), ("en", 2, f"l{i} r{i}", a)]
+        want[f"l{i} r{i}"] = 1000 * a * n // (left * right)
+    counts = spark.createDataFrame(rows, "lang string, size int, phrase string, f long")
+    out = collocations.best_cuts(counts, spark.createDataFrame([("en", n)], "lang string, total long"))
+    assert {x["phrase"]: x["score"] for x in out.collect()} == want and dict(out.dtypes)["score"] == "bigint"
+
+
+def test_equal_scores_take_the_first_cut(spark):
+    counts = spark.createDataFrame([("en", 3, "a b c", 100)] + [("en", 1, w, 200) for w in "abc"] + [("en", 2, p, 150) for p in ("a b", "b c")], "lang string, size int, phrase string, f long")
+    out = {x["phrase"]: x for x in collocations.best_cuts(counts, spark.createDataFrame([("en", 1000)], "lang string, total long")).collect()}
+    assert (out["a b c"]["k"], out["a b c"]["l"], out["a b c"]["r"]) == (1, 200, 150)
+
+
+# Operator 12
+
+
+def brute_audit(rows, filters):
+    """rows: (part, failed letters, good, toxic)."""
+    out = {}
+    for part in {r[0] for r in rows}:
+        here = [r for r in rows if r[0] == part]
+        shapley = Counter()
+        for order in permutations(filters):
+            left = here
+            for step, f in enumerate(order, 1):
+                gone = [r for r in left if f in r[1]]
+                left = [r for r in left if f not in r[1]]
+                fails = sum(f in r[1] for r in here)
+                shapley[f] += len(gone)
+                out[part, "".join(order), step] = [len(left), len(gone), fails - len(gone), sum(r[1] == {f} for r in here), sum(r[2] for r in gone), sum(r[3] for r in gone)]
+        for key in [k for k in out if k[0] == part]:
+            out[key] = (*out[key], shapley[key[1][key[2] - 1]])
+    return {(*k, *v) for k, v in out.items()}
+
+
+def audited(out):
+    return {tuple(x) for x in out.select("part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley").collect()}
+
+
+@pytest.mark.parametrize("filters", ["ABCD", "XY"])
+def test_audit_equals_brute_force(spark, filters, monkeypatch):
+    r = random.Random(23)
+    rows = [(r.choice(("en", "de", "")), {f for f in filters if r.random() < 0.3}, r.random() < 0.5, r.random() < 0.2) for _ in range(200)] + [("all fail", set(filters), True, True), ("none fails", set(), True, False)]
+    df = spark.createDataFrame([(p, *(f in failed for f in filters), g, t) for p, failed, g, t in rows], ", ".join(["part string", *(f"{f} boolean" for f in filters), "good boolean", "toxic boolean"]))
+    visited = []
+    visit = interactions.Trie.visit
+    monkeypatch.setattr(interactions.Trie, "visit", lambda self, survivors, state: (visited.append(state), visit(self, survivors, state)))
+    assert audited(interactions.audit(df, filters, ("good", "toxic"))) == brute_audit(rows, filters)
+    assert len(visited) == len(set(visited)) == 2 ** len(filters) - 1  # each state once; at the last nothing is left to ask
+
+
+def test_flags_of_odd_rows(spark):
+    long = " ".join(f"w{i}" for i in range(200))
+    rows = [(1, long, "en"), (2, long, "en"), (2, long, "en"), (None, long, "en"), (None, long, None), (3, None, None), (4, "", ""), (5, "A" * 4 + "a" * 96, "de"), (6, "A" * 3 + "a" * 97, "de"), (7, "a a a a a b", "de"), (8, "a a b b", "de"), (9, "tag #x", "de"), (10, "é b", "de")]
+    labels = [(1, 1, 0), (1, 0, 0), (2, 0, 1), (None, 1, 1), (99, 1, 1), (5, None, None)]
+    df = with_clashes(spark.createDataFrame([(k, *x) for k, x in enumerate(rows)], "place int, doc_id long, text string, lang string"))
+    flags = interactions.flagged(df, with_clashes(spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))).collect()
+    told = Counter((f["part"], "".join(x for x in "ABCDE" if f[x]), f["good"], f["toxic"]) for f in flags)
+    assert told == Counter({
+        ("en", "", True, False): 1, ("en", "E", False, True): 2, ("en", "", False, False): 1, ("", "", False, False): 1,
+        ("", "A", False, False): 1, ("", "AE", False, False): 1, ("de", "AC", False, False): 1, ("de", "A", False, False): 3,
+        ("de", "AD", False, False): 1, ("de", "AB", False, False): 1,
+    })
+
+
+# Operator 13
+
+
+def brute_lines(rows, shortest, least):
+    """(n_lines, n_dropped, text) by row of (id, text)."""
+    key = lambda line: lower(line.strip(" \t\n\x0b\x0c\r"))
+    holders = defaultdict(set)
+    for i, t in rows:
+        for line in (t or "").split("\n"):
+            if len(key(line)) >= shortest:
+                holders[key(line)].add(i)
+    keeper = {k: max(h - {None}, default=None) for k, h in holders.items() if len(h) >= least}
+    out = []
+    for i, t in rows:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if key(x) not in keeper or keeper[key(x)] == i]
+        out.append((i, len(lines), len(lines) - len(kept), "\n".join(kept)))
+    return out
+
+
+@pytest.fixture(scope="module")
+def lined():
+    r = random.Random(24)
+    shared = [f"line {k} that many documents share" + " é" * (k % 3) for k in range(12)]
+    rows = []
+    for i in range(150):
+        lines = [r.choice(("", " ", "\t")) + (r.choice(shared) if r.random() < 0.4 else f"own line {i} {j}").upper()[: r.choice((10, 60))] + r.choice(("", "  ", "\r", " ")) for j in range(r.randint(0, 9))]
+        rows.append((r.randrange(100), "\n".join(lines)))  # ids with several rows
+    rows += rows[:10] + [(None, shared[0]), (None, shared[1] + "\n" + shared[1]), (None, None), (5, None), (7, ""), (8, "\n\n"), (500, "\n".join(shared * 2)), (-3, shared[2])]
+    return rows
+
+
+@pytest.mark.parametrize(("batches", "fanout"), [(1, 2), (6, 2), (5, 3)])
+def test_lines_equal_brute_force(spark, lined, batches, fanout):
+    df = with_clashes(spark.createDataFrame(lined, "doc_id long, text string").repartition(4))
+    lost = line_runs.repeated_lines(df, shortest=20, least=4, batches=batches, fanout=fanout)
+    out = line_runs.without_lines(df, lost)
+    got = Counter((x["doc_id"], x["__line_n"], x["__line_dropped"], x["text"] or "") for x in out.collect())
+    assert got == Counter(brute_lines(lined, 20, 4))
+    assert set(df.columns) < set(out.columns)
+    if batches == 1:
+        assert line_runs.drop_lines(df, shortest=20, least=4).columns == df.columns
+
+
+def test_runs_are_levelled_and_the_first_batch_keeps(spark):
+    runs = line_runs.LineRuns(spark, fanout=2, buckets=4)
+    batch = lambda rows: spark.createDataFrame([(i, bytearray(k.encode())) for i, k in rows], "id long, key binary")
+    shapes = []
+    for rows in ([(1, "a"), (2, "a"), (2, "b")], [(9, "a"), (9, "c")], [(3, "b"), (4, "d"), (4, "a")], [(None, "e"), (8, "c")], [(7, "a")]):
+        runs.add(batch(rows))
+        shapes.append([len(x) for x in runs.levels])
+    assert shapes == [[1], [0, 1], [1, 1], [0, 0, 1], [1, 0, 1]]
+    assert {(bytes(x["key"]).decode(), x["keeper"]) for x in runs.found(1).collect()} == {("a", 2), ("b", 2), ("c", 9), ("d", 4), ("e", None)}
+    assert {bytes(x["key"]).decode() for x in runs.found(4).collect()} == {"a"}
+    assert {bytes(x["key"]).decode() for x in runs.new_keys(batch([(1, "a"), (1, "z")]).select("key")).collect()} == {"z"}
+    runs.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith(runs.name)]
+
+
+def test_runs_meet_without_shuffles_or_sorts(spark):
+    runs = line_runs.LineRuns(spark, fanout=2, buckets=4)
+    rows = lambda a, b: spark.range(a, b).select("id", F.unhex(F.md5(F.col("id").cast("string"))).alias("key"))
+    names = []
+    for a in (0, 400):
+        held = rows(a, a + 600).select("key", F.lit(1).cast("long").alias("docs"), F.col("id").alias("keeper"), F.lit(True).alias("fresh"))
+        names.append(runs.write(held.repartition(4, "key")))
+    with runs.merging():
+        for df in (runs.run(names[0]).select("key").join(runs.run(names[1]).select("key").hint("merge"), "key", "left_anti"), runs.merged(names)):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+    for name in names:
+        runs.remove(name)
+
+
+def test_line_digests(spark, fixture_dir):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{fixture_dir}/documents.parquet").collect()]
+    want = {(i, n, d, hashlib.sha256(t.encode()).hexdigest()) for i, n, d, t in brute_lines(rows, 40, 5)}
+    assert {tuple(x) for x in line_runs.op13_line_runs(spark, fixture_dir).collect()} == want
+
+
+def test_plans_of_the_native_operator_have_no_python(spark, fixture_dir):
+    plan = line_runs.op13_line_runs(spark, fixture_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
