@@ -28,7 +28,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MAX_SENT, Scratch, during, passed
+from .common import MAX_SENT, Scratch, during, few_rows, passed
 
 #: Stripped from both ends of a line, and the letters that are lower-cased.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -154,7 +154,8 @@ def repeated_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     batch = F.when(F.col("id").isNull(), len(cuts)).otherwise(len(cuts) - passed(cuts, F.col("id")))
     path = scratch.path("lines")
     lines = long_lines(docs, id_column, text, shortest).withColumn("batch", batch)
-    lines.write.partitionBy("batch").parquet(path)
+    with few_rows(spark):
+        lines.write.partitionBy("batch").parquet(path)
     lines = spark.read.schema(lines.schema).parquet(path)
     runs = LineRuns(spark, fanout)
     for k in range(len(cuts) + 1):
