@@ -13,6 +13,7 @@ from ..functions.suffixes import SuffixRules
 from ..operators import blocks, boilerplate, dedup, emit, frontier, media
 from ..scratch import Scratch
 from ..sources.fetch import pages_table, retry_delays
+from ..sources.robots import robots_allow
 from .config import Config
 from .pipeline import Engine, render_due
 
@@ -456,6 +457,20 @@ def retry_schedule(spark, sf_dir):
     return spark.createDataFrame([(k + 1, d) for k, d in enumerate(retry_delays(5))], "attempt long, delay double")
 
 
+#: Robots files that hosts get by the length of their name; a third has none.
+_ROBOTS = ("User-agent: *\nDisallow: /en/ # all of it\nCrawl-delay: 5", "User-agent: other\nDisallow: /\n\nUser-Agent: StrataBot\nUser-agent: more\nAllow: /fr/\nDisallow: /%66r\nDisallow: /*?\nDisallow: /es/1\n\nUser-agent: *\nDisallow: /")
+
+
+@query(f"SELECT page_id, CASE length({_NETLOC}) % 3 WHEN 0 THEN NOT starts_with({_PATH}, '/en/') WHEN 1 THEN starts_with({_PATH}, '/fr/') OR NOT (starts_with({_PATH}, '/fr') OR starts_with({_PATH}, '/es/1')) ELSE true END AS allowed FROM pages")
+def robots_rules(spark, sf_dir):
+    """All pages judged by robots files of their hosts: groups, the first rule that fits, escapes, comments, missing files."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    hosts = pages.select(urls.netloc(F.col("url")).alias("netloc")).distinct()
+    body = F.get(F.array(*map(F.lit, _ROBOTS)), F.length("netloc") % 3)
+    files = hosts.select("netloc", body.alias("body")).where("body IS NOT NULL")
+    return robots_allow(pages, files, "StrataBot/0.1 (+https://example.com/bot)").select("page_id", "allowed")
+
+
 @query(f"""SELECT page_id, page_id % 5 = 0 OR length({_TEXT}) < 900 OR (length({_TEXT}) < 1500 AND page_id % 3 = 0) AS needs_render FROM pages""")
 def render_decision(spark, sf_dir):
     """Renders are due where there is no page, little text, or a shell."""

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import argparse
-from functools import partial
 
 from pyspark.sql import SparkSession
 
@@ -33,7 +32,7 @@ def main(argv: list[str] | None = None) -> int:
     cfg = load_config(args.config).with_values("crawl", max_pages=args.max_pages, max_depth=args.max_depth, render_mode=args.render_mode)
     spark = SparkSession.builder.appName("strata").getOrCreate()
     c = cfg.crawl
-    engine = Engine(spark, cfg, partial(rendered_pages, user_agent=c.user_agent, timeout=c.timeout, wait_ms=c.dynamic_wait_ms, obey_robots=c.obey_robots, spacing=c.rate_limit_per_domain))
+    engine = Engine(spark, cfg, lambda urls, clock: rendered_pages(urls, c.user_agent, c.timeout, c.dynamic_wait_ms, c.rate_limit_per_domain, clock))
     images = None
     if args.pages:
         pages = engine.crawl(args.seed, pages_table(spark, args.pages))

@@ -16,7 +16,7 @@ from ..functions.suffixes import SuffixRules
 from ..log import get_logger
 from ..operators import blocks, boilerplate, dedup, emit, frontier, media
 from ..scratch import Scratch
-from ..sources import fetch
+from ..sources import fetch, robots
 from .config import Config, load_config
 
 _log = get_logger("engine")
@@ -60,12 +60,16 @@ def with_rendered(pages: DataFrame, rendered: DataFrame | None, cfg: Config) ->
 class Engine:
     """Engine(spark).crawl(seed): the emitted pages of a crawl over the web, or over a table of fetched pages if one is given.
 
-    render: what gives (url, html) of (url), as `sources.render.rendered_pages` does with a
-    browser; without it, or without the browser, pages stay as they were fetched.
+    render: what gives (url, html, and when it asked) of (url) and the clock of hosts, as
+    `sources.render.rendered_pages` does with a browser; without it, or without the browser, pages stay
+    as they were fetched. clock: (netloc, last), when hosts were last asked, over all stages of this
+    engine; policies: the robots rules of the hosts met.
     """
 
-    def __init__(self, spark: SparkSession, config: Config | None = None, render: Callable[[DataFrame], DataFrame] | None = None):
+    def __init__(self, spark: SparkSession, config: Config | None = None, render: Callable[[DataFrame, DataFrame | None], DataFrame] | None = None):
         self.spark, self.config, self.render = spark, config or load_config(), render
+        self.clock: DataFrame | None = None
+        self.policies: DataFrame | None = None
 
     def status(self) -> Column:
         return F.when(F.col("text_len") >= self.config.extract.min_text_chars, "ok").otherwise("partial")
@@ -78,16 +82,40 @@ class Engine:
     def _told(self, rows: DataFrame) -> DataFrame:
         return rows.where("text_len > 0").withColumn("status", self.status()).withColumn("content_hash", text.content_hash(F.col("markdown")))
 
+    def _asked(self, rows: DataFrame) -> None:
+        """Moves the clock of hosts on by what a written table of requests (url, asked) tells."""
+        self.clock = Scratch(self.spark).table(fetch.later(self.clock, rows), "clock")
+
+    def judged(self, level: DataFrame) -> DataFrame:
+        """level (url) with `allowed`. Robots files of hosts not met before are fetched, parsed and kept as a table."""
+        c = self.config.crawl
+        if not c.obey_robots:
+            return level.withColumn("allowed", F.lit(True))
+        scratch = Scratch(self.spark)
+        hosts = level.select("url", urls.netloc(F.col("url")).alias("netloc"))
+        if self.policies is not None:
+            hosts = hosts.join(self.policies.select("netloc"), "netloc", "left_anti")
+        files = scratch.table(fetch.fetch_robots(hosts, c.user_agent, c.timeout, 1, c.rate_limit_per_domain, self.clock), "robots")
+        self._asked(files)
+        new = robots.policies(files, c.user_agent)
+        self.policies = scratch.table(new if self.policies is None else new.unionByName(self.policies), "policies")
+        return robots.judge(level, self.policies)
+
     def fetched(self, level: DataFrame) -> DataFrame:
         """Content of the web pages of a level (url): fetched with the pauses, retries and robots rules asked for, and rendered where due."""
         c = self.config.crawl
         scratch = Scratch(self.spark)
-        pages = scratch.table(fetch.fetch_pages(level, c.user_agent, c.timeout, c.max_retries, c.obey_robots, c.rate_limit_per_domain), "fetched")
+        judged = scratch.table(self.judged(level.select("url")), "judged")
+        pages = scratch.table(fetch.fetch_pages(judged, c.user_agent, c.timeout, c.max_retries, c.rate_limit_per_domain, self.clock), "fetched")
+        self._asked(pages)
         static = scratch.table(extract_pages(pages), "static")
         if self.render is None or not c.dynamic_fallback:
             return self._told(static)
         due = pages.where("allowed").select("url", "final_url").join(static.select("url", "text_len", "spa"), "url", "left").where(render_due(self.config, F.col("text_len"), F.col("spa")))
-        shown = self.render(due.select(F.col("final_url").alias("url")).distinct()).select(F.col("url").alias("final_url"), "html")
+        shown = scratch.table(self.render(due.select(F.col("final_url").alias("url")).distinct(), self.clock), "shown")
+        if "asked" in shown.columns:
+            self._asked(shown)
+        shown = shown.where("html IS NOT NULL").select(F.col("url").alias("final_url"), "html")
         shown = scratch.table(due.select("url", "final_url").join(shown, "final_url").withColumn("ok", F.lit(True)), "rendered")
         return self._told(with_rendered(static, extract_pages(shown), self.config))
 
@@ -195,7 +223,8 @@ class Engine:
         c = self.config.crawl
         folder = Scratch(self.spark).path("images")
         wanted = content.select(F.explode("images.src_url").alias("url")).where(urls.is_web(F.col("url"))).distinct()
-        stored = Scratch(self.spark).table(fetch.fetch_files(wanted, folder, c.user_agent, c.timeout, c.max_retries, c.rate_limit_per_domain), "stored")
+        stored = Scratch(self.spark).table(fetch.fetch_files(wanted, folder, c.user_agent, c.timeout, c.max_retries, c.rate_limit_per_domain, self.clock), "stored")
+        self._asked(stored)
         if not stored.where("name is not null").limit(1).count():
             return stored.selectExpr("url as src_url", "binary(null) as content", "string(null) as ext", "int(null) as width", "int(null) as height", "int(null) as channels", "binary(null) as data", "false as decoded")
         files = fetch.image_files(self.spark, folder).withColumn("name", F.regexp_extract("path", "([^/]+)$", 1)).withColumn("ext", media.extension(F.col("content")))

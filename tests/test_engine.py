@@ -168,7 +168,7 @@ def test_renders_are_asked_for_where_due(spark, web):
     files |= {"/": (200, "text/html", '<body><div id="app"></div><a href="/full">x</a></body>'), "/full": page("full")}
     wanted = []
 
-    def render(urls):
+    def render(urls, clock):
         wanted.extend(r["url"].removeprefix(root) for r in urls.collect())
         return urls.where(F.col("url").endswith("/")).withColumn("html", F.lit(page("shown", ["/full"])[2]))
 

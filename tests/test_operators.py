@@ -183,7 +183,6 @@ def test_politeness_and_retries():
     from strata.sources.fetch import Client, retry_delays
 
     c = Client("bot", spacing=0.2)
-    assert c.allowed("http://h.example/x")
     c.wait("http://h.example:80/a")
     start = time.monotonic()
     c.wait("http://other.example/a")
@@ -193,14 +192,6 @@ def test_politeness_and_retries():
     assert retry_delays(4) == [0.5, 1.0, 2.0] and retry_delays(0) == []
 
 
-def test_robots_table(spark):
-    from strata.sources.fetch import robots_allow
-
-    urls = spark.createDataFrame([("http://a/x",), ("http://a/private/y",), ("http://b/private/y",)], "url string")
-    robots = spark.createDataFrame([("a", "User-agent: *\nDisallow: /private")], "netloc string, body string")
-    assert {r["url"]: r["allowed"] for r in robots_allow(urls, robots, "bot").collect()} == {"http://a/x": True, "http://a/private/y": False, "http://b/private/y": True}
-
-
 def test_web_source(spark):
     import threading
     from http.server import BaseHTTPRequestHandler, HTTPServer
