@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import json
-import os
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -78,44 +78,80 @@ def front_matter(row: dict) -> str:
     return yaml.safe_dump({k: row[k] for k in keys}, sort_keys=False, allow_unicode=True).strip()
 
 
+#: The front matter of a page's file.
+FRONT = "source_url string, title string, fetched_at string, content_hash string, section_path string, lang string, status string, crawl_depth int, images array<struct<image_id:string,url:string,alt:string>>"
+SIDECAR_TYPES = ", ".join(f"{k} {'int' if k in ('width', 'height') else 'string'}" for k in SIDECAR)
+
+
+def front_of(text: Column) -> Column:
+    """The front matter of a file as a record; nulls where there is none."""
+    return F.pandas_udf(_fronts, FRONT)(text)
+
+
+def _fronts(text: pd.Series) -> pd.DataFrame:
+    import yaml
+
+    keys = [c.split()[0] for c in FRONT.split(", ")]
+
+    def one(t: str | None) -> list:
+        try:
+            found = yaml.safe_load(t[4:].partition("\n---")[0]) if t and t.startswith("---\n") else None
+        except yaml.YAMLError:
+            found = None
+        if not isinstance(found, dict):
+            return [None] * len(keys)
+        return [found.get(k) if k in ("crawl_depth", "images") or found.get(k) is None else str(found[k]) for k in keys]
+
+    return pd.DataFrame([one(t) for t in text], columns=keys, dtype=object)
+
+
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
-    """(path, site, slug, body) of a written tree: the Markdown files without their front matter."""
+    """(path, site, slug, front, body) of a written tree: the Markdown files, their front matter as a record."""
     files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md").select(F.input_file_name().alias("path"), "value")
     part = lambda k: F.regexp_extract("path", r"([^/]+)/([^/]+)\.md$", k)
-    return files.select("path", part(1).alias("site"), part(2).alias("slug"), F.regexp_replace(after_front_matter(F.col("value")), r"\A\n+", "").alias("body"))
+    return files.select("path", part(1).alias("site"), part(2).alias("slug"), front_of(F.col("value")).alias("front"), F.regexp_replace(after_front_matter(F.col("value")), r"\A\n+", "").alias("body"))
 
 
-def write_tree(pages: DataFrame, root: str, images: DataFrame | None = None) -> int:
-    """Writes `<root>/<site>/<slug>.md` (`<slug>-2.md` for the second page of that name), and images (site, image_id, ext, data, sidecar) beside them; returns the number of pages.
+def read_sidecars(spark: SparkSession, root: str) -> DataFrame:
+    """(path, site, and the keys of image records) of a written tree."""
+    rows = spark.read.schema(SIDECAR_TYPES).json(root, multiLine=True, recursiveFileLookup=True, pathGlobFilter="*.json").select(F.input_file_name().alias("path"), *SIDECAR)
+    return rows.select("path", F.regexp_extract("path", r"([^/]+)/images/[^/]+$", 1).alias("site"), *SIDECAR)
 
-    Executors write the files, so root must be a folder that all of them mount. Files are
-    named by their content or page, so a task that runs again does no harm.
-    """
 
-    def write_pages(batches):
+def page_files(pages: DataFrame) -> DataFrame:
+    """(path, content) of pages: `<site>/<slug>.md`, `<slug>-2.md` for the second page of that name."""
+
+    def run(batches):
         for b in batches:
             rows = b.to_pylist()
-            for r in rows:
-                folder = f"{root}/{r['site']}"
-                os.makedirs(folder, exist_ok=True)
-                with open(f"{folder}/{file_name(r)}", "w", encoding="utf-8") as f:
-                    f.write(f"---\n{front_matter(r)}\n---\n\n{r['body']}")
-            yield pa.RecordBatch.from_arrays([pa.array([len(rows)], pa.int64())], ["n"])
-
-    def write_images(batches):
+            paths = [f"{r['site']}/{file_name(r)}" for r in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array([f"---\n{front_matter(r)}\n---\n\n{r['body']}".encode() for r in rows], pa.binary())], ["path", "content"])
+
+    return pages.mapInArrow(run, "path string, content binary")
+
+
+def image_files(images: DataFrame) -> DataFrame:
+    """(path, content) of images (site, image_id, ext, data, sidecar): each beside its record, once a site."""
+
+    def pretty(batches):
         for b in batches:
-            rows = b.to_pylist()
-            for r in rows:
-                folder = f"{root}/{r['site']}/images"
-                os.makedirs(folder, exist_ok=True)
-                name = f"{folder}/{r['image_id']}.{r['ext']}"
-                if not os.path.exists(name):
-                    with open(name, "wb") as f:
-                        f.write(r["data"])
-                with open(f"{folder}/{r['image_id']}.json", "w", encoding="utf-8") as f:
-                    f.write(json.dumps(json.loads(r["sidecar"]), ensure_ascii=False, indent=2))
-            yield pa.RecordBatch.from_arrays([pa.array([len(rows)], pa.int64())], ["n"])
+            records = [json.dumps(json.loads(x), ensure_ascii=False, indent=2).encode() for x in b["sidecar"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([b["path"], pa.array(records, pa.binary())], ["path", "content"])
+
+    once = images.groupBy("site", "image_id").agg(F.min_by(F.struct("ext", "data", "sidecar"), "sidecar").alias("i"))
+    name = lambda ext: F.concat("site", F.lit("/images/"), "image_id", F.lit("."), ext)
+    records = once.select(name(F.lit("json")).alias("path"), F.col("i.sidecar").alias("sidecar")).mapInArrow(pretty, "path string, content binary")
+    return once.select(name(F.col("i.ext")).alias("path"), F.col("i.data").alias("content")).unionByName(records)
+
+
+def write_tree(pages: DataFrame, root: str, images: DataFrame | None = None) -> int:
+    """Writes pages, and images beside them, as a tree of files; returns the number of pages. Nothing is there before all is (sources.tree)."""
+    from ..sources import tree
 
+    tree.register(pages.sparkSession)
+    written = Observation()
+    files = page_files(pages.observe(written, F.count(F.lit(1)).alias("n")))
     if images is not None:
-        images.select("site", "image_id", "ext", "data", "sidecar").mapInArrow(write_images, "n long").agg(F.sum("n")).first()
-    return pages.mapInArrow(write_pages, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        files = files.unionByName(image_files(images.select("site", "image_id", "ext", "data", "sidecar")))
+    files.write.format("strata_tree").mode("append").save(root)
+    return written.get["n"]
