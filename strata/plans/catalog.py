@@ -267,6 +267,24 @@ def existing_headings(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.length(F.array_join(h, "|")).cast("long").alias("size"), F.size(h).cast("long").alias("headings"))
 
 
+def _read(s: str) -> str:
+    """Text of a piece of a page: line breaks are blanks, tags nothing, the common entities read."""
+    out = f"regexp_replace(regexp_replace({s}, '(?i)<br */?>', ' ', 'g'), '<[^>]*>', '', 'g')"
+    for entity, char in (("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''")):
+        out = f"replace({out}, '{entity}', '{char}')"
+    return _clean(f"regexp_replace({out}, '&amp;?', '&', 'g')")
+
+
+_BLOCKS = f"list_filter(list_transform(string_split_regex(regexp_extract(html, '(?is)</h1>(.*?)</article>', 1), '(?i)</?p>'), lambda x: {_read('x')}), lambda x: x <> '')"
+
+
+@query(rf"SELECT page_id, array_to_string(list_prepend('# ' || {_read("regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1', 1)")}, {_BLOCKS}), chr(10) || chr(10)) AS text FROM pages")
+def article_markdown(spark, sf_dir):
+    """The main text of all pages as Markdown: the article, without menus, adverts and footers."""
+    rows = table(spark, sf_dir, "pages").select("page_id", html.parse_page(F.col("html"), F.col("url"))["markdown"].alias("text"))
+    return rows.select("page_id", "text")
+
+
 _STAT_ROWS = "SELECT p_partkey // 8 AS card, p_partkey AS pos, CASE p_partkey % 5 WHEN 0 THEN p_type WHEN 1 THEN p_size || ' kW' WHEN 2 THEN p_size || ' mm' WHEN 3 THEN p_brand || '.' ELSE p_type END AS block FROM part"
 
 

@@ -25,7 +25,7 @@ _SHOWN = "array<struct<image_id:string,url:string,label:string>>"
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """pages (url, final_url, html, ok) with title, lang, markdown, text_len, links, images and spa. Pages are parsed once, into a table in the shared folder."""
-    parsed = pages.where("ok").select("url", "final_url", html.parse_page(F.col("html")).alias("p"))
+    parsed = pages.where("ok").select("url", "final_url", html.parse_page(F.col("html"), F.col("final_url")).alias("p"))
     rows = parsed.select("url", "final_url", F.col("p.*"), html.spa_shell(F.col("p")).alias("spa"))
     rows = Scratch(pages.sparkSession).table(rows.drop("body_text", "ids", "has_body"), "parsed")
     repaired = blocks.inject_headings(rows.select("url", "sequence", "markdown"), "url", "sequence", "markdown")

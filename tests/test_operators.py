@@ -23,7 +23,7 @@ def test_page_is_read_once_for_all():
     assert (page["title"], page["lang"], page["links"]) == ("T & U", "fr", ["/n", "x"])
     assert [(s["kind"], s["level"], s["text"].strip()) for s in page["sequence"]] == [("h", 1, "Head"), ("c", None, "One two."), ("c", None, "Item"), ("c", None, "Item"), ("c", None, "Cap")]
     assert page["images"] == [{"src": "i.png", "alt": "A", "caption": "Cap", "surrounding_text": "Cap"}]
-    assert page["markdown"].startswith("# Head\n\nOne two.\n\n- Item") and "no" not in page["markdown"]
+    assert page["markdown"].startswith("# Head\n\nOne [two](x).\n\n- Item") and "no" not in page["markdown"]
 
 
 def test_heading_injection(spark):
