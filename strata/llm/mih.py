@@ -160,8 +160,10 @@ def masks(bits: int, most: int) -> np.ndarray:
 class Index:
     """Tables of substrings over some vectors."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, coder: Coder):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, coder: Coder, rows: np.ndarray | None = None):
+        """rows: numbers of the rows, which many may share an id; the ids if left out."""
         self.ids, self.vectors, self.coder = ids, vectors, coder
+        self.rows = ids if rows is None else rows
         self.codes = coder.codes(vectors)
         self.always = np.flatnonzero(coder.long(vectors))
         self.tables = []
@@ -188,17 +190,17 @@ class Index:
             near[np.repeat(some // len(flips), n), rows] = True
         return near
 
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int):
-        """For each query: its number, ids and scores of its k nearest of those retrieved, and how many were; probes widen until k are found or all are seen."""
+    def search(self, query_rows: np.ndarray, queries: np.ndarray, k: int):
+        """For each query, of which its own row alone is no candidate: its number, ids and scores of its k nearest of those retrieved, and how many were; probes widen until k are found or all are seen."""
         codes, step = self.coder.codes(queries, True), max(1, 8_000_000 // max(len(self.ids), 1))
         for start in range(0, len(codes), step):
             near = self.probe(codes[start : start + step], self.coder.probed)
             for i, row in enumerate(near, start):
-                others, probed, radius = int((self.ids != query_ids[i]).sum()), self.coder.probed, self.coder.radius
+                others, probed, radius = int((self.rows != query_rows[i]).sum()), self.coder.probed, self.coder.radius
                 while True:
                     rows = np.flatnonzero(row)
                     retrieved = len(rows)
-                    rows = rows[self.ids[rows] != query_ids[i]]
+                    rows = rows[self.rows[rows] != query_rows[i]]
                     far = distances(codes[i][None, :], self.codes[rows])[0] > radius
                     rows = rows[~far | self.coder.long(self.vectors[rows])]
                     if len(rows) >= min(k, others):
@@ -232,13 +234,14 @@ def search(vectors: DataFrame, queries: Column, k: int, id_column: str = "vec_id
     each, which are merged. A group holds one shard and one block of queries, whatever the table's size.
     """
     spark = vectors.sparkSession
-    table = Scratch(spark).table(usable(vectors, id_column, vector_column), "vectors")
+    # A row's number is fixed where it is written: rows of one id are rows each.
+    table = Scratch(spark).table(usable(vectors, id_column, vector_column).withColumn("row", F.monotonically_increasing_id()), "vectors")
     lengths = table.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     result = "query_id long, rank int, vec_id long, score double, retrieved long"
     if not lengths:
         return spark.createDataFrame([], result)
     table, n = table.where(F.size("v") == lengths[0]["d"]), lengths[0]["count"]
-    sample = table.orderBy(F.xxhash64("id"), "id").limit(most).toArrow()
+    sample = table.orderBy(F.xxhash64("id"), "id", "row").limit(most).toArrow()
     route_bits = int(min(WORD, max(0, np.floor(np.log2(max(n, 1) / shard_rows)))))
     coder = spark.sparkContext.broadcast(fit(matrix(sample["v"], sample.num_rows), k, route_bits))
     bits, routed = coder.value.route_bits, coder.value.routed
@@ -252,9 +255,9 @@ def search(vectors: DataFrame, queries: Column, k: int, id_column: str = "vec_id
                     cells = c.cells(c.codes(x, query))
                     if not query:  # long vectors have a place of their own, where all queries go
                         cells = np.where(c.long(x), 1 << bits, cells)
-                    yield pa.RecordBatch.from_arrays([b["id"], b["v"], pa.array(cells, pa.int32())], ["id", "v", "cell"])
+                    yield pa.RecordBatch.from_arrays([b["id"], b["v"], b["row"], pa.array(cells, pa.int32())], ["id", "v", "row", "cell"])
 
-        return rows.mapInArrow(run, "id long, v array<double>, cell int") if bits else rows.withColumn("cell", F.lit(0))
+        return rows.mapInArrow(run, "id long, v array<double>, row long, cell int") if bits else rows.withColumn("cell", F.lit(0))
 
     # A count for each beginning, n / shard_rows of them at most.
     indexed = with_cells(table, False)
@@ -264,25 +267,26 @@ def search(vectors: DataFrame, queries: Column, k: int, id_column: str = "vec_id
     asked = with_cells(table.where(queries), True)
     blocks = max(1, -(-asked.count() // block_rows))
     places = spark.createDataFrame([(c, first[c], shards[c]) for c in sorted(shards)], "cell int, first int, shards int")
-    part = F.pmod(F.xxhash64("id", F.lit(1)), F.col("shards")).cast("int")
+    part = F.pmod(F.xxhash64("id", "row", F.lit(1)), F.col("shards")).cast("int")
     number = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    placed = indexed.join(F.broadcast(places), "cell").select((F.col("first") + part).alias("shard"), "id", "v").select("shard", number(blocks).alias("block"), "id", "v")
+    placed = indexed.join(F.broadcast(places), "cell").select((F.col("first") + part).alias("shard"), "id", "v", "row").select("shard", number(blocks).alias("block"), "id", "v", "row")
     roads = places.select(F.col("cell").alias("to"), F.col("first"), F.col("shards"))
     flips = F.array(*(F.lit(int(m)) for m in masks(bits, routed)))
-    visits = asked.select(F.col("id").alias("asked"), F.col("v").alias("q"), F.explode(F.concat(F.transform(flips, lambda m: F.col("cell").bitwiseXOR(m)), F.array(F.lit(1 << bits)) if bits else F.array().cast("array<int>"))).alias("to")).join(F.broadcast(roads), "to")
+    visits = asked.select(F.struct("row", "id").alias("asked"), F.col("v").alias("q"), F.explode(F.concat(F.transform(flips, lambda m: F.col("cell").bitwiseXOR(m)), F.array(F.lit(1 << bits)) if bits else F.array().cast("array<int>"))).alias("to")).join(F.broadcast(roads), "to")
     sent = visits.select("asked", "q", F.explode(F.expr("sequence(first, first + shards - 1)")).alias("shard"), F.pmod(F.xxhash64("asked", F.lit(2)), F.lit(blocks)).cast("int").alias("block"))
 
     def run(left, right):
         if not left.num_rows or not right.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int64())), "scores": pa.array([], pa.list_(pa.float64())), "retrieved": pa.array([], pa.int64())})
-        index = Index(np.array(left["id"]), matrix(left["v"], left.num_rows), coder.value)
-        ids = np.array(right["asked"])
-        i, found, scores, retrieved = zip(*index.search(ids, matrix(right["q"], len(ids)), k), strict=True)
-        return pa.table({"query_id": pa.array(ids[list(i)]), "ids": pa.array(found, pa.list_(pa.int64())), "scores": pa.array(scores, pa.list_(pa.float64())), "retrieved": pa.array(retrieved, pa.int64())})
-
-    lists = placed.groupBy("shard", "block").cogroup(sent.groupBy("shard", "block")).applyInArrow(run, "query_id long, ids array<long>, scores array<double>, retrieved long")
+            return pa.table({"query": pa.array([], pa.int64()), "query_id": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int64())), "scores": pa.array([], pa.list_(pa.float64())), "retrieved": pa.array([], pa.int64())})
+        index = Index(np.array(left["id"]), matrix(left["v"], left.num_rows), coder.value, np.array(left["row"]))
+        asked = right["asked"].combine_chunks()
+        numbers, ids = np.array(asked.field("row")), np.array(asked.field("id"))
+        i, found, scores, retrieved = zip(*index.search(numbers, matrix(right["q"], len(ids)), k), strict=True)
+        return pa.table({"query": pa.array(numbers[list(i)]), "query_id": pa.array(ids[list(i)]), "ids": pa.array(found, pa.list_(pa.int64())), "scores": pa.array(scores, pa.list_(pa.float64())), "retrieved": pa.array(retrieved, pa.int64())})
+
+    lists = placed.groupBy("shard", "block").cogroup(sent.groupBy("shard", "block")).applyInArrow(run, "query long, query_id long, ids array<long>, scores array<double>, retrieved long")
     pair = F.transform(F.arrays_zip("ids", "scores"), lambda x: F.struct((-x["scores"]).alias("s"), x["ids"].alias("i")))
-    merged = lists.groupBy("query_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list(pair))), 1, k).alias("best"), F.sum("retrieved").alias("retrieved"))
+    merged = lists.groupBy("query", "query_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list(pair))), 1, k).alias("best"), F.sum("retrieved").alias("retrieved"))
     return merged.select("query_id", F.posexplode("best").alias("pos", "b"), "retrieved").select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("b.i").alias("vec_id"), (-F.col("b.s")).alias("score"), "retrieved")
 
 
