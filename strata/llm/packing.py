@@ -135,8 +135,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, most: int, id_column: str = "do
     return docs.select(F.col(id_column).alias("id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
-def exact_groups(left: dict[int, int], most: int) -> list[tuple[tuple[int, ...], int]]:
-    """Takes from `left` groups of two to four lengths that fill `most` exactly: (lengths, how often)."""
+def exact_groups(left: dict[int, int], most: int, largest: int = 4) -> list[tuple[tuple[int, ...], int]]:
+    """Takes from `left` groups of two to `largest` lengths that fill `most` exactly: (lengths, how often)."""
     plan: list[tuple[tuple[int, ...], int]] = []
 
     def take(lengths: tuple[int, ...]) -> bool:
@@ -155,7 +155,7 @@ def exact_groups(left: dict[int, int], most: int) -> list[tuple[tuple[int, ...],
         if 2 * a >= most and most - a in left:
             take((a, most - a))
     # A large length and the hashed sums of two, then of three lengths, that fill its gap. The rarer, larger lengths choose first.
-    for members in (2, 3):
+    for members in range(2, largest):
         for a in sorted((x for x, n in left.items() if n > 0), reverse=True):
             gap = most - a
             small = [x for x, n in left.items() if n > 0 and x < gap]
@@ -223,10 +223,24 @@ def best_fit(left: dict[int, int], most: int) -> list[tuple[tuple[int, ...], int
 
 
 def plan(counts: dict[int, int], most: int) -> list[tuple[tuple[int, ...], int]]:
-    left = {k: v for k, v in sorted(counts.items()) if v > 0}
-    out = [((most,), left.pop(most))] if most in left else []
-    out += exact_groups(left, most)
-    return out + best_fit({k: v for k, v in left.items() if v > 0}, most)
+    """Groups of lengths and how often each is made: of the plans with exact groups of up to four, three or two lengths, or none, the one of the fewest sequences.
+
+    Groups of many short lengths can take those that long ones need, which only the whole plan shows.
+    """
+    whole = {k: v for k, v in sorted(counts.items()) if v > 0}
+    full = [((most,), whole.pop(most))] if most in whole else []
+    least = -(-sum(k * v for k, v in whole.items()) // most)
+    best, fewest = [], None
+    for largest in (4, 3, 2, 1):
+        left = dict(whole)
+        groups = exact_groups(left, most, largest) if largest > 1 else []
+        groups += best_fit({k: v for k, v in left.items() if v > 0}, most)
+        made = sum(often for _, often in groups)
+        if fewest is None or made < fewest:
+            best, fewest = groups, made
+        if fewest == least:
+            break
+    return full + best
 
 
 def runs_of(groups: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarray, ...]]:
