@@ -176,10 +176,10 @@ def fold(id_column: Column, folds: int) -> Column:
 
 
 def fit_quality(features: DataFrame, labels: DataFrame, label: str = "quality", most: int = MAX_LABELLED) -> Gam:
-    """Fits on labelled rows, at most `most` of them, chosen by the hash of the id."""
+    """Fits on labelled rows, at most `most` of them, chosen by the hash of the id and, where many rows have one id, of the features."""
     known = labels.where(F.col(label).isin(0, 1)).select(F.col("doc_id").alias("id"), F.col(label).alias("y"))
     chosen = known.orderBy(F.xxhash64("id"), "id", "y").limit(most)
-    rows = features.join(F.broadcast(chosen), "id").select("id", "y", "features").toArrow()
+    rows = features.join(F.broadcast(chosen), "id").select("id", "y", "features").orderBy(F.xxhash64("id"), "id", "y", F.xxhash64("features")).limit(most).toArrow()
     if not rows.num_rows:
         return Gam()
     x = np.array(rows["features"].combine_chunks().flatten()).reshape(rows.num_rows, -1)
