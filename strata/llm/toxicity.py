@@ -136,6 +136,10 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Lexic
     known = labels.where(F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most)
     rows = Scratch(docs.sparkSession).table(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "y").dropDuplicates(["text", "y"]), "labelled")  # copies of a text would vouch for all its words
+    if rows.count() > most:  # many texts of one id: those of the smallest hashes
+        rows = rows.withColumn("h", F.xxhash64("text"))
+        last = rows.select("h", "y").orderBy("h", "y").limit(most).agg(F.max(F.struct("h", "y")).alias("m")).first()["m"]
+        rows = rows.where((F.col("h") < last["h"]) | (F.col("h") == last["h"]) & (F.col("y") <= last["y"])).drop("h")
     totals = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     bad, good = totals.get(1, 0), totals.get(0, 0)
     lexicon = Lexicon(bias=math.log((bad + 0.5) / (good + 0.5)))
