@@ -18,6 +18,22 @@ PARTS = r"^([^:/?#]+)://([^/?#]*)([^?#]*)"
 #: Letters of Latin scripts by the ASCII letter they are a variant of: those below U+0250 that Unicode decomposes so, and some it does not.
 ASCII_OF = {c: b for c in map(chr, range(0xC0, 0x250)) if len(b := "".join(x for x in unicodedata.normalize("NFKD", c) if x.isascii())) == 1 and b.isalpha()} | {"ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ł": "l", "Ł": "L", "ı": "i"}
 WRITTEN_OUT = {"ß": "ss", "æ": "ae", "œ": "oe", "þ": "th"}
+#: Letters of other scripts and how they are written in Latin ones. Fixed values, in the order of the alphabets.
+CYRILLIC = "а a б b в v г g ґ g д d ђ dj е e є ie ж zh з z и i і i ј j к k л l љ lj м m н n њ nj о o п p р r с s т t ћ c у u ф f х kh ц ts ч ch џ dz ш sh щ shch ы y э e ю iu я ia"
+GREEK = "α a β b γ g δ d ε e ζ z η e θ th ι i κ k λ l μ m ν n ξ x ο o π p ρ r σ s ς s τ t υ u φ ph χ kh ψ ps ω o"
+#: Signs of these scripts that stand for no sound of their own.
+SILENT = "ъь"
+
+
+def _in_latin() -> dict[str, str]:
+    """What each lower-case letter of the two scripts becomes; letters with marks as those without."""
+    listed = f"{CYRILLIC} {GREEK}".split()
+    known = dict(zip(listed[::2], listed[1::2], strict=True))
+    marked = {c: known[b] for c in map(chr, range(0x370, 0x530)) if c not in known and (b := unicodedata.normalize("NFKD", c)[0]) in known}
+    return known | marked
+
+
+IN_LATIN = _in_latin()
 
 
 def scheme(url: Column) -> Column:
@@ -121,11 +137,12 @@ def site_dir(url: Column) -> Column:
 
 
 def slug(url: Column, title: Column) -> Column:
-    """The path, or the title, as lower-case ASCII words joined by hyphens, 80 characters at most; Latin letters lose their accents."""
+    """The path, or the title, as lower-case ASCII words joined by hyphens, 80 characters at most; Latin letters lose their accents, Cyrillic and Greek ones are written in Latin."""
     base = F.regexp_replace(path(url), "^/+|/+$", "")
     base = F.when(base != "", base).when(F.coalesce(title, F.lit("")) != "", title).otherwise(F.lit("index"))
-    plain = F.translate(F.lower(base), "".join(ASCII_OF), "".join(ASCII_OF.values()))
-    for letter, written in WRITTEN_OUT.items():
+    single = ASCII_OF | {c: x for c, x in IN_LATIN.items() if len(x) == 1}
+    plain = F.translate(F.lower(base), "".join(single) + SILENT, "".join(single.values()))  # silent signs go
+    for letter, written in (WRITTEN_OUT | {c: x for c, x in IN_LATIN.items() if len(x) > 1}).items():
         plain = F.replace(plain, F.lit(letter), F.lit(written))
     out = F.substring(F.regexp_replace(F.regexp_replace(plain, "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, 80)
     return F.when(out == "", F.lit("index")).otherwise(out)

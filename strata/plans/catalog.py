@@ -146,6 +146,20 @@ def page_slug(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", urls.slug(F.col("url"), html.title_of(F.col("html"))).alias("slug"))
 
 
+#: Latin letters and the Cyrillic ones that are read as they are.
+_LATIN, _CYRILLIC = "abvgdziklmnoprstuf", "абвгдзиклмнопрстуф"
+
+
+@query(f"SELECT page_id, regexp_replace(lower(split_part({_NETLOC}, '.', 1)), '[^a-z0-9]+', '-', 'g') AS cyrillic, regexp_replace(lower(split_part({_NETLOC}, '.', 1)), '[^a-z0-9]+', '-', 'g') || '-ps' AS greek FROM pages")
+def slugs_of_scripts(spark, sf_dir):
+    """The first labels of all hosts, written in Cyrillic and in part in Greek letters, as slugs."""
+    name = F.split_part(urls.netloc(F.col("url")), F.lit("."), F.lit(1))
+    cyrillic = F.translate(F.replace(name, F.lit("sh"), F.lit("ш")), _LATIN, _CYRILLIC)
+    greek = F.concat(F.replace(F.replace(name, F.lit("th"), F.lit("Θ")), F.lit("a"), F.lit("ά")), F.lit("/ψ"))
+    page = lambda path: urls.slug(F.concat(F.lit("http://h/"), path), F.lit(""))
+    return table(spark, sf_dir, "pages").select("page_id", page(cyrillic).alias("cyrillic"), page(greek).alias("greek"))
+
+
 @query(f"SELECT page_id, {_TITLE} AS title, {_LANG} AS lang FROM pages")
 def page_title_lang(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", html.title_of(F.col("html")).alias("title"), html.lang_of(F.col("html")).alias("lang"))

@@ -72,3 +72,10 @@ def test_registered_domain_of_countries_and_addresses(spark):
 
 def test_slug_without_accents(spark):
     assert column(spark, ["http://h/Größe/Éléphant œuvre/Łódź"], lambda u: urls.slug(u, F.lit(""))) == ["grosse-elephant-oeuvre-lodz"]
+
+
+def test_slug_of_other_scripts(spark):
+    urls_and_slugs = {"http://h/Новости/Щука-и-Ёж": "novosti-shchuka-i-ezh", "http://h/Ελληνικά/Ψυχή ΘΕΟΣ": "ellenika-psukhe-theos", "http://h/Київ Объём": "kiiv-obem", "http://h/日本": "index", "http://h/Ђорђе": "djordje"}
+    assert column(spark, [*urls_and_slugs], lambda u: urls.slug(u, F.lit(""))) == [*urls_and_slugs.values()]
+    letters = [c for c in map(chr, range(0x370, 0x460)) if c in urls.IN_LATIN]
+    assert len(letters) > 80 and all(s.isascii() and s.isalpha() for s in urls.IN_LATIN.values())
