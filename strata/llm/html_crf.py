@@ -58,6 +58,9 @@ GROUPED = frozenset().union(*(group | stop for group, stop in GROUPS))
 #: Names in classes, ids and roles that tell something.
 TELLING = frozenset("ad ads advert advertisement article author banner bio body bottom breadcrumb breadcrumbs byline caption comment commentlist comments content cookie consent copyright entry footer foot form header hero inner legal links login logo main masthead menu meta nav navbar navigation newsletter notice notification page pagination popup post promo promotion related reply respond search share sharing sidebar signup social sponsor sponsored story subscribe tag tags text toc top widget wrapper alert contentinfo complementary discussion reader disclaimer rail teaser".split())
 
+#: Those of them, and the tags, that an article's own blocks are not inside of.
+NEVER = frozenset("ad ads advert advertisement breadcrumb breadcrumbs comment commentlist comments cookie consent copyright footer form login menu nav navbar navigation newsletter pagination popup promo promotion related reply search share sharing sidebar signup social sponsor sponsored subscribe contentinfo complementary discussion respond aside".split())
+
 
 class Tags:
     """The marks of a page, in one pass: no place is looked at more than a few times, whatever stands there."""
@@ -121,6 +124,8 @@ class Place:
     blocks: int = 0  # how many of these there are
     within: frozenset[str] = frozenset()  # all of these but the last
     holder: str = "none"
+    last: frozenset[str] = frozenset()  # names of the nearest element that has any
+    junk: frozenset[str] = frozenset()  # names and tags of what is open that are never an article's
     body: bool = False
     path: int = 0  # the same for the same tags
     near: tuple["Place | None", ...] = (None,) * len(GROUPS)  # by group: what is open of it
@@ -150,7 +155,7 @@ class _Open:
         if block and up.inner and up.inner[-1] not in within:
             within = within | {up.inner[-1]}
         path = self.paths.setdefault((up.path, tag), len(self.paths) + 1)
-        place = Place(tag, up, up.depth + 1, up.names if names <= up.names else up.names | names, (*up.inner, tag)[-3:] if block else up.inner, up.blocks + block, within, tag if up.holder == "none" and tag in HOLDERS else up.holder, up.body or tag == "body", path)
+        place = Place(tag, up, up.depth + 1, up.names if names <= up.names else up.names | names, (*up.inner, tag)[-3:] if block else up.inner, up.blocks + block, within, tag if up.holder == "none" and tag in HOLDERS else up.holder, names or up.last, up.junk | (names & NEVER) | ({tag} & NEVER), up.body or tag == "body", path)
         object.__setattr__(place, "near", up.near if tag not in GROUPED else tuple(place if tag in group else None if tag in stop else n for n, (group, stop) in zip(up.near, GROUPS, strict=True)))
         self.top = place
         self.count[tag] += 1
@@ -233,6 +238,15 @@ def leaf_blocks(page: str | None) -> list[Block]:
 def describe(blocks: list[Block]) -> list[list[str]]:
     """Feature names of each block."""
     out = []
+    lengths = [b.text.count(" ") + 1 for b in blocks]
+    dense = [3 * b.linked > len(b.text) for b in blocks]
+    # Words of sentences by the tags, and by the element, that they stand under: where most are, an article's blocks are.
+    told, beside = Counter(), Counter()
+    for b, n, d in zip(blocks, lengths, dense, strict=True):
+        if n >= 6 and not d and not b.place.junk:
+            told[b.place.path] += n
+            beside[id(b.place.up)] += n
+    whole = max(1, sum(told.values()))
     for i, b in enumerate(blocks):
         place = b.place
         inner = place.inner
@@ -241,7 +255,16 @@ def describe(blocks: list[Block]) -> list[list[str]]:
         f = ["bias", f"own={own}", f"parent={inner[-2] if len(inner) > 1 else 'none'}", f"words={min(words.bit_length(), 8)}", f"links={min(4, int(4 * b.linked / len(b.text)))}"]
         f.append("path=" + "/".join(inner))
         f += [f"holder={place.holder}", f"holder={place.holder},own={own},{'named' if place.names else 'plain'}"]
-        f += [f"in={t}" for t in place.within] + [f"name={n}" for n in place.names]
+        f += [f"in={t}" for t in place.within] + [f"name={n}" for n in place.names] + [f"last={n}" for n in place.last] + [f"junk={n}" for n in place.junk]
+        where = "junk" if place.junk else "clean"
+        f.append("clean" if not place.junk else "within junk")
+        # What stands around, and whether this reads like a sentence.
+        before, after = max(i - 1, 0), min(i + 1, len(blocks) - 1)
+        f += [f"before={min(lengths[before].bit_length(), 6)},{dense[before]}", f"after={min(lengths[after].bit_length(), 6)},{dense[after]}"]
+        sentence = lengths[i] >= 6 and not dense[i]
+        f.append(f"prose={sentence},{where},{min(lengths[i].bit_length(), 6)}")
+        if not place.junk:
+            f += [f"share={4 * told[place.path] // whole}", f"beside={4 * beside[id(place.up)] // whole}"]
         f.append("stop" if b.text[-1] in ".!?…:;\"'»”" else "open")
         f.append(f"stops={min(3, sum(map(b.text.count, '.!?')))}")
         if "©" in b.text or "(c)" in b.text.lower():
@@ -380,6 +403,19 @@ class Maker:
         opened = re.match(r"<(\w+)", body)
         return f"{body}</{opened[1]}>" if opened and where != "code" else body
 
+    def holder(self) -> tuple[list[str], list[str]]:
+        """Tags that open around the article, and the names they close by. Many pages have none, or names that tell nothing."""
+        r = self.r
+        if r.random() < 0.55:
+            outer = r.choice((None, None, "main", 'div class="content"', 'div id="main"', 'div class="wrapper"'))
+            inner = r.choice(("article", "article", "main", 'div class="post"', 'div class="article-body"', 'div class="entry-content"', 'section class="story"', "section", 'div id="content"', 'div class="text"'))
+        else:
+            outer = r.choice((None, None, "div", f'div class="{self.word()}"', "center"))
+            inner = r.choice((None, None, "div", f'div class="{self.word()}"', f'div id="{self.word()}"', f'section class="{self.word()}-{r.randint(1, 9)}"', "table", "td"))
+        tags = [outer] if outer else []
+        tags += ["table", "tr", "td"] if inner in ("table", "td") else [inner] if inner else []
+        return tags, [t.split()[0] for t in reversed(tags)]
+
     def page(self) -> tuple[str, list[int]]:
         """html, and the label of each of its leaf blocks."""
         r, pieces = self.r, []  # (html, label)
@@ -390,32 +426,34 @@ class Maker:
         r.shuffle(order)
         for kind in order[: r.randint(0, 5)]:
             add(0, self.junk(kind))
-        outer, inner = r.choice(((None, None), ("main", None), ('div class="content"', None), ('div id="main"', None), ('div class="wrapper"', None))), r.choice(("article", "article", "main", 'div class="post"', 'div class="article-body"', 'div class="entry-content"', 'section class="story"', "section", 'div id="content"', 'div class="text"'))
-        if outer[0]:
-            add(None, f"<{outer[0]}>")
-        add(None, f"<{inner}>")
+        opened, closed = self.holder()
+        for t in opened:
+            add(None, f"<{t}>")
+        paragraph = r.choice(("p", "p", "p", "p", "p", "div", f'div class="{self.word()}"', f'p class="{self.word()}"'))
         if r.random() < 0.85:
             title = f"<h1>{self.phrase(2, 12)}{r.choice(('', '', '.'))}</h1>"
             add(1, f"<header>{title}</header>" if r.random() < 0.1 else title)
-        for _ in range(r.randint(1, 14)):
+        odd = r.choice((0.03, 0.09, 0.09, 0.35))  # junk among the article's own blocks
+        for _ in range(r.choice((1, 1, 2, 3, r.randint(1, 14), r.randint(1, 14), r.randint(1, 14), r.randint(5, 25)))):
+            if r.random() < odd:
+                add(0, self.junk(r.choice(("ad", "ad", "share", "side", "code", "form", "notice", "comments"))))
             u = r.random()
-            if u < 0.68:
-                add(1, f"<p>{self.prose()}" + r.choice(("</p>", "</p>", "</p>", "", "<br>")))
-            elif u < 0.76:
-                add(1, f"<h{(k := r.randint(2, 4))}>{self.phrase(1, 8)}</h{k}>")
+            if u < 0.74:
+                add(1, f"<{paragraph}>{self.prose()}" + (f"</{paragraph.split()[0]}>" if paragraph[0] == "d" else r.choice(("</p>", "</p>", "</p>", "", "<br>"))))
             elif u < 0.82:
+                add(1, f"<h{(k := r.randint(2, 4))}>{self.phrase(1, 8)}</h{k}>")
+            elif u < 0.88:
                 add(1, "<ul>" + "".join(f"<li>{r.choice((self.phrase(2, 9), self.sentence()))}</li>" for _ in range(r.randint(2, 5))) + "</ul>")
-            elif u < 0.86:
+            elif u < 0.92:
                 add(1, f"<blockquote>{self.prose()}</blockquote>")
-            elif u < 0.89:
+            elif u < 0.95:
                 add(1, "<table>" + "".join(f"<tr><td>{self.phrase(1, 3)}</td><td>{self.word()}</td></tr>" for _ in range(r.randint(1, 4))) + "</table>")
-            elif u < 0.91:
-                add(1, f'<figure><img src="x.png"><figcaption>{self.phrase(3, 10)}</figcaption></figure>')
             else:
-                add(0, self.junk(r.choice(("ad", "share", "side", "code", "form"))))
-        add(None, f"</{inner.split()[0]}>")
-        if outer[0]:
-            add(None, f"</{outer[0].split()[0]}>")
+                add(1, f'<figure><img src="x.png"><figcaption>{self.phrase(3, 10)}</figcaption></figure>')
+        if r.random() < 0.15:  # some put the comments inside
+            add(0, self.junk("comments"))
+        for t in closed:
+            add(None, f"</{t}>")
         order = ["comments", "comments", "side", "share", "nav", "ad", "form"]
         r.shuffle(order)
         for kind in order[: r.randint(0, 4)]:
@@ -443,7 +481,7 @@ def labelled_pages(count: int, seed: int = 1) -> list[tuple[str, list[int]]]:
 
 
 @lru_cache(maxsize=2)
-def trained_field(count: int = 450, seed: int = 1) -> Field:
+def trained_field(count: int = 600, seed: int = 1) -> Field:
     return train([(describe(leaf_blocks(page)), labels) for page, labels in labelled_pages(count, seed)])
 
 
