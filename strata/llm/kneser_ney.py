@@ -38,6 +38,7 @@ BEGIN = xxh3_64_intdigest(b" begin") >> 1
 CHUNK = 16_000_000  # bytes of text; orders above 2 count a quarter of it at a time
 PART = 2_000_000  # bytes of text that are words and arrays by token at a time
 KEYS = 3_000_000  # keys that a task counts together, at most a part's more: about 16 MB of text
+MOST_WORDS = 1 << 32  # words have numbers of 32 bits in the keys of pairs; with more, keys would clash
 BLOB = "shard int, a binary, b binary"
 
 
@@ -294,6 +295,8 @@ def train(texts: DataFrame, folder: str, order: int = 2) -> Model:
         sizes[r["shard"]] = r["n"]
         model.words += r["words"]
         model.tokens += r["tokens"]
+    if sum(sizes) > MOST_WORDS:
+        raise ValueError(f"{sum(sizes)} distinct words: the keys of longer grams number {MOST_WORDS} at most")
     model.vocabulary = vocabulary = Shards(folder, "words", sizes, vbits, {"key": np.uint64, "count": np.int64, "gamma": np.float32, "before": np.uint32})
     if order > 2:
         from .ngram_model import train_long

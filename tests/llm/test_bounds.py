@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strata.llm import gam, mih, packing, toxicity
+from strata.llm import gam, kneser_ney, mih, packing, toxicity
 
 
 def distributions():
@@ -84,3 +84,10 @@ def test_one_label_on_many_rows_fits_on_no_more_than_the_bound(spark, crowded, m
     for n in (1, 6):
         toxicity.learn(docs.repartition(n), toxic, most=60)
     assert seen and all(len(s) == 60 for s in seen) and seen[0] == seen[-1]
+
+
+def test_more_words_than_numbers_are_refused(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "MOST_WORDS", 3)
+    texts = spark.createDataFrame([("one two three four five",)], "text string")
+    with pytest.raises(ValueError, match="distinct words"):
+        kneser_ney.train(texts, f"file://{tmp_path}/m")
