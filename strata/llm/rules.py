@@ -250,9 +250,12 @@ def keep_by_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", "text")
     # Many labels would be joined by a shuffle of texts; then the statistics of all are the lesser cost.
     learned_from = texts.join(F.broadcast(few), "doc_id", "left_semi") if few.count() <= MAX_SENT else texts
-    rules = learn_rules(add_statistics(learned_from).drop("text"), labels)
+    with few_rows(docs.sparkSession):
+        rules = learn_rules(add_statistics(learned_from).drop("text"), labels)
     featured = add_statistics(in_one(docs, "text"))
     # Catalyst does not push a filter below the generator, where it would copy the statistics' expressions into every condition.
     told = featured.select("row", "text", F.explode_outer(F.array(F.struct("_q", "_f"))).alias("_told"))
     kept = told.where(~base_failed(F.col("_told._q")) & verdict(rules, F.col("_told._f")))
-    return kept.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))
+    kept = kept.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))
+    with few_rows(docs.sparkSession):  # holds for what runs here alone, so the texts that stay are written here
+        return Scratch(docs.sparkSession).table(kept, "kept")
