@@ -41,14 +41,16 @@ def page_body(markdown: Column, images: Column) -> Column:
     return F.concat(strip(markdown), F.when(F.coalesce(F.size(images), F.lit(0)) > 0, F.concat(F.lit("\n\n## Images\n\n"), shown)).otherwise(F.lit("")))
 
 
-def emit_pages(pages: DataFrame, fetched_at: Column) -> DataFrame:
+def emit_pages(pages: DataFrame, fetched_at: Column, *own: str) -> DataFrame:
     """pages (url, title, lang, markdown, content_hash, status, depth, images array<struct<image_id,url,label>>) as the output table.
 
     Two pages of a site with one slug would share a file: `collision` counts those before, by URL, and goes into the file's name.
+    `own` columns of the pages, such as a number of theirs, stay beside; an address may be that of several pages.
     """
     title = F.coalesce(F.col("title"), F.lit("Untitled"))
     images = F.transform("images", lambda i: F.struct(i["image_id"].alias("image_id"), i["url"].alias("url"), i["label"].alias("alt")))
     out = pages.select(
+        *own,
         F.col("url").alias("source_url"),
         title.alias("title"),
         timestamp_text(fetched_at).alias("fetched_at"),
