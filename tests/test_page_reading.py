@@ -20,3 +20,12 @@ def test_sequences_are_read_alone(spark, sf_dir):
     assert "surrounding_text" not in plan(catalog.QUERIES["dom_sequence_sections"](spark, sf_dir))
     rows = spark.createDataFrame([("<h1>a</h1><p>b",)], "h string")
     assert rows.select(html.parse_page("h", only=("sequence", "lang")).alias("p")).select("p.*").columns == ["sequence", "lang"]
+
+
+def test_pages_are_read_few_at_a_time_in_order(spark):
+    pages = [None, "", "<p>a</p>", *(f"<html lang='l{k}'><body><h2>t{k}</h2><p>x{k} <a href='/{k}'>y</a><img src='{k}.png'>" for k in range(2 * html.PAGES_AT_ONCE + 1))]
+    df = spark.createDataFrame([(k, p) for k, p in enumerate(pages)], "k int, h string").coalesce(1)
+    got = df.select("k", html.parse_page("h", F.lit("http://h/")).alias("p")).orderBy("k").collect()
+    assert [r["p"].asDict(recursive=True) for r in got] == [html.read_page(p, "http://h/") for p in pages]
+    alone = df.select("k", html.parse_page("h", F.lit("http://h/"), only=("markdown",)).alias("p")).orderBy("k").collect()
+    assert [r["p"].asDict() for r in alone] == [{"markdown": html.read_page(p, "http://h/")["markdown"]} for p in pages]
