@@ -11,15 +11,23 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions.text import content_hash, shingles, tokens
 from ..scratch import Scratch
 
-#: Shingles with their counts that are sent to all executors, at most; more are joined by a shuffle.
+#: Shingles whose order is sent to all executors, at most. None of these numbers changes a result.
 MAX_SENT = 500_000
+#: Ids of sets to be compared that are sent to all executors, at most; of more the sets are joined by a shuffle.
+MOST_NAMED = 2_000_000
+#: Shingles that are counted together, and how often one of them is there to be told.
+CHUNK, AGAIN = 4_000_000, 4
 
 
 def first_of_each(df: DataFrame, key: Column, *order: Column) -> DataFrame:
@@ -40,21 +48,67 @@ def shingle_sets(df: DataFrame, id_column: str, text: str, k: int = 5) -> DataFr
     return words.select("id", hashes.alias("set")).withColumn("n", F.size("set"))
 
 
+def common_shingles(sets: DataFrame) -> np.ndarray:
+    """The most frequent shingles, rarest first, as far as chunks of the sets tell: at most MAX_SENT.
+
+    Each chunk of about CHUNK shingles tells those that it holds AGAIN times or more. So one that more than (AGAIN - 1)
+    times the number of chunks of sets hold is told for sure, and what is shuffled is not all shingles but the repeated ones.
+    """
+
+    def told(batches):
+        held, size = [], 0
+
+        def counts():
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            often = n >= AGAIN
+            return pa.RecordBatch.from_arrays([pa.array(h[often], pa.int64()), pa.array(n[often], pa.int64())], ["h", "df"])
+
+        for b in batches:
+            h = b.column(0).flatten().to_numpy(zero_copy_only=False)
+            held.append(h)
+            size += len(h)
+            if size >= CHUNK:
+                yield counts()
+                held, size = [], 0
+        if held:
+            yield counts()
+
+    found = sets.select("set").mapInArrow(told, "h long, df long").groupBy("h").agg(F.sum("df").alias("df"))
+    most = found.orderBy(F.desc("df"), "h").limit(MAX_SENT).toArrow()
+    return most.column("h").to_numpy()[::-1]
+
+
 def prefix_lists(sets: DataFrame, threshold: float) -> DataFrame:
     """(id, n, h): shingles under which each set is looked for, so that any two sets of Jaccard similarity of threshold or more share one.
 
-    Prefix filtering: by rising document frequency, two such sets share a shingle among the
-    first n - ceil(threshold * n) + 1 of each. Shingles of one document come first there and meet
-    nothing, so a document is looked for only under those of its others that follow them in its
-    prefix; with too few others it is like none. `sets` should be a written table: it is read twice.
+    Prefix filtering: in any one order of all shingles, two such sets share a shingle among the
+    first n - ceil(threshold * n) + 1 of each. Here the common ones come last, the most frequent at the end, and
+    the others by their hashes, which needs no count of all shingles; the order changes no result. A shingle that only one
+    set is looked for under meets nothing and is left out. `sets` should be a written table: it is read twice.
     """
-    entries = sets.select("id", "n", F.explode("set").alias("h"))
-    frequency = Scratch(sets.sparkSession).table(entries.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "frequency")
-    shared = entries.join(F.broadcast(frequency) if frequency.count() <= MAX_SENT else frequency, "h")
-    others = shared.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("others"))
-    needed = F.ceil(F.lit(threshold) * F.col("n") - 1e-9).cast("int")
-    within = others.where(F.size("others") >= needed).select("id", "n", F.explode(F.slice("others", F.lit(1), F.size("others") - needed + 1)).alias("e"))
-    return within.select("id", "n", "e.h")
+    spark = sets.sparkSession
+    common = common_shingles(sets)
+    by_hash = np.argsort(common)
+    known = spark.sparkContext.broadcast((common[by_hash], by_hash + 1))
+
+    def first(batches):
+        sorted_hashes, places = known.value
+        for b in (whole.slice(k, 500) for whole in batches for k in range(0, whole.num_rows, 500)):
+            lists, n = b.column(2), b.column(1).to_numpy()
+            h, sizes = lists.flatten().to_numpy(zero_copy_only=False), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            at = np.minimum(np.searchsorted(sorted_hashes, h), max(len(sorted_hashes) - 1, 0))
+            place = np.where(sorted_hashes[at] == h, places[at], 0) if len(sorted_hashes) else np.zeros(len(h), np.int64)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            order = np.lexsort((h, place, row))
+            rank = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            needed = np.ceil(threshold * n - 1e-9).astype(np.int64)
+            keep = rank < (n - needed + 1)[row]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row[keep])), pa.array(n[row[keep]], pa.int32()), pa.array(h[order][keep], pa.int64())], schema=pa.schema([("id", b.schema.field(0).type), ("n", pa.int32()), ("h", pa.int64())]))
+
+    kind = T.StructType([sets.schema["id"], T.StructField("n", T.IntegerType()), T.StructField("h", T.LongType())])
+    entries = Scratch(spark).table(sets.select("id", "n", "set").mapInArrow(first, kind), "firsts")
+    met = entries.groupBy("h").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("h")
+    return entries.join(met.hint("shuffle_hash"), "h").select("id", "n", "h")
 
 
 def sizes_allow(threshold: float) -> Callable[[str, str], Column]:
@@ -63,7 +117,11 @@ def sizes_allow(threshold: float) -> Callable[[str, str], Column]:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, jaccard) of those pairs (a, b) whose whole sets are similar."""
+    """(a, b, jaccard) of those pairs (a, b) whose whole sets are similar. Of `sets`, which may be many, only those of the pairs are moved."""
+    pairs = Scratch(sets.sparkSession).table(pairs, "met")
+    ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct()
+    ids = Scratch(sets.sparkSession).table(ids, "ids")
+    sets = sets.join(F.broadcast(ids) if ids.count() <= MOST_NAMED else ids, "id", "left_semi")
     whole = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return whole.select("a", "b", (common / (F.size("x") + F.size("y") - common)).alias("jaccard")).where(F.col("jaccard") >= threshold)
@@ -187,13 +245,14 @@ def dedup_text(df: DataFrame, id_column: str, text: str, order: str, enabled: bo
     digests = sets.where("n > 0").select("id", "n", F.xxhash64("set").alias("x"), F.hash("set").alias("y")).join(ords, "id")
     later = digests.join(digests.groupBy("n", "x", "y").agg(F.min("ord").alias("first")), ["n", "x", "y"]).where("ord != first").select("id")
     later = Scratch(df.sparkSession).table(later, "later")
-    sets, ords = sets.join(later, "id", "left_anti"), ords.join(later, "id", "left_anti")
+    ords = ords.join(later, "id", "left_anti")
     if approximate:  # pairs that meet in a band, if they are similar
+        sets = sets.join(later, "id", "left_anti")
         both = lsh_candidates(sets, threshold).join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y"))
         pairs = both.where(common >= F.lit(threshold) * (F.size("x") + F.size("y") - common)).select("a", "b")
         kept = first_wins(ords, pairs)
     else:
-        sets = Scratch(df.sparkSession).table(sets, "different")
-        kept = first_wins_in_lists(ords, prefix_lists(sets, threshold), sizes_allow(threshold), lambda pairs: verified(pairs, sets, threshold))
+        entries = prefix_lists(sets, threshold).join(later, "id", "left_anti")  # the sets themselves are neither moved nor written again
+        kept = first_wins_in_lists(ords, entries, sizes_allow(threshold), lambda pairs: verified(pairs, sets, threshold))
     return unique.join(kept.withColumnRenamed("id", id_column), id_column, "left_semi")

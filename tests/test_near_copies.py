@@ -133,3 +133,27 @@ def test_images_keep_the_first_of_each_family(spark):
     assert got.columns == ["id", "ord", "sha", "bits"]
     assert sorted(x["bits"] for x in got.where("bits is not null").collect()) == sorted(kept)
     assert sorted(x["id"] for x in got.where("bits is null").collect()) == ["n1", "n3"]
+
+
+@pytest.mark.parametrize("sent, chunk, again", [(500_000, 4_000_000, 4), (3, 200, 2), (0, 1, 1)])
+def test_pairs_do_not_hang_on_what_is_known_of_common_shingles(spark, monkeypatch, sent, chunk, again):
+    monkeypatch.setattr(dedup, "MAX_SENT", sent)
+    monkeypatch.setattr(dedup, "CHUNK", chunk)
+    monkeypatch.setattr(dedup, "AGAIN", again)
+    r = random.Random(4)
+    texts = [*family(r, 12, 3), *family(r, 12, 6), ["one"], ["one", "two"], *([f"w{r.randrange(9)}" for _ in range(r.randint(5, 30))] for _ in range(20))]
+    common = [f"p{k}" for k in range(12)]
+    texts = list({tuple(w): common + w if k % 2 else w for k, w in enumerate(texts)}.values())
+    sets = [{tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for w in texts]
+    want = {(a, b) for a, b in combinations(range(len(sets)), 2) if sets[a] != sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "id long, text string")
+    got = {(x["a"], x["b"]) for x in dedup.similar_pairs(dedup.shingle_sets(df, "id", "text"), 0.8).collect() if sets[x["a"]] != sets[x["b"]]}
+    assert got == want and len(got) >= 3
+
+
+def test_only_sets_of_pairs_are_moved(spark):
+    sets = spark.createDataFrame([(k, list(range(k, k + 20)), 20) for k in range(50)], "id long, set array<long>, n int")
+    pairs = spark.createDataFrame([(0, 1), (0, 30)], "a long, b long")
+    df = dedup.verified(pairs, sets, 0.85)
+    assert [tuple(x) for x in df.collect()] == [(0, 1, 19 / 21)]
+    assert "LeftSemi" in df._jdf.queryExecution().executedPlan().toString()
