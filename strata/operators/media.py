@@ -131,13 +131,14 @@ def hamming_pairs(hashes: DataFrame, most: int = 6) -> DataFrame:
     different = scratch.table(hashes.select("bits").distinct(), "bits")
     keys = HammingKeys(different.count(), most)
     rows = keys.entries(different)
-    x, y = rows.alias("x"), rows.alias("y")
+    # Each hash has a row for each key, which the size of the hashes' table does not tell: without the hint that many rows could be collected to be sent to all.
+    x, y = rows.alias("x"), rows.alias("y").hint("merge")
     distance = F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits")))
     met = x.join(y, (F.col("x.choice") == F.col("y.choice")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.bits") < F.col("y.bits")) & (distance <= most) & keys.first_met(F.col("x.bits"), F.col("y.bits"), F.col("x.choice")))
     pairs = met.select(F.col("x.bits").alias("xb"), F.col("y.bits").alias("yb"), distance.alias("distance"))
     named = lambda i, b: hashes.select(F.col("id").alias(i), F.col("bits").alias(b))
-    unlike = pairs.join(named("i", "xb"), "xb").join(named("j", "yb"), "yb").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "distance")
-    equal = named("a", "xb").join(named("b", "yb"), F.col("xb") == F.col("yb")).where("a < b").select("a", "b", F.lit(0).alias("distance"))
+    unlike = pairs.join(named("i", "xb").hint("merge"), "xb").join(named("j", "yb").hint("merge"), "yb").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "distance")
+    equal = named("a", "xb").join(named("b", "yb").hint("merge"), F.col("xb") == F.col("yb")).where("a < b").select("a", "b", F.lit(0).alias("distance"))
     return unlike.unionByName(equal)
 
 

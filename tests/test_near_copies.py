@@ -157,3 +157,8 @@ def test_only_sets_of_pairs_are_moved(spark):
     df = dedup.verified(pairs, sets, 0.85)
     assert [tuple(x) for x in df.collect()] == [(0, 1, 19 / 21)]
     assert "LeftSemi" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_for_each_key_of_a_hash_are_never_collected(spark):
+    df = media.hamming_pairs(spark.createDataFrame([(k, k * 2654435761) for k in range(40)], "id long, bits long"))
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
