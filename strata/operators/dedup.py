@@ -137,10 +137,52 @@ def similar_pairs(sets: DataFrame, threshold: float = 0.85) -> DataFrame:
     return verified(met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct(), sets, threshold)
 
 
+#: Constants of the 64-bit xxHash.
+_P = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * _P[1]
+    x = (x ^ (x >> np.uint64(29))) * _P[2]
+    return x ^ (x >> np.uint64(32))
+
+
+def _turned(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
+
+
+def _hashed_long(x: np.ndarray, seed: int = 42) -> np.ndarray:
+    """xxhash64(x) of longs."""
+    start = np.uint64(seed) + _P[4] + np.uint64(8)
+    return _mixed(_turned(start ^ (_turned(x.view(np.uint64) * _P[1], 31) * _P[0]), 27) * _P[0] + _P[3])
+
+
+def _hashed_int(k: int, seeds: np.ndarray) -> np.ndarray:
+    """xxhash64(..., k) after columns that gave the seeds."""
+    return _mixed(_turned((seeds + (_P[4] + np.uint64(4))) ^ (np.uint64(k) * _P[0]), 23) * _P[1] + _P[2])
+
+
 def minhash_signatures(sets: DataFrame, permutations: int = 128) -> DataFrame:
-    """(id, signature): the least hash of the set under each permutation."""
-    signature = F.transform(F.sequence(F.lit(1), F.lit(permutations)), lambda k: F.array_min(F.transform("set", lambda h: F.xxhash64(h, k))))
-    return sets.select("id", signature.alias("signature"))
+    """(id, signature): the least xxhash64(h, k) of the set under each permutation k; hashed by arrays, as lambdas are not compiled."""
+
+    def signed(batches):
+        with np.errstate(over="ignore"):
+            for b in (whole.slice(k, 100) for whole in batches for k in range(0, whole.num_rows, 100)):
+                h = b.column(1).flatten().to_numpy(zero_copy_only=False)
+                sizes = pc.fill_null(pc.list_value_length(b.column(1)), 0).to_numpy(zero_copy_only=False)
+                full = np.flatnonzero(sizes)
+                starts, seeds = (np.cumsum(sizes) - sizes)[full], _hashed_long(np.ascontiguousarray(h))
+                least = np.empty((permutations, len(full)), np.int64)
+                for k in range(permutations if len(full) else 0):
+                    least[k] = np.minimum.reduceat(_hashed_int(k + 1, seeds).view(np.int64), starts)
+                rows = np.zeros((len(sizes), permutations), np.int64)
+                rows[full] = least.T
+                none = np.repeat(sizes == 0, permutations)  # an empty set has no least hash
+                values = pa.array(rows.ravel(), pa.int64(), mask=none)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(sizes) * permutations + 1, permutations), pa.int32()), values)
+                yield pa.RecordBatch.from_arrays([b.column(0), lists], ["id", "signature"])
+
+    return sets.select("id", "set").mapInArrow(signed, T.StructType([sets.schema["id"], T.StructField("signature", T.ArrayType(T.LongType()))]))
 
 
 def bands_for(threshold: float, permutations: int = 128) -> tuple[int, int]:

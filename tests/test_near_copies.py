@@ -162,3 +162,14 @@ def test_only_sets_of_pairs_are_moved(spark):
 def test_rows_for_each_key_of_a_hash_are_never_collected(spark):
     df = media.hamming_pairs(spark.createDataFrame([(k, k * 2654435761) for k in range(40)], "id long, bits long"))
     assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_signatures_are_least_hashes_of_sparks_own(spark):
+    r = random.Random(3)
+    rows = [(0, []), (1, [0]), (2, [-1, 2**63 - 1, -(2**63)]), *((k, [r.randrange(-(2**63), 2**63) for _ in range(r.randint(1, 40))]) for k in range(3, 150))]
+    df = spark.createDataFrame(rows, "id long, set array<long>").coalesce(1)
+    native = F.transform(F.sequence(F.lit(1), F.lit(8)), lambda k: F.array_min(F.transform("set", lambda h: F.xxhash64(h, k))))
+    want = {x["id"]: x["s"] for x in df.select("id", native.alias("s")).collect()}
+    signed = dedup.minhash_signatures(df, 8)
+    assert {x["id"]: x["signature"] for x in signed.collect()} == want
+    assert "MapInArrow" in signed._jdf.queryExecution().executedPlan().toString()
