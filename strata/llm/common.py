@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
 import numpy as np
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..scratch import Scratch, shared_dir
+from ..scratch import Scratch, during, shared_dir, small_batches
 
 __all__ = ["MAX_SENT", "NOT_SPACE", "SPACE", "Scratch", "WordIds", "distinct_counts", "during", "few_rows", "in_chunks", "in_one", "mix", "passed", "ranked", "row_hash", "shared_dir", "small_batches"]
 
@@ -57,22 +55,6 @@ def row_hash(df: DataFrame) -> Column:
     return F.xxhash64(*map(plain, df.schema.fields)) if df.columns else F.lit(0).cast("long")
 
 
-@contextmanager
-def during(spark, name: str, value: str):
-    """A setting for the jobs run inside."""
-    before = spark.conf.get(name)
-    spark.conf.set(name, value)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
-def small_batches(spark, size: str = "8m"):
-    """Arrow batches of at most `size` for the jobs run inside: a worker holds a batch and its Python strings at a time."""
-    return during(spark, "spark.sql.execution.arrow.maxBytesPerBatch", size)
-
-
 def few_rows(spark, rows: int = 128):
     """Parquet read `rows` rows at a time by the jobs run inside: a reader's arrays hold that many whole texts, and the heap grows with them."""
     return during(spark, "spark.sql.parquet.columnarReaderBatchSize", str(rows))

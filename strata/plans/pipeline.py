@@ -15,7 +15,7 @@ from ..functions import html, text, urls
 from ..functions.suffixes import SuffixRules
 from ..log import get_logger
 from ..operators import blocks, boilerplate, dedup, emit, frontier, media
-from ..scratch import Scratch
+from ..scratch import Scratch, small_batches
 from ..sources import fetch, robots
 from .config import Config, load_config
 
@@ -25,9 +25,11 @@ _SHOWN = "array<struct<image_id:string,url:string,label:string>>"
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """pages (url, final_url, html, ok) with title, lang, markdown, text_len, links, images and spa. Pages are parsed once, into a table in the shared folder."""
-    parsed = pages.where("ok").select("url", "final_url", html.parse_page(F.col("html"), F.col("final_url")).alias("p"))
-    rows = parsed.select("url", "final_url", F.col("p.*"), html.spa_shell(F.col("p")).alias("spa"))
-    rows = Scratch(pages.sparkSession).table(rows.drop("body_text", "ids", "has_body"), "parsed")
+    rows = html.read_pages(pages.where("ok").select("url", "final_url", "html"), "final_url")
+    shell = ("has_body", "body_text", "ids")
+    rows = rows.withColumn("spa", html.spa_shell(F.struct(*shell))).drop(*shell)
+    with small_batches(pages.sparkSession):
+        rows = Scratch(pages.sparkSession).table(rows, "parsed")
     repaired = blocks.inject_headings(rows.select("url", "sequence", "markdown"), "url", "sequence", "markdown")
     repaired = blocks.pair_stat_cards(repaired, "url", "text").withColumnRenamed("text", "repaired")
     joined = rows.join(repaired, "url", "left")

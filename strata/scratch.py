@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import os
 import uuid
+from contextlib import contextmanager
 from urllib.parse import urlparse
 
 from py4j.protocol import Py4JError
@@ -46,6 +47,22 @@ def put_file(folder: str, name: str, content: bytes) -> None:
         out.write(content)
 
 
+@contextmanager
+def during(spark, name: str, value: str):
+    """A setting for the jobs run inside."""
+    before = spark.conf.get(name)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def small_batches(spark, size: str = "8m"):
+    """Arrow batches of at most `size` for the jobs run inside: a worker holds a batch and its Python strings at a time."""
+    return during(spark, "spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 class Scratch:
     """Tables written to the shared folder. They cut lineage and survive lost executors; drop() removes one early, the rest go when the session ends."""
 
