@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 #: The code points that Python's str.strip() and \s know as white space.
 SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: The same as a string of them.
+SPACES = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: Where str.splitlines() breaks lines.
 LINE_BREAK = r"\r\n|[\x0a-\x0d\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 WORD = r"[\p{L}\p{N}_]+"
 
 
 def strip(s: Column) -> Column:
-    return F.regexp_replace(s, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(s, F.lit(SPACES))
 
 
 def clean(s: Column) -> Column:
@@ -83,7 +85,9 @@ def is_stat_label(s: Column) -> Column:
 
 def top_lines(md: Column, k: int = 3) -> Column:
     """The first k lines that are not blank, stripped."""
-    return F.slice(F.filter(F.transform(lines(md), strip), lambda x: x != ""), 1, k)
+    breaks = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
+    cut = F.split(F.translate(F.coalesce(md, F.lit("")), breaks, "\n" * len(breaks)), "\n", -1)  # an empty line more where two characters make a break
+    return F.transform(F.slice(F.filter(cut, lambda x: strip(x) != ""), 1, k), strip)
 
 
 def strip_lines(md: Column, drop: Column) -> Column:

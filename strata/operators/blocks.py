@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.text import blocks, headings, is_stat_label, is_stat_value, lines, norm, signature
+from ..functions.text import SPACE, blocks, headings, is_stat_label, is_stat_value, lines, norm, signature
+
+
+def lost_headings(sequence: Column, markdown: Column) -> Column:
+    """Whether a heading of the sequence is none of the Markdown's: inject_headings() leaves all other pages as they are."""
+    told = F.transform(F.filter(sequence, lambda e: e["kind"] == "h"), lambda e: norm(e["text"]))
+    return F.coalesce(F.size(F.array_except(told, headings(markdown))) > 0, F.lit(False))
+
+
+def may_hold_cards(markdown: Column) -> Column:
+    """Whether a block may be a value, as one begins with a number: pair_stat_cards() gives all other pages their blocks back."""
+    return F.coalesce(markdown.rlike(rf"(?:\A|\n){SPACE}*[~<>≈]?{SPACE}*\p{{Nd}}"), F.lit(False))
 
 
 def pair_stat_cards(df: DataFrame, id_column: str, text: str) -> DataFrame:

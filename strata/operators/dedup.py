@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from ..functions.text import content_hash, shingles, tokens
-from ..scratch import Scratch
+from ..functions.text import content_hash, tokens
+from ..scratch import Scratch, small_batches
 
 #: Shingles whose order is sent to all executors, at most. None of these numbers changes a result.
 MAX_SENT = 500_000
@@ -44,7 +44,9 @@ def exact_dedup(df: DataFrame, text: str, *order: Column) -> DataFrame:
 def shingle_sets(df: DataFrame, id_column: str, text: str, k: int = 5) -> DataFrame:
     """(id, n, set): sorted distinct 64-bit hashes of the k-word shingles."""
     words = df.select(F.col(id_column).alias("id"), tokens(F.col(text)).alias("words"))  # a column of its own: a lambda would work it out for each shingle
-    hashes = F.array_sort(F.array_distinct(F.transform(shingles(F.col("words"), k), lambda s: F.xxhash64(s))))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("words") - (k - 1), F.lit(1)))
+    # As of shingles(), but made distinct as hashes; sort_array orders numbers without calling a lambda for each two.
+    hashes = F.sort_array(F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice("words", i, F.lit(k)), " ")))))
     return words.select("id", hashes.alias("set")).withColumn("n", F.size("set"))
 
 
@@ -74,7 +76,8 @@ def common_shingles(sets: DataFrame) -> np.ndarray:
             yield counts()
 
     found = sets.select("set").mapInArrow(told, "h long, df long").groupBy("h").agg(F.sum("df").alias("df"))
-    most = found.orderBy(F.desc("df"), "h").limit(MAX_SENT).toArrow()
+    with small_batches(sets.sparkSession):  # or a worker holds the sets of 10,000 texts beside its chunk
+        most = found.orderBy(F.desc("df"), "h").limit(MAX_SENT).toArrow()
     return most.column("h").to_numpy()[::-1]
 
 
@@ -106,7 +109,8 @@ def prefix_lists(sets: DataFrame, threshold: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row[keep])), pa.array(n[row[keep]], pa.int32()), pa.array(h[order][keep], pa.int64())], schema=pa.schema([("id", b.schema.field(0).type), ("n", pa.int32()), ("h", pa.int64())]))
 
     kind = T.StructType([sets.schema["id"], T.StructField("n", T.IntegerType()), T.StructField("h", T.LongType())])
-    entries = Scratch(spark).table(sets.select("id", "n", "set").mapInArrow(first, kind), "firsts")
+    with small_batches(spark):
+        entries = Scratch(spark).table(sets.select("id", "n", "set").mapInArrow(first, kind), "firsts")
     met = entries.groupBy("h").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("h")
     return entries.join(met.hint("shuffle_hash"), "h").select("id", "n", "h")
 
@@ -274,9 +278,9 @@ def first_wins_in_lists(nodes: DataFrame, entries: DataFrame, close: Callable[[s
     return nodes.select("id").join(dropped, "id", "left_anti")
 
 
-def dedup_text(df: DataFrame, id_column: str, text: str, order: str, enabled: bool = True, threshold: float = 0.85, approximate: bool = False) -> DataFrame:
-    """df without exact copies and, if enabled, without near copies of kept rows."""
-    unique = exact_dedup(df, text, F.col(order), F.col(id_column))
+def dedup_text(df: DataFrame, id_column: str, text: str, order: str, enabled: bool = True, threshold: float = 0.85, approximate: bool = False, hashed: str | None = None) -> DataFrame:
+    """df without exact copies and, if enabled, without near copies of kept rows. hashed: the column that holds content_hash() of the text, if one does."""
+    unique = first_of_each(df, F.col(hashed), F.col(order), F.col(id_column)) if hashed else exact_dedup(df, text, F.col(order), F.col(id_column))
     if not enabled:
         return unique
     unique = Scratch(df.sparkSession).table(unique, "unique")

@@ -30,13 +30,14 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     rows = rows.withColumn("spa", html.spa_shell(F.struct(*shell))).drop(*shell)
     with small_batches(pages.sparkSession):
         rows = Scratch(pages.sparkSession).table(rows, "parsed")
-    repaired = blocks.inject_headings(rows.select("url", "sequence", "markdown"), "url", "sequence", "markdown")
-    repaired = blocks.pair_stat_cards(repaired, "url", "text").withColumnRenamed("text", "repaired")
-    joined = rows.join(repaired, "url", "left")
+    # Few pages lost a heading or hold a stat card: only these are taken apart into rows, and told to be few by the size of their table.
+    broken = rows.select("url", "sequence", "markdown").where(blocks.lost_headings(F.col("sequence"), F.col("markdown")) | blocks.may_hold_cards(F.col("markdown")))
+    repaired = blocks.pair_stat_cards(blocks.inject_headings(broken, "url", "sequence", "markdown"), "url", "text").withColumnRenamed("text", "repaired")
+    joined = rows.drop("sequence").join(Scratch(pages.sparkSession).table(repaired, "repaired"), "url", "left")
     base = F.col("final_url")
     links = F.array_distinct(F.filter(F.transform("links", lambda h: urls.resolve(base, h)), urls.is_web))
     images = F.transform("images", lambda i: F.struct(urls.resolve(base, i["src"]).alias("src_url"), i["alt"].alias("alt"), i["caption"].alias("caption"), i["surrounding_text"].alias("surrounding_text")))
-    md = F.coalesce("repaired", F.lit(""))
+    md = F.coalesce("repaired", F.array_join(text.blocks(F.col("markdown")), "\n\n"), F.lit(""))
     return joined.select("url", "final_url", text.clean(F.when(F.col("title") != "", F.col("title")).otherwise("Untitled")).alias("title"), "lang", text.strip(md).alias("markdown"), F.length(md).alias("text_len"), links.alias("links"), images.alias("images"), "spa")
 
 
@@ -134,8 +135,9 @@ class Engine:
 
     def process(self, pages: DataFrame, images: DataFrame | None = None) -> DataFrame:
         """All pages, without a crawl: extract, deduplicate in URL order, strip boilerplate by site, emit."""
-        content = Scratch(self.spark).table(self.content(pages).withColumn("depth", F.lit(0)).withColumn("ord", F.col("url")), "content")
-        kept = dedup.dedup_text(content, "url", "markdown", "ord", self.config.dedup.text_near_dup, self.config.dedup.minhash_threshold)
+        content = self.content(pages).drop("links", "images", "spa", "text_len")  # of a crawl; images come as a table of their own
+        content = Scratch(self.spark).table(content.withColumn("depth", F.lit(0)).withColumn("ord", F.col("url")), "content")
+        kept = dedup.dedup_text(content, "url", "markdown", "ord", self.config.dedup.text_near_dup, self.config.dedup.minhash_threshold, hashed="content_hash")
         return self.emit(kept, images, "site")
 
     def crawl(self, seed: str, pages: DataFrame | None = None, rendered: DataFrame | None = None, images: DataFrame | None = None) -> DataFrame:
@@ -216,8 +218,7 @@ class Engine:
         else:
             rows = rows.withColumn("images", none)
         pages = emit.emit_pages(rows.withColumn("key", F.col("url")).withColumn("url", F.col("final_url")), F.current_timestamp())
-        if site is None:  # counted over the whole crawl: its pages are worked out once for that
-            pages = Scratch(self.spark).table(pages, "pages")
+        pages = Scratch(self.spark).table(pages, "pages")  # read twice: for the lines to take out, and to take them out
         return boilerplate.strip_boilerplate(pages, site, "body")
 
     def image_files(self, content: DataFrame) -> DataFrame:
