@@ -173,3 +173,18 @@ def test_signatures_are_least_hashes_of_sparks_own(spark):
     signed = dedup.minhash_signatures(df, 8)
     assert {x["id"]: x["signature"] for x in signed.collect()} == want
     assert "MapInArrow" in signed._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sets_are_moved_to_workers_in_small_batches(spark, monkeypatch):
+    """A worker holds a chunk of shingles and a batch of sets: of 10,000 rows they could be any size."""
+    sizes, action = [], dedup.small_batches
+
+    def noted(session):
+        held = action(session)
+        sizes.append(session.conf.get("spark.sql.execution.arrow.maxBytesPerBatch"))
+        return held
+
+    monkeypatch.setattr(dedup, "small_batches", noted)
+    sets = dedup.shingle_sets(spark.createDataFrame([(k, "a b c d e f g h") for k in range(3)], "id int, text string"), "id", "text")
+    assert {r["id"] for r in dedup.prefix_lists(sets, 0.85).collect()} == {0, 1, 2}
+    assert len(sizes) == 2 and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == sizes[0]
