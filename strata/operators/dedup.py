@@ -53,26 +53,32 @@ def shingle_sets(df: DataFrame, id_column: str, text: str, k: int = 5) -> DataFr
 def common_shingles(sets: DataFrame) -> np.ndarray:
     """The most frequent shingles, rarest first, as far as chunks of the sets tell: at most MAX_SENT.
 
-    Each chunk of about CHUNK shingles tells those that it holds AGAIN times or more. So one that more than (AGAIN - 1)
+    Each chunk of CHUNK shingles tells those that it holds AGAIN times or more. So one that more than (AGAIN - 1)
     times the number of chunks of sets hold is told for sure, and what is shuffled is not all shingles but the repeated ones.
     """
 
     def told(batches):
-        held, size = [], 0
+        held, size = np.empty(CHUNK, np.int64), 0  # filled and sorted in place: what a chunk takes is this array, and marks of a byte
 
         def counts():
-            h, n = np.unique(np.concatenate(held), return_counts=True)
-            often = n >= AGAIN
-            return pa.RecordBatch.from_arrays([pa.array(h[often], pa.int64()), pa.array(n[often], pa.int64())], ["h", "df"])
+            h = held[:size]
+            h.sort()
+            again = h[AGAIN - 1 :] == h[: max(size - AGAIN + 1, 0)]  # a run of AGAIN begins here
+            again[1:] &= h[1 : len(again)] != h[: max(len(again) - 1, 0)]  # and its shingle too
+            begins = np.flatnonzero(again)
+            n = np.searchsorted(h, h[begins], "right") - begins
+            return pa.RecordBatch.from_arrays([pa.array(h[begins], pa.int64()), pa.array(n, pa.int64())], ["h", "df"])
 
         for b in batches:
             h = b.column(0).flatten().to_numpy(zero_copy_only=False)
-            held.append(h)
-            size += len(h)
-            if size >= CHUNK:
-                yield counts()
-                held, size = [], 0
-        if held:
+            while len(h):
+                part, h = h[: CHUNK - size], h[CHUNK - size :]
+                held[size : size + len(part)] = part
+                size += len(part)
+                if size == CHUNK:
+                    yield counts()
+                    size = 0
+        if size:
             yield counts()
 
     found = sets.select("set").mapInArrow(told, "h long, df long").groupBy("h").agg(F.sum("df").alias("df"))
@@ -96,7 +102,7 @@ def prefix_lists(sets: DataFrame, threshold: float) -> DataFrame:
 
     def first(batches):
         sorted_hashes, places = known.value
-        for b in (whole.slice(k, 500) for whole in batches for k in range(0, whole.num_rows, 500)):
+        for b in (whole.slice(k, 100) for whole in batches for k in range(0, whole.num_rows, 100)):
             lists, n = b.column(2), b.column(1).to_numpy()
             h, sizes = lists.flatten().to_numpy(zero_copy_only=False), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
             at = np.minimum(np.searchsorted(sorted_hashes, h), max(len(sorted_hashes) - 1, 0))

@@ -1,8 +1,11 @@
 """First-wins near copies without pairs, and keys of near hashes."""
 
 import random
+import tracemalloc
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -188,3 +191,37 @@ def test_sets_are_moved_to_workers_in_small_batches(spark, monkeypatch):
     sets = dedup.shingle_sets(spark.createDataFrame([(k, "a b c d e f g h") for k in range(3)], "id int, text string"), "id", "text")
     assert {r["id"] for r in dedup.prefix_lists(sets, 0.85).collect()} == {0, 1, 2}
     assert len(sizes) == 2 and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == sizes[0]
+
+
+def test_a_chunk_of_shingles_is_counted_where_it_lies(monkeypatch):
+    """Counting a chunk takes little more than its numbers: copies of it for sorting and marks made a worker five times as large."""
+    held = {}
+
+    class Sets:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, told, schema):  # noqa: N802
+            held["told"] = told
+            raise InterruptedError
+
+    monkeypatch.setattr(dedup, "CHUNK", 1_000_000)
+    with pytest.raises(InterruptedError):
+        dedup.common_shingles(Sets())
+    rng = np.random.default_rng(1)
+    hashes = rng.integers(-300_000, 300_000, 2_500_000)
+    whole = pa.ListArray.from_arrays(pa.array(range(0, len(hashes) + 1, 500), pa.int32()), pa.array(hashes))
+    batches = [pa.RecordBatch.from_arrays([whole.slice(k, 700)], ["set"]) for k in range(0, len(whole), 700)]
+    want = []
+    for k in range(0, len(hashes), dedup.CHUNK):  # also of chunks that end inside a batch
+        h, n = np.unique(hashes[k : k + dedup.CHUNK], return_counts=True)
+        want += [*zip(h[n >= dedup.AGAIN].tolist(), n[n >= dedup.AGAIN].tolist(), strict=True)]
+    got, most = [], 0
+    tracemalloc.start()
+    for told in held["told"](iter(batches)):
+        most = max(most, tracemalloc.get_traced_memory()[1])
+        got.append(told)
+        tracemalloc.reset_peak()
+    tracemalloc.stop()
+    assert most < 20 * dedup.CHUNK
+    assert [x for told in got for x in zip(told["h"].to_pylist(), told["df"].to_pylist(), strict=True)] == want
