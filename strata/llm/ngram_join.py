@@ -191,8 +191,8 @@ def bloom(rows: DataFrame) -> np.ndarray:
     return out
 
 
-def whole_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(class, set) of the rows that `wanted` (row) names: 48 bits of each shingle hash, sorted, as bytes. Texts that the bitmap does not take for one of them go no further; a task gives repeated rows once."""
+def whole_sets(docs: DataFrame, wanted: DataFrame, n: int, k: int) -> DataFrame:
+    """(class, set) of the `n` rows that `wanted` (row) names: 48 bits of each shingle hash, sorted, as bytes. Texts that the bitmap does not take for one of them go no further; a task gives repeated rows once."""
     bits = docs.sparkSession.sparkContext.broadcast(bloom(wanted))
 
     def run(batches):
@@ -215,7 +215,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["row", "class", "set"])
 
     sets = docs.select("text", row_of("doc_id", "text")).mapInArrow(run, "row long, class long, set binary")
-    return sets.join(sent(wanted), "row", "left_semi").select("class", "set")
+    return sets.join(sent(wanted, n), "row", "left_semi").select("class", "set")
 
 
 def pack(s: np.ndarray) -> bytes:
@@ -228,8 +228,8 @@ def unpack(b: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, common, size_a, size_b) of pairs (a, b) of classes, on whole sets."""
+def verify(pairs: DataFrame, n: int, sets: DataFrame) -> DataFrame:
+    """(a, b, common, size_a, size_b) of `n` pairs (a, b) of classes, on whole sets."""
 
     def run(batches):
         last, left = None, None
@@ -245,38 +245,37 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 nb.append(len(left))
             yield pa.RecordBatch.from_arrays([b["a"], b["b"], *(pa.array(c, pa.int64()) for c in (common, na, nb))], ["a", "b", "common", "size_a", "size_b"])
 
-    both = with_both(pairs, sets, "class", ["set"]).select("a", "b", F.col("a_set").alias("x"), F.col("b_set").alias("y"))
+    both = with_both(pairs, n, sets, "class", ["set"]).select("a", "b", F.col("a_set").alias("x"), F.col("b_set").alias("y"))
     return both.mapInArrow(run, "a long, b long, common long, size_a long, size_b long")
 
 
-def sent(df: DataFrame) -> DataFrame:
-    """df, marked to be sent to all executors if it has few rows."""
-    return F.broadcast(df) if df.count() <= MAX_SENT else df
+def sent(df: DataFrame, n: int) -> DataFrame:
+    """df, marked to be sent to all executors if its `n` rows are few."""
+    return F.broadcast(df) if n <= MAX_SENT else df
 
 
-def with_both(pairs: DataFrame, facts: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """(a, b, a_..., b_...): pairs and the facts of both. Few pairs are sent to the facts, which stay in place; more are dealt out."""
+def with_both(pairs: DataFrame, n: int, facts: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """(a, b, a_..., b_...): `n` pairs and the facts of both. Few pairs are sent to the facts, which stay in place; more are dealt out."""
     side = lambda end: facts.select(F.col(key).alias(end), *(F.col(c).alias(f"{end}_{c}") for c in columns))
-    if pairs.count() > MAX_SENT:
+    if n > MAX_SENT:
         return pairs.join(side("a"), "a").join(side("b"), "b")
     few = F.broadcast(pairs)
     return side("a").join(few, "a").join(side("b").join(few, "b"), ["a", "b"])
 
 
-def connected(spark: SparkSession, edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, root) for all nodes of edges (a, b): the least node of each component, by hooking larger roots to smaller ones and halving paths."""
-    edges = scratch.table(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges0")
-    roots = scratch.table(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("root", F.col("node")), "roots0")
+def connected(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
+    """(node, root) for all nodes of edges (a, b), and how many they are: the least node of each component, by hooking larger roots to smaller ones and halving paths."""
+    edges, left = scratch.counted(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges0")
+    roots, nodes = scratch.counted(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("root", F.col("node")), "roots0")
     k = 0
-    while edges.limit(1).count():
+    while left:
         k += 1
         hooks = scratch.table(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up")), f"hooks{k}_0")
         j = 0
         while True:  # until every hook leads to a root
             j += 1
             up = hooks.select(F.col("node").alias("up"), F.col("up").alias("further"))
-            hooks = scratch.table(hooks.join(up, "up", "left").select("node", F.coalesce("further", "up").alias("up"), F.col("further").isNotNull().alias("moved")), f"hooks{k}_{j}")
-            moved = hooks.where("moved").limit(1).count()
+            hooks, _, moved = scratch.counted(hooks.join(up, "up", "left").select("node", F.coalesce("further", "up").alias("up"), F.col("further").isNotNull().alias("moved")), f"hooks{k}_{j}", "moved")
             hooks = hooks.drop("moved")
             scratch.drop(f"hooks{k}_{j - 1}")
             if not moved:
@@ -284,9 +283,9 @@ def connected(spark: SparkSession, edges: DataFrame, scratch: Scratch) -> DataFr
         to = lambda c: hooks.select(F.col("node").alias(c), F.col("up").alias(f"{c}_up"))  # noqa: B023, E731
         roots = scratch.table(roots.join(to("root"), "root", "left").select("node", F.coalesce("root_up", "root").alias("root")), f"roots{k}")
         moved_edges = edges.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("a_up", "a").alias("a"), F.coalesce("b_up", "b").alias("b"))
-        edges = scratch.table(moved_edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"edges{k}")
+        edges, left = scratch.counted(moved_edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"edges{k}")
         scratch.drop(f"roots{k - 1}", f"edges{k - 1}", f"hooks{k}_{j}")
-    return roots
+    return roots, nodes
 
 
 def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -380,62 +379,63 @@ def _components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     own = W.partitionBy("token")
     tokens = F.array_sort(F.concat("known_tokens", "rare_tokens")).alias("tokens")
     before = F.explode(F.transform("tokens", lambda t, i: F.struct(t.alias("token"), F.get("tokens", i - 1).alias("before"))))
-    links, roots, seen = None, None, None
+    links, roots, n_roots, seen, n_seen = None, None, 0, None, 0
 
     def with_roots(rows: DataFrame) -> DataFrame:
         if roots is None:
             return rows.withColumn("root", F.col("class"))
-        return rows.join(sent(roots.withColumnRenamed("node", "class")), "class", "left").withColumn("root", F.coalesce("root", "class"))
+        return rows.join(sent(roots.withColumnRenamed("node", "class"), n_roots), "class", "left").withColumn("root", F.coalesce("root", "class"))
 
-    def checked(pairs: DataFrame, name: str) -> DataFrame:
-        """(a, b, linked) of the pairs that pass the bounds and have not been seen; those alone need whole sets."""
+    def checked(pairs: DataFrame, name: str) -> tuple[DataFrame, int, int]:
+        """(a, b, linked) of the pairs that pass the bounds and have not been seen, how many and how many linked; those alone need whole sets."""
         if seen is not None:
-            pairs = pairs.join(sent(seen.select("a", "b")), ["a", "b"], "left_anti")
+            pairs = pairs.join(sent(seen.select("a", "b"), n_seen), ["a", "b"], "left_anti")
         # Sketches leave few pairs, which alone need the shingles of prefixes.
-        both = with_both(scratch.table(pairs, f"new_{name}"), records, "class", ["n", "sketch"]).where(bounds.sketches(of("a_"), of("b_")))
-        both = with_both(scratch.table(both.select("a", "b"), f"near_{name}"), records, "class", ["row", "n", "matches", "known", "known_tokens", "rare_tokens"])
-        both = scratch.table(both.where(bounds.prefixes(of("a_"), of("b_"))).select("a", "b", "a_row", "b_row"), f"pairs_{name}")
-        if not both.limit(1).count():  # no text need be read
-            return both.select("a", "b", F.lit(False).alias("linked"))
-        rows = scratch.table(both.select(F.explode(F.array("a_row", "b_row")).alias("row")).distinct(), f"wanted_{name}")
-        sets = scratch.table(whole_sets(docs, rows, k), f"sets_{name}")
+        both = with_both(*scratch.counted(pairs, f"new_{name}"), records, "class", ["n", "sketch"]).where(bounds.sketches(of("a_"), of("b_")))
+        both = with_both(*scratch.counted(both.select("a", "b"), f"near_{name}"), records, "class", ["row", "n", "matches", "known", "known_tokens", "rare_tokens"])
+        both, n = scratch.counted(both.where(bounds.prefixes(of("a_"), of("b_"))).select("a", "b", "a_row", "b_row"), f"pairs_{name}")
+        if not n:  # no text need be read
+            return both.select("a", "b", F.lit(False).alias("linked")), 0, 0
+        rows, n_rows = scratch.counted(both.select(F.explode(F.array("a_row", "b_row")).alias("row")).distinct(), f"wanted_{name}")
+        sets = scratch.table(whole_sets(docs, rows, n_rows, k), f"sets_{name}")
         of_class = sets.groupBy("class").count()
         if of_class.where("count > 1").limit(1).count():  # repeated rows in several tasks
             sets = sets.dropDuplicates(["class"])
         linked = 100 * F.col("common") >= percent * (F.col("size_a") + F.col("size_b") - F.col("common"))
-        out = scratch.table(verify(both.select("a", "b"), sets).select("a", "b", linked.alias("linked")), f"seen_{name}")
+        out = scratch.counted(verify(both.select("a", "b"), n, sets).select("a", "b", linked.alias("linked")), f"seen_{name}", "linked")
         scratch.drop(f"new_{name}", f"near_{name}", f"pairs_{name}", f"wanted_{name}", f"sets_{name}")
         return out
 
-    def join_links(found: DataFrame, name: str) -> bool:
+    def join_links(found: DataFrame, linked: int, name: str) -> bool:
         """Components with the links found; False if there are none."""
-        nonlocal links, roots
-        found = found.where("linked").select("a", "b")
-        if not found.limit(1).count():
+        nonlocal links, roots, n_roots
+        if not linked:
             return False
+        found = found.where("linked").select("a", "b")
         links = found if links is None else links.unionAll(found)
         own_scratch = Scratch(spark)
-        roots = scratch.table(connected(spark, links, own_scratch), name)
+        roots, n_roots = connected(links, own_scratch)
+        roots = scratch.table(roots, name)
         own_scratch.drop(own_scratch.root)
         return True
 
     # Long lists: classes against leaders, those with the largest shared part of their prefix first, then others.
     sizes = records.select(F.explode(F.concat("known_tokens", "rare_tokens")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("size"))
-    names = scratch.table(sizes.where(F.col("size") >= LONG_LIST).select("token"), "names")
+    names, n_names = scratch.counted(sizes.where(F.col("size") >= LONG_LIST).select("token"), "names")
     flat = records.select("class", "n", "rest", "share", "short", tokens).select("class", "n", "rest", "share", "short", before.alias("at")).select("class", "n", "rest", "share", "short", "at.*")
-    long = scratch.table(flat.join(sent(names), "token", "left_semi"), "long")
+    long = scratch.table(flat.join(sent(names, n_names), "token", "left_semi"), "long")
     for r in range(LEADER_ROUNDS):
         mixed = with_roots(long.drop("short", "before")).withColumn("low", F.min("root").over(own)).withColumn("high", F.max("root").over(own)).where("low != high").drop("low", "high")
         drawn = F.struct((-F.col("share")).alias("w") if r == 0 else F.xxhash64("class", F.lit(r)).alias("w"), "class")
         heads = mixed.withColumn("k", F.row_number().over(W.partitionBy("token").orderBy(drawn))).where(F.col("k") <= LEADERS).select("token", F.struct("class", "n", "rest", "root").alias("leader"))
         led = mixed.join(heads, "token").where((F.col("class") != F.col("leader.class")) & (F.col("root") != F.col("leader.root")) & bounds.fits(of(""), of("leader.")))
-        pairs = scratch.table(led.select(F.least("class", "leader.class").alias("a"), F.greatest("class", "leader.class").alias("b")).distinct(), f"led{r}")
-        if not pairs.limit(1).count():
+        pairs, n = scratch.counted(led.select(F.least("class", "leader.class").alias("a"), F.greatest("class", "leader.class").alias("b")).distinct(), f"led{r}")
+        if not n:
             break
-        found = checked(pairs, f"round{r}")
-        seen = found if seen is None else seen.unionAll(found)
+        found, n, linked = checked(pairs, f"round{r}")
+        seen, n_seen = found if seen is None else seen.unionAll(found), n_seen + n
         scratch.drop(f"led{r}")
-        if not join_links(found, f"joined{r}"):
+        if not join_links(found, linked, f"joined{r}"):
             break  # other leaders would hardly find more; what is left is looked for below
 
     # Pairs of different components. A list's largest component is only met by the others.
@@ -451,9 +451,10 @@ def _components(docs: DataFrame, k: int, percent: int) -> DataFrame:
         return pairs.select(F.least(l("class"), r("class")).alias("a"), F.greatest(l("class"), r("class")).alias("b"))
 
     rooted = with_roots(records.select("class", "n", "rest", tokens)).select("class", "root", "n", "rest", before.alias("at")).select("class", "root", "n", "rest", "at.*")
-    short_lists, sketched = rooted.join(sent(names), "token", "left_anti"), with_roots(long.drop("share"))
+    short_lists, sketched = rooted.join(sent(names, n_names), "token", "left_anti"), with_roots(long.drop("share"))
     pairs = met(short_lists, lambda l, r: F.lit(True)).unionAll(met(sketched, bounds.short_sketches)).distinct()
-    join_links(checked(scratch.table(pairs, "met"), "met"), "joined")
+    found, _, linked = checked(scratch.table(pairs, "met"), "met")
+    join_links(found, linked, "joined")
 
     firsts = with_roots(marked.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("first")))
     parts = firsts.groupBy("root").agg(F.min("first").alias("component"))
@@ -483,12 +484,12 @@ def keep_first_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     # A row number is a hash of id and text: repeated rows share one.
     numbers = rows.groupBy("root", "row").agg(F.count(F.lit(1)).alias("n")).join(firsts, "root")
     scratch = Scratch(spark)
-    odd = scratch.table(numbers.where((F.col("row") != F.col("kept")) | (F.col("n") > 1)).select(F.col("row").alias(ROW), (F.col("row") == F.col("kept")).alias(f"{ROW}_kept")), "odd")
+    odd, n_odd, n_repeated = scratch.counted(numbers.where((F.col("row") != F.col("kept")) | (F.col("n") > 1)).select(F.col("row").alias(ROW), (F.col("row") == F.col("kept")).alias(f"{ROW}_kept")), "odd", f"{ROW}_kept")
     numbered = docs.withColumn(ROW, F.xxhash64("doc_id", "text"))
-    out = numbered.join(sent(odd.select(ROW)), ROW, "left_anti").drop(ROW)
+    out = numbered.join(sent(odd.select(ROW), n_odd), ROW, "left_anti").drop(ROW)
     repeated = odd.where(f"{ROW}_kept").select(ROW)
-    if repeated.limit(1).count():
-        again = numbered.join(sent(repeated), ROW, "left_semi")
+    if n_repeated:
+        again = numbered.join(sent(repeated, n_repeated), ROW, "left_semi")
         columns = [F.col(f"`{c}`") for c in docs.columns]
         one = again.groupBy(ROW).agg(F.min_by(F.struct(*columns), row_hash(docs)).alias(f"{ROW}_one"))
         out = out.unionByName(one.select(f"{ROW}_one.*"))

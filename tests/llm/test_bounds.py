@@ -91,3 +91,29 @@ def test_more_words_than_numbers_are_refused(spark, tmp_path, monkeypatch):
     texts = spark.createDataFrame([("one two three four five",)], "text string")
     with pytest.raises(ValueError, match="distinct words"):
         kneser_ney.train(texts, f"file://{tmp_path}/m")
+
+
+def test_near_duplicates_count_rows_by_the_jobs_that_write_them(spark, monkeypatch):
+    """Each count was a job with a plan of its own, half of all: the driver's memory grew with them."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from strata.llm import ngram_join
+
+    asked, count = [], DataFrame.count
+    monkeypatch.setattr(DataFrame, "count", lambda self: asked.append(1) or count(self))
+    words = [f"w{k}" for k in range(40)]
+    rows = [(i, " ".join([*words[:20], f"x{i % 3}", *words[20:]] if i % 2 else [f"y{i}_{k}" for k in range(30)])) for i in range(24)] + [(None, "a b c"), (3, ""), (5, " ".join(words))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = {r["doc_id"] for r in ngram_join.keep_first_of_each(docs, 2, 60).collect()}
+    assert kept == {*range(0, 24, 2), None, 1, 3}
+    assert len(asked) <= 2  # whether any class is there twice, in each round that compares whole sets
+
+
+def test_a_written_table_tells_its_rows(spark):
+    from strata.scratch import Scratch
+
+    rows = spark.range(100).selectExpr("id", "if(id % 10 = 0, null, id % 3 = 1) as odd")
+    table, n, odd = Scratch(spark).counted(rows, "rows", "odd")
+    assert (n, odd) == (100, table.where("odd").count()) and table.count() == 100
+    table, n, odd = Scratch(spark).counted(rows.where("id < 0"), "none", "odd")
+    assert (n, odd) == (0, 0) and table.count() == 0 and table.columns == ["id", "odd"]
