@@ -7,12 +7,13 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import aspect
-from ..scratch import Scratch
+from ..scratch import Scratch, small_batches
 from .dedup import first_of_each, first_wins_in_lists
 
 #: What files begin with, and the extension they get.
@@ -125,17 +126,128 @@ class HammingKeys:
         return agreed.bitwiseAND(F.get(upto, choice)) == F.get(chosen, choice)
 
 
+#: Hashes that a task deals into groups together, and pairs that it gives together. Neither changes a result.
+DEALT, GIVEN = 1 << 20, 1 << 16
+#: Bits of a part that tell groups apart, at most.
+GROUP_BITS = 12
+
+
+def _split(places: list[int], parts: int) -> list[int]:
+    """Masks of so many parts of these bits."""
+    return [sum(1 << b for b in places[len(places) * i // parts : len(places) * (i + 1) // parts]) for i in range(parts)]
+
+
+def _choices(n: int, most: int, places: list[int]) -> np.ndarray:
+    """Masks of bits, of which any two hashes within `most` bits agree on one: so many that n random hashes are sorted and compared in the least time."""
+    parts = range(most + 1, max(MOST_PARTS, most + 1) + 1)
+    p = min(parts, key=lambda p: math.comb(p, most) * (4 + n / 2.0 ** (len(places) * (p - most) / p)))
+    masks = _split(places, p)
+    return np.array([sum(masks[i] for i in c) for c in combinations(range(p), p - most)], np.uint64)
+
+
+def _near(h: np.ndarray, most: int, choices: np.ndarray, apart: np.ndarray):
+    """(x, y, distance) of different hashes h that agree on one of the choices, differ in `most` bits or fewer, and on each of the masks `apart`. Each pair is given once."""
+    for c, mask in enumerate(choices):
+        h = h[np.argsort(h & mask)]
+        key = h & mask
+        at, d = np.flatnonzero(key[1:] == key[:-1]), 1
+        while len(at):  # pairs that lie d places apart
+            for k in range(0, len(at), GIVEN):
+                x, y = h[at[k : k + GIVEN]], h[at[k : k + GIVEN] + d]
+                distance = np.bitwise_count(x ^ y)
+                near = distance <= most
+                x, y, distance = x[near], y[near], distance[near]
+                differ, new = x ^ y, np.ones(len(x), bool)
+                for other in (*apart, *choices[:c]):
+                    new &= differ & other != 0
+                if new.any():
+                    yield x[new], y[new], distance[new]
+            d += 1
+            at = at[at + d < len(h)]
+            at = at[key[at + d] == key[at]]
+
+
+class HammingGroups:
+    """Groups of 64-bit hashes, in one of which any two hashes within `most` bits meet: of most + 1 parts of the bits they agree on one at least.
+
+    So a hash is moved for each part, not for each choice of parts that HammingKeys has; choices of the other
+    bits are made inside a group, where they take no room.
+    """
+
+    def __init__(self, most: int):
+        edges = [64 * i // (most + 1) for i in range(most + 2)]
+        self.most = most
+        self.parts = [(a, min(b - a, GROUP_BITS)) for a, b in zip(edges, edges[1:], strict=False)]
+
+    def dealt(self, batches):
+        """(group, held): hashes of (bits), each different one once in each of its groups, as bytes."""
+        held, size = np.empty(DEALT, np.int64), 0
+
+        def groups():
+            h = np.unique(held[:size]).view(np.uint64)
+            for i, (start, width) in enumerate(self.parts):
+                value = (h >> np.uint64(start)) & np.uint64((1 << width) - 1)
+                counts = np.bincount(value.astype(np.int64), minlength=1 << width)
+                ends = np.cumsum(counts)
+                offsets = np.concatenate([[0], ends]).astype(np.int32) * 8
+                content = pa.Array.from_buffers(pa.binary(), 1 << width, [None, pa.py_buffer(offsets), pa.py_buffer(h[np.argsort(value, kind="stable")])])
+                there = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_arrays([pa.array((i << GROUP_BITS) + there, pa.int32()), content.take(pa.array(there))], ["group", "held"])
+
+        for b in batches:
+            h = b.column(0).to_numpy(zero_copy_only=False)
+            while len(h):
+                part, h = h[: DEALT - size], h[DEALT - size :]
+                held[size : size + len(part)] = part
+                size += len(part)
+                if size == DEALT:
+                    yield from groups()
+                    size = 0
+        if size:
+            yield from groups()
+
+    def pairs(self, group: int, h: np.ndarray):
+        """Batches (xb, yb, distance) of a group's pairs that have met in no group of an earlier part."""
+        masks = [((1 << width) - 1) << start for start, width in self.parts]
+        i = group >> GROUP_BITS
+        places = [b for b in range(64) if not masks[i] >> b & 1]
+        h = np.unique(h)
+        told, size = [], 0
+        for found in _near(h, self.most, _choices(len(h), self.most, places), np.array(masks[:i], np.uint64)) if len(h) > 1 and places else ():
+            told.append(found)
+            size += len(found[0])
+            if size >= GIVEN:
+                yield self._batch(told)
+                told, size = [], 0
+        if told:
+            yield self._batch(told)
+
+    @staticmethod
+    def _batch(told: list) -> pa.RecordBatch:
+        x, y, distance = (np.concatenate(t) for t in zip(*told, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), pa.array(distance, pa.int32())], ["xb", "yb", "distance"])
+
+    def met(self, batches):
+        """pairs() of all groups of (group, held), whose rows come one group after the other."""
+        group, held = None, []
+        for b in batches:
+            for g, h in zip(b.column(0).to_numpy(), b.column(1), strict=True):
+                if g != group and held:
+                    yield from self.pairs(int(group), np.concatenate(held))
+                    held = []
+                group = g
+                held.append(np.frombuffer(h.as_py(), np.uint64))
+        if held:
+            yield from self.pairs(int(group), np.concatenate(held))
+
+
 def hamming_pairs(hashes: DataFrame, most: int = 6) -> DataFrame:
     """(a, b, distance) with a < b of (id, bits) that differ in `most` bits or fewer. Hashes are compared, whoever has them, and then named."""
-    scratch = Scratch(hashes.sparkSession)
-    different = scratch.table(hashes.select("bits").distinct(), "bits")
-    keys = HammingKeys(different.count(), most)
-    rows = keys.entries(different)
-    # Each hash has a row for each key, which the size of the hashes' table does not tell: without the hint that many rows could be collected to be sent to all.
-    x, y = rows.alias("x"), rows.alias("y").hint("merge")
-    distance = F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits")))
-    met = x.join(y, (F.col("x.choice") == F.col("y.choice")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.bits") < F.col("y.bits")) & (distance <= most) & keys.first_met(F.col("x.bits"), F.col("y.bits"), F.col("x.choice")))
-    pairs = met.select(F.col("x.bits").alias("xb"), F.col("y.bits").alias("yb"), distance.alias("distance"))
+    groups = HammingGroups(most)
+    with small_batches(hashes.sparkSession):
+        dealt = hashes.where(F.col("bits").isNotNull()).select("bits").mapInArrow(groups.dealt, "group int, held binary")
+        # Compared as one table: each join below would compare them again.
+        pairs = Scratch(hashes.sparkSession).table(dealt.repartition("group").sortWithinPartitions("group").mapInArrow(groups.met, "xb long, yb long, distance int"), "pairs")
     named = lambda i, b: hashes.select(F.col("id").alias(i), F.col("bits").alias(b))
     unlike = pairs.join(named("i", "xb").hint("merge"), "xb").join(named("j", "yb").hint("merge"), "yb").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "distance")
     equal = named("a", "xb").join(named("b", "yb").hint("merge"), F.col("xb") == F.col("yb")).where("a < b").select("a", "b", F.lit(0).alias("distance"))

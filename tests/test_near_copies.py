@@ -120,6 +120,28 @@ def test_hamming_pairs_equal_brute_force(spark):
     assert len(got) == len(want) and dict(got) == want
 
 
+@pytest.mark.parametrize("given, dealt, bits", [(1 << 16, 1 << 20, 12), (2, 7, 3)])
+def test_hashes_are_moved_once_a_part_and_compared_in_groups(monkeypatch, given, dealt, bits):
+    """Rows for each key of a hash were 210 times the hashes, on both sides of a join."""
+    for name, value in (("GIVEN", given), ("DEALT", dealt), ("GROUP_BITS", bits)):
+        monkeypatch.setattr(media, name, value)
+    r = random.Random(14)
+    hashes = [r.getrandbits(60) for _ in range(150)]  # the highest bits are alike
+    for _ in range(250):
+        x = r.choice(hashes)
+        for b in r.sample(range(64), r.randint(0, 7)):
+            x ^= 1 << b
+        hashes.append(x)
+    groups = media.HammingGroups(6)
+    rows = [x for batch in groups.dealt([pa.record_batch({"bits": pa.array(np.array(hashes, np.uint64).view(np.int64))})]) for x in batch.to_pylist()]
+    assert sum(len(x["held"]) for x in rows) <= 7 * 8 * len(hashes)
+    rows.sort(key=lambda x: x["group"])
+    batch = pa.record_batch({"group": pa.array([x["group"] for x in rows], pa.int32()), "held": [x["held"] for x in rows]})
+    found = [(x["xb"] % 2**64, x["yb"] % 2**64, x["distance"]) for b in groups.met([batch.slice(0, 50), batch.slice(50)]) for x in b.to_pylist()]
+    want = {(x, y): (x ^ y).bit_count() for x, y in combinations(sorted(set(hashes)), 2) if (x ^ y).bit_count() <= 6}
+    assert len(found) == len(want) and {(min(x, y), max(x, y)): d for x, y, d in found} == want
+
+
 def test_images_keep_the_first_of_each_family(spark):
     r = random.Random(13)
     rows, kept = [], []
