@@ -26,6 +26,8 @@ from ..scratch import Scratch, small_batches
 MAX_SENT = 500_000
 #: Ids of sets to be compared that are sent to all executors, at most; of more the sets are joined by a shuffle.
 MOST_NAMED = 2_000_000
+#: Members of a family of near copies that are dealt into one bucket, about.
+FAMILY = 128
 #: Shingles that are counted together, and how often one of them is there to be told.
 CHUNK, AGAIN = 4_000_000, 4
 
@@ -41,6 +43,19 @@ def exact_dedup(df: DataFrame, text: str, *order: Column) -> DataFrame:
     return first_of_each(df.withColumn("content_hash", content_hash(F.col(text))), F.col("content_hash"), *order)
 
 
+def exact_dedup_in_place(df: DataFrame, id_column: str, text: str, order: str) -> DataFrame:
+    """exact_dedup() of a table that is read without work: its texts are read twice and not moved, only their hashes and the ids of copies are."""
+    own = df.select(F.col(id_column).alias("id"), F.col(order).alias("ord"), F.xxhash64(text).alias("raw"), F.unhex(content_hash(F.col(text))).alias("hash"))
+    w = W.partitionBy("hash").orderBy("ord", "id")
+    later = own.withColumn("rn", F.row_number().over(w)).withColumn("first", F.first("id").over(w)).where("rn > 1")
+    copies, n, twins = Scratch(df.sparkSession).counted(later.select(F.col("id").alias("_id"), F.col("raw").alias("_raw"), F.col("id").eqNullSafe(F.col("first")).alias("twin")), "copies", "twin")
+    if twins:  # rows of one id and one text: the id does not tell which of them stays
+        return exact_dedup(df, text, F.col(order), F.col(id_column))
+    copies = copies.drop("twin")
+    copy = F.col(id_column).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_raw"))  # an id may have other texts too
+    return df.join(F.broadcast(copies) if n <= MOST_NAMED else copies, copy, "left_anti").withColumn("content_hash", content_hash(F.col(text)))
+
+
 def shingle_sets(df: DataFrame, id_column: str, text: str, k: int = 5) -> DataFrame:
     """(id, n, set): sorted distinct 64-bit hashes of the k-word shingles."""
     words = df.select(F.col(id_column).alias("id"), tokens(F.col(text)).alias("words"))  # a column of its own: a lambda would work it out for each shingle
@@ -126,15 +141,68 @@ def sizes_allow(threshold: float) -> Callable[[str, str], Column]:
     return lambda a, b: F.least(f"{a}.n", f"{b}.n") >= F.lit(threshold) * F.greatest(f"{a}.n", f"{b}.n") - 1e-9
 
 
+def shared_at_least(threshold: float) -> Callable[[str, str], Column]:
+    """How many entries of prefix_lists() two similar sets share at least.
+
+    Of the two prefixes, take the one that ends first in the order of all shingles. What the sets share up to there both prefixes hold; what
+    they share beyond is in the rest of its set, which has ceil(threshold * n) - 1 shingles.
+    """
+
+    def least(a: str, b: str) -> Column:
+        common = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col(f"{a}.n") + F.col(f"{b}.n")) - 1e-9)
+        return common - (F.ceil(F.lit(threshold) * F.greatest(f"{a}.n", f"{b}.n") - 1e-9) - 1)
+
+    return least
+
+
+def _placed(pairs: DataFrame) -> DataFrame:
+    """pairs (a, b) with the cell (place, i, j) where they are compared, so that a set goes to few cells and a cell holds few sets.
+
+    A row's home is the least id among it and its partners; a pair's place is the lesser of its two homes. So the sets of a family
+    meet in one place, whatever pairs it has. The members of a place of more than FAMILY are dealt into buckets, and its pairs into cells by two buckets each.
+    """
+    scratch = Scratch(pairs.sparkSession)
+    sides = pairs.select(F.col("a").alias("id"), F.least("a", "b").alias("home")).unionAll(pairs.select("b", F.least("a", "b")))
+    homes = scratch.table(sides.groupBy("id").agg(F.min("home").alias("home")), "homes")
+    named = lambda c: homes.select(F.col("id").alias(c), F.col("home").alias(f"home_{c}"))
+    placed = scratch.table(pairs.select("a", "b").join(named("a"), "a").join(named("b"), "b").select("a", "b", F.least("home_a", "home_b").alias("place")), "placed")
+    members = placed.select("place", F.col("a").alias("id")).unionAll(placed.select("place", "b")).distinct()
+    large = scratch.table(members.groupBy("place").agg(F.ceil(F.count(F.lit(1)) / FAMILY).cast("int").alias("buckets")).where("buckets > 1"), "large")
+    dealt = placed.join(large, "place", "left").withColumn("buckets", F.coalesce("buckets", F.lit(1)))
+    bucket = lambda c: F.pmod(F.xxhash64(c), "buckets").cast("int")
+    return scratch.table(dealt.select("a", "b", "place", F.least(bucket("a"), bucket("b")).alias("i"), F.greatest(bucket("a"), bucket("b")).alias("j")), "cells")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, jaccard) of those pairs (a, b) whose whole sets are similar. Of `sets`, which may be many, only those of the pairs are moved."""
-    pairs = Scratch(sets.sparkSession).table(pairs, "met")
-    ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct()
-    ids = Scratch(sets.sparkSession).table(ids, "ids")
-    sets = sets.join(F.broadcast(ids) if ids.count() <= MOST_NAMED else ids, "id", "left_semi")
-    whole = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return whole.select("a", "b", (common / (F.size("x") + F.size("y") - common)).alias("jaccard")).where(F.col("jaccard") >= threshold)
+    """(a, b, jaccard) of those pairs (a, b) whose whole sets are similar. Of `sets`, which may be many, only those of the pairs are moved, and not once a pair."""
+    scratch = Scratch(sets.sparkSession)
+    pairs = _placed(scratch.table(pairs.select("a", "b"), "met"))
+    cell = ("place", "i", "j")
+    wanted, n = scratch.counted(pairs.select(F.col("a").alias("id"), *cell).unionAll(pairs.select("b", *cell)).distinct(), "wanted")
+    ids = wanted.select("id").distinct()
+    there = sets.select("id", "set").join(F.broadcast(ids) if n <= MOST_NAMED else ids, "id", "left_semi").join(F.broadcast(wanted) if n <= MOST_NAMED // 4 else wanted, "id")
+
+    def compared(pairs: pa.Table, there: pa.Table) -> pa.Table:
+        names = there["id"].combine_chunks()
+        x, y = (pc.index_in(pairs[c], names).to_numpy() for c in ("a", "b"))
+        held = there["set"].combine_chunks()
+        sizes = pc.fill_null(pc.list_value_length(held), 0).to_numpy(zero_copy_only=False)
+        ends, h = np.cumsum(sizes), held.flatten().to_numpy(zero_copy_only=False)
+        own = lambda k: h[ends[k] - sizes[k] : ends[k]]
+        common = np.array([len(np.intersect1d(own(i), own(j), assume_unique=True)) for i, j in zip(x, y, strict=True)], np.int64)
+        jaccard = common / np.maximum(sizes[x] + sizes[y] - common, 1)
+        return pairs.select(["a", "b"]).append_column("jaccard", pa.array(jaccard)).filter(pa.array(jaccard >= threshold))
+
+    kind = T.StructType([pairs.schema["a"], pairs.schema["b"], T.StructField("jaccard", T.DoubleType())])
+    return pairs.groupBy(*cell).cogroup(there.groupBy(*cell)).applyInArrow(compared, kind)
+
+
+def _met_enough(met: DataFrame, x: str, y: str, shared: Callable[[str, str], Column] | None) -> DataFrame:
+    """Different pairs (a, b) of met entries x and y, of those that met often enough to be similar."""
+    pairs = met.select(F.col(f"{x}.id").alias("a"), F.col(f"{y}.id").alias("b"), *([shared(x, y).alias("least")] if shared else []))
+    if shared is None:
+        return pairs.distinct()
+    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("least").alias("least")).where("shared >= least").select("a", "b")
 
 
 def similar_pairs(sets: DataFrame, threshold: float = 0.85) -> DataFrame:
@@ -144,7 +212,7 @@ def similar_pairs(sets: DataFrame, threshold: float = 0.85) -> DataFrame:
     prefixes = scratch.table(prefix_lists(sets, threshold), "prefixes")
     a, b = prefixes.alias("a"), prefixes.alias("b")
     met = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.id") < F.col("b.id")) & sizes_allow(threshold)("a", "b"))
-    return verified(met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct(), sets, threshold)
+    return verified(_met_enough(met, "a", "b", shared_at_least(threshold)), sets, threshold)
 
 
 #: Constants of the 64-bit xxHash.
@@ -241,11 +309,11 @@ def first_wins(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return order.join(dropped, "id", "left_anti").select("id")
 
 
-def first_wins_in_lists(nodes: DataFrame, entries: DataFrame, close: Callable[[str, str], Column], similar: Callable[[DataFrame], DataFrame] | None = None, worth: float = 4.0, most_rounds: int = 40) -> DataFrame:
+def first_wins_in_lists(nodes: DataFrame, entries: DataFrame, close: Callable[[str, str], Column], similar: Callable[[DataFrame], DataFrame] | None = None, worth: float = 4.0, most_rounds: int = 40, least_shared: Callable[[str, str], Column] | None = None) -> DataFrame:
     """Ids of `nodes` (id, ord) that stay, as first_wins() would tell from all similar pairs, which are not made.
 
     entries (h, id, ...): any two similar rows share an h. close(a, b) is a condition on two entries that
-    all similar rows meet; similar() keeps the similar ones of pairs (a, b), all if it is left out.
+    all similar rows meet; similar() keeps the similar ones of pairs (a, b), all if it is left out. least_shared(a, b), if given, tells how many h any two similar rows share at least.
 
     A row that comes first in each of its lists has no similar row before it: it stays, and the rest of its
     lists is compared with it alone. What is like it goes, and the lists are shorter in the next round. So a
@@ -270,26 +338,30 @@ def first_wins_in_lists(nodes: DataFrame, entries: DataFrame, close: Callable[[s
         heads = scratch.table(shared.join(sure, "id", "left_semi").drop("first"), f"heads{k}")  # one a list
         x, y = heads.alias("x"), shared.alias("y")
         met = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.ord") < F.col("y.ord")) & close("x", "y"))
-        gone = keep_similar(met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()).select(F.col("b").alias("id")).distinct()
+        gone = keep_similar(_met_enough(met, "x", "y", least_shared)).select(F.col("b").alias("id")).distinct()
         gone = scratch.table(gone, f"gone{k}")
         dropped = dropped.unionAll(gone)
         left = scratch.table(shared.drop("first").join(sure, "id", "left_anti").join(gone, "id", "left_anti"), f"left{k}")
         scratch.drop(f"left{k - 1}", f"shared{k}", f"heads{k}", f"sure{k}", f"lists{k}")
     x, y = left.alias("x"), left.alias("y")
     met = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.ord") < F.col("y.ord")) & close("x", "y"))
-    pairs = scratch.table(keep_similar(met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()).select("a", "b"), "pairs")
+    pairs = scratch.table(keep_similar(_met_enough(met, "x", "y", least_shared)).select("a", "b"), "pairs")
     undecided = nodes.join(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))), "id", "left_semi")
     stays = first_wins(undecided, pairs)
     dropped = dropped.unionAll(undecided.select("id").join(stays, "id", "left_anti"))
     return nodes.select("id").join(dropped, "id", "left_anti")
 
 
-def dedup_text(df: DataFrame, id_column: str, text: str, order: str, enabled: bool = True, threshold: float = 0.85, approximate: bool = False, hashed: str | None = None) -> DataFrame:
-    """df without exact copies and, if enabled, without near copies of kept rows. hashed: the column that holds content_hash() of the text, if one does."""
-    unique = first_of_each(df, F.col(hashed), F.col(order), F.col(id_column)) if hashed else exact_dedup(df, text, F.col(order), F.col(id_column))
+def dedup_text(df: DataFrame, id_column: str, text: str, order: str, enabled: bool = True, threshold: float = 0.85, approximate: bool = False, hashed: str | None = None, stored: bool = False) -> DataFrame:
+    """df without exact copies and, if enabled, without near copies of kept rows. hashed: the column that holds content_hash() of the text, if one does. stored: df is a table that is read without work, so it is read again instead of moved and written."""
+    if stored and not hashed:
+        unique = exact_dedup_in_place(df, id_column, text, order)
+    else:
+        unique = first_of_each(df, F.col(hashed), F.col(order), F.col(id_column)) if hashed else exact_dedup(df, text, F.col(order), F.col(id_column))
     if not enabled:
         return unique
-    unique = Scratch(df.sparkSession).table(unique, "unique")
+    if not stored:
+        unique = Scratch(df.sparkSession).table(unique, "unique")
     sets = shingle_sets(unique.where(F.length(F.trim(F.col(text))) > 0), id_column, text)
     sets = Scratch(df.sparkSession).table(sets, "sets")
     # Of rows with equal sets (the same words, but repeated otherwise) only the first can stay: what is like it is like them.
@@ -306,5 +378,5 @@ def dedup_text(df: DataFrame, id_column: str, text: str, order: str, enabled: bo
         kept = first_wins(ords, pairs)
     else:
         entries = prefix_lists(sets, threshold).join(later, "id", "left_anti")  # the sets themselves are neither moved nor written again
-        kept = first_wins_in_lists(ords, entries, sizes_allow(threshold), lambda pairs: verified(pairs, sets, threshold))
+        kept = first_wins_in_lists(ords, entries, sizes_allow(threshold), lambda pairs: verified(pairs, sets, threshold), least_shared=shared_at_least(threshold))
     return unique.join(kept.withColumnRenamed("id", id_column), id_column, "left_semi")

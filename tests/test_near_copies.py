@@ -184,6 +184,45 @@ def test_only_sets_of_pairs_are_moved(spark):
     assert "LeftSemi" in df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_a_set_goes_to_few_cells_and_a_cell_holds_few(spark, monkeypatch):
+    """Sets were moved once a pair: of a family of 150, 149 times."""
+    monkeypatch.setattr(dedup, "FAMILY", 20)
+    family = [*combinations(range(150), 2)]
+    chain = [(f, f + 1) for f in range(1000, 1200)]
+    df = spark.createDataFrame([(b, a) if (a + b) % 2 else (a, b) for a, b in family + chain], "a long, b long")
+    rows = dedup._placed(df).collect()
+    assert sorted((min(x["a"], x["b"]), max(x["a"], x["b"])) for x in rows) == sorted(family + chain)
+    cells, held = {}, {}
+    for x in rows:
+        for i in (x["a"], x["b"]):
+            cells.setdefault(i, set()).add((x["place"], x["i"], x["j"]))
+            held.setdefault((x["place"], x["i"], x["j"]), set()).add(i)
+    assert max(map(len, cells.values())) <= 8 and max(map(len, held.values())) <= 80 and {len(cells[i]) for i in range(1000, 1201)} <= {1, 2}
+
+
+def test_sets_that_share_too_little_of_their_prefixes_are_not_compared(spark, monkeypatch):
+    given, action = [], dedup.verified
+    monkeypatch.setattr(dedup, "verified", lambda pairs, *a: given.append(sorted(map(tuple, pairs.collect()))) or action(pairs, *a))
+    words = lambda name, n: [f"{name}{k}" for k in range(n)]
+    texts = [words("a", 200), words("a", 195) + words("b", 5), *(words(f"c{k}", 150) + words("common", 50) for k in range(6))]
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "id long, text string")
+    got = dedup.similar_pairs(dedup.shingle_sets(df, "id", "text"), 0.85).collect()
+    assert [(x["a"], x["b"]) for x in got] == [(0, 1)] and given == [[(0, 1)]]
+
+
+def test_copies_go_without_moving_texts(spark, tmp_path):
+    rows = [(5, "a B"), (3, "a b"), (3, "other"), (4, None), (2, ""), (None, "null's own"), (None, "a, b"), (7, "c"), (8, "C!"), (8, "d")]
+    for name, more in (("one", []), ("twins", [(3, "a b"), (8, "D.")])):
+        spark.createDataFrame(rows + more, "id long, text string").coalesce(1).write.parquet(f"{tmp_path}/{name}")
+        df = spark.read.parquet(f"{tmp_path}/{name}")
+        got = dedup.exact_dedup_in_place(df, "id", "text", "id")
+        want = dedup.exact_dedup(df, "text", F.col("id"), F.col("id"))
+        key = lambda f: sorted((x["id"] is None, x["id"], x["content_hash"]) for x in f.collect())
+        assert key(got) == key(want)
+        if not more:
+            assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_rows_for_each_key_of_a_hash_are_never_collected(spark):
     df = media.hamming_pairs(spark.createDataFrame([(k, k * 2654435761) for k in range(40)], "id long, bits long"))
     assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
