@@ -108,7 +108,7 @@ def prefix_lists(sets: DataFrame, threshold: float) -> DataFrame:
     Prefix filtering: in any one order of all shingles, two such sets share a shingle among the
     first n - ceil(threshold * n) + 1 of each. Here the common ones come last, the most frequent at the end, and
     the others by their hashes, which needs no count of all shingles; the order changes no result. A shingle that only one
-    set is looked for under meets nothing and is left out. `sets` should be a written table: it is read twice.
+    set is looked for under meets nothing and is left out. `sets` should be a written table: it is read twice. So is what is returned.
     """
     spark = sets.sparkSession
     common = common_shingles(sets)
@@ -130,10 +130,9 @@ def prefix_lists(sets: DataFrame, threshold: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row[keep])), pa.array(n[row[keep]], pa.int32()), pa.array(h[order][keep], pa.int64())], schema=pa.schema([("id", b.schema.field(0).type), ("n", pa.int32()), ("h", pa.int64())]))
 
     kind = T.StructType([sets.schema["id"], T.StructField("n", T.IntegerType()), T.StructField("h", T.LongType())])
+    entries = sets.select("id", "n", "set").mapInArrow(first, kind).withColumn("sets", F.count(F.lit(1)).over(W.partitionBy("h")))  # moved once: counted where they are brought together
     with small_batches(spark):
-        entries = Scratch(spark).table(sets.select("id", "n", "set").mapInArrow(first, kind), "firsts")
-    met = entries.groupBy("h").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("h")
-    return entries.join(met.hint("shuffle_hash"), "h").select("id", "n", "h")
+        return Scratch(spark).table(entries.where("sets > 1").select("id", "n", "h"), "prefixes")
 
 
 def sizes_allow(threshold: float) -> Callable[[str, str], Column]:
@@ -207,9 +206,8 @@ def _met_enough(met: DataFrame, x: str, y: str, shared: Callable[[str, str], Col
 
 def similar_pairs(sets: DataFrame, threshold: float = 0.85) -> DataFrame:
     """(a, b, jaccard) with a < b of different sets with Jaccard similarity of threshold or more: all pairs, as a report of them is. Sets should be distinct."""
-    scratch = Scratch(sets.sparkSession)
-    sets = scratch.table(sets, "sets")  # read four times; and a filter pushed below would work the sets out again
-    prefixes = scratch.table(prefix_lists(sets, threshold), "prefixes")
+    sets = Scratch(sets.sparkSession).table(sets, "sets")  # read three times; and a filter pushed below would work the sets out again
+    prefixes = prefix_lists(sets, threshold)
     a, b = prefixes.alias("a"), prefixes.alias("b")
     met = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.id") < F.col("b.id")) & sizes_allow(threshold)("a", "b"))
     return verified(_met_enough(met, "a", "b", shared_at_least(threshold)), sets, threshold)

@@ -210,6 +210,20 @@ def test_sets_that_share_too_little_of_their_prefixes_are_not_compared(spark, mo
     assert [(x["a"], x["b"]) for x in got] == [(0, 1)] and given == [[(0, 1)]]
 
 
+def test_entries_that_meet_nothing_are_not_written(spark, monkeypatch):
+    written, action = [], dedup.Scratch.table
+
+    def noted(self, df, name):
+        out = action(self, df, name)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(dedup.Scratch, "table", noted)
+    df = spark.createDataFrame([(k, " ".join(f"w{k % 8}-{j}" for j in range(40))) for k in range(10)], "id long, text string")
+    got = dedup.prefix_lists(dedup.shingle_sets(df, "id", "text"), 0.85).collect()
+    assert {x["id"] for x in got} == {0, 1, 8, 9} and sum(written) == len(got)
+
+
 def test_copies_go_without_moving_texts(spark, tmp_path):
     rows = [(5, "a B"), (3, "a b"), (3, "other"), (4, None), (2, ""), (None, "null's own"), (None, "a, b"), (7, "c"), (8, "C!"), (8, "d")]
     for name, more in (("one", []), ("twins", [(3, "a b"), (8, "D.")])):
